@@ -162,7 +162,7 @@ def peak_value_box_summary(spark, d):
 
 
 BIN_LABELS = [f"{10 * i}-{10 * i + 10}" for i in range(7)]
-_PEAKS_SQL = P.PROFILES + """, scored AS (SELECT *, chla * 0.8 + 0.05 * (z_idx + 1) * (profile_id % 5) AS pred FROM profiles),
+_PEAKS_SQL = P.PROFILES + """, scored AS (SELECT *, chla * 0.75 + 0.0625 * (z_idx + 1) * (profile_id % 5) AS pred FROM profiles),
 peaks AS (SELECT profile_id, min(CASE WHEN chla = top THEN z END) AS obs_z, min(CASE WHEN pred = ptop THEN z END) AS pred_z
  FROM (SELECT *, max(chla) OVER (PARTITION BY profile_id) AS top, max(pred) OVER (PARTITION BY profile_id) AS ptop FROM scored) AS t GROUP BY 1),
 binned AS (SELECT CAST(floor(obs_z / 10) * 10 AS INT) AS o, CAST(floor(pred_z / 10) * 10 AS INT) AS p FROM peaks),
@@ -171,7 +171,7 @@ bins AS (SELECT CAST(b * 10 AS INT) AS o FROM (SELECT unnest(range(0, 7)) AS b)
 
 def _peak_pairs(spark, d):
     scored = P.profiles_long(spark, d).withColumn(
-        "pred", F.col("chla") * 0.8 + F.lit(0.05) * (F.col("z_idx") + 1) * (F.col("profile_id") % 5)
+        "pred", F.col("chla") * 0.75 + F.lit(0.0625) * (F.col("z_idx") + 1) * (F.col("profile_id") % 5)
     )
     best = lambda v: (-F.max(F.struct(F.col(v).alias("v"), (-F.col("z")).alias("up")))["up"])
     return scored.groupBy("profile_id").agg(best("chla").alias("obs"), best("pred").alias("pred"))
