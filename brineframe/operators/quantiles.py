@@ -2,8 +2,8 @@
 
 The built-in exact ``percentile`` keeps every distinct value of a group in one
 aggregation buffer. Depth bins and whole maps are groups that grow with the data,
-so ranks are located by successively finer histograms instead: every pass is a
-partially aggregated count with a bounded number of buckets per group.
+so ranks are located by successively finer histograms instead, each a partially
+aggregated count with a bounded number of buckets per group.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.hashing import hash32
+from ..functions.missing import all_present
 
 COARSE = 64.0  # buckets per e-fold: about 1.6 % relative width
 SHIFT = 64 * 746  # keeps the bucket of the smallest positive double above zero
@@ -28,28 +29,36 @@ def _fine(v: Column, lo: Column, hi: Column) -> Column:
 
 
 def exact_percentiles(df: DataFrame, value: str, ps: list[float], keys: list[str] | None = None) -> DataFrame:
-    """Rows (keys, p, value): percentiles with linear interpolation, NULLs skipped.
-
-    Three counted passes: a logarithmic histogram finds the bucket of each rank, a
-    linear histogram inside that bucket narrows it by 2**16, and only the values of
-    that sliver are counted one by one. All three bucketings are monotone in the
-    value, so the result is exact.
+    """Rows (keys, p, value): percentiles with linear interpolation; NULL values and
+    rows with a NULL key are left out.
+
+    The input is read once and reduced to distinct (keys, value) counts, a shuffle that
+    stays even when one group holds most rows because the value is part of its key. The
+    ranks are then located in that exchange, which Spark reuses: a logarithmic histogram
+    finds the bucket of each rank, a linear one narrows it by 2**16, and only the values
+    of that sliver are ordered. All bucketings are monotone, so the result is exact.
     """
     keys = list(keys or [])
-    x = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    x = x.withColumn("_b1", _coarse(F.col("_v")))
+    x = df.select(*keys, F.col(value).cast("double").alias("_v"))
+    x = x.groupBy(*keys, "_v").agg(F.count("*").alias("_n")).withColumn("_b1", _coarse(F.col("_v")))
+    # stated here, above the shared exchange, so that the joins below add no filter of
+    # their own and every branch plans the same exchange
+    x = x.where(all_present([*keys, "_v", "_b1"]))
     group = keys or [F.lit(0)]
 
     def below(*order):
         return W.partitionBy(*group, *order[:-1]).orderBy(order[-1]).rowsBetween(W.unboundedPreceding, -1)
 
+    def before(count, *order):
+        return F.coalesce(F.sum(count).over(below(*order)), F.lit(0))
+
+    def holds(base, count):
+        return (F.col("rank") >= F.col(base)) & (F.col("rank") < F.col(base) + F.col(count))
+
     h1 = x.groupBy(*keys, "_b1").agg(
-        F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
+        F.sum("_n").alias("_n1"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
     )
-    h1 = h1.withColumns({
-        "_all": F.sum("_n").over(W.partitionBy(*group)),
-        "_base": F.coalesce(F.sum("_n").over(below("_b1")), F.lit(0)),
-    })
+    h1 = h1.withColumns({"_all": F.sum("_n1").over(W.partitionBy(*group)), "_base": before("_n1", "_b1")})
     wanted = []
     for p in ps:
         at = F.lit(float(p)) * (F.col("_all") - 1)
@@ -58,30 +67,30 @@ def exact_percentiles(df: DataFrame, value: str, ps: list[float], keys: list[str
                 F.lit(float(p)).alias("p"), F.lit(side).alias("side"),
                 rank.cast("bigint").alias("rank"), (at - F.floor(at)).alias("frac"),
             ))
-    inside = (F.col("rank") >= F.col("_base")) & (F.col("rank") < F.col("_base") + F.col("_n"))
-    t1 = h1.select("*", F.inline(F.array(*wanted))).where(inside)
-
-    # second level: only rows in a bucket that holds a wanted rank
-    edge = t1.select(*keys, "_b1", "_lo", "_hi").distinct()
-    y = x.join(edge, keys + ["_b1"]).withColumn("_b2", _fine(F.col("_v"), F.col("_lo"), F.col("_hi")))
-    h2 = y.groupBy(*keys, "_b1", "_b2").agg(F.count("*").alias("_n2"))
-    h2 = h2.withColumn("_base2", F.coalesce(F.sum("_n2").over(below("_b1", "_b2")), F.lit(0)))
-    t1 = t1.select(*keys, "_b1", "p", "side", "frac", (F.col("rank") - F.col("_base")).alias("rank"))
-    inside2 = (F.col("rank") >= F.col("_base2")) & (F.col("rank") < F.col("_base2") + F.col("_n2"))
-    t2 = h2.join(t1, keys + ["_b1"]).where(inside2)
-
-    # last level: distinct values of the sliver
-    sliver = t2.select(*keys, "_b1", "_b2").distinct()
-    h3 = y.join(sliver, keys + ["_b1", "_b2"]).groupBy(*keys, "_b1", "_b2", "_v").agg(F.count("*").alias("_n3"))
-    h3 = h3.withColumn("_base3", F.coalesce(F.sum("_n3").over(below("_b1", "_b2", "_v")), F.lit(0)))
-    t2 = t2.select(*keys, "_b1", "_b2", "p", "side", "frac", (F.col("rank") - F.col("_base2")).alias("rank"))
-    inside3 = (F.col("rank") >= F.col("_base3")) & (F.col("rank") < F.col("_base3") + F.col("_n3"))
-    found = h3.join(t2, keys + ["_b1", "_b2"]).where(inside3)
+    # one row per bucket with the ranks it holds; buckets without a wanted rank go
+    ranks = F.filter(F.array(*wanted), lambda w: (w["rank"] >= F.col("_base")) & (w["rank"] < F.col("_base") + F.col("_n1")))
+    t1 = h1.withColumn("_ranks", ranks).where(F.size("_ranks") > 0).select(*keys, "_b1", "_lo", "_hi", "_base", "_ranks")
+
+    y = x.join(t1, keys + ["_b1"]).withColumn("_b2", _fine(F.col("_v"), F.col("_lo"), F.col("_hi")))
+    h2 = y.groupBy(*keys, "_b1", "_b2").agg(
+        F.sum("_n").alias("_n2"), F.first("_base").alias("_base"), F.first("_ranks").alias("_ranks"),
+        F.min("_v").alias("_lo2"), F.max("_v").alias("_hi2"),
+    )
+    h2 = h2.withColumn("_base2", F.col("_base") + before("_n2", "_b1", "_b2"))
+    t2 = h2.select(*keys, "_b1", "_lo2", "_hi2", "_n2", "_base2", F.inline("_ranks")).where(holds("_base2", "_n2"))
+
+    # a sliver with a single value (the usual case) is settled; the others are counted
+    single = t2.where(F.col("_lo2") == F.col("_hi2")).select(*keys, "p", "side", "frac", F.col("_lo2").alias("_v"))
+    open_ = t2.where(F.col("_lo2") < F.col("_hi2")).drop("_n2")
+    inside = (F.col("_v") >= F.col("_lo2")) & (F.col("_v") <= F.col("_hi2"))
+    h3 = x.select(*keys, "_b1", "_v", "_n").join(open_, keys + ["_b1"]).where(inside)
+    h3 = h3.withColumn("_base3", F.col("_base2") + before("_n", "_b1", "p", "side", "_v"))
+    counted = h3.where(holds("_base3", "_n")).select(*keys, "p", "side", "frac", "_v")
 
     lo = F.max(F.when(F.col("side") == "lo", F.col("_v")))
     hi = F.max(F.when(F.col("side") == "hi", F.col("_v")))
     frac = F.max("frac")
-    return found.groupBy(*keys, "p").agg((lo * (1 - frac) + hi * frac).alias(value))
+    return single.unionByName(counted).groupBy(*keys, "p").agg((lo * (1 - frac) + hi * frac).alias(value))
 
 
 def percentile_columns(df: DataFrame, value: str, named: dict[str, float], keys: list[str] | None = None) -> DataFrame:

@@ -1 +1,155 @@
+"""Samples, splits, training statistics and the normalised training table."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import splitting as T
+from ..operators.quantiles import sample_exact
+from ..sources.tables import read_parquet
+from . import proxies as P
+from .registry import query
+
+U = f"({P.hash_sql('o_orderkey')} / 4294967296.0)"
+
+
+@query("ordered_head", "L1 L2", """
+SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100
+""", doubles="o_totalprice", digits=2)
+def ordered_head(spark, d):
+    orders = read_parquet(spark, f"{d}/orders.parquet", columns=["o_orderkey", "o_totalprice"])
+    return orders.orderBy(F.desc("o_totalprice"), "o_orderkey").limit(100)
+
+
+@query("sample_without_replacement", "L3", f"""
+SELECT o_orderkey, o_totalprice FROM orders ORDER BY {P.hash_sql('o_orderkey')}, o_orderkey LIMIT 1000
+""", doubles="o_totalprice", digits=2)
+def sample_without_replacement(spark, d):
+    orders = read_parquet(spark, f"{d}/orders.parquet", columns=["o_orderkey", "o_totalprice"])
+    return sample_exact(orders, 1000, "o_orderkey")
+
+
+@query("row_split", "L4", f"""
+SELECT CASE WHEN {U} < 0.2 THEN 'test' ELSE 'train' END AS split, count(*) AS n, avg(o_totalprice) AS price FROM orders GROUP BY 1
+""", doubles="price", digits=4)
+def row_split(spark, d):
+    orders = read_parquet(spark, f"{d}/orders.parquet", columns=["o_orderkey", "o_totalprice"])
+    return T.row_split(orders, "o_orderkey").groupBy("split").agg(F.count("*").alias("n"), F.avg("o_totalprice").alias("price"))
+
+
+@query("split_row_lookup", "J11", f"""
+SELECT o_orderkey, o_totalprice FROM orders WHERE {U} < 0.2
+""", doubles="o_totalprice", digits=2)
+def split_row_lookup(spark, d):
+    orders = read_parquet(spark, f"{d}/orders.parquet", columns=["o_orderkey", "o_totalprice"])
+    return T.split_rows(T.row_split(orders, "o_orderkey"), "test").drop("split")
+
+
+def _split_sql(order: str) -> str:
+    return f"""ranked AS (SELECT date, row_number() OVER (ORDER BY {order}) - 1 AS r, count(*) OVER () AS n FROM kept),
+splits AS (SELECT date, CASE WHEN r < floor(CAST(0.7 AS DOUBLE) * n) THEN 'train' WHEN r < floor((CAST(0.7 AS DOUBLE) + CAST(0.2 AS DOUBLE)) * n) THEN 'val' ELSE 'test' END AS split FROM ranked)"""
+
+
+SHUFFLED = _split_sql(f"{P.hash_sql('date')}, date")
+
+
+@query("time_split", "L5", f"""
+WITH kept AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem), {SHUFFLED} SELECT date, split FROM splits
+""", texts="date")
+def time_split(spark, d):
+    return T.time_split(P.ship_cube(spark, d).select("date").distinct())
+
+
+@query("contiguous_time_split", "L5", f"""
+WITH kept AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem), {_split_sql('date')} SELECT date, split FROM splits
+""", texts="date")
+def contiguous_time_split(spark, d):
+    return T.time_split(P.ship_cube(spark, d).select("date").distinct(), contiguous=True)
+
+
+_TRAIN = P.SHIP_CUBE + ", kept AS (SELECT DISTINCT date FROM ship_cube), " + SHUFFLED + """,
+rows_ AS (SELECT c.*, s.split, (c.lat_idx * 10 + c.lon_idx) % 7 <> 0 AS ocean FROM ship_cube AS c JOIN splits AS s USING (date))"""
+
+
+def _rows(spark, d):
+    cube = P.ship_cube(spark, d)
+    return cube.join(T.time_split(cube.select("date").distinct()), "date").withColumn("ocean", P.is_ocean())
+
+
+@query("train_mean_std", "A17", f"""
+WITH {_TRAIN}
+SELECT avg(chla) AS mean_chla, stddev_pop(chla) AS std_chla, avg(aux) AS mean_aux, stddev_pop(aux) AS std_aux FROM rows_ WHERE split = 'train'
+""", doubles="mean_chla std_chla mean_aux std_aux")
+def train_mean_std(spark, d):
+    return T.train_stats(_rows(spark, d), ["chla", "aux"])
+
+
+@query("train_cell_medians", "A18", f"""
+WITH {_TRAIN}, g AS (SELECT quantile_cont(chla, 0.5) AS gc, quantile_cont(aux, 0.5) AS ga FROM rows_ WHERE split = 'train' AND ocean),
+cells AS (SELECT lat_idx, lon_idx, quantile_cont(CASE WHEN split = 'train' AND ocean THEN chla END, 0.5) AS mc,
+ quantile_cont(CASE WHEN split = 'train' AND ocean THEN aux END, 0.5) AS ma FROM rows_ GROUP BY 1, 2)
+SELECT lat_idx, lon_idx, coalesce(mc, gc, 0) AS median_chla, coalesce(ma, ga, 0) AS median_aux FROM cells, g
+""", doubles="median_chla median_aux")
+def train_cell_medians(spark, d):
+    usable = (F.col("split") == "train") & F.col("ocean")
+    return T.pixel_medians(_rows(spark, d), ["chla", "aux"], usable)
+
+
+# ocean cells of the 20 x 36 grid under the mask rule
+OCEAN_CELLS = sum((i * 10 + j) % 7 != 0 for i in range(20) for j in range(36))
+
+# a gappy input: aux counts as missing where it is small
+GAPPY = "CASE WHEN aux >= 0.01 THEN aux END"
+_TABLE = P.SHIP_CUBE + f""", facts AS (SELECT date, lat_idx, lon_idx, chla AS y, {GAPPY} AS aux, CAST(lat_idx AS DOUBLE) AS row_no,
+ (lat_idx * 10 + lon_idx) % 7 <> 0 AS ocean_mask FROM ship_cube),
+seen AS (SELECT date, {OCEAN_CELLS} - count(CASE WHEN ocean_mask THEN y END) AS my, {OCEAN_CELLS} - count(CASE WHEN ocean_mask THEN aux END) AS ma FROM facts GROUP BY 1),
+kept AS (SELECT date FROM seen WHERE my < 0.999 * {OCEAN_CELLS} AND ma < 0.999 * {OCEAN_CELLS}), {SHUFFLED},
+rows_ AS (SELECT f.*, s.split FROM facts AS f JOIN splits AS s USING (date)),
+st AS (SELECT avg(aux) AS m, CASE WHEN stddev_pop(aux) = 0 THEN 1 ELSE stddev_pop(aux) END AS s FROM rows_ WHERE split = 'train'),
+g AS (SELECT quantile_cont(aux, 0.5) AS ga FROM rows_ WHERE split = 'train' AND ocean_mask),
+cells AS (SELECT lat_idx, lon_idx, coalesce(quantile_cont(CASE WHEN split = 'train' AND ocean_mask THEN aux END, 0.5), (SELECT ga FROM g), 0) AS med
+ FROM rows_ GROUP BY 1, 2),
+table_ AS (SELECT r.date, r.lat_idx, r.lon_idx, r.split, r.ocean_mask, r.y,
+ CASE WHEN ocean_mask THEN (coalesce(aux, med) - m) / s ELSE 0 END AS f0, CAST(aux IS NULL AND ocean_mask AS INT) AS f1, row_no AS f2, CAST(ocean_mask AS INT) AS f3
+ FROM rows_ AS r JOIN cells USING (lat_idx, lon_idx), st)"""
+
+
+def _training_table(spark, d):
+    facts = P.ship_cube(spark, d).select(
+        "date", "lat_idx", "lon_idx", F.col("chla").alias("y"), F.when(F.col("aux") >= 0.01, F.col("aux")).alias("aux"),
+        F.col("lat_idx").cast("double").alias("row_no"), P.is_ocean().cast("double").alias("ocean_mask"),
+    )
+    return T.training_table(
+        facts, ["aux"], ["row_no", "ocean_mask"], "y", "ocean_mask", OCEAN_CELLS, missing_flags=True,
+        max_frac_response=0.999, max_frac_inputs=0.999,
+    )
+
+
+@query("normalised_training_table", "L7 A15 A17 A18 F9 F10", f"""
+WITH {_TABLE}
+SELECT split, lat_idx, count(*) AS n, avg(f0) AS f0, avg(f1) AS f1, avg(f2) AS f2, avg(f3) AS f3, avg(y) AS y FROM table_ GROUP BY 1, 2
+""", doubles="f0 f1 f2 f3 y", digits=4)
+def normalised_training_table(spark, d):
+    table, names = _training_table(spark, d)
+    means = [F.avg(F.get("features", F.lit(i)).cast("double")).alias(f"f{i}") for i in range(len(names))]
+    return table.groupBy("split", "lat_idx").agg(F.count("*").alias("n"), *means, F.avg(F.col("y").cast("double")).alias("y"))
+
+
+@query("valid_training_rows", "L8", f"""
+WITH {_TABLE} SELECT split, count(*) AS n, avg(y) AS y FROM table_ WHERE ocean_mask GROUP BY 1
+""", doubles="y", digits=4)
+def valid_training_rows(spark, d):
+    table, names = _training_table(spark, d)
+    rows = T.valid_training_rows(table, names)
+    return rows.groupBy("split").agg(F.count("*").alias("n"), F.avg(F.col("y").cast("double")).alias("y"))
+
+
+@query("capped_training_rows", "L6 L3", f"""
+WITH {P.SHIP_CUBE}, keyed AS (SELECT *, CAST(date AS VARCHAR) || '/' || lat_idx || '/' || lon_idx AS k FROM ship_cube),
+top AS (SELECT * FROM keyed ORDER BY {P.hash_sql('k')}, k LIMIT 5000)
+SELECT lat_idx, count(*) AS n, avg(chla) AS chla FROM top GROUP BY 1
+""", doubles="chla")
+def capped_training_rows(spark, d):
+    key = F.concat_ws("/", F.col("date").cast("string"), "lat_idx", "lon_idx")
+    rows = T.capped_rows(P.ship_cube(spark, d).withColumn("k", key), "k", 5000)
+    return rows.groupBy("lat_idx").agg(F.count("*").alias("n"), F.avg("chla").alias("chla"))
