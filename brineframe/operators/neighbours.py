@@ -39,7 +39,7 @@ def first_peak(long: DataFrame, keys: list[str], value: str, depth: str = "z") -
     return agg.select(*keys, (-F.col("_p.up")).alias("peak_depth"), F.col("_p.v").alias("peak_value"))
 
 
-def _gaussian(sigma: float) -> list[float]:
+def gaussian_weights(sigma: float) -> list[float]:
     radius = int(3.5 * sigma + 0.5)
     raw = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-radius, radius + 1)]
     return [x / sum(raw) for x in raw]
@@ -54,7 +54,7 @@ def structural_similarity(df: DataFrame, days: DataFrame, n_lat, n_lon, truth: s
     partition is one grid row or column of one day. Uniform weights with sample
     covariance, or Gaussian weights truncated at 3.5 sigma.
     """
-    weights = None if sigma is None else _gaussian(sigma)
+    weights = None if sigma is None else gaussian_weights(sigma)
     size = win_size if weights is None else len(weights)
     if size % 2 == 0:
         raise ValueError("the window size must be odd")
