@@ -26,12 +26,12 @@ def events(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return read_parquet(spark, f"{d}/events.parquet", columns=list(columns) or None)
 
 
-def cube_samples(spark: SparkSession, d: str) -> DataFrame:
+def locate(rows: DataFrame) -> DataFrame:
     """Samples located in (date, lat, lon, depth bin)."""
     z = F.lit(len(EVENT_BINS))
     for i, kind in reversed(list(enumerate(EVENT_BINS))):
         z = F.when(F.col("event_type") == kind, F.lit(i)).otherwise(z)
-    return events(spark, d, "ts", "user_id", "event_type", "value").select(
+    return rows.select(
         F.col("ts").cast("date").alias("date"),
         F.floor(F.col("user_id") / 10).cast("int").alias("lat_idx"),
         (F.col("user_id") % 10).cast("int").alias("lon_idx"),
@@ -40,6 +40,10 @@ def cube_samples(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def cube_samples(spark: SparkSession, d: str) -> DataFrame:
+    return locate(events(spark, d, "ts", "user_id", "event_type", "value"))
+
+
 def cube(spark: SparkSession, d: str) -> DataFrame:
     """Row per (date, lat, lon) with a depth-ordered array."""
     return depth_arrays(cube_samples(spark, d), ["date", "lat_idx", "lon_idx"], CUBE_BINS)

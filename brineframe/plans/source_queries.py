@@ -1 +1,200 @@
+"""Scans, manifests, bookkeeping, the published cube and incremental ingest."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.axes import RegularAxis
+from ..operators import columns, matchup, selection
+from ..session import shared_dir
+from ..sources import attributes, catalog, cube as store, manifest as M
+from ..sources.tables import read_parquet
+from ..streaming.ingest import ingest
+from . import proxies as P
+from .grid_queries import METRICS, metrics
+from .registry import query
+
+
+@query("pruned_profile_scan", "S1", """
+SELECT l_returnflag, count(*) AS n, avg(l_quantity) AS chla FROM lineitem WHERE l_shipdate >= TIMESTAMP '1997-01-01' GROUP BY 1
+""", doubles="chla")
+def pruned_profile_scan(spark, d):
+    li = read_parquet(spark, f"{d}/lineitem.parquet", columns=["l_returnflag", "l_quantity", "l_shipdate"])
+    recent = li.where(F.col("l_shipdate") >= F.lit("1997-01-01").cast("timestamp_ntz"))
+    return recent.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.avg("l_quantity").alias("chla"))
+
+
+@query("single_day_grid", "S2", f"""
+WITH {P.CUBE_LONG} SELECT lat_idx, lon_idx, z_idx, chla FROM cube_long WHERE date = DATE '2024-01-15'
+""", doubles="chla")
+def single_day_grid(spark, d):
+    day = selection.days_between(P.cube_long(spark, d), "2024-01-15", "2024-01-15")
+    return day.select("lat_idx", "lon_idx", "z_idx", "chla")
+
+
+@query("aligned_daily_sets", "S3 U1 U2", f"""
+WITH {P.CUBE_METRICS}
+SELECT date, count(*) AS cells, count(CASE WHEN day(date) % 2 = 1 THEN chla_int END) AS with_integral, avg(chla_peak) AS chla_peak FROM cube_metrics GROUP BY 1
+""", doubles="chla_peak", texts="date")
+def aligned_daily_sets(spark, d):
+    cells = metrics(spark, d)
+    odd = cells.where(F.dayofmonth("date") % 2 == 1).select("date", "lat_idx", "lon_idx", "chla_peak", "chla_int_0_200")
+    even = cells.where(F.dayofmonth("date") % 2 == 0).select("date", "lat_idx", "lon_idx", "chla_peak")
+    both = selection.stack_sources(odd, even, allow_missing=True)
+    return both.groupBy("date").agg(
+        F.count("*").alias("cells"), F.count("chla_int_0_200").alias("with_integral"), F.avg("chla_peak").alias("chla_peak")
+    )
+
+
+def _files(spark, d):
+    """Product file names, one or two versions per day of the table."""
+    day = F.date_format("date", "yyyyMMdd")
+    name = F.concat(F.lit("s3/prefix/chla_z_"), day, F.when(F.dayofmonth("date") % 3 == 0, "_v2.parquet").otherwise(".parquet"))
+    return P.days(spark, d).select(name.alias("path"))
+
+
+@query("granule_manifest", "S5 F12", f"""
+WITH {P.DAYS}
+SELECT 's3/prefix/' || n AS path, n AS name, date, CASE WHEN day(date) % 3 = 0 THEN 'v2' ELSE 'v1' END AS version FROM (
+ SELECT date, 'chla_z_' || strftime(date, '%Y%m%d') || CASE WHEN day(date) % 3 = 0 THEN '_v2.parquet' ELSE '.parquet' END AS n FROM days) AS t
+""", texts="date")
+def granule_manifest(spark, d):
+    return M.parse_names(_files(spark, d))
+
+
+def _product_manifest(spark, d):
+    """Granule windows as a searchable manifest with two products."""
+    granules = P.manifest(spark, d).withColumns({
+        "t_start": F.col("t_start").cast("timestamp"), "t_end": F.col("t_end").cast("timestamp"),
+    })
+    product = F.when(F.dayofmonth("date") % 2 == 0, "RRS").otherwise("CHL")
+    return granules.select(product.alias("product"), F.col("granule").alias("name"), "t_start", "t_end")
+
+
+@query("granule_search", "S6", f"""
+WITH {P.MANIFEST}
+SELECT 'RRS' AS product, granule AS name, CAST(t_start AS DATE) AS date FROM manifest
+WHERE day(date) % 2 = 0 AND granule LIKE 'PACE\\_2024010%.nc' ESCAPE '\\'
+ AND t_end >= TIMESTAMP '2024-01-03 06:00:00' AND t_start < TIMESTAMP '2024-01-08 00:00:00'
+""", texts="date")
+def granule_search(spark, d):
+    found = M.search(_product_manifest(spark, d), "RRS", "PACE_2024010?.nc", "2024-01-03 06:00:00", "2024-01-07")
+    return found.select("product", "name", F.col("t_start").cast("date").alias("date"))
+
+
+@query("open_ended_search", "S6", f"""
+WITH {P.MANIFEST} SELECT granule AS name FROM manifest WHERE day(date) % 2 = 1 AND t_end >= TIMESTAMP '2024-01-20 00:00:00'
+""")
+def open_ended_search(spark, d):
+    return M.search(_product_manifest(spark, d), product="CHL", begin="2024-01-20").select("name")
+
+
+@query("granules_in_point_span", "S16", f"""
+WITH {P.MANIFEST}, span AS (SELECT min(ts) AS lo, max(ts) AS hi FROM events WHERE event_type = 'signup')
+SELECT granule FROM manifest, span WHERE t_start <= hi AND t_end >= lo
+""")
+def granules_in_point_span(spark, d):
+    pts = P.events(spark, d, "ts", "event_type").where("event_type = 'signup'").withColumnRenamed("ts", "time")
+    return matchup.granules_in_span(P.manifest(spark, d), pts).select("granule")
+
+
+_DONE = "done AS (SELECT DISTINCT CAST(ts AS DATE) AS date FROM events WHERE value > 300)"
+
+
+def _done(spark, d):
+    high = P.cube_samples(spark, d).where(F.col("chla") > 300)
+    return M.days_with_data(high, "chla")
+
+
+@query("pending_days", "S10 J10", f"""
+WITH {P.DAYS}, {_DONE} SELECT date FROM days WHERE date NOT IN (SELECT date FROM done)
+""", texts="date")
+def pending_days(spark, d):
+    return M.pending(P.days(spark, d), _done(spark, d))
+
+
+@query("missing_days", "S11 U3 U4", f"""
+WITH {P.DAYS}, {_DONE} SELECT date FROM days EXCEPT SELECT date FROM done
+""", texts="date")
+def missing_days(spark, d):
+    return M.missing_days(P.days(spark, d), _done(spark, d))
+
+
+@query("day_status", "S15", f"""
+WITH {P.DAYS}, {_DONE}, failed AS (SELECT CAST(ts AS DATE) AS date, max('error at ' || user_id) AS message FROM events WHERE event_type = 'error' AND value > 180 GROUP BY 1)
+SELECT days.date, CASE WHEN done.date IS NOT NULL THEN 'done' WHEN message IS NOT NULL THEN 'failed' ELSE 'pending' END AS status,
+ CASE WHEN done.date IS NULL THEN message END AS message
+FROM days LEFT JOIN done ON done.date = days.date LEFT JOIN failed ON failed.date = days.date
+""", texts="date")
+def day_status(spark, d):
+    errors = P.events(spark, d, "ts", "event_type", "value", "user_id").where("event_type = 'error' AND value > 180")
+    failed = errors.select(F.col("ts").cast("date").alias("date"), F.concat(F.lit("error at "), "user_id").alias("message"))
+    return M.day_status(P.days(spark, d), _done(spark, d), failed)
+
+
+@query("catalog_upsert", "S14", """
+WITH new AS (SELECT o_custkey AS item_id, max(o_totalprice) AS value FROM orders WHERE o_orderdate >= TIMESTAMP '1999-01-01' GROUP BY 1),
+old AS (SELECT c_custkey AS item_id, c_acctbal AS value, CAST(c_custkey % 3 AS INT) AS generation FROM customer WHERE c_custkey % 2 = 0)
+SELECT old.item_id, old.value, old.generation FROM old WHERE old.item_id NOT IN (SELECT item_id FROM new)
+UNION ALL SELECT new.item_id, new.value, coalesce(old.generation, 3) FROM new LEFT JOIN old ON old.item_id = new.item_id
+""", doubles="value", digits=2)
+def catalog_upsert(spark, d):
+    customer = read_parquet(spark, f"{d}/customer.parquet", columns=["c_custkey", "c_acctbal"]).where("c_custkey % 2 = 0")
+    old = customer.select(
+        F.col("c_custkey").alias("item_id"), F.col("c_acctbal").alias("value"), (F.col("c_custkey") % 3).cast("int").alias("generation")
+    )
+    orders = read_parquet(spark, f"{d}/orders.parquet", columns=["o_custkey", "o_orderdate", "o_totalprice"])
+    recent = orders.where(F.col("o_orderdate") >= F.lit("1999-01-01").cast("timestamp_ntz"))
+    new = recent.groupBy(F.col("o_custkey").alias("item_id")).agg(F.max("o_totalprice").alias("value"))
+    return catalog.upsert(old, new, "item_id")
+
+
+@query("attribute_defaults", "S12 F15", """
+WITH attrs AS (SELECT 'v' || p_partkey AS var, 'type' AS key, CASE WHEN p_size % 4 = 0 THEN ' ' ELSE p_type END AS value FROM part WHERE p_partkey % 5 <> 0
+ UNION ALL SELECT 'v' || p_partkey, 'brand', p_brand FROM part),
+defaults AS (SELECT 'v' || p_partkey AS var, 'type' AS key, 'STANDARD' AS value FROM part)
+SELECT coalesce(a.var, b.var) AS var, coalesce(a.key, b.key) AS key, coalesce(CASE WHEN trim(a.value) <> '' THEN a.value END, b.value) AS value
+FROM attrs AS a FULL JOIN defaults AS b ON a.var = b.var AND a.key = b.key WHERE coalesce(a.key, b.key) <> 'brand'
+""")
+def attribute_defaults(spark, d):
+    part = read_parquet(spark, f"{d}/part.parquet", columns=["p_partkey", "p_size", "p_type", "p_brand"])
+    var = F.concat(F.lit("v"), "p_partkey").alias("var")
+    blank = F.when(F.col("p_size") % 4 == 0, " ").otherwise(F.col("p_type"))
+    types = part.where("p_partkey % 5 <> 0").select(var, F.lit("type").alias("key"), blank.alias("value"))
+    brands = part.select(var, F.lit("brand").alias("key"), F.col("p_brand").alias("value"))
+    defaults = part.select(var, F.lit("type").alias("key"), F.lit("STANDARD").alias("value"))
+    return attributes.drop_keys(attributes.fill_defaults(types.unionByName(brands), defaults), ["brand"])
+
+
+_REAL = ", ".join(f"CAST({m} AS REAL) AS {m}" for m in METRICS)
+_PUBLISHED = f"""
+WITH {P.CUBE_METRICS}, m AS (SELECT date, lat_idx, lon_idx, chla_int AS chla_int_0_200, chla_peak, chla_peak_depth, chla_com AS chla_depth_center_of_mass FROM cube_metrics)
+SELECT date, lat_idx, lon_idx, {_REAL} FROM m"""
+
+
+@query("published_cube_round_trip", "S4 S7 S8 S9 J7", _PUBLISHED, doubles=" ".join(METRICS), texts="date", digits=3)
+def published_cube_round_trip(spark, d):
+    root = shared_dir(spark)
+    # the axis tables need a plain size: one value from one column
+    n_lat = P.events(spark, d, "user_id").agg(F.floor(F.max("user_id") / 10) + 1).first()[0]
+    store.create_cube(spark, root, RegularAxis(70.0, -1.0, int(n_lat)), P.CUBE_LON, P.CUBE_AXIS, P.days(spark, d))
+    store.write_region(spark, metrics(spark, d), root, n_lon=10)
+    return store.read_cube(spark, root).select("date", "lat_idx", "lon_idx", *METRICS)
+
+
+@query("streamed_cube_round_trip", "T1 T2 S9 S10 S15", _PUBLISHED, doubles=" ".join(METRICS), texts="date", digits=3)
+def streamed_cube_round_trip(spark, d):
+    """The events table as landed granules, ingested as a stream into a new cube."""
+    root = shared_dir(spark)
+    source = f"{d}/events.parquet"
+
+    def cells(rows):
+        samples = P.locate(rows)
+        arrays = columns.depth_arrays(samples, ["date", "lat_idx", "lon_idx"], P.CUBE_BINS)
+        return columns.column_metrics(arrays, P.CUBE_AXIS)
+
+    ingest(
+        spark, source, spark.read.parquet(source).schema, cells, f"{root}/store", f"{root}/progress", n_lon=10,
+        prepare=lambda rows: rows.withColumn("date", F.col("ts").cast("date")),
+    )
+    return store.read_cube(spark, f"{root}/store").select("date", "lat_idx", "lon_idx", *METRICS)

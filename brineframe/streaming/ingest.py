@@ -35,10 +35,14 @@ def ingest(
     root: str,
     checkpoint: str,
     n_lon: int,
+    prepare: Callable[[DataFrame], DataFrame] | None = None,
     force: bool = False,
 ) -> None:
     """Process every landed granule once and stop (``availableNow``).
 
+    ``prepare`` maps raw landed rows to rows with a ``date`` column (row by row);
+    ``transform`` maps the rows of whole days to cube cells.
+
     Per micro-batch: keep the newest delivery of a day, drop days that an earlier batch
     finished (unless ``force``), transform all remaining days in one job, overwrite
     just those partitions, then append to the ledger. A batch that is replayed after a
@@ -79,10 +83,9 @@ def ingest(
         finally:
             rows.unpersist()
 
-    stream = (
-        spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(landing)
-        .select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_modification_time").alias("_mtime"))
-    )
+    landed = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(landing)
+    landed = landed.withColumns({"_file": F.col("_metadata.file_path"), "_mtime": F.col("_metadata.file_modification_time")})
+    stream = prepare(landed) if prepare else landed
     query = (
         stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(apply).start()
     )
