@@ -38,11 +38,21 @@ def assemble(df: DataFrame, features: list[str], key: str, seed: int = SEED) ->
     })
 
 
-def fit_bin(assembled: DataFrame, response: str, already_log: bool = False, **params) -> GBTRegressionModel:
-    """Fit log10 of a positive response on its own non-missing rows."""
+def fit_bin(assembled: DataFrame, response: str, already_log: bool = False, cache: bool = True, **params) -> GBTRegressionModel:
+    """Fit log10 of a positive response on its own non-missing rows.
+
+    Boosting passes over its rows once per tree, so they are cached (memory, then disk)
+    for the duration of the fit unless the caller did that already.
+    """
     y = F.col(response) if already_log else log10_positive(response)
     rows = assembled.select("_features", "_validation", y.cast("double").alias("_y")).where(F.col("_y").isNotNull())
-    return regressor(**params).fit(rows)
+    if not cache:
+        return regressor(**params).fit(rows)
+    rows.persist()
+    try:
+        return regressor(**params).fit(rows)
+    finally:
+        rows.unpersist()
 
 
 def fit_depth_models(df: DataFrame, labels: list[str], features: list[str], key: str, parallel: int = 4, **params) -> dict[str, GBTRegressionModel]:
@@ -52,7 +62,7 @@ def fit_depth_models(df: DataFrame, labels: list[str], features: list[str], key:
     shared = assemble(df, features, key).select("_features", "_validation", *labels).persist()
     try:
         with ThreadPoolExecutor(parallel) as pool:
-            fitted = list(pool.map(lambda label: fit_bin(shared, label, **params), labels))
+            fitted = list(pool.map(lambda label: fit_bin(shared, label, cache=False, **params), labels))
     finally:
         shared.unpersist()
     return dict(zip(labels, fitted))

@@ -1 +1,143 @@
+"""Fitting and scoring with trained models (no SQL equivalent: rows are checked only).
 
+Spectra come from the embeddings table; the response of each depth bin is derived from
+the label. Tree counts are small here, the operators default to the product's values.
+"""
+
+from __future__ import annotations
+
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import functions as F
+
+from ..functions.features import log10_positive
+from ..functions.hashing import uniform01
+from ..operators import evaluate as E, models as M, selection, splitting as T
+from ..operators.columns import to_long
+from ..sources.tables import read_parquet
+from . import proxies as P
+from .registry import query
+from .training_queries import training_rows
+
+BANDS = [400.0 + 5 * i for i in range(64)]
+FEATURES = [f"pace_Rrs_{int(b)}" for b in BANDS]
+LABELS = ["CHLA_0_10", "CHLA_10_20", "CHLA_20_30"]
+SMALL = {"max_iter": 4, "max_depth": 3}
+
+_FITTED: dict = {}
+
+
+def spectra(spark, d):
+    """Row per pixel: date, cell, spectrum, label; 100 cells a day."""
+    v = F.col("vec_id")
+    table = read_parquet(spark, f"{d}/embeddings.parquet", columns=["vec_id", "embedding", "label"])
+    return table.select(
+        "vec_id", F.date_add(F.lit("2024-01-01").cast("date"), F.floor(v / 100).cast("int") * 10).alias("date"),
+        (F.floor(v / 10) % 10).cast("int").alias("lat_idx"), (v % 10).cast("int").alias("lon_idx"),
+        F.col("embedding").alias("rrs"), (F.col("label") + 1.0).alias("level"),
+    )
+
+
+def profiles(spark, d):
+    """Training rows: bands as columns and a nullable response per depth bin."""
+    wide = selection.bands_to_columns(spectra(spark, d), "rrs", BANDS, "pace_Rrs_")
+    y = F.col("level")
+    rows = wide.withColumns({
+        LABELS[0]: y, LABELS[1]: y * 0.5 + 1, LABELS[2]: F.when(F.col("vec_id") % 5 != 0, 12 - y),
+    })
+    return T.row_split(rows, "vec_id")
+
+
+def depth_models(spark, d):
+    """The model set, fitted once per session and data folder."""
+    at = (spark.sparkContext.applicationId, d)
+    if at not in _FITTED:
+        train = T.split_rows(profiles(spark, d), "train")
+        _FITTED[at] = M.fit_depth_models(train, LABELS, FEATURES, "vec_id", **SMALL)
+    return _FITTED[at]
+
+
+@query("single_bin_model_fit", "M1 M8")
+def single_bin_model_fit(spark, d):
+    rows = profiles(spark, d)
+    model = M.fit_bin(M.assemble(T.split_rows(rows, "train"), FEATURES, "vec_id"), LABELS[0], **SMALL)
+    scored = M.score_one(T.split_rows(rows, "test"), model, FEATURES, out="pred_log")
+    return E.fit_metrics(scored.withColumn("t", log10_positive(LABELS[0])), "t", "pred_log")
+
+
+@query("depth_model_metrics", "M2 M3 M9 J9 J11")
+def depth_model_metrics(spark, d):
+    test = T.split_rows(profiles(spark, d), "test")
+    scored = M.score_depths(test, depth_models(spark, d), FEATURES, out="pred", kind="double")
+    axis = M.DepthAxis.from_labels(LABELS)
+    predicted = to_long(scored.select("vec_id", "pred"), axis, "pred").select("vec_id", "z", F.col("pred").alias("pred_log"))
+    observed = selection.wide_to_long(test.select("vec_id", *LABELS), ["vec_id"])
+    return E.depth_metrics_table(observed.join(predicted, ["vec_id", "z"]), axis, LABELS)
+
+
+@query("scored_day_profiles", "M3 J9 F8")
+def scored_day_profiles(spark, d):
+    gappy = F.when(F.col("vec_id") % 7 != 0, F.col("rrs"))
+    pixels = spectra(spark, d).withColumn("rrs", gappy)
+    scored = M.score_spectra(pixels, depth_models(spark, d), FEATURES, BANDS, linear=True)
+    return scored.select("date", "lat_idx", "lon_idx", *[F.get("chla", F.lit(i)).alias(f"chla_{i}") for i in range(3)])
+
+
+@query("single_depth_with_derived_features", "M4 F1 F2 F3")
+def single_depth_with_derived_features(spark, d):
+    names = ["pace_Rrs_400", "pace_Rrs_405", "solar_hour", "sin_time", "cos_time", "x_geo", "y_geo", "z_geo", "type"]
+    located = profiles(spark, d).withColumns({
+        "time": F.col("date").cast("timestamp_ntz") + F.expr("interval 11 hours"),
+        "lat": 70.0 - F.col("lat_idx"), "lon": P.CUBE_LON.label("lon_idx"), "type": F.lit(0.0),
+    })
+    train = M.with_derived_features(T.split_rows(located, "train"), names)
+    model = M.fit_bin(M.assemble(train, names, "vec_id"), LABELS[0], **SMALL)
+    scored = M.score_one(T.split_rows(located, "test"), model, names, {"type": 1.0}, linear=True)
+    return scored.select("vec_id", "y_pred")
+
+
+@query("predicted_profile_peaks", "M5 M10")
+def predicted_profile_peaks(spark, d):
+    test = T.split_rows(profiles(spark, d), "test").withColumn("obs", F.array(*LABELS))
+    scored = M.score_depths(test, depth_models(spark, d), FEATURES, linear=True, out="pred", kind="double")
+    peaks = E.peak_comparison(scored, M.DepthAxis.from_labels(LABELS), min_bins=3)
+    return peaks.select("vec_id", "peak_obs_m", "peak_pred_m", "peak_error_m", "int_error_0_200")
+
+
+@query("daily_product", "M6 A6")
+def daily_product(spark, d):
+    out = M.daily_product(spectra(spark, d).drop("level"), depth_models(spark, d), FEATURES, BANDS)
+    return out.drop("chla", "vec_id")
+
+
+def _maps(spark, d):
+    model = {LABELS[0]: depth_models(spark, d)[LABELS[0]]}
+    scored = M.score_depths(profiles(spark, d), model, FEATURES, linear=True, out="_p", kind="double")
+    return scored.select(
+        "date", "lat_idx", "lon_idx", F.col("level").alias("truth"), F.get("_p", F.lit(0)).alias("pred"),
+        P.is_ocean().alias("ocean"),
+    )
+
+
+@query("model_daily_evaluation", "M12 E8")
+def model_daily_evaluation(spark, d):
+    return E.daily_evaluation(_maps(spark, d), "ocean", 10, 10)
+
+
+@query("model_selected_day_evaluation", "M11 A25")
+def model_selected_day_evaluation(spark, d):
+    return E.selected_day_evaluation(_maps(spark, d), "ocean", 10, 10)
+
+
+@query("model_from_split_table", "M13 L6 L8")
+def model_from_split_table(spark, d):
+    table, names = training_rows(spark, d)
+    train = T.valid_training_rows(T.split_rows(table, "train"), names)
+    key = F.concat_ws("/", F.col("date").cast("string"), "lat_idx", "lon_idx")
+    capped = T.capped_rows(train.withColumn("key", key), "key").withColumns({
+        "_features": array_to_vector(F.col("features").cast("array<double>")),
+        "_validation": uniform01("key", "42v") < M.VALIDATION_SHARE,
+    })
+    model = M.fit_bin(capped, "y", already_log=True, **SMALL)
+    test = T.valid_training_rows(T.split_rows(table, "test"), names)
+    scored = model.transform(test.withColumn("_features", array_to_vector(F.col("features").cast("array<double>"))))
+    return E.fit_metrics(scored, "y", "_pred")

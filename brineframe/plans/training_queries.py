@@ -114,7 +114,7 @@ table_ AS (SELECT r.date, r.lat_idx, r.lon_idx, r.split, r.ocean_mask, r.y,
  FROM rows_ AS r JOIN cells USING (lat_idx, lon_idx), st)"""
 
 
-def _training_table(spark, d):
+def training_rows(spark, d):
     facts = P.ship_cube(spark, d).select(
         "date", "lat_idx", "lon_idx", F.col("chla").alias("y"), F.when(F.col("aux") >= 0.01, F.col("aux")).alias("aux"),
         F.col("lat_idx").cast("double").alias("row_no"), P.is_ocean().cast("double").alias("ocean_mask"),
@@ -130,7 +130,7 @@ WITH {_TABLE}
 SELECT split, lat_idx, count(*) AS n, avg(f0) AS f0, avg(f1) AS f1, avg(f2) AS f2, avg(f3) AS f3, avg(y) AS y FROM table_ GROUP BY 1, 2
 """, doubles="f0 f1 f2 f3 y", digits=4)
 def normalised_training_table(spark, d):
-    table, names = _training_table(spark, d)
+    table, names = training_rows(spark, d)
     means = [F.avg(F.get("features", F.lit(i)).cast("double")).alias(f"f{i}") for i in range(len(names))]
     return table.groupBy("split", "lat_idx").agg(F.count("*").alias("n"), *means, F.avg(F.col("y").cast("double")).alias("y"))
 
@@ -139,7 +139,7 @@ def normalised_training_table(spark, d):
 WITH {_TABLE} SELECT split, count(*) AS n, avg(y) AS y FROM table_ WHERE ocean_mask GROUP BY 1
 """, doubles="y", digits=4)
 def valid_training_rows(spark, d):
-    table, names = _training_table(spark, d)
+    table, names = training_rows(spark, d)
     rows = T.valid_training_rows(table, names)
     return rows.groupBy("split").agg(F.count("*").alias("n"), F.avg(F.col("y").cast("double")).alias("y"))
 
