@@ -110,8 +110,10 @@ class DepthAxis:
             raise ValueError("the axis has no lower bounds")
         return min(known)[1]
 
-    def literal(self, values: tuple[float, ...] | None = None) -> Column:
-        return F.array(*[F.lit(v).cast("double") for v in (values or self.centers)])
+    def literal(self, values: tuple[float | None, ...] | None = None) -> Column:
+        """The bin centres (or other per-bin values) as an array constant."""
+        items = ("double(null)" if v is None else f"{float(v)!r}D" for v in (values or self.centers))
+        return F.expr(f"array({', '.join(items)})")
 
 
 def tile_id(lat_idx: Column | str, lon_idx: Column | str, edge: int = TILE_EDGE, n_lon: int = PRODUCT_NLON) -> Column:

@@ -1,7 +1,8 @@
 """Expressions over a depth-ordered array column.
 
 The depth axis is short and known when the plan is built, so sums are unrolled
-into plain arithmetic and stay inside whole-stage code generation.
+into plain SQL arithmetic and stay inside whole-stage code generation (higher-order
+functions do not). Columns are given by name.
 """
 
 from __future__ import annotations
@@ -13,49 +14,51 @@ from pyspark.sql import Column, functions as F
 from .axes import DepthAxis
 from .missing import as_col
 
-ZERO = 0.0
 
+def _number(x: float) -> str:
+    return f"{float(x)!r}D"
 
-def _value(chla: Column | str, i: int) -> Column:
-    return F.coalesce(F.get(as_col(chla), F.lit(i)).cast("double"), F.lit(ZERO))
 
+def _value(chla: str, i: int) -> str:
+    return f"coalesce(double(get(`{chla}`, {i})), 0D)"
 
-def _add(terms: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, terms, F.lit(ZERO))
 
-
-def total(chla: Column | str, n: int) -> Column:
+def total(chla: str, n: int) -> Column:
     """Sum over depth, missing skipped; 0 for an all-missing column."""
-    return _add([_value(chla, i) for i in range(n)])
+    return F.expr(" + ".join(_value(chla, i) for i in range(n)))
 
 
-def weighted_total(chla: Column | str, weights: list) -> Column:
-    terms = []
-    for i, w in enumerate(weights):
-        terms.append(_value(chla, i) * (w if isinstance(w, Column) else F.lit(float(w))))
-    return _add(terms)
+def weighted_total(chla: str, weights: list[float | str]) -> Column:
+    """Weighted sum over depth; a weight is a number or SQL text."""
+    return F.expr(" + ".join(
+        f"{_value(chla, i)} * {w if isinstance(w, str) else _number(w)}" for i, w in enumerate(weights)
+    ))
 
 
-def overlap(axis: DepthAxis, limit: Column | float) -> list[Column]:
-    """Metres of every bin lying above ``limit``; partial bins count in part."""
-    depth = limit if isinstance(limit, Column) else F.lit(float(limit))
+def overlap(axis: DepthAxis, limit: str | float) -> list[str]:
+    """Metres of every bin lying above ``limit`` (a column name or a depth); partial bins
+    count in part."""
+    depth = f"double(`{limit}`)" if isinstance(limit, str) else _number(limit)
     return [
-        F.greatest(F.lit(0.0), F.least(F.lit(float(e)), depth) - F.lit(float(s)))
-        for s, e in zip(axis.starts, axis.ends)
+        f"greatest(0D, least({_number(e)}, {depth}) - {_number(s)})" for s, e in zip(axis.starts, axis.ends)
     ]
 
 
-def peak_position(chla: Column | str) -> Column:
+def peak_position(chla: str) -> Column:
     """Zero-based position of the first maximum."""
-    chla = as_col(chla)
-    return (F.array_position(chla, F.array_max(chla)) - 1).cast("int")
+    return F.expr(f"int(array_position(`{chla}`, array_max(`{chla}`)) - 1)")
+
+
+def peak_depth(chla: str, axis: DepthAxis) -> Column:
+    """Bin centre of the first maximum."""
+    return F.get(axis.literal(), peak_position(chla))
 
 
-def integral(chla: Column | str, axis: DepthAxis) -> Column:
+def integral(chla: str, axis: DepthAxis) -> Column:
     return weighted_total(chla, list(axis.thickness))
 
 
-def centre_of_mass(chla: Column | str, axis: DepthAxis) -> Column:
+def centre_of_mass(chla: str, axis: DepthAxis) -> Column:
     return F.try_divide(weighted_total(chla, list(axis.centers)), total(chla, len(axis)))
 
 

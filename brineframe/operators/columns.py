@@ -14,18 +14,17 @@ def depth_arrays(long: DataFrame, keys: list[str], n: int, z: str = "z_idx", val
     One partially aggregated groupBy with bounded state (n averages), so a hot key
     is reduced before the shuffle; repeated samples of a bin are averaged.
     """
-    bins = [F.avg(F.when(F.col(z) == i, F.col(value))).cast(kind) for i in range(n)]
-    return long.groupBy(*keys).agg(F.array(*bins).alias(out))
+    bins = (f"cast(avg(CASE WHEN `{z}` = {i} THEN `{value}` END) AS {kind})" for i in range(n))
+    return long.groupBy(*keys).agg(F.expr(f"array({', '.join(bins)})").alias(out))
 
 
 def column_metrics(df: DataFrame, axis: DepthAxis, chla: str = "chla", kind: str = "double") -> DataFrame:
     """Adds the four column metrics; all missing where the column total is not positive."""
     valid = C.total(chla, len(axis)) > 0
-    peak = F.get(axis.literal(), C.peak_position(chla))
     return df.withColumns({
         "chla_int_0_200": F.when(valid, C.integral(chla, axis)).cast(kind),
         "chla_peak": F.when(valid, F.array_max(chla)).cast(kind),
-        "chla_peak_depth": F.when(valid, peak).cast(kind),
+        "chla_peak_depth": F.when(valid, C.peak_depth(chla, axis)).cast(kind),
         "chla_depth_center_of_mass": F.when(valid, C.centre_of_mass(chla, axis)).cast(kind),
     })
 

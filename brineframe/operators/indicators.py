@@ -20,47 +20,38 @@ def bin_samples(samples: DataFrame, keys: list[str], depth: str = "depth", value
     )
 
 
-def integral_to(chla: Column | str, axis: DepthAxis, limit: Column | float) -> Column:
-    """Vertical integral from the surface to ``limit`` metres, partial bins in part."""
+def integral_to(chla: str, axis: DepthAxis, limit: str | float) -> Column:
+    """Vertical integral from the surface to ``limit`` (a column name or metres), partial
+    bins in part."""
     valid = C.total(chla, len(axis)) > 0
     return F.when(valid, C.weighted_total(chla, C.overlap(axis, limit)))
 
 
-def productive_thickness(chla: Column | str, axis: DepthAxis, fraction: float = 0.5) -> Column:
+def productive_thickness(chla: str, axis: DepthAxis, fraction: float = 0.5) -> Column:
     """Total thickness of the bins holding at least a fraction of the maximum."""
-    chla = as_col(chla)
-    floor = F.lit(fraction) * F.array_max(chla)
-    terms = [
-        F.when(F.get(chla, F.lit(i)) >= floor, F.lit(float(t))).otherwise(F.lit(0.0)) for i, t in enumerate(axis.thickness)
-    ]
-    return F.when(C.total(chla, len(axis)) > 0, reduce(lambda a, b: a + b, terms))
-
-
-def local_maxima(chla: Column | str, n: int) -> Column:
-    """Number of interior or edge bins above both present neighbours."""
-    chla = as_col(chla)
-
-    def v(i):
-        if i < 0 or i >= n:
-            return F.lit(0.0)
-        return F.coalesce(F.get(chla, F.lit(i)).cast("double"), F.lit(0.0))
-
-    return reduce(
-        lambda a, b: a + b,
-        [F.when((v(i) > v(i - 1)) & (v(i) > v(i + 1)), 1).otherwise(0) for i in range(n)],
+    terms = " + ".join(
+        f"CASE WHEN get(`{chla}`, {i}) >= {fraction}D * array_max(`{chla}`) THEN {float(t)}D ELSE 0D END"
+        for i, t in enumerate(axis.thickness)
     )
+    return F.when(C.total(chla, len(axis)) > 0, F.expr(terms))
 
 
-def structure_class(chla: Column | str, axis: DepthAxis, surface_depth: float = 20.0, flat_ratio: float = 0.8) -> Column:
+def local_maxima(chla: str, n: int) -> Column:
+    """Number of bins above both neighbours; outside the profile and where a bin is
+    missing the neighbour counts as 0."""
+    v = ["0D", *(f"coalesce(double(get(`{chla}`, {i})), 0D)" for i in range(n)), "0D"]
+    return F.expr(" + ".join(
+        f"CASE WHEN {v[i]} > {v[i - 1]} AND {v[i]} > {v[i + 1]} THEN 1 ELSE 0 END" for i in range(1, n + 1)
+    ))
+
+
+def structure_class(chla: str, axis: DepthAxis, surface_depth: float = 20.0, flat_ratio: float = 0.8) -> Column:
     """"uniform", "double-peak", "surface" or "deep", by rules on the profile shape."""
-    chla = as_col(chla)
-    low, high = F.array_min(chla), F.array_max(chla)
-    depth = F.get(axis.literal(), C.peak_position(chla))
     valid = C.total(chla, len(axis)) > 0
     kind = (
-        F.when(low >= F.lit(flat_ratio) * high, "uniform")
+        F.when(F.array_min(chla) >= F.lit(flat_ratio) * F.array_max(chla), "uniform")
         .when(local_maxima(chla, len(axis)) >= 2, "double-peak")
-        .when(depth <= surface_depth, "surface")
+        .when(C.peak_depth(chla, axis) <= surface_depth, "surface")
         .otherwise("deep")
     )
     return F.when(valid, kind)
@@ -68,7 +59,7 @@ def structure_class(chla: Column | str, axis: DepthAxis, surface_depth: float =
 
 def with_profile_indicators(df: DataFrame, axis: DepthAxis, chla: str = "chla", deep_threshold: float = 50.0) -> DataFrame:
     valid = C.total(chla, len(axis)) > 0
-    peak = F.when(valid, F.get(axis.literal(), C.peak_position(chla)))
+    peak = F.when(valid, C.peak_depth(chla, axis))
     return df.withColumns({
         "dcm_depth": peak,
         "dcm_value": F.when(valid, F.array_max(chla).cast("double")),
@@ -84,10 +75,10 @@ def with_profile_indicators(df: DataFrame, axis: DepthAxis, chla: str = "chla",
 def with_mixed_layer_indicators(df: DataFrame, axis: DepthAxis, mld: str, chla: str = "chla") -> DataFrame:
     """Mixed-layer mean, fractions above and below, separation and normalised depth."""
     depth = F.col(mld).cast("double")
-    above = integral_to(chla, axis, depth)
+    above = integral_to(chla, axis, mld)
     whole = integral_to(chla, axis, max(e for e in axis.ends if e is not None))
     valid = C.total(chla, len(axis)) > 0
-    peak = F.when(valid, F.get(axis.literal(), C.peak_position(chla)))
+    peak = F.when(valid, C.peak_depth(chla, axis))
     return df.withColumns({
         "ml_chl": F.try_divide(above, depth),
         "fraction_above": F.try_divide(above, whole),

@@ -28,6 +28,8 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        # call-site capture costs several driver round trips per expression
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in BASE_CONF.items():
         builder = builder.config(key, value)
