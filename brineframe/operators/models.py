@@ -98,24 +98,24 @@ def score_depths(df: DataFrame, models: dict[str, GBTRegressionModel], features:
     """Predictions of all depth models as one array per row, in one pass over the data.
 
     Rows with a missing predictor get a NULL array (``keep_incomplete``) or are left
-    out. The models are chained transforms over the same rows: no shuffle.
+    out. The models are chained transforms over the same rows: no shuffle, one scan.
     """
-    consts = consts or {}
     columns = df.columns
     labels = sort_by_depth(list(models))
-    ready = df.withColumn("_x", _features_with_consts(df, features, consts))
-    whole = ~F.exists("_x", lambda v: v.isNull())
-    scored = ready.where(whole).withColumn("_features", array_to_vector("_x"))
+    ready = df.withColumn("_x", _features_with_consts(df, features, consts or {}))
+    ready = ready.withColumn("_whole", ~F.exists("_x", lambda v: v.isNull()))
+    if not keep_incomplete:
+        ready = ready.where("_whole")
+    # trees refuse missing values: incomplete rows are scored on zeros and blanked below
+    filled = F.transform("_x", lambda v: F.coalesce(v, F.lit(0.0)))
+    scored = ready.withColumn("_features", array_to_vector(filled))
     for i, label in enumerate(labels):
         scored = models[label].copy({models[label].predictionCol: f"_p{i}"}).transform(scored)
     values = [F.col(f"_p{i}").cast("float") for i in range(len(labels))]
     if linear:
         values = [pow10(v) for v in values]
-    done = scored.select(*columns, F.array(*[v.cast(kind) for v in values]).alias(out))
-    if not keep_incomplete:
-        return done
-    rest = ready.where(~whole).select(*columns, F.lit(None).cast(f"array<{kind}>").alias(out))
-    return done.unionByName(rest)
+    profile = F.array(*[v.cast(kind) for v in values])
+    return scored.select(*columns, F.when(F.col("_whole"), profile).alias(out))
 
 
 def score_spectra(pixels: DataFrame, models: dict[str, GBTRegressionModel], features: list[str], bands: list[float], consts: dict | None = None, rrs: str = "rrs", **kw) -> DataFrame:

@@ -8,24 +8,25 @@ aggregated count with a bounded number of buckets per group.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.hashing import hash32
-from ..functions.missing import all_present
 
-COARSE = 64.0  # buckets per e-fold: about 1.6 % relative width
-SHIFT = 64 * 746  # keeps the bucket of the smallest positive double above zero
+COARSE = 4096  # buckets per e-fold: a relative width of about 2**-12
+SHIFT = COARSE * 746  # keeps the bucket of the smallest positive double above zero
 FINE = 65536
+SAMPLE_BUCKET = 4096  # 2**32 hashes in 2**20 buckets
 
+COARSE_SQL = f"""bigint(CASE WHEN _v = 0 THEN 0 WHEN _v > 0 THEN floor(ln(_v) * {COARSE}) + {SHIFT}
+ ELSE -(floor(ln(-_v) * {COARSE}) + {SHIFT}) END)"""
+FINE_SQL = f"bigint(coalesce(floor(try_divide(_v - _lo, _hi - _lo) * {FINE - 1}), 0))"
+RANKS_SQL = "filter(_ranks, r -> r.rank >= _base AND r.rank < _base + _n)"
 
-def _coarse(v: Column) -> Column:
-    size = F.floor(F.log(F.abs(v)) * F.lit(COARSE)) + F.lit(SHIFT)
-    return F.when(v == 0, F.lit(0)).when(v > 0, size).otherwise(-size).cast("bigint")
 
-
-def _fine(v: Column, lo: Column, hi: Column) -> Column:
-    at = F.try_divide(v - lo, hi - lo) * F.lit(FINE - 1)
-    return F.coalesce(F.floor(at), F.lit(0)).cast("bigint")
+def _before(count: str, part: list[str], order: str) -> str:
+    """SQL for the number of items ahead of a bucket in its group."""
+    over = f"PARTITION BY {', '.join(f'`{c}`' for c in part) or '0'} ORDER BY {order}"
+    return f"coalesce(sum({count}) OVER ({over} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
 
 
 def exact_percentiles(df: DataFrame, value: str, ps: list[float], keys: list[str] | None = None) -> DataFrame:
@@ -35,62 +36,50 @@ def exact_percentiles(df: DataFrame, value: str, ps: list[float], keys: list[str
     The input is read once and reduced to distinct (keys, value) counts, a shuffle that
     stays even when one group holds most rows because the value is part of its key. The
     ranks are then located in that exchange, which Spark reuses: a logarithmic histogram
-    finds the bucket of each rank, a linear one narrows it by 2**16, and only the values
-    of that sliver are ordered. All bucketings are monotone, so the result is exact.
+    finds the bucket of each rank (2**-12 wide), a linear one narrows it by 2**16, and
+    what is left of it is put in order: one value where the data came from 32-bit floats,
+    at most 2**24 distinct doubles in theory. All bucketings are monotone, so the result
+    is exact.
     """
     keys = list(keys or [])
     x = df.select(*keys, F.col(value).cast("double").alias("_v"))
-    x = x.groupBy(*keys, "_v").agg(F.count("*").alias("_n")).withColumn("_b1", _coarse(F.col("_v")))
+    x = x.groupBy(*keys, "_v").agg(F.expr("count(1) AS _n")).withColumn("_b", F.expr(COARSE_SQL))
     # stated here, above the shared exchange, so that the joins below add no filter of
     # their own and every branch plans the same exchange
-    x = x.where(all_present([*keys, "_v", "_b1"]))
-    group = keys or [F.lit(0)]
-
-    def below(*order):
-        return W.partitionBy(*group, *order[:-1]).orderBy(order[-1]).rowsBetween(W.unboundedPreceding, -1)
-
-    def before(count, *order):
-        return F.coalesce(F.sum(count).over(below(*order)), F.lit(0))
-
-    def holds(base, count):
-        return (F.col("rank") >= F.col(base)) & (F.col("rank") < F.col(base) + F.col(count))
-
-    h1 = x.groupBy(*keys, "_b1").agg(
-        F.sum("_n").alias("_n1"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
-    )
-    h1 = h1.withColumns({"_all": F.sum("_n1").over(W.partitionBy(*group)), "_base": before("_n1", "_b1")})
-    wanted = []
-    for p in ps:
-        at = F.lit(float(p)) * (F.col("_all") - 1)
-        for side, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            wanted.append(F.struct(
-                F.lit(float(p)).alias("p"), F.lit(side).alias("side"),
-                rank.cast("bigint").alias("rank"), (at - F.floor(at)).alias("frac"),
-            ))
-    # one row per bucket with the ranks it holds; buckets without a wanted rank go
-    ranks = F.filter(F.array(*wanted), lambda w: (w["rank"] >= F.col("_base")) & (w["rank"] < F.col("_base") + F.col("_n1")))
-    t1 = h1.withColumn("_ranks", ranks).where(F.size("_ranks") > 0).select(*keys, "_b1", "_lo", "_hi", "_base", "_ranks")
-
-    y = x.join(t1, keys + ["_b1"]).withColumn("_b2", _fine(F.col("_v"), F.col("_lo"), F.col("_hi")))
-    h2 = y.groupBy(*keys, "_b1", "_b2").agg(
-        F.sum("_n").alias("_n2"), F.first("_base").alias("_base"), F.first("_ranks").alias("_ranks"),
-        F.min("_v").alias("_lo2"), F.max("_v").alias("_hi2"),
+    x = x.where(" AND ".join(f"`{c}` IS NOT NULL" for c in [*keys, "_v", "_b"]))
+    spot = [*keys, "_b", "_lo", "_hi"]
+
+    def holding(h: DataFrame) -> DataFrame:
+        """Ranges that hold a wanted rank, each with just those ranks."""
+        return h.withColumn("_ranks", F.expr(RANKS_SQL)).where("size(_ranks) > 0").select(*spot, "_base", "_ranks")
+
+    def members(ranges: DataFrame) -> DataFrame:
+        return x.join(ranges, [*keys, "_b"]).where("_v >= _lo AND _v <= _hi")
+
+    h1 = x.groupBy(*keys, "_b").agg(F.expr("sum(_n) AS _n"), F.expr("min(_v) AS _lo"), F.expr("max(_v) AS _hi"))
+    group = ", ".join(f"`{c}`" for c in keys) or "0"
+    h1 = h1.select("*", F.expr(f"sum(_n) OVER (PARTITION BY {group}) AS _all"), F.expr(_before("_n", keys, "_b")).alias("_base"))
+    wanted = ", ".join(
+        f"named_struct('p', {float(p)!r}D, 'side', '{side}', 'rank', {fn}({float(p)!r}D * (_all - 1)),"
+        f" 'frac', {float(p)!r}D * (_all - 1) - floor({float(p)!r}D * (_all - 1)))"
+        for p in ps for side, fn in (("lo", "floor"), ("hi", "ceil"))
     )
-    h2 = h2.withColumn("_base2", F.col("_base") + before("_n2", "_b1", "_b2"))
-    t2 = h2.select(*keys, "_b1", "_lo2", "_hi2", "_n2", "_base2", F.inline("_ranks")).where(holds("_base2", "_n2"))
+    coarse = holding(h1.withColumn("_ranks", F.expr(f"array({wanted})")))
 
-    # a sliver with a single value (the usual case) is settled; the others are counted
-    single = t2.where(F.col("_lo2") == F.col("_hi2")).select(*keys, "p", "side", "frac", F.col("_lo2").alias("_v"))
-    open_ = t2.where(F.col("_lo2") < F.col("_hi2")).drop("_n2")
-    inside = (F.col("_v") >= F.col("_lo2")) & (F.col("_v") <= F.col("_hi2"))
-    h3 = x.select(*keys, "_b1", "_v", "_n").join(open_, keys + ["_b1"]).where(inside)
-    h3 = h3.withColumn("_base3", F.col("_base2") + before("_n", "_b1", "p", "side", "_v"))
-    counted = h3.where(holds("_base3", "_n")).select(*keys, "p", "side", "frac", "_v")
+    parts = members(coarse).withColumn("_f", F.expr(FINE_SQL)).groupBy(*spot, "_f").agg(
+        F.expr("sum(_n) AS _n"), F.expr("min(_v) AS _lo2"), F.expr("max(_v) AS _hi2"),
+        F.expr("first(_base) AS _base"), F.expr("first(_ranks) AS _ranks"),
+    )
+    parts = parts.withColumn("_base", F.expr(f"_base + {_before('_n', spot, '_f')}"))
+    fine = holding(parts.drop("_lo", "_hi").withColumnsRenamed({"_lo2": "_lo", "_hi2": "_hi"}))
 
-    lo = F.max(F.when(F.col("side") == "lo", F.col("_v")))
-    hi = F.max(F.when(F.col("side") == "hi", F.col("_v")))
-    frac = F.max("frac")
-    return single.unionByName(counted).groupBy(*keys, "p").agg((lo * (1 - frac) + hi * frac).alias(value))
+    # a range with a single value is settled; in the others the values are ordered
+    settled = fine.where("_lo = _hi").select(*keys, F.expr("inline(_ranks)"), F.expr("_lo AS _v"))
+    ordered = members(fine.where("_lo < _hi")).withColumn("_base", F.expr(f"_base + {_before('_n', spot, '_v')}"))
+    ordered = ordered.select(*keys, F.expr(f"inline({RANKS_SQL})"), "_v")
+    return settled.unionByName(ordered).groupBy(*keys, "p").agg(F.expr(
+        "max(CASE WHEN side = 'lo' THEN _v END) * (1 - max(frac)) + max(CASE WHEN side = 'hi' THEN _v END) * max(frac)"
+    ).alias(value))
 
 
 def percentile_columns(df: DataFrame, value: str, named: dict[str, float], keys: list[str] | None = None) -> DataFrame:
@@ -105,23 +94,24 @@ def percentile_columns(df: DataFrame, value: str, named: dict[str, float], keys:
 def sample_exact(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     """``n`` rows without replacement (all rows if fewer), the same under any partitioning.
 
-    Rows are ranked by a hash of ``key``; the cut is found from two nested counts of
-    the hash (2**16 buckets each), so no task ever sorts the whole table. ``key``
-    must identify the row.
+    Rows are ordered by (hash of key, key), so ``key`` must identify the row. Only the
+    key column is counted, to find the last pair that belongs to the sample: a histogram
+    of 2**20 hash buckets, then the order inside the one bucket that is cut. The rows
+    themselves pass a plain filter and are never shuffled.
     """
     h = hash32(key, seed)
-    x = df.withColumns({"_h1": F.floor(h / 65536).cast("int"), "_h2": F.pmod(h, F.lit(65536)).cast("int")})
-    order = W.partitionBy(F.lit(0)).orderBy("_h1").rowsBetween(W.unboundedPreceding, -1)
-    h1 = x.groupBy("_h1").agg(F.count("*").alias("_n"))
-    h1 = h1.withColumn("_base", F.coalesce(F.sum("_n").over(order), F.lit(0)))
-    x = x.join(h1.where(F.col("_base") < n).select("_h1", "_base", "_n"), "_h1")
-    whole = F.col("_base") + F.col("_n") <= n
-    sure = x.where(whole)
-    cut = x.where(~whole)
-    order2 = W.partitionBy("_h1").orderBy("_h2").rowsBetween(W.unboundedPreceding, -1)
-    h2 = cut.groupBy("_h1", "_h2").agg(F.count("*").alias("_n2"))
-    h2 = h2.withColumn("_base2", F.coalesce(F.sum("_n2").over(order2), F.lit(0)))
-    cut = cut.join(h2, ["_h1", "_h2"]).where(F.col("_base") + F.col("_base2") < n)
-    rank = F.row_number().over(W.partitionBy("_h1", "_h2").orderBy(key))
-    cut = cut.withColumn("_rank", rank).where(F.col("_base") + F.col("_base2") + F.col("_rank") <= n)
-    return sure.select(*df.columns).unionByName(cut.select(*df.columns))
+    bucket = F.floor(h / F.lit(SAMPLE_BUCKET)).cast("int")
+    counts = df.groupBy(bucket.alias("b")).agg(F.count("*").alias("_n"))
+    running = W.partitionBy(F.lit(0)).orderBy("b").rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.withColumn("base", F.coalesce(F.sum("_n").over(running), F.lit(0)))
+    held = (F.col("base") < n) & (F.col("base") + F.col("_n") > n)
+    cut = counts.where(held).select(F.struct("b", "base")).scalar()
+    exact = counts.where(F.col("base") + F.col("_n") <= n).select(F.max("b")).scalar()
+
+    # inside the cut bucket: the pair at the last place that is left
+    order = W.partitionBy(F.lit(0)).orderBy("h", "k")
+    inside = df.where(bucket == cut["b"]).select(h.alias("h"), F.col(key).alias("k"))
+    last = inside.withColumn("r", F.row_number().over(order)).where(F.col("r") == F.lit(n) - cut["base"])
+    last = last.select(F.struct("h", "k")).scalar()
+    part = (bucket == cut["b"]) & ((h < last["h"]) | ((h == last["h"]) & (F.col(key) <= last["k"])))
+    return df.where((bucket <= exact) | part)

@@ -13,7 +13,8 @@ from ..functions.features import log10_positive
 from ..functions.hashing import uniform01
 from ..operators import evaluate as E, models as M, selection, splitting as T
 from ..operators.columns import to_long
-from ..sources.tables import read_parquet
+from ..session import shared_dir
+from ..sources.tables import read_parquet, staged
 from . import proxies as P
 from .registry import query
 from .training_queries import training_rows
@@ -131,6 +132,8 @@ def model_selected_day_evaluation(spark, d):
 @query("model_from_split_table", "M13 L6 L8")
 def model_from_split_table(spark, d):
     table, names = training_rows(spark, d)
+    # boosting and its evaluation read the table many times
+    table = staged(table, shared_dir(spark))
     train = T.valid_training_rows(T.split_rows(table, "train"), names)
     key = F.concat_ws("/", F.col("date").cast("string"), "lat_idx", "lon_idx")
     capped = T.capped_rows(train.withColumn("key", key), "key").withColumns({

@@ -1,6 +1,6 @@
 """The product cube: one row per (date, lat_idx, lon_idx), partitioned by date.
 
-Layout: ``<root>/cells/date=YYYY-MM-DD/*.parquet`` range-clustered by tile and sorted
+Layout: ``<root>/cells/date=YYYY-MM-DD/*.parquet`` clustered by tile and sorted
 by cell, plus small axis tables ``dim_time``, ``dim_z``, ``dim_lat``, ``dim_lon`` and an
 attribute table. A reader gets partition pruning on the date and row-group pruning on
 the cell indices.
@@ -52,15 +52,15 @@ def read_axis(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/dim_{name}")
 
 
-def arrange(df: DataFrame, n_lon: int, partitions: int | None = None) -> DataFrame:
-    """Range-cluster by (date, tile) and sort by cell inside each task.
+def arrange(df: DataFrame, n_lon: int) -> DataFrame:
+    """Cluster by (date, tile) and sort by cell inside each task.
 
-    A large day is split over several tasks by its tiles; a task writes few files.
+    A tile holds at most 480 x 480 cells, so the unit is bounded and a large day is
+    spread over many tasks. Hashing, unlike range partitioning, needs no sampling job,
+    which would evaluate the (scored) input a second time.
     """
     tiled = df.withColumn("_tile", tile_id("lat_idx", "lon_idx", n_lon=n_lon))
-    keys = ["date", "_tile", "lat_idx"]
-    ranged = tiled.repartitionByRange(partitions, *keys) if partitions else tiled.repartitionByRange(*keys)
-    return ranged.sortWithinPartitions("date", "_tile", "lat_idx", "lon_idx").drop("_tile")
+    return tiled.repartition("date", "_tile").sortWithinPartitions("date", "_tile", "lat_idx", "lon_idx").drop("_tile")
 
 
 def write_days(df: DataFrame, root: str, n_lon: int, codec: str = "zstd") -> None:

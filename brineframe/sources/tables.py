@@ -24,3 +24,12 @@ def read_aligned(spark: SparkSession, *groups: list[str], keys: tuple[str, ...]
         part = read_parquet(spark, *paths)
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return assert_unique(out, list(keys)) if check else out
+
+
+def staged(df: DataFrame, path: str) -> DataFrame:
+    """Write an intermediate that several passes read, and continue from the files.
+
+    The path lies in the cluster's shared folder, so a lost executor costs nothing.
+    """
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
