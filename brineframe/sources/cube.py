@@ -65,10 +65,8 @@ def arrange(df: DataFrame, n_lon: int) -> DataFrame:
 
 def write_days(df: DataFrame, root: str, n_lon: int, codec: str = "zstd") -> None:
     """Replace exactly the days present in ``df``; all other days stay as they are."""
-    layer = F.get("chla", F.lit(0)).alias("chla_surface")
-    ready = df.select(*[
-        layer if f.name == "chla_surface" else F.col(f.name).cast(f.dataType).alias(f.name) for f in CELL_SCHEMA.fields
-    ])
+    layered = df.withColumn("chla_surface", F.get("chla", F.lit(0)))
+    ready = layered.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in CELL_SCHEMA.fields])
     (
         arrange(ready, n_lon).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic").option("compression", codec)
