@@ -130,8 +130,8 @@ def imputed_with_flag(spark, d):
 
 
 @query("calendar_parts", "F11", """
-SELECT year(o_orderdate) AS year, month(o_orderdate) AS month, strftime(o_orderdate, '%Y-%m') AS label,
- CAST(date_trunc('month', o_orderdate) AS DATE) AS month_start, count(*) AS n, max(day(o_orderdate)) AS last_day FROM orders GROUP BY 1, 2, 3, 4
+SELECT CAST(year(o_orderdate) AS INT) AS year, CAST(month(o_orderdate) AS INT) AS month, strftime(o_orderdate, '%Y-%m') AS label,
+ CAST(date_trunc('month', o_orderdate) AS DATE) AS month_start, count(*) AS n, CAST(max(day(o_orderdate)) AS INT) AS last_day FROM orders GROUP BY 1, 2, 3, 4
 """, texts="month_start")
 def calendar_parts(spark, d):
     t = F.col("o_orderdate")

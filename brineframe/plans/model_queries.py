@@ -14,6 +14,7 @@ from ..functions.hashing import uniform01
 from ..operators import evaluate as E, models as M, selection, splitting as T
 from ..operators.columns import to_long
 from ..session import shared_dir
+from ..sources.bundle import load_bundle, save_bundle
 from ..sources.tables import read_parquet, staged
 from . import proxies as P
 from .registry import query
@@ -144,3 +145,13 @@ def model_from_split_table(spark, d):
     test = T.valid_training_rows(T.split_rows(table, "test"), names)
     scored = model.transform(test.withColumn("_features", array_to_vector(F.col("features").cast("array<double>"))))
     return E.fit_metrics(scored, "y", "_pred")
+
+
+@query("reloaded_model_bundle", "S13 J11 M3")
+def reloaded_model_bundle(spark, d):
+    path = shared_dir(spark)
+    save_bundle(depth_models(spark, d), profiles(spark, d), FEATURES, path, seed=M.SEED)
+    bundle = load_bundle(spark, path)
+    test = T.split_rows(bundle.dataset, "test")
+    scored = M.score_depths(test, bundle.models, bundle.meta["feature_cols"], linear=True)
+    return scored.select("vec_id", *[F.get("chla", F.lit(i)).alias(f"chla_{i}") for i in range(3)])

@@ -51,7 +51,7 @@ def usable_training_days(spark, d):
 
 
 @query("days_kept_by_month", "A16", f"""
-WITH {P.SHIP_CUBE} SELECT year(date) AS year, month(date) AS month, count(DISTINCT date) AS days FROM ship_cube GROUP BY 1, 2
+WITH {P.SHIP_CUBE} SELECT CAST(year(date) AS INT) AS year, CAST(month(date) AS INT) AS month, count(DISTINCT date) AS days FROM ship_cube GROUP BY 1, 2
 """)
 def days_kept_by_month(spark, d):
     return Q.days_per_month(P.ship_cube(spark, d).select("date").distinct())
