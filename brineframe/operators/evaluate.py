@@ -13,7 +13,7 @@ from .quality import selected_days
 from .quantiles import percentile_columns
 
 
-def fit_metrics(df: DataFrame, truth_log: str, pred_log: str, keys: list[str] | None = None) -> DataFrame:
+def fit_metrics(df: DataFrame, truth_log: str, pred_log: str, keys: list[str] | None = None, max_groups: int | None = None) -> DataFrame:
     """Agreement on log10 and linear scale for every key, all keys in one pass.
 
     Exact percentiles of the absolute error come from counted histograms, so a depth
@@ -37,7 +37,7 @@ def fit_metrics(df: DataFrame, truth_log: str, pred_log: str, keys: list[str] |
         F.try_divide(E.bias_obs_minus_pred("tl", "pl"), rel).alias("bias_rel"),
     )
     errors = pairs.select(*keys, F.abs(F.col("tl") - F.col("pl")).alias("err"))
-    tails = percentile_columns(errors, "err", {"p90_abs_err": 0.9, "median_abs_err": 0.5}, keys)
+    tails = percentile_columns(errors, "err", {"p90_abs_err": 0.9, "median_abs_err": 0.5}, keys, max_groups)
     if keys:
         return moments.join(tails, keys, "left")
     packed = tails.select(F.struct("p90_abs_err", "median_abs_err")).scalar()
@@ -47,7 +47,7 @@ def fit_metrics(df: DataFrame, truth_log: str, pred_log: str, keys: list[str] |
 def depth_metrics_table(long: DataFrame, axis: DepthAxis, labels: list[str], truth: str = "chla", pred_log: str = "pred_log", var: str = "var") -> DataFrame:
     """Metrics for every depth bin; a bin without pairs appears with N = 0."""
     scored = long.where(F.col(truth) > 0).withColumn("_t", log10_positive(truth))
-    per_bin = fit_metrics(scored, "_t", pred_log, [var])
+    per_bin = fit_metrics(scored.where(F.col(var).isin(labels)), "_t", pred_log, [var], max_groups=len(labels))
     bins = long.sparkSession.range(1).select(F.inline(F.array(*[
         F.struct(F.lit(x).alias(var), F.lit(a).alias("z_start"), F.lit(b).alias("z_end"), F.lit(c).alias("z_center"))
         for x, a, b, c in zip(labels, axis.starts, axis.ends, axis.centers)
@@ -116,7 +116,7 @@ def monthly_evaluation(daily: DataFrame) -> DataFrame:
 def selected_day_evaluation(df: DataFrame, ocean: str, n_lat, n_lon, how: str = "first", **kw) -> DataFrame:
     """Daily evaluation on the selected days of every month only."""
     days = selected_days(df.select("date").distinct(), how)
-    return daily_evaluation(df.join(days, "date", "left_semi"), ocean, n_lat, n_lon, days=days, **kw)
+    return daily_evaluation(df.join(F.broadcast(days), "date", "left_semi"), ocean, n_lat, n_lon, days=days, **kw)
 
 
 def factor_bands(df: DataFrame, truth_log: str, pred_log: str, factors: tuple[float, ...] = (1.25, 1.5, 2.0, 3.0), keys: list[str] | None = None) -> DataFrame:

@@ -81,7 +81,7 @@ def joint_map_limits(df: DataFrame, first: str, second: str, low: float = 0.02,
         F.struct(F.lit("diff").alias("what"), F.abs(F.col(first) - F.col(second)).alias("x")),
     )
     long = df.select(F.inline(pair))
-    both = percentile_columns(long, "x", {"low": low, "high": high}, ["what"])
+    both = percentile_columns(long, "x", {"low": low, "high": high}, ["what"], max_groups=2)
     return both.agg(
         F.max(F.when(F.col("what") == "map", F.col("low"))).alias("low"),
         F.max(F.when(F.col("what") == "map", F.col("high"))).alias("high"),
@@ -106,9 +106,9 @@ def cut(c: Column | str, edges: list[float], labels: list[str]) -> Column:
     return out
 
 
-def box_summary(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
+def box_summary(df: DataFrame, value: str, keys: list[str], max_groups: int | None = None) -> DataFrame:
     """Quartiles, whiskers (furthest value within 1.5 IQR) and outlier count per group."""
-    q = percentile_columns(df, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, keys)
+    q = percentile_columns(df, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, keys, max_groups)
     v, reach = F.col(value), F.lit(1.5) * (F.col("q3") - F.col("q1"))
     within = (v >= F.col("q1") - reach) & (v <= F.col("q3") + reach)
     rows = df.where(v.isNotNull()).join(q, keys)

@@ -88,10 +88,18 @@ def with_mixed_layer_indicators(df: DataFrame, axis: DepthAxis, mld: str, chla:
     })
 
 
-def vertical_anomalies(long: DataFrame, group: list[str], value: str = "chla", z: str = "z_idx") -> DataFrame:
-    """Anomaly of every value against the mean profile of its group (a region, a month,
-    a mixed-layer regime). The climatology is one small row per group and depth."""
-    climate = long.groupBy(*group, z).agg(F.avg(value).alias("climatology"))
+def climatology(long: DataFrame, group: list[str], value: str = "chla", z: str = "z_idx") -> DataFrame:
+    """Mean profile per group (a region, a month, a mixed-layer regime)."""
+    return long.groupBy(*group, z).agg(F.avg(value).alias("climatology"))
+
+
+def vertical_anomalies(long: DataFrame, group: list[str], value: str = "chla", z: str = "z_idx", climate: DataFrame | None = None) -> DataFrame:
+    """Anomaly of every value against the mean profile of its group.
+
+    Pass a stored ``climate`` table to anomalies computed often: its size is then known
+    and Spark broadcasts it if it is small.
+    """
+    climate = climatology(long, group, value, z) if climate is None else climate
     return long.join(climate, group + [z]).withColumn("anomaly", F.col(value) - F.col("climatology"))
 
 

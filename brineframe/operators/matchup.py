@@ -142,7 +142,7 @@ def random_samples(ids: DataFrame, key: str, days: DataFrame, lat_range: tuple,
         span(*lat_range, "y").alias("lat"),
         span(*lon_range, "x").alias("lon"),
     )
-    return drawn.join(days.select("date", "time_idx"), "time_idx").drop("time_idx")
+    return drawn.join(F.broadcast(days.select("date", "time_idx")), "time_idx").drop("time_idx")
 
 
 def lookup_samples(samples: DataFrame, cube: DataFrame, value: str, lat_axis: RegularAxis, lon_axis: RegularAxis, ocean: Column | None = None) -> DataFrame:

@@ -49,7 +49,7 @@ def structural_similarity(df: DataFrame, days: DataFrame, n_lat, n_lon, truth: s
     """Mean structural similarity of two maps per day (Wang et al. 2004).
 
     Missing cells take the mean of their own image; the data range is that of the
-    truth (of the filled image, then 1, where it is degenerate). Local moments are
+    truth (1 where that is degenerate). Local moments are
     separable: a frame along longitude, then one along latitude, so each window
     partition is one grid row or column of one day. Uniform weights with sample
     covariance, or Gaussian weights truncated at 3.5 sigma.
@@ -68,7 +68,8 @@ def structural_similarity(df: DataFrame, days: DataFrame, n_lat, n_lon, truth: s
     )
     stats = stats.withColumn("_range", F.when(F.col("_r") != 0, F.col("_r")).otherwise(F.lit(1.0)))
     grid = densify(df.select(date, "lat_idx", "lon_idx", truth, pred), days, n_lat, n_lon, date)
-    grid = grid.join(stats.drop("_r"), date)
+    # one row per day: broadcast, or the whole grid would be shuffled by day alone
+    grid = grid.join(F.broadcast(stats.drop("_r")), date)
     x, y = F.coalesce(F.col(truth), F.col("_mt")), F.coalesce(F.col(pred), F.col("_mp"))
     moments = {"_x": x, "_y": y, "_xx": x * x, "_yy": y * y, "_xy": x * y}
     grid = grid.select(date, "lat_idx", "lon_idx", "_range", *[m.alias(n) for n, m in moments.items()])

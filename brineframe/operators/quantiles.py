@@ -15,6 +15,7 @@ from ..functions.hashing import hash32
 COARSE = 4096  # buckets per e-fold: a relative width of about 2**-12
 SHIFT = COARSE * 746  # keeps the bucket of the smallest positive double above zero
 FINE = 65536
+MAX_BROADCAST_ROWS = 100_000
 SAMPLE_BUCKET = 4096  # 2**32 hashes in 2**20 buckets
 
 COARSE_SQL = f"""bigint(CASE WHEN _v = 0 THEN 0 WHEN _v > 0 THEN floor(ln(_v) * {COARSE}) + {SHIFT}
@@ -29,7 +30,7 @@ def _before(count: str, part: list[str], order: str) -> str:
     return f"coalesce(sum({count}) OVER ({over} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
 
 
-def exact_percentiles(df: DataFrame, value: str, ps: list[float], keys: list[str] | None = None) -> DataFrame:
+def exact_percentiles(df: DataFrame, value: str, ps: list[float], keys: list[str] | None = None, max_groups: int | None = None) -> DataFrame:
     """Rows (keys, p, value): percentiles with linear interpolation; NULL values and
     rows with a NULL key are left out.
 
@@ -40,8 +41,14 @@ def exact_percentiles(df: DataFrame, value: str, ps: list[float], keys: list[str
     what is left of it is put in order: one value where the data came from 32-bit floats,
     at most 2**24 distinct doubles in theory. All bucketings are monotone, so the result
     is exact.
+
+    The table of located ranges has two rows per group and percentile. It is broadcast
+    where that is known to be small: without keys, or when the caller knows the number of
+    groups (``max_groups``, such as the depth bins); else Spark chooses the join.
     """
     keys = list(keys or [])
+    groups = max_groups if keys else 1
+    small = groups is not None and 2 * len(ps) * groups <= MAX_BROADCAST_ROWS
     x = df.select(*keys, F.col(value).cast("double").alias("_v"))
     x = x.groupBy(*keys, "_v").agg(F.expr("count(1) AS _n")).withColumn("_b", F.expr(COARSE_SQL))
     # stated here, above the shared exchange, so that the joins below add no filter of
@@ -54,7 +61,7 @@ def exact_percentiles(df: DataFrame, value: str, ps: list[float], keys: list[str
         return h.withColumn("_ranks", F.expr(RANKS_SQL)).where("size(_ranks) > 0").select(*spot, "_base", "_ranks")
 
     def members(ranges: DataFrame) -> DataFrame:
-        return x.join(ranges, [*keys, "_b"]).where("_v >= _lo AND _v <= _hi")
+        return x.join(F.broadcast(ranges) if small else ranges, [*keys, "_b"]).where("_v >= _lo AND _v <= _hi")
 
     h1 = x.groupBy(*keys, "_b").agg(F.expr("sum(_n) AS _n"), F.expr("min(_v) AS _lo"), F.expr("max(_v) AS _hi"))
     group = ", ".join(f"`{c}`" for c in keys) or "0"
@@ -82,10 +89,10 @@ def exact_percentiles(df: DataFrame, value: str, ps: list[float], keys: list[str
     ).alias(value))
 
 
-def percentile_columns(df: DataFrame, value: str, named: dict[str, float], keys: list[str] | None = None) -> DataFrame:
+def percentile_columns(df: DataFrame, value: str, named: dict[str, float], keys: list[str] | None = None, max_groups: int | None = None) -> DataFrame:
     """One row per key with one column per named percentile."""
     keys = list(keys or [])
-    rows = exact_percentiles(df, value, sorted(set(named.values())), keys)
+    rows = exact_percentiles(df, value, sorted(set(named.values())), keys, max_groups)
     return rows.groupBy(*keys).agg(
         *[F.max(F.when(F.col("p") == float(p), F.col(value))).alias(name) for name, p in named.items()]
     )

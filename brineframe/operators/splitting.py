@@ -58,7 +58,7 @@ def pixel_medians(df: DataFrame, values: list[str], usable: Column) -> DataFrame
     )
     pairs = F.array(*[F.struct(F.lit(v).alias("var"), F.col(v).cast("double").alias("x")) for v in values])
     long = df.where(usable).select(F.inline(pairs))
-    overall = exact_percentiles(long, "x", [0.5], ["var"])
+    overall = exact_percentiles(long, "x", [0.5], ["var"], max_groups=len(values))
     fallback = overall.agg(*[F.max(F.when(F.col("var") == v, F.col("x"))).alias(v) for v in values])
     row = fallback.select(F.struct(*values)).scalar()
     return per_cell.withColumns({
@@ -95,7 +95,8 @@ def training_table(
     is_ocean = F.col(ocean).cast("boolean")
     counts = missing_counts(df, numeric + [response], is_ocean, ocean_pixels)
     kept = usable_days(counts, response, numeric, max_frac_response, max_frac_inputs)
-    rows = df.join(time_split(kept, ratio, seed, contiguous), "date")
+    # one row per calendar day, so the split table is small whatever the size of the cube
+    rows = df.join(F.broadcast(time_split(kept, ratio, seed, contiguous)), "date")
     train = F.col("split") == "train"
     if mean_std is None:
         stats = train_stats(rows, numeric)

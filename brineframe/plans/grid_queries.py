@@ -120,7 +120,10 @@ SELECT z_idx, quantile_cont(chla, 0.1) AS p10, quantile_cont(chla, 0.5) AS p50,
 FROM profiles GROUP BY 1
 """, doubles="p10 p50 p90")
 def depth_percentiles(spark, d):
-    return gridagg.percentile_columns(P.profiles_long(spark, d), "chla", {"p10": 0.1, "p50": 0.5, "p90": 0.9}, ["z_idx"])
+    return gridagg.percentile_columns(
+        P.profiles_long(spark, d), "chla", {"p10": 0.1, "p50": 0.5, "p90": 0.9}, ["z_idx"],
+        max_groups=P.PROFILE_BINS,
+    )
 
 
 @query("residual_range", "A21 P29", f"""
@@ -158,7 +161,7 @@ SELECT chla_peak_depth, q1, median, q3, count(*) AS n,
 FROM cube_metrics JOIN q USING (chla_peak_depth) GROUP BY 1, 2, 3, 4
 """, doubles="chla_peak_depth q1 median q3 whisker_low whisker_high")
 def peak_value_box_summary(spark, d):
-    return gridagg.box_summary(metrics(spark, d), "chla_peak", ["chla_peak_depth"])
+    return gridagg.box_summary(metrics(spark, d), "chla_peak", ["chla_peak_depth"], max_groups=P.CUBE_BINS)
 
 
 BIN_LABELS = [f"{10 * i}-{10 * i + 10}" for i in range(7)]

@@ -73,7 +73,7 @@ rows_ AS (SELECT c.*, s.split, (c.lat_idx * 10 + c.lon_idx) % 7 <> 0 AS ocean FR
 
 def _rows(spark, d):
     cube = P.ship_cube(spark, d)
-    return cube.join(T.time_split(cube.select("date").distinct()), "date").withColumn("ocean", P.is_ocean())
+    return cube.join(F.broadcast(T.time_split(cube.select("date").distinct())), "date").withColumn("ocean", P.is_ocean())
 
 
 @query("train_mean_std", "A17", f"""

@@ -24,7 +24,8 @@ def newest_delivery(batch: DataFrame) -> DataFrame:
     """When a day arrives in several files of one batch, the newest file is the day."""
     files = batch.groupBy("date", "_file").agg(F.max("_mtime").alias("_mtime"))
     newest = files.groupBy("date").agg(F.max(F.struct("_mtime", "_file"))["_file"].alias("_file"))
-    return batch.join(newest, ["date", "_file"], "left_semi")
+    # one row per delivered day
+    return batch.join(F.broadcast(newest), ["date", "_file"], "left_semi")
 
 
 def ingest(
@@ -63,7 +64,7 @@ def ingest(
         rows = newest_delivery(batch)
         if not force:
             done = read_ledger(spark, root).where((F.col("status") == "done") & (F.col("batch") != batch_id))
-            rows = rows.join(done.select("date").distinct(), "date", "left_anti")
+            rows = rows.join(F.broadcast(done.select("date").distinct()), "date", "left_anti")
         rows = rows.drop("_file", "_mtime").persist()
         try:
             days = rows.select("date").distinct()
