@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.features import standardise
 from ..functions.hashing import hash32, uniform01
 from ..functions.missing import all_present
+from ..sources.tables import staged
 from .quality import missing_counts, usable_days
 from .quantiles import exact_percentiles, sample_exact
 
@@ -81,6 +82,7 @@ def training_table(
     max_frac_inputs: float = 0.05,
     missing_flags: bool = False,
     mean_std: dict[str, tuple[float, float]] | None = None,
+    stage: str | None = None,
 ) -> tuple[DataFrame, list[str]]:
     """Filter days, split them, impute and normalise; one row per (day, cell).
 
@@ -89,6 +91,9 @@ def training_table(
     ocean, standardised with training statistics, 0 on land; optional missing flag
     after each. Categorical inputs: 0 where missing. Returns the table and the feature
     names.
+
+    Statistics, medians and the table itself each read the kept rows. ``stage`` names a
+    folder to write them to once; without it every pass starts from the source again.
     """
     if years is not None:
         df = df.where(F.year("date").isin(list(years)))
@@ -97,6 +102,8 @@ def training_table(
     kept = usable_days(counts, response, numeric, max_frac_response, max_frac_inputs)
     # one row per calendar day, so the split table is small whatever the size of the cube
     rows = df.join(F.broadcast(time_split(kept, ratio, seed, contiguous)), "date")
+    if stage is not None:
+        rows = staged(rows, stage)
     train = F.col("split") == "train"
     if mean_std is None:
         stats = train_stats(rows, numeric)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import splitting as T
 from ..operators.quantiles import sample_exact
+from ..session import shared_dir
 from ..sources.tables import read_parquet
 from . import proxies as P
 from .registry import query
@@ -121,7 +122,7 @@ def training_rows(spark, d):
     )
     return T.training_table(
         facts, ["aux"], ["row_no", "ocean_mask"], "y", "ocean_mask", OCEAN_CELLS, missing_flags=True,
-        max_frac_response=0.999, max_frac_inputs=0.999,
+        max_frac_response=0.999, max_frac_inputs=0.999, stage=shared_dir(spark),
     )
 
 
