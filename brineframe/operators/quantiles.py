@@ -106,19 +106,20 @@ def sample_exact(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     of 2**20 hash buckets, then the order inside the one bucket that is cut. The rows
     themselves pass a plain filter and are never shuffled.
     """
+    if n <= 0:
+        return df.limit(0)
     h = hash32(key, seed)
     bucket = F.floor(h / F.lit(SAMPLE_BUCKET)).cast("int")
     counts = df.groupBy(bucket.alias("b")).agg(F.count("*").alias("_n"))
     running = W.partitionBy(F.lit(0)).orderBy("b").rowsBetween(W.unboundedPreceding, -1)
     counts = counts.withColumn("base", F.coalesce(F.sum("_n").over(running), F.lit(0)))
-    held = (F.col("base") < n) & (F.col("base") + F.col("_n") > n)
+    held = (F.col("base") < n) & (F.col("base") + F.col("_n") >= n)
     cut = counts.where(held).select(F.struct("b", "base")).scalar()
-    exact = counts.where(F.col("base") + F.col("_n") <= n).select(F.max("b")).scalar()
 
     # inside the cut bucket: the pair at the last place that is left
     order = W.partitionBy(F.lit(0)).orderBy("h", "k")
     inside = df.where(bucket == cut["b"]).select(h.alias("h"), F.col(key).alias("k"))
     last = inside.withColumn("r", F.row_number().over(order)).where(F.col("r") == F.lit(n) - cut["base"])
     last = last.select(F.struct("h", "k")).scalar()
-    part = (bucket == cut["b"]) & ((h < last["h"]) | ((h == last["h"]) & (F.col(key) <= last["k"])))
-    return df.where((bucket <= exact) | part)
+    # fewer than n rows: there is no last pair and all rows stay
+    return df.where(F.coalesce(F.struct(h.alias("h"), F.col(key).alias("k")) <= last, F.lit(True)))
