@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.missing import as_col
-
 
 def missing_counts(facts: DataFrame, values: list[str], ocean: Column, ocean_pixels: Column | int, days: DataFrame | None = None, date: str = "date") -> DataFrame:
     """Ocean cells and missing ocean cells per day and variable.
