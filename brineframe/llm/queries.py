@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, repetition
+from . import bpe, decontaminate, lines, repetition, similar, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -99,6 +99,105 @@ FROM facts
 """
 
 
+@query
+def op4_line_winnowing(spark, sf_dir):
+    """Lines of every document, how many of them repeat an earlier run, and what is left."""
+    found = lines.without_repeated_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+SQL["op4_line_winnowing"] = rf"""
+WITH docs AS (
+  SELECT row_number() OVER (ORDER BY doc_id, text) AS r, doc_id, coalesce(text, '') AS text FROM documents
+), raw AS (
+  SELECT r, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS no FROM docs
+), solid AS (
+  SELECT r, no, s, row_number() OVER (PARTITION BY r ORDER BY no) AS i
+  FROM (SELECT r, no, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS s FROM raw) WHERE s <> ''
+), runs AS (
+  SELECT r, i, row_number() OVER (PARTITION BY h ORDER BY r, i) AS nth FROM (
+    SELECT a.r, a.i, {' || chr(10) || '.join(f's{j}.s' if j else 'a.s' for j in range(lines.RUN))} AS h
+    FROM solid a {' '.join(f'JOIN solid s{j} ON s{j}.r = a.r AND s{j}.i = a.i + {j}' for j in range(1, lines.RUN))})
+), gone AS (
+  SELECT DISTINCT r, unnest(range(i, i + {lines.RUN})) AS i FROM runs WHERE nth > 1
+), marks AS (
+  SELECT solid.r, solid.no, gone.i IS NOT NULL AS removed FROM solid LEFT JOIN gone ON solid.r = gone.r AND solid.i = gone.i
+)
+SELECT docs.doc_id, count(marks.no) AS n_lines, count(*) FILTER (marks.removed) AS n_removed,
+       sha256(coalesce(string_agg(raw.line, chr(10) ORDER BY raw.no) FILTER (NOT coalesce(marks.removed, false)), '')) AS kept_sha256
+FROM docs LEFT JOIN raw ON docs.r = raw.r LEFT JOIN marks ON raw.r = marks.r AND raw.no = marks.no GROUP BY docs.r, docs.doc_id
+"""
+
+
+@query
+def op5_window_dedup(spark, sf_dir):
+    """Words of every document, how many are removed as repeats, and what is left."""
+    found = windows.repeated_windows_removed(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+SQL["op5_window_dedup"] = rf"""
+WITH docs AS (
+  SELECT row_number() OVER (ORDER BY doc_id, text) AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), starts AS (
+  SELECT r, i, row_number() OVER (PARTITION BY h ORDER BY r, i) AS nth FROM (
+    SELECT r, i, array_to_string(w[i:i + {windows.K} - 1], ' ') AS h
+    FROM (SELECT r, w, unnest(range(1, len(w) - {windows.K} + 2)) AS i FROM docs WHERE len(w) >= {windows.K}))
+), gone AS (
+  SELECT DISTINCT r, unnest(range(i, i + {windows.K})) AS i FROM starts WHERE nth > 1
+), words AS (
+  SELECT docs.r, t.i, docs.w[t.i] AS word, gone.i IS NOT NULL AS removed
+  FROM (SELECT r, unnest(range(1, len(w) + 1)) AS i FROM docs) t JOIN docs USING (r) LEFT JOIN gone ON gone.r = t.r AND gone.i = t.i
+), kept AS (
+  SELECT r, count(*) FILTER (removed) AS n, string_agg(word, ' ' ORDER BY i) FILTER (NOT removed) AS text FROM words GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (r)
+"""
+
+
+def tokenizer_file() -> str:
+    """The public vocabulary that the queries use; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query
+def op7_bpe_codec(spark, sf_dir):
+    """Token ids of every document, and the text they decode to."""
+    path = tokenizer_file()
+    found = bpe.decoded(bpe.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op9_prefix_join(spark, sf_dir):
+    """Shingles of every document and the smallest document that links reach."""
+    found = similar.similar_groups(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
+SQL["op9_prefix_join"] = rf"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(coalesce({lower('text')}, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, hash(array_to_string(w[i:i + {similar.N} - 1], ' ')) AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {similar.N} + 1, 1) + 1)) AS i FROM docs WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), links AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL)
+  JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * c >= {similar.PERCENT} * (p.n + q.n - c)
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM docs UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+)
+SELECT docs.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(b) AS component_id
+FROM docs LEFT JOIN sizes USING (doc_id) JOIN reach ON reach.a = docs.doc_id GROUP BY docs.doc_id
+"""
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this subpackage, the pipeline included."""
     return dict(QUERIES)
