@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.axes import RegularAxis
 from ..functions.features import month_floor
@@ -15,24 +15,34 @@ def daily_mean(df: DataFrame, values: list[str], date: str = "date") -> DataFram
     return df.groupBy(date).agg(*[F.avg(v).alias(v) for v in values])
 
 
-def monthly_mean(df: DataFrame, values: list[str], keys: list[str] | None = None, date: str = "date", fill: bool = True) -> DataFrame:
+def monthly_mean(df: DataFrame, values: list[str], keys: list[str] | None = None, date: str = "date", fill: bool = True, span: tuple | None = None) -> DataFrame:
     """Mean per calendar month, labelled by its first day.
 
     With ``fill`` every month between the first and the last one of the data appears;
-    months without data are missing. The calendar is generated per key, not joined
-    from a second scan.
+    months without data are missing. They are generated from the means themselves. With
+    keys, all of them get the same months: ``span`` (first and last date, as the time axis
+    has them) saves the second pass that finds these.
     """
     keys = list(keys or [])
     agg = df.groupBy(*keys, month_floor(date).alias("month")).agg(*[F.avg(v).alias(v) for v in values])
     if not fill:
         return agg
-    span = df.select(F.struct(month_floor(F.min(date)).alias("lo"), month_floor(F.max(date)).alias("hi"))).scalar()
-    months = F.explode(F.sequence(span["lo"], span["hi"], F.expr("interval 1 month"))).alias("month")
-    if keys:
-        calendar = agg.select(*keys).distinct().select(*keys, months)
+    step = F.expr("interval 1 month")
+    if not keys:
+        # a row per month of the calendar, each followed by the empty months up to the next one
+        after = F.lead("month").over(W.partitionBy(F.lit(0)).orderBy("month"))
+        rows = agg.withColumn("_until", F.coalesce(F.add_months(after, -1), F.col("month")))
+        rows = rows.withColumn("_at", F.explode(F.sequence(F.col("month"), F.col("_until"), step)))
+        return rows.select(F.col("_at").alias("month"), *[F.when(F.col("_at") == F.col("month"), F.col(v)).alias(v) for v in values])
+    if span is None:
+        one = df.select(F.struct(month_floor(F.min(date)).alias("lo"), month_floor(F.max(date)).alias("hi"))).scalar()
+        lo, hi = one["lo"], one["hi"]
     else:
-        calendar = df.sparkSession.range(1).select(months)
-    return calendar.join(agg, keys + ["month"], "left")
+        lo, hi = (month_floor(F.lit(x).cast("date")) for x in span)
+    # the months of one key are bounded by the calendar
+    packed = agg.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("month", F.struct(*values)))).alias("_by"))
+    rows = packed.withColumn("month", F.explode(F.sequence(lo, hi, step)))
+    return rows.select(*keys, "month", *[F.try_element_at("_by", F.col("month"))[v].alias(v) for v in values])
 
 
 def mean_of_daily_means(df: DataFrame, values: list[str], date: str = "date", fill: bool = True) -> DataFrame:
@@ -111,6 +121,8 @@ def box_summary(df: DataFrame, value: str, keys: list[str], max_groups: int | No
     q = percentile_columns(df, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, keys, max_groups)
     v, reach = F.col(value), F.lit(1.5) * (F.col("q3") - F.col("q1"))
     within = (v >= F.col("q1") - reach) & (v <= F.col("q3") + reach)
+    if max_groups is not None:  # checked where the percentiles are located
+        q = F.broadcast(q)
     rows = df.where(v.isNotNull()).join(q, keys)
     return rows.groupBy(*keys, "q1", "median", "q3").agg(
         F.count("*").alias("n"),

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import column as C
 from ..functions.axes import DepthAxis
 from ..functions.missing import as_col
+from ..session import shared_dir
+from ..sources.tables import staged
 
 
 def bin_samples(samples: DataFrame, keys: list[str], depth: str = "depth", value: str = "chla", width: float = 10.0, max_depth: float = 200.0) -> DataFrame:
@@ -96,10 +98,12 @@ def climatology(long: DataFrame, group: list[str], value: str = "chla", z: str =
 def vertical_anomalies(long: DataFrame, group: list[str], value: str = "chla", z: str = "z_idx", climate: DataFrame | None = None) -> DataFrame:
     """Anomaly of every value against the mean profile of its group.
 
-    Pass a stored ``climate`` table to anomalies computed often: its size is then known
-    and Spark broadcasts it if it is small.
+    Without a stored ``climate`` table the mean profiles are written to the shared folder
+    first: one row per group and depth bin. Their size is then known when the join is planned, and
+    the long table is not shuffled where Spark finds them small.
     """
-    climate = climatology(long, group, value, z) if climate is None else climate
+    if climate is None:
+        climate = staged(climatology(long, group, value, z), shared_dir(long.sparkSession, "climatology"))
     return long.join(climate, group + [z]).withColumn("anomaly", F.col(value) - F.col("climatology"))
 
 

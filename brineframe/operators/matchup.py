@@ -56,12 +56,20 @@ def match_points(
     the value (an array over ``bands``, or a scalar when ``bands`` is None). Adds file,
     window, cell coordinates and one column per band; ``select`` keeps one band. A cell
     that was not stored gives missing values.
+
+    The cells that were hit are few beside the pixels, so they select the pixels first (an
+    inner join whose small side Spark may broadcast, with dynamic pruning where the
+    pixels are partitioned by ``date`` and the manifest names it), and only what they
+    selected is joined to the points.
     """
     prefix = f"pace_{variable}_"
     hit = match_in_time(points, manifest, time, window).withColumns({
         "lat_idx": lat_axis.nearest(lat), "lon_idx": lon_axis.nearest(lon),
     })
-    joined = hit.join(pixels.select("granule", "lat_idx", "lon_idx", value), ["granule", "lat_idx", "lon_idx"], "left")
+    cell = ["granule", "lat_idx", "lon_idx"]
+    found = cell + (["date"] if "date" in manifest.columns and "date" in pixels.columns else [])
+    wanted = pixels.select(*found, value).join(hit.select(*found).distinct(), found).select(*cell, value)
+    joined = hit.join(wanted, cell, "left")
     if bands is None:
         values = [F.col(value).cast("double").alias(f"pace_{variable}")]
     else:
@@ -148,7 +156,8 @@ def random_samples(ids: DataFrame, key: str, days: DataFrame, lat_range: tuple,
 def lookup_samples(samples: DataFrame, cube: DataFrame, value: str, lat_axis: RegularAxis, lon_axis: RegularAxis, ocean: Column | None = None) -> DataFrame:
     """Value of the nearest cell for given (date, lat, lon) samples; only finite ocean
     values are returned, with the sample's own coordinates."""
-    snapped = samples.withColumns({"lat_idx": lat_axis.nearest("lat"), "lon_idx": lon_axis.nearest("lon")})
+    # between two labels the earlier position wins here, on either axis
+    snapped = samples.withColumns({"lat_idx": lat_axis.nearest("lat", "left"), "lon_idx": lon_axis.nearest("lon", "left")})
     cells = cube if ocean is None else cube.where(ocean)
     cells = cells.where(F.col(value).isNotNull()).select("date", "lat_idx", "lon_idx", value)
     return snapped.join(cells, ["date", "lat_idx", "lon_idx"]).drop("lat_idx", "lon_idx")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import SparkContext
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame, functions as F
@@ -11,7 +12,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.axes import DepthAxis
 from ..functions.features import log10_positive, pow10, with_seasonal_time, with_solar_time, with_unit_sphere
 from ..functions.hashing import uniform01
-from ..functions.missing import all_present
 from ..functions.names import check_wavelengths, sort_by_depth
 from .columns import column_metrics
 
@@ -23,43 +23,84 @@ SEED = 42
 VALIDATION_SHARE = 0.1
 
 
+# stands for a missing predictor: below every real value, so one split sets it apart
+MISSING = -1e30
+PATIENCE = 10
+TOLERANCE = 1e-7
+
+
 def regressor(max_iter: int = MAX_ITER, max_depth: int = MAX_DEPTH, seed: int = SEED) -> GBTRegressor:
     return GBTRegressor(
         featuresCol="_features", labelCol="_y", predictionCol="_pred", maxDepth=max_depth,
-        stepSize=LEARNING_RATE, maxIter=max_iter, seed=seed, validationIndicatorCol="_validation",
+        stepSize=LEARNING_RATE, maxIter=max_iter, seed=seed,
     )
 
 
-def assemble(df: DataFrame, features: list[str], key: str, seed: int = SEED) -> DataFrame:
-    """Complete cases only, features packed once, early-stopping rows marked by hash."""
-    packed = array_to_vector(F.array(*[F.col(c).cast("double") for c in features]))
-    return df.where(all_present(features)).withColumns({
-        "_features": packed, "_validation": uniform01(key, f"{seed}v") < VALIDATION_SHARE,
-    })
+def pack(values: Column) -> Column:
+    """Feature vector of an array: every predictor, MISSING where it has none, then its 0/1 missing flag."""
+    filled = F.transform(values, lambda v: F.coalesce(v, F.lit(MISSING)))
+    flags = F.transform(values, lambda v: v.isNull().cast("double"))
+    return array_to_vector(F.concat(filled, flags))
+
+
+def assemble(df: DataFrame, features: list[str], key: str, seed: int = SEED, validation: float = VALIDATION_SHARE) -> DataFrame:
+    """Features packed once, missing predictors kept, early-stopping rows marked by hash."""
+    packed = pack(F.array(*[F.col(c).cast("double") for c in features]))
+    return df.withColumns({"_features": packed, "_validation": uniform01(key, f"{seed}v") < validation})
+
+
+def best_prefix(errors: list[float], patience: int = PATIENCE, tolerance: float = TOLERANCE) -> int:
+    """How many trees to keep: up to the best one before ``patience`` rounds without a gain over ``tolerance``."""
+    best, at = float("inf"), 0
+    for i, error in enumerate(errors, 1):
+        if error < best - tolerance:
+            best, at = error, i
+        elif i - at >= patience:
+            break
+    return max(at, 1)
+
+
+def first_trees(model: GBTRegressionModel, n: int) -> GBTRegressionModel:
+    """The model of the first ``n`` trees."""
+    if n >= model.getNumTrees:
+        return model
+    sc = SparkContext.getOrCreate()
+    ml = sc._jvm.org.apache.spark.ml.regression
+    trees, weights = sc._gateway.new_array(ml.DecisionTreeRegressionModel, n), sc._gateway.new_array(sc._jvm.double, n)
+    all_trees, all_weights = model._java_obj.trees(), model._java_obj.treeWeights()
+    for i in range(n):
+        trees[i], weights[i] = all_trees[i], all_weights[i]
+    return model._copyValues(GBTRegressionModel(ml.GBTRegressionModel(model.uid, trees, weights)))
 
 
-def fit_bin(assembled: DataFrame, response: str, already_log: bool = False, cache: bool = True, **params) -> GBTRegressionModel:
+def fit_bin(assembled: DataFrame, response: str, already_log: bool = False, cache: bool = True, patience: int = PATIENCE, tolerance: float = TOLERANCE, **params) -> GBTRegressionModel:
     """Fit log10 of a positive response on its own non-missing rows.
 
-    Boosting passes over its rows once per tree, so they are cached (memory, then disk)
-    for the duration of the fit unless the caller did that already.
+    The validation share is not fitted on; it tells after which tree the error stops
+    falling, and the trees up to there are kept. Boosting passes over its rows once per tree, so
+    they are cached (memory, then disk) for the duration of the fit unless the caller did
+    that already.
     """
     y = F.col(response) if already_log else log10_positive(response)
     rows = assembled.select("_features", "_validation", y.cast("double").alias("_y")).where(F.col("_y").isNotNull())
-    if not cache:
-        return regressor(**params).fit(rows)
-    rows.persist()
+    if cache:
+        rows.persist()
     try:
-        return regressor(**params).fit(rows)
+        model = regressor(**params).fit(rows.where(~F.col("_validation")))
+        held = rows.where(F.col("_validation"))
+        if held.isEmpty():
+            return model
+        return first_trees(model, best_prefix(model.evaluateEachIteration(held, "squared"), patience, tolerance))
     finally:
-        rows.unpersist()
+        if cache:
+            rows.unpersist()
 
 
-def fit_depth_models(df: DataFrame, labels: list[str], features: list[str], key: str, parallel: int = 4, **params) -> dict[str, GBTRegressionModel]:
+def fit_depth_models(df: DataFrame, labels: list[str], features: list[str], key: str, parallel: int = 4, validation: float = VALIDATION_SHARE, **params) -> dict[str, GBTRegressionModel]:
     """One model per depth label. The assembled frame is shared; fits are independent
     Spark jobs submitted from a few driver threads."""
     labels = sort_by_depth(labels)
-    shared = assemble(df, features, key).select("_features", "_validation", *labels).persist()
+    shared = assemble(df, features, key, validation=validation).select("_features", "_validation", *labels).persist()
     try:
         with ThreadPoolExecutor(parallel) as pool:
             fitted = list(pool.map(lambda label: fit_bin(shared, label, cache=False, **params), labels))
@@ -68,9 +109,10 @@ def fit_depth_models(df: DataFrame, labels: list[str], features: list[str], key:
     return dict(zip(labels, fitted))
 
 
-def incomplete_training_rows(df: DataFrame, features: list[str]) -> DataFrame:
-    """How many rows complete-case training leaves out."""
-    return df.agg(F.count("*").alias("rows"), F.count(F.when(~all_present(features), 1)).alias("dropped"))
+def training_rows_used(df: DataFrame, labels: list[str]) -> DataFrame:
+    """(label, rows): rows each depth model learns from or is stopped by: those with a positive response."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("label"), log10_positive(c).alias("y")) for c in labels])
+    return df.select(F.inline(pairs)).groupBy("label").agg(F.count("y").alias("rows"))
 
 
 def _features_with_consts(df: DataFrame, features: list[str], consts: dict) -> Column:
@@ -94,21 +136,22 @@ def with_derived_features(df: DataFrame, features: list[str], consts: dict | Non
     return df
 
 
-def score_depths(df: DataFrame, models: dict[str, GBTRegressionModel], features: list[str], consts: dict | None = None, linear: bool = False, out: str = "chla", keep_incomplete: bool = True, kind: str = "float") -> DataFrame:
+def score_depths(df: DataFrame, models: dict[str, GBTRegressionModel], features: list[str], consts: dict | None = None, linear: bool = False, out: str = "chla", incomplete: str = "predict", kind: str = "float") -> DataFrame:
     """Predictions of all depth models as one array per row, in one pass over the data.
 
-    Rows with a missing predictor get a NULL array (``keep_incomplete``) or are left
-    out. The models are chained transforms over the same rows: no shuffle, one scan.
+    Rows with a missing predictor are predicted like all others ("predict"), get a NULL
+    array ("blank"), or are left out ("drop"). The models are chained transforms over the
+    same rows: no shuffle, one scan.
     """
+    if incomplete not in ("predict", "blank", "drop"):
+        raise ValueError(f"unknown rule {incomplete!r}")
     columns = df.columns
     labels = sort_by_depth(list(models))
     ready = df.withColumn("_x", _features_with_consts(df, features, consts or {}))
-    ready = ready.withColumn("_whole", ~F.exists("_x", lambda v: v.isNull()))
-    if not keep_incomplete:
+    ready = ready.withColumn("_whole", F.lit(incomplete == "predict") | ~F.exists("_x", lambda v: v.isNull()))
+    if incomplete == "drop":
         ready = ready.where("_whole")
-    # trees refuse missing values: incomplete rows are scored on zeros and blanked below
-    filled = F.transform("_x", lambda v: F.coalesce(v, F.lit(0.0)))
-    scored = ready.withColumn("_features", array_to_vector(filled))
+    scored = ready.withColumn("_features", pack(F.col("_x")))
     for i, label in enumerate(labels):
         scored = models[label].copy({models[label].predictionCol: f"_p{i}"}).transform(scored)
     values = [F.col(f"_p{i}").cast("float") for i in range(len(labels))]
@@ -118,12 +161,12 @@ def score_depths(df: DataFrame, models: dict[str, GBTRegressionModel], features:
     return scored.select(*columns, F.when(F.col("_whole"), profile).alias(out))
 
 
-def score_spectra(pixels: DataFrame, models: dict[str, GBTRegressionModel], features: list[str], bands: list[float], consts: dict | None = None, rrs: str = "rrs", **kw) -> DataFrame:
-    """Score a grid whose predictors are one array over the wavelength axis."""
+def score_spectra(pixels: DataFrame, models: dict[str, GBTRegressionModel], features: list[str], bands: list[float], consts: dict | None = None, rrs: str = "rrs", incomplete: str = "blank", **kw) -> DataFrame:
+    """Score a grid whose predictors are one array over the wavelength axis; pixels with a gap are blank."""
     spectral = check_wavelengths(features, bands, consts)
     names = [c for c in pixels.columns if c != rrs]
     wide = pixels.select(*names, rrs, *[F.get(rrs, F.lit(i)).alias(c) for i, c in enumerate(spectral)])
-    return score_depths(wide, models, features, consts, **kw).drop(*spectral, rrs)
+    return score_depths(wide, models, features, consts, incomplete=incomplete, **kw).drop(*spectral, rrs)
 
 
 def score_one(df: DataFrame, model: GBTRegressionModel, features: list[str], consts: dict | None = None, linear: bool = False, out: str = "y_pred", time: str = "time") -> DataFrame:
@@ -137,5 +180,5 @@ def score_one(df: DataFrame, model: GBTRegressionModel, features: list[str], con
 def daily_product(pixels: DataFrame, models: dict[str, GBTRegressionModel], features: list[str], bands: list[float], consts: dict | None = None) -> DataFrame:
     """Spectra of any number of days -> profiles (linear scale) with column metrics."""
     axis = DepthAxis.from_labels(sort_by_depth(list(models)))
-    scored = score_spectra(pixels, models, features, bands, consts, linear=True, keep_incomplete=False)
+    scored = score_spectra(pixels, models, features, bands, consts, linear=True, incomplete="drop")
     return column_metrics(scored, axis, kind="float")

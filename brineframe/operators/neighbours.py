@@ -105,12 +105,38 @@ def structural_similarity(df: DataFrame, days: DataFrame, n_lat, n_lon, truth: s
     return days.select(date).distinct().join(means, date, "left")
 
 
+def lower_envelope(xs: np.ndarray, heights: np.ndarray) -> np.ndarray:
+    """min over j of (xs[i] - xs[j])**2 + heights[j] for every i, in linear time.
+
+    ``xs`` ascends; NaN heights take no part, and without any height all results are NaN.
+    The parabolas that are lowest somewhere form a stack whose crossing points ascend.
+    """
+    known = np.flatnonzero(~np.isnan(heights))
+    if not len(known):
+        return np.full(len(xs), np.nan)
+    x, h = xs[known].tolist(), heights[known].tolist()
+    stack, begins = [0], [-np.inf]
+    for q in range(1, len(x)):
+        while True:
+            p = stack[-1]
+            cross = ((h[q] + x[q] * x[q]) - (h[p] + x[p] * x[p])) / (2 * (x[q] - x[p]))
+            if cross > begins[-1]:
+                break
+            stack.pop()
+            begins.pop()
+        stack.append(q)
+        begins.append(cross)
+    lowest = np.array(stack)[np.searchsorted(np.array(begins), xs, side="right") - 1]
+    gap = xs - np.array(x)[lowest]
+    return gap * gap + np.array(h)[lowest]
+
+
 def distance_to_coast(mask: DataFrame, lat: RegularAxis, lon: RegularAxis, ocean: str = "ocean") -> DataFrame:
     """Distance (km) of every cell of a static mask to the nearest land cell, 0 on land.
 
     Exact and separable: (1) per longitude, the nearest land along latitude with two
-    window frames; (2) per latitude row, the minimum over longitudes of the combined
-    distance, one grid row per group. Missing where the mask has no land at all.
+    window frames; (2) per latitude row, the lower envelope over longitudes of the combined
+    distance, one grid row per group, in linear time. Missing where the mask has no land at all.
     """
     km = 111.0
     # mean label of a regular axis from its first and last entry
@@ -126,15 +152,10 @@ def distance_to_coast(mask: DataFrame, lat: RegularAxis, lon: RegularAxis, ocean
     columns = mask.select("lat_idx", "lon_idx", ocean, (steps * F.lit(dy)).alias("_g"), dx.alias("_dx"))
 
     def row_minimum(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("lon_idx")
         xs = pdf["lon_idx"].to_numpy(dtype=float) * pdf["_dx"].iloc[0]
-        g2 = pdf["_g"].to_numpy(dtype=float) ** 2
-        known = ~np.isnan(g2)
-        out = np.full(len(pdf), np.nan)
-        if known.any():
-            for at in range(0, len(pdf), 512):
-                gap = xs[at:at + 512, None] - xs[None, known]
-                out[at:at + 512] = np.sqrt((gap * gap + g2[None, known]).min(axis=1))
-        return pd.DataFrame({"lat_idx": pdf["lat_idx"], "lon_idx": pdf["lon_idx"], "dist2coast_km": out})
+        nearest = np.sqrt(lower_envelope(xs, pdf["_g"].to_numpy(dtype=float) ** 2))
+        return pd.DataFrame({"lat_idx": pdf["lat_idx"], "lon_idx": pdf["lon_idx"], "dist2coast_km": nearest})
 
     out = columns.groupBy("lat_idx").applyInPandas(row_minimum, "lat_idx int, lon_idx int, dist2coast_km double")
     return out.withColumn("dist2coast_km", F.when(~F.isnan("dist2coast_km"), F.col("dist2coast_km")))

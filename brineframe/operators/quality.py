@@ -5,19 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-def missing_counts(facts: DataFrame, values: list[str], ocean: Column, ocean_pixels: Column | int, days: DataFrame | None = None, date: str = "date") -> DataFrame:
+def missing_counts(facts: DataFrame, values: list[str], ocean: Column, ocean_pixels: Column | int | DataFrame, days: DataFrame | None = None, date: str = "date") -> DataFrame:
     """Ocean cells and missing ocean cells per day and variable.
 
     Works on sparse facts: a cell that was never stored counts as missing, because
     missing = ocean cells - observed ocean cells. Nothing is densified. ``days`` adds
-    days on which nothing was observed.
+    days on which nothing was observed. ``ocean_pixels`` is one number, or for a mask that
+    changes by day a table (date, ocean); a day it lacks has no ocean cell.
     """
     seen = facts.groupBy(date).agg(*[
         F.count(F.when(ocean, F.col(v))).alias(f"_seen_{v}") for v in values
     ])
     if days is not None:
         seen = days.select(date).distinct().join(seen, date, "left")
-    pixels = ocean_pixels if isinstance(ocean_pixels, Column) else F.lit(ocean_pixels)
+    if isinstance(ocean_pixels, DataFrame):
+        seen = seen.join(ocean_pixels.select(date, F.col("ocean").alias("_ocean")), date, "left")
+        pixels = F.coalesce("_ocean", F.lit(0))
+    else:
+        pixels = ocean_pixels if isinstance(ocean_pixels, Column) else F.lit(ocean_pixels)
     out = seen.withColumn("ocean", pixels.cast("bigint"))
     return out.select(
         date, "ocean",
@@ -25,8 +30,15 @@ def missing_counts(facts: DataFrame, values: list[str], ocean: Column, ocean_pix
     )
 
 
-def pct_missing(counts: DataFrame, value: str, date: str = "date") -> DataFrame:
-    """100 * missing / ocean per day; missing where the day has no ocean cell."""
+def ocean_by_day(mask: DataFrame, ocean: str = "ocean", date: str = "date") -> DataFrame:
+    """Ocean cells per day of a mask that changes by day, for ``missing_counts``."""
+    return mask.groupBy(date).agg(F.sum(F.col(ocean).cast("int")).cast("bigint").alias("ocean"))
+
+
+def pct_missing(counts: DataFrame, value: str, date: str = "date", year: int | None = None) -> DataFrame:
+    """100 * missing / ocean per day, of one year if given; missing where the day has no ocean cell."""
+    if year is not None:
+        counts = counts.where(F.year(date) == year)
     share = F.try_divide(F.col(f"missing_{value}").cast("double"), F.col("ocean"))
     return counts.select(date, (share * 100).alias(f"pct_missing_{value}"))
 

@@ -8,14 +8,13 @@ aggregated count with a bounded number of buckets per group.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.hashing import hash32
 
 COARSE = 4096  # buckets per e-fold: a relative width of about 2**-12
 SHIFT = COARSE * 746  # keeps the bucket of the smallest positive double above zero
 FINE = 65536
-MAX_BROADCAST_ROWS = 100_000
 SAMPLE_BUCKET = 4096  # 2**32 hashes in 2**20 buckets
 
 COARSE_SQL = f"""bigint(CASE WHEN _v = 0 THEN 0 WHEN _v > 0 THEN floor(ln(_v) * {COARSE}) + {SHIFT}
@@ -30,27 +29,36 @@ def _before(count: str, part: list[str], order: str) -> str:
     return f"coalesce(sum({count}) OVER ({over} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
 
 
+def _at_most(df: DataFrame, rows: int, message: str) -> DataFrame:
+    """``df`` unchanged, or an error if it has more rows."""
+    n = F.count("*").over(W.partitionBy(F.lit(0)))
+    return df.withColumn("_rows", F.when(n > rows, F.raise_error(F.lit(message))).otherwise(n)).where("_rows > 0").drop("_rows")
+
+
 def exact_percentiles(df: DataFrame, value: str, ps: list[float], keys: list[str] | None = None, max_groups: int | None = None) -> DataFrame:
     """Rows (keys, p, value): percentiles with linear interpolation; NULL values and
     rows with a NULL key are left out.
 
-    The input is read once and reduced to distinct (keys, value) counts, a shuffle that
-    stays even when one group holds most rows because the value is part of its key. The
-    ranks are then located in that exchange, which Spark reuses: a logarithmic histogram
-    finds the bucket of each rank (2**-12 wide), a linear one narrows it by 2**16, and
-    what is left of it is put in order: one value where the data came from 32-bit floats,
-    at most 2**24 distinct doubles in theory. All bucketings are monotone, so the result
-    is exact.
-
-    The table of located ranges has two rows per group and percentile. It is broadcast
-    where that is known to be small: without keys, or when the caller knows the number of
-    groups (``max_groups``, such as the depth bins); else Spark chooses the join.
+    A logarithmic histogram finds the bucket of each rank (2**-12 wide), a linear one
+    narrows it by 2**16, and what is left of it is put in order: one value where the data
+    came from 32-bit floats, at most 2**24 distinct doubles in theory. All bucketings are
+    monotone, so the result is exact.
+
+    Without keys, or when the caller states how many groups there are (``max_groups``, such
+    as the depth bins), the histograms come straight from the rows: only bucket counts are
+    shuffled, and the located ranges, two per group and percentile, are broadcast. The
+    statement is checked: more groups are an error. Otherwise the input is read once and reduced
+    to distinct (keys, value) counts, a shuffle that stays even when one group holds most rows
+    because the value is part of its key, and Spark chooses the joins.
     """
     keys = list(keys or [])
     groups = max_groups if keys else 1
-    small = groups is not None and 2 * len(ps) * groups <= MAX_BROADCAST_ROWS
     x = df.select(*keys, F.col(value).cast("double").alias("_v"))
-    x = x.groupBy(*keys, "_v").agg(F.expr("count(1) AS _n")).withColumn("_b", F.expr(COARSE_SQL))
+    if groups is None:
+        x = x.groupBy(*keys, "_v").agg(F.expr("count(1) AS _n"))
+    else:
+        x = x.withColumn("_n", F.lit(1).cast("bigint"))
+    x = x.withColumn("_b", F.expr(COARSE_SQL))
     # stated here, above the shared exchange, so that the joins below add no filter of
     # their own and every branch plans the same exchange
     x = x.where(" AND ".join(f"`{c}` IS NOT NULL" for c in [*keys, "_v", "_b"]))
@@ -61,7 +69,9 @@ def exact_percentiles(df: DataFrame, value: str, ps: list[float], keys: list[str
         return h.withColumn("_ranks", F.expr(RANKS_SQL)).where("size(_ranks) > 0").select(*spot, "_base", "_ranks")
 
     def members(ranges: DataFrame) -> DataFrame:
-        return x.join(F.broadcast(ranges) if small else ranges, [*keys, "_b"]).where("_v >= _lo AND _v <= _hi")
+        if groups is not None:
+            ranges = F.broadcast(_at_most(ranges, 2 * len(ps) * groups, f"more than the {groups} groups stated"))
+        return x.join(ranges, [*keys, "_b"]).where("_v >= _lo AND _v <= _hi")
 
     h1 = x.groupBy(*keys, "_b").agg(F.expr("sum(_n) AS _n"), F.expr("min(_v) AS _lo"), F.expr("max(_v) AS _hi"))
     group = ", ".join(f"`{c}`" for c in keys) or "0"
@@ -82,7 +92,9 @@ def exact_percentiles(df: DataFrame, value: str, ps: list[float], keys: list[str
 
     # a range with a single value is settled; in the others the values are ordered
     settled = fine.where("_lo = _hi").select(*keys, F.expr("inline(_ranks)"), F.expr("_lo AS _v"))
-    ordered = members(fine.where("_lo < _hi")).withColumn("_base", F.expr(f"_base + {_before('_n', spot, '_v')}"))
+    counted = members(fine.where("_lo < _hi")).groupBy(*spot, "_v").agg(
+        F.expr("sum(_n) AS _n"), F.expr("first(_base) AS _base"), F.expr("first(_ranks) AS _ranks"))
+    ordered = counted.withColumn("_base", F.expr(f"_base + {_before('_n', spot, '_v')}"))
     ordered = ordered.select(*keys, F.expr(f"inline({RANKS_SQL})"), "_v")
     return settled.unionByName(ordered).groupBy(*keys, "p").agg(F.expr(
         "max(CASE WHEN side = 'lo' THEN _v END) * (1 - max(frac)) + max(CASE WHEN side = 'hi' THEN _v END) * max(frac)"
@@ -101,25 +113,32 @@ def percentile_columns(df: DataFrame, value: str, named: dict[str, float], keys:
 def sample_exact(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     """``n`` rows without replacement (all rows if fewer), the same under any partitioning.
 
-    Rows are ordered by (hash of key, key), so ``key`` must identify the row. Only the
-    key column is counted, to find the last pair that belongs to the sample: a histogram
-    of 2**20 hash buckets, then the order inside the one bucket that is cut. The rows
-    themselves pass a plain filter and are never shuffled.
+    Rows are ordered by (hash of key, key), so ``key`` must identify the row: rows with a
+    NULL key are never drawn, and rows that share the key of the last place come all or not
+    at all where the hash decides, so a repeated key can only shift the size by its own copies.
+    Only the key column is counted, to find the last pair that belongs to the sample: a
+    histogram of 2**20 hash buckets, a second one over the hashes of the bucket that is cut,
+    then the order of the keys of that one hash. The rows themselves pass a plain filter and are
+    never shuffled.
     """
     if n <= 0:
         return df.limit(0)
-    h = hash32(key, seed)
+    h, named = hash32(key, seed), F.col(key).isNotNull()
     bucket = F.floor(h / F.lit(SAMPLE_BUCKET)).cast("int")
-    counts = df.groupBy(bucket.alias("b")).agg(F.count("*").alias("_n"))
-    running = W.partitionBy(F.lit(0)).orderBy("b").rowsBetween(W.unboundedPreceding, -1)
-    counts = counts.withColumn("base", F.coalesce(F.sum("_n").over(running), F.lit(0)))
-    held = (F.col("base") < n) & (F.col("base") + F.col("_n") >= n)
-    cut = counts.where(held).select(F.struct("b", "base")).scalar()
-
-    # inside the cut bucket: the pair at the last place that is left
-    order = W.partitionBy(F.lit(0)).orderBy("h", "k")
-    inside = df.where(bucket == cut["b"]).select(h.alias("h"), F.col(key).alias("k"))
-    last = inside.withColumn("r", F.row_number().over(order)).where(F.col("r") == F.lit(n) - cut["base"])
+
+    def held(counts: DataFrame, by: str, before: Column) -> DataFrame:
+        """The bucket in which place ``n`` falls, and the rows ahead of it."""
+        running = W.partitionBy(F.lit(0)).orderBy(by).rowsBetween(W.unboundedPreceding, -1)
+        counts = counts.withColumn("base", before + F.coalesce(F.sum("_n").over(running), F.lit(0)))
+        return counts.where((F.col("base") < n) & (F.col("base") + F.col("_n") >= n))
+
+    whole = df.where(named).select(F.count("*").alias("rows")).scalar()
+    cut = held(df.where(named).groupBy(bucket.alias("b")).agg(F.count("*").alias("_n")), "b", F.lit(0)).select(F.struct("b", "base")).scalar()
+    inside = df.where(named & (bucket == cut["b"])).groupBy(h.alias("h")).agg(F.count("*").alias("_n"))
+    fine = held(inside, "h", cut["base"]).select(F.struct("h", "base")).scalar()
+    order = W.partitionBy(F.lit(0)).orderBy("k")
+    last = df.where(named & (h == fine["h"])).select(h.alias("h"), F.col(key).alias("k"))
+    last = last.withColumn("r", F.row_number().over(order)).where(F.col("r") == F.lit(n) - fine["base"])
     last = last.select(F.struct("h", "k")).scalar()
-    # fewer than n rows: there is no last pair and all rows stay
-    return df.where(F.coalesce(F.struct(h.alias("h"), F.col(key).alias("k")) <= last, F.lit(True)))
+    # with n rows or fewer all stay; else there is a last pair
+    return df.where(named & ((whole <= n) | (F.struct(h.alias("h"), F.col(key).alias("k")) <= last)))

@@ -7,9 +7,11 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.features import standardise
 from ..functions.hashing import hash32, uniform01
 from ..functions.missing import all_present
+from ..session import shared_dir
 from ..sources.tables import staged
 from .quality import missing_counts, usable_days
 from .quantiles import exact_percentiles, sample_exact
+from .selection import require_rows
 
 
 def row_split(df: DataFrame, key: str, test_fraction: float = 0.2, seed: int = 42) -> DataFrame:
@@ -73,7 +75,7 @@ def training_table(
     categorical: list[str],
     response: str,
     ocean: str,
-    ocean_pixels: Column | int,
+    ocean_pixels: Column | int | DataFrame,
     ratio: tuple[float, float, float] = (0.7, 0.2, 0.1),
     seed: int = 42,
     years: list[int] | None = None,
@@ -84,7 +86,11 @@ def training_table(
     mean_std: dict[str, tuple[float, float]] | None = None,
     stage: str | None = None,
 ) -> tuple[DataFrame, list[str]]:
-    """Filter days, split them, impute and normalise; one row per (day, cell).
+    """Filter days, split them, impute and normalise; one row per (day, stored cell).
+
+    A day is kept if every input, numeric or categorical, and the response pass their
+    share of missing ocean cells; ``ocean_pixels`` may be a table by day. An empty selection of
+    years and a filter that leaves no day are errors.
 
     Adds ``split``, ``features`` (ARRAY<FLOAT>) and ``y``; the response keeps its
     missing values. Numeric inputs: per-cell training median where missing over the
@@ -92,18 +98,20 @@ def training_table(
     after each. Categorical inputs: 0 where missing. Returns the table and the feature
     names.
 
-    Statistics, medians and the table itself each read the kept rows. ``stage`` names a
-    folder to write them to once; without it every pass starts from the source again.
+    Statistics, medians and the table itself each read the kept rows, which are therefore
+    written once to ``stage``, a new shared folder if none is named.
     """
     if years is not None:
-        df = df.where(F.year("date").isin(list(years)))
+        df = require_rows(df.where(F.year("date").isin(list(years))), f"no data in the years {sorted(years)}")
     is_ocean = F.col(ocean).cast("boolean")
-    counts = missing_counts(df, numeric + [response], is_ocean, ocean_pixels)
-    kept = usable_days(counts, response, numeric, max_frac_response, max_frac_inputs)
+    inputs = [*numeric, *categorical]
+    counts = missing_counts(df, [*inputs, response], is_ocean, ocean_pixels)
+    stage = stage or shared_dir(df.sparkSession, "training")
+    kept = staged(usable_days(counts, response, inputs, max_frac_response, max_frac_inputs), f"{stage}-days")
+    kept = require_rows(kept, "no day is left after the day filter")
     # one row per calendar day, so the split table is small whatever the size of the cube
     rows = df.join(F.broadcast(time_split(kept, ratio, seed, contiguous)), "date")
-    if stage is not None:
-        rows = staged(rows, stage)
+    rows = staged(rows, stage)
     train = F.col("split") == "train"
     if mean_std is None:
         stats = train_stats(rows, numeric)

@@ -78,7 +78,7 @@ drawn AS (SELECT event_id, CAST(floor({u('t')} * (SELECT max(n) FROM axis)) AS B
  CAST(70 - last AS DOUBLE) + {u('y')} * last AS lat, -180.0 + {u('x')} * 324.0 AS lon, last FROM events, g)
 SELECT s.event_id, axis.date, s.lat, s.lon, c.chla_peak FROM drawn AS s JOIN axis ON axis.t = s.t
 JOIN cube_metrics AS c ON c.date = axis.date AND c.lat_idx = least(greatest(ceil(70 - s.lat - 0.5), 0), s.last)
- AND c.lon_idx = least(greatest(floor((s.lon + 180) / 36 + 0.5), 0), 9)
+ AND c.lon_idx = least(greatest(ceil((s.lon + 180) / 36 - 0.5), 0), 9)
 WHERE (c.lat_idx * 10 + c.lon_idx) % 7 <> 0"""
 
 

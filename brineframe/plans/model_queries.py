@@ -1,7 +1,10 @@
-"""Fitting and scoring with trained models (no SQL equivalent: rows are checked only).
+"""Fitting and scoring with trained models.
 
 Spectra come from the embeddings table; the response of each depth bin is derived from
 the label. Tree counts are small here, the operators default to the product's values.
+Boosted trees have no SQL equivalent, so those queries are checked by rows only. The ``stump_*``
+queries run the same operators with one tree of depth 1 on a two-valued band and without a
+validation share: such a model predicts group means, which SQL computes.
 """
 
 from __future__ import annotations
@@ -58,6 +61,11 @@ def depth_models(spark, d):
     return _FITTED[at]
 
 
+def forget_models() -> None:
+    """Drop the fitted models, so that the next query fits again."""
+    _FITTED.clear()
+
+
 @query("single_bin_model_fit", "M1 M8")
 def single_bin_model_fit(spark, d):
     rows = profiles(spark, d)
@@ -155,3 +163,92 @@ def reloaded_model_bundle(spark, d):
     test = T.split_rows(bundle.dataset, "test")
     scored = M.score_depths(test, bundle.models, bundle.meta["feature_cols"], linear=True)
     return scored.select("vec_id", *[F.get("chla", F.lit(i)).alias(f"chla_{i}") for i in range(3)])
+
+
+STUMP = {"max_iter": 1, "max_depth": 1}
+STUMP_BANDS = [400.0, 405.0]
+STUMP_FEATURES = FEATURES[:2]
+_LEVELS = {LABELS[0]: "(label + 1.0)", LABELS[1]: "((label + 1.0) * 0.5 + 1)", LABELS[2]: "CASE WHEN vec_id % 5 <> 0 THEN 11.0 - label END"}
+_STUMP = f"""px AS (SELECT *, CASE WHEN label % 2 = 1 THEN 1 ELSE 0 END AS flag, DATE '2024-01-01' + CAST(floor(vec_id / 100) * 10 AS INT) AS date,
+ CAST(floor(vec_id / 10) % 10 AS INT) AS lat_idx, CAST(vec_id % 10 AS INT) AS lon_idx,
+ {P.hash_sql('vec_id')} / 4294967296.0 < 0.2 AS test, {', '.join(f'{e} AS y{i}' for i, e in enumerate(_LEVELS.values()))} FROM embeddings),
+means AS (SELECT flag, {', '.join(f'avg(CASE WHEN y{i} > 0 THEN log10(y{i}) END) AS m{i}' for i in range(3))} FROM px WHERE NOT test GROUP BY 1)"""
+
+
+def stump_rows(spark, d):
+    """Pixels whose spectrum has one two-valued band, with the responses of ``profiles``."""
+    band = (F.col("level") % 2 == 0).cast("float")
+    pixels = spectra(spark, d).withColumn("rrs", F.array(band, F.lit(0.5).cast("float")))
+    wide = pixels.withColumns({c: F.get("rrs", F.lit(i)) for i, c in enumerate(STUMP_FEATURES)})
+    y = F.col("level")
+    rows = wide.withColumns({LABELS[0]: y, LABELS[1]: y * 0.5 + 1, LABELS[2]: F.when(F.col("vec_id") % 5 != 0, 12 - y)})
+    return T.row_split(rows, "vec_id")
+
+
+def stump_models(rows):
+    return M.fit_depth_models(T.split_rows(rows, "train"), LABELS, STUMP_FEATURES, "vec_id", validation=0.0, **STUMP)
+
+
+@query("training_rows_used", "M1 M2", f"""
+WITH {_STUMP} SELECT label, rows FROM (SELECT {', '.join(f"count(CASE WHEN y{i} > 0 THEN 1 END) AS {c}" for i, c in enumerate(LABELS))} FROM px WHERE NOT test)
+UNPIVOT (rows FOR label IN ({', '.join(LABELS)}))
+""")
+def training_rows_used(spark, d):
+    """A missing predictor costs no row: only the response counts."""
+    rows = profiles(spark, d).withColumn(FEATURES[0], F.when(F.col("vec_id") % 3 != 0, F.col(FEATURES[0])))
+    return M.training_rows_used(T.split_rows(rows, "train"), LABELS)
+
+
+@query("stump_single_depth", "M1 M4", f"""
+WITH {_STUMP} SELECT vec_id, m0 AS y_pred FROM px JOIN means USING (flag)
+""", doubles="y_pred", digits=4)
+def stump_single_depth(spark, d):
+    rows = stump_rows(spark, d)
+    train = M.assemble(T.split_rows(rows, "train"), STUMP_FEATURES, "vec_id", validation=0.0)
+    model = M.fit_bin(train, LABELS[0], **STUMP)
+    return M.score_one(rows, model, STUMP_FEATURES).select("vec_id", "y_pred")
+
+
+_PROFILE = ", ".join(f"pow(10, m{i}) AS chla_{i}" for i in range(3))
+
+
+@query("stump_row_profiles", "M2 M5 J9", f"""
+WITH {_STUMP} SELECT vec_id, {_PROFILE} FROM px JOIN means USING (flag) WHERE test
+""", doubles="chla_0 chla_1 chla_2", digits=3)
+def stump_row_profiles(spark, d):
+    rows = stump_rows(spark, d)
+    scored = M.score_depths(T.split_rows(rows, "test"), stump_models(rows), STUMP_FEATURES, linear=True)
+    return scored.select("vec_id", *[F.get("chla", F.lit(i)).alias(f"chla_{i}") for i in range(3)])
+
+
+@query("stump_day_profiles", "M3 J9 F8", f"""
+WITH {_STUMP} SELECT date, lat_idx, lon_idx, {', '.join(f"CASE WHEN vec_id % 7 <> 0 THEN pow(10, m{i}) END AS chla_{i}" for i in range(3))} FROM px JOIN means USING (flag)
+""", doubles="chla_0 chla_1 chla_2", texts="date", digits=3)
+def stump_day_profiles(spark, d):
+    rows = stump_rows(spark, d)
+    gappy = rows.select("vec_id", "date", "lat_idx", "lon_idx", F.when(F.col("vec_id") % 7 != 0, F.col("rrs")).alias("rrs"))
+    scored = M.score_spectra(gappy, stump_models(rows), STUMP_FEATURES, STUMP_BANDS, linear=True)
+    return scored.select("date", "lat_idx", "lon_idx", *[F.get("chla", F.lit(i)).alias(f"chla_{i}") for i in range(3)])
+
+
+@query("stump_daily_product", "M6 A6", f"""
+WITH {_STUMP}, p AS (SELECT date, lat_idx, lon_idx, {_PROFILE} FROM px JOIN means USING (flag))
+SELECT date, lat_idx, lon_idx, (chla_0 + chla_1 + chla_2) * 10 AS chla_int, greatest(chla_0, chla_1, chla_2) AS chla_peak,
+ CASE WHEN chla_0 >= greatest(chla_1, chla_2) THEN 5.0 WHEN chla_1 >= chla_2 THEN 15.0 ELSE 25.0 END AS chla_peak_depth FROM p
+""", doubles="chla_int chla_peak chla_peak_depth", texts="date", digits=2)
+def stump_daily_product(spark, d):
+    rows = stump_rows(spark, d)
+    out = M.daily_product(rows.select("date", "lat_idx", "lon_idx", "rrs"), stump_models(rows), STUMP_FEATURES, STUMP_BANDS)
+    names = [c for c in out.columns if c in ("chla_int_0_200", "chla_int")]
+    return out.select("date", "lat_idx", "lon_idx", F.col(names[0]).alias("chla_int"), "chla_peak", "chla_peak_depth")
+
+
+@query("stump_reloaded_bundle", "S13 J11 M3", f"""
+WITH {_STUMP} SELECT vec_id, {_PROFILE} FROM px JOIN means USING (flag) WHERE test
+""", doubles="chla_0 chla_1 chla_2", digits=3)
+def stump_reloaded_bundle(spark, d):
+    path, rows = shared_dir(spark), stump_rows(spark, d)
+    save_bundle(stump_models(rows), rows, STUMP_FEATURES, path, seed=M.SEED)
+    bundle = load_bundle(spark, path)
+    scored = M.score_depths(T.split_rows(bundle.dataset, "test"), bundle.models, bundle.meta["feature_cols"], linear=True)
+    return scored.select("vec_id", *[F.get("chla", F.lit(i)).alias(f"chla_{i}") for i in range(3)])

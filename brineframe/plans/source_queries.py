@@ -127,30 +127,29 @@ SELECT days.date, CASE WHEN done.date IS NOT NULL THEN 'done' WHEN message IS NO
 FROM days LEFT JOIN done ON done.date = days.date LEFT JOIN failed ON failed.date = days.date
 """, texts="date")
 def day_status(spark, d):
-    errors = P.events(spark, d, "ts", "event_type", "value", "user_id").where("event_type = 'error' AND value > 180")
+    errors = read_parquet(spark, f"{d}/events.parquet", columns=["ts", "event_type", "value", "user_id"], where="event_type = 'error' AND value > 180")
     failed = errors.select(F.col("ts").cast("date").alias("date"), F.concat(F.lit("error at "), "user_id").alias("message"))
     return M.day_status(P.days(spark, d), _done(spark, d), failed)
 
 
 @query("catalog_upsert", "S14", """
-WITH new AS (SELECT o_custkey AS item_id, max(o_totalprice) AS value FROM orders WHERE o_orderdate >= TIMESTAMP '1999-01-01' GROUP BY 1),
-old AS (SELECT c_custkey AS item_id, c_acctbal AS value, CAST(c_custkey % 3 AS INT) AS generation FROM customer WHERE c_custkey % 2 = 0)
+WITH new AS (SELECT o_custkey * 2 AS item_id, max(o_totalprice) AS value FROM orders GROUP BY 1),
+old AS (SELECT c_custkey AS item_id, c_acctbal AS value, CAST(c_custkey % 3 AS INT) AS generation FROM customer)
 SELECT old.item_id, old.value, old.generation FROM old WHERE old.item_id NOT IN (SELECT item_id FROM new)
 UNION ALL SELECT new.item_id, new.value, coalesce(old.generation, 3) FROM new LEFT JOIN old ON old.item_id = new.item_id
 """, doubles="value", digits=2)
 def catalog_upsert(spark, d):
-    customer = read_parquet(spark, f"{d}/customer.parquet", columns=["c_custkey", "c_acctbal"]).where("c_custkey % 2 = 0")
+    customer = read_parquet(spark, f"{d}/customer.parquet", columns=["c_custkey", "c_acctbal"])
     old = customer.select(
         F.col("c_custkey").alias("item_id"), F.col("c_acctbal").alias("value"), (F.col("c_custkey") % 3).cast("int").alias("generation")
     )
-    orders = read_parquet(spark, f"{d}/orders.parquet", columns=["o_custkey", "o_orderdate", "o_totalprice"])
-    recent = orders.where(F.col("o_orderdate") >= F.lit("1999-01-01").cast("timestamp_ntz"))
-    new = recent.groupBy(F.col("o_custkey").alias("item_id")).agg(F.max("o_totalprice").alias("value"))
+    orders = read_parquet(spark, f"{d}/orders.parquet", columns=["o_custkey", "o_totalprice"])
+    new = orders.groupBy((F.col("o_custkey") * 2).alias("item_id")).agg(F.max("o_totalprice").alias("value"))
     return catalog.upsert(old, new, "item_id")
 
 
 @query("attribute_defaults", "S12 F15", """
-WITH attrs AS (SELECT 'v' || p_partkey AS var, 'type' AS key, CASE WHEN p_size % 4 = 0 THEN ' ' ELSE p_type END AS value FROM part WHERE p_partkey % 5 <> 0
+WITH attrs AS (SELECT 'v' || p_partkey AS var, 'type' AS key, CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN p_size % 4 = 0 THEN ' ' ELSE p_type END AS value FROM part
  UNION ALL SELECT 'v' || p_partkey, 'brand', p_brand FROM part),
 defaults AS (SELECT 'v' || p_partkey AS var, 'type' AS key, 'STANDARD' AS value FROM part)
 SELECT coalesce(a.var, b.var) AS var, coalesce(a.key, b.key) AS key, coalesce(CASE WHEN trim(a.value) <> '' THEN a.value END, b.value) AS value
@@ -159,8 +158,8 @@ FROM attrs AS a FULL JOIN defaults AS b ON a.var = b.var AND a.key = b.key WHERE
 def attribute_defaults(spark, d):
     part = read_parquet(spark, f"{d}/part.parquet", columns=["p_partkey", "p_size", "p_type", "p_brand"])
     var = F.concat(F.lit("v"), "p_partkey").alias("var")
-    blank = F.when(F.col("p_size") % 4 == 0, " ").otherwise(F.col("p_type"))
-    types = part.where("p_partkey % 5 <> 0").select(var, F.lit("type").alias("key"), blank.alias("value"))
+    blank = F.when(F.col("p_partkey") % 5 == 0, None).when(F.col("p_size") % 4 == 0, " ").otherwise(F.col("p_type"))
+    types = part.select(var, F.lit("type").alias("key"), blank.alias("value"))
     brands = part.select(var, F.lit("brand").alias("key"), F.col("p_brand").alias("value"))
     defaults = part.select(var, F.lit("type").alias("key"), F.lit("STANDARD").alias("value"))
     return attributes.drop_keys(attributes.fill_defaults(types.unionByName(brands), defaults), ["brand"])
@@ -182,19 +181,47 @@ def published_cube_round_trip(spark, d):
     return store.read_cube(spark, root).select("date", "lat_idx", "lon_idx", *METRICS)
 
 
-@query("streamed_cube_round_trip", "T1 T2 S9 S10 S15", _PUBLISHED, doubles=" ".join(METRICS), texts="date", digits=3)
-def streamed_cube_round_trip(spark, d):
-    """The events table as landed granules, ingested as a stream into a new cube."""
-    root = shared_dir(spark)
-    source = f"{d}/events.parquet"
+def _cells(rows):
+    arrays = columns.depth_arrays(P.locate(rows), ["date", "lat_idx", "lon_idx"], P.CUBE_BINS)
+    return columns.column_metrics(arrays, P.CUBE_AXIS)
 
-    def cells(rows):
-        samples = P.locate(rows)
-        arrays = columns.depth_arrays(samples, ["date", "lat_idx", "lon_idx"], P.CUBE_BINS)
-        return columns.column_metrics(arrays, P.CUBE_AXIS)
 
+def _stream(spark, landing, root, schema, **kw):
+    """One run of the ingest over a landing folder of events."""
     ingest(
-        spark, source, spark.read.parquet(source).schema, cells, f"{root}/store", f"{root}/progress", n_lon=10,
-        prepare=lambda rows: rows.withColumn("date", F.col("ts").cast("date")),
+        spark, landing, schema, _cells, f"{root}/store", f"{root}/progress", n_lon=10,
+        prepare=lambda rows: rows.withColumn("date", F.col("ts").cast("date")), **kw,
     )
     return store.read_cube(spark, f"{root}/store").select("date", "lat_idx", "lon_idx", *METRICS)
+
+
+@query("streamed_cube_round_trip", "T1 S9 S10", _PUBLISHED, doubles=" ".join(METRICS), texts="date", digits=3)
+def streamed_cube_round_trip(spark, d):
+    """The events table as landed granules, ingested as a stream into a new cube."""
+    source = f"{d}/events.parquet"
+    return _stream(spark, source, shared_dir(spark), spark.read.parquet(source).schema)
+
+
+@query("streamed_many_part_files", "T1 S9 S15", _PUBLISHED, doubles=" ".join(METRICS), texts="date", digits=3)
+def streamed_many_part_files(spark, d):
+    """One delivery in eight files that all span all days, landing over several batches."""
+    root = shared_dir(spark)
+    events = read_parquet(spark, f"{d}/events.parquet")
+    events.repartition(8, "event_id").write.parquet(f"{root}/landing")
+    return _stream(spark, f"{root}/landing", root, events.schema, files_per_batch=3)
+
+
+_REDELIVERED = _PUBLISHED.replace("FROM events", "FROM (SELECT * REPLACE (CASE WHEN day(ts) % 3 = 0 THEN value * 2 ELSE value END AS value) FROM events)")
+
+
+@query("streamed_redelivery", "T2 S9 S10", _REDELIVERED, doubles=" ".join(METRICS), texts="date", digits=3)
+def streamed_redelivery(spark, d):
+    """A second delivery of some days replaces those days and no others; without force it would be skipped."""
+    root = shared_dir(spark)
+    events = read_parquet(spark, f"{d}/events.parquet")
+    named = {"delivery": F.element_at(F.split("_file", "/"), -2)}
+    events.repartition(3, "event_id").write.parquet(f"{root}/landing/first")
+    _stream(spark, f"{root}/landing", root, events.schema, **named)
+    again = events.where(F.dayofmonth("ts") % 3 == 0).withColumn("value", F.col("value") * 2)
+    again.repartition(2, "event_id").write.parquet(f"{root}/landing/second")
+    return _stream(spark, f"{root}/landing", root, events.schema, force=True, **named)

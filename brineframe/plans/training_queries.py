@@ -96,39 +96,45 @@ def train_cell_medians(spark, d):
     return T.pixel_medians(_rows(spark, d), ["chla", "aux"], usable)
 
 
-# ocean cells of the 20 x 36 grid under the mask rule
-OCEAN_CELLS = sum((i * 10 + j) % 7 != 0 for i in range(20) for j in range(36))
+# a mask that changes by day, with its ocean cells on the 20 x 36 grid by day of year modulo 7
+OCEAN_CELLS = [sum((i * 10 + j + r) % 7 != 0 for i in range(20) for j in range(36)) for r in range(7)]
+_OCEAN = "(lat_idx * 10 + lon_idx + dayofyear(date)) % 7 <> 0"
+_CELLS = f"CASE dayofyear(date) % 7 {' '.join(f'WHEN {r} THEN {n}' for r, n in enumerate(OCEAN_CELLS))} END"
 
-# a gappy input: aux counts as missing where it is small
+# gappy inputs: aux counts as missing where it is small, the categorical row_no on some whole days
 GAPPY = "CASE WHEN aux >= 0.01 THEN aux END"
-_TABLE = P.SHIP_CUBE + f""", facts AS (SELECT date, lat_idx, lon_idx, chla AS y, {GAPPY} AS aux, CAST(lat_idx AS DOUBLE) AS row_no,
- (lat_idx * 10 + lon_idx) % 7 <> 0 AS ocean_mask FROM ship_cube),
-seen AS (SELECT date, {OCEAN_CELLS} - count(CASE WHEN ocean_mask THEN y END) AS my, {OCEAN_CELLS} - count(CASE WHEN ocean_mask THEN aux END) AS ma FROM facts GROUP BY 1),
-kept AS (SELECT date FROM seen WHERE my < 0.999 * {OCEAN_CELLS} AND ma < 0.999 * {OCEAN_CELLS}), {SHUFFLED},
+_TABLE = P.SHIP_CUBE + f""", facts AS (SELECT date, lat_idx, lon_idx, chla AS y, {GAPPY} AS aux,
+ CASE WHEN dayofyear(date) % 11 <> 0 THEN CAST(lat_idx AS DOUBLE) END AS row_no, {_OCEAN} AS ocean_mask FROM ship_cube),
+seen AS (SELECT date, {_CELLS} AS o, count(CASE WHEN ocean_mask THEN y END) AS y, count(CASE WHEN ocean_mask THEN aux END) AS a,
+ count(CASE WHEN ocean_mask THEN row_no END) AS r, count(CASE WHEN ocean_mask THEN 1 END) AS k FROM facts GROUP BY 1),
+kept AS (SELECT date FROM seen WHERE o - least(y, a, r, k) < CAST(0.999 AS DOUBLE) * o), {SHUFFLED},
 rows_ AS (SELECT f.*, s.split FROM facts AS f JOIN splits AS s USING (date)),
 st AS (SELECT avg(aux) AS m, CASE WHEN stddev_pop(aux) = 0 THEN 1 ELSE stddev_pop(aux) END AS s FROM rows_ WHERE split = 'train'),
 g AS (SELECT quantile_cont(aux, 0.5) AS ga FROM rows_ WHERE split = 'train' AND ocean_mask),
 cells AS (SELECT lat_idx, lon_idx, coalesce(quantile_cont(CASE WHEN split = 'train' AND ocean_mask THEN aux END, 0.5), (SELECT ga FROM g), 0) AS med
  FROM rows_ GROUP BY 1, 2),
 table_ AS (SELECT r.date, r.lat_idx, r.lon_idx, r.split, r.ocean_mask, r.y,
- CASE WHEN ocean_mask THEN (coalesce(aux, med) - m) / s ELSE 0 END AS f0, CAST(aux IS NULL AND ocean_mask AS INT) AS f1, row_no AS f2, CAST(ocean_mask AS INT) AS f3
+ CASE WHEN ocean_mask THEN (coalesce(aux, med) - m) / s ELSE 0 END AS f0, CAST(aux IS NULL AND ocean_mask AS INT) AS f1, coalesce(row_no, 0) AS f2, CAST(ocean_mask AS INT) AS f3
  FROM rows_ AS r JOIN cells USING (lat_idx, lon_idx), st)"""
 
 
 def training_rows(spark, d):
-    facts = P.ship_cube(spark, d).select(
+    cube, day = P.ship_cube(spark, d), F.dayofyear("date")
+    ocean = (F.col("lat_idx") * 10 + F.col("lon_idx") + day) % 7 != 0
+    facts = cube.select(
         "date", "lat_idx", "lon_idx", F.col("chla").alias("y"), F.when(F.col("aux") >= 0.01, F.col("aux")).alias("aux"),
-        F.col("lat_idx").cast("double").alias("row_no"), P.is_ocean().cast("double").alias("ocean_mask"),
+        F.when(day % 11 != 0, F.col("lat_idx").cast("double")).alias("row_no"), ocean.cast("double").alias("ocean_mask"),
     )
+    pixels = cube.select("date").distinct().select("date", F.get(F.array(*[F.lit(n) for n in OCEAN_CELLS]), day % 7).alias("ocean"))
     return T.training_table(
-        facts, ["aux"], ["row_no", "ocean_mask"], "y", "ocean_mask", OCEAN_CELLS, missing_flags=True,
+        facts, ["aux"], ["row_no", "ocean_mask"], "y", "ocean_mask", pixels, missing_flags=True,
         max_frac_response=0.999, max_frac_inputs=0.999, stage=shared_dir(spark),
     )
 
 
 @query("normalised_training_table", "L7 A15 A17 A18 F9 F10", f"""
 WITH {_TABLE}
-SELECT split, lat_idx, count(*) AS n, avg(f0) AS f0, avg(f1) AS f1, avg(f2) AS f2, avg(f3) AS f3, avg(y) AS y FROM table_ GROUP BY 1, 2
+SELECT split, lat_idx, count(*) AS n, avg(f0) AS f0, avg(f1) AS f1, avg(f2) AS f2, avg(f3) AS f3, avg(CAST(CAST(y AS REAL) AS DOUBLE)) AS y FROM table_ GROUP BY 1, 2
 """, doubles="f0 f1 f2 f3 y", digits=4)
 def normalised_training_table(spark, d):
     table, names = training_rows(spark, d)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import SparkSession
 
@@ -38,13 +42,38 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder path below the cluster's shared ``spark.checkpoint.dir``.
+_FOLDERS: list[str] = []
 
-    Only where the session names none (tests, a laptop) a temporary folder is used.
+
+def shared_dir(spark: SparkSession, name: str = "stage", base: str | None = None) -> str:
+    """A fresh folder path below the shared folder of the cluster.
+
+    The folder is ``base`` if given, else ``spark.checkpoint.dir``, else the checkpoint
+    directory of the context. Where none is set, a session of one machine (tests, a laptop)
+    gets a temporary folder that is removed at exit; on a cluster it is an error,
+    because executors would write to their own disks. The session is not changed.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = base or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="brineframe-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = _own_folder()
+    _FOLDERS.append(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _FOLDERS[-1]
+
+
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    base = tempfile.mkdtemp(prefix="brineframe-")
+    atexit.register(shutil.rmtree, base, ignore_errors=True)
+    return base
+
+
+def release_shared_dirs(spark: SparkSession) -> int:
+    """Delete all folders that ``shared_dir`` gave out, when nothing reads them any more."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    while _FOLDERS:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_FOLDERS.pop())
+        gone += bool(path.getFileSystem(hadoop).delete(path, True))
+    return gone

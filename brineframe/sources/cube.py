@@ -74,7 +74,37 @@ def write_days(df: DataFrame, root: str, n_lon: int, codec: str = "zstd") -> Non
     )
 
 
+def _partition(spark: SparkSession, root: str, day):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/cells/date={day}")
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def day_files(spark: SparkSession, root: str, days: list) -> dict:
+    """Names of the stored files of each day: a listing of one partition per day."""
+    out = {}
+    for day in days:
+        path, fs = _partition(spark, root, day)
+        out[day] = sorted(f.getPath().getName() for f in fs.listStatus(path)) if fs.exists(path) else []
+    return out
+
+
+def clear_days(spark: SparkSession, root: str, days: list) -> None:
+    """Remove all cells of the days; dynamic overwrite leaves a day without new rows as it was."""
+    for day in days:
+        path, fs = _partition(spark, root, day)
+        fs.delete(path, True)
+
+
 def write_region(spark: SparkSession, df: DataFrame, root: str, n_lon: int) -> None:
     """Checked day replacement: every day must match exactly one entry of the time axis."""
     exact_day(df.select("date").distinct(), read_axis(spark, root, "time"))
     write_days(df, root, n_lon)
+
+
+def write_attributes(attrs: DataFrame, root: str) -> None:
+    """Store the attribute table (var, key, value) with the cube; "" stands for the cube itself."""
+    attrs.select("var", "key", "value").coalesce(1).write.mode("overwrite").parquet(f"{root}/attributes")
+
+
+def read_attributes(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.parquet(f"{root}/attributes")

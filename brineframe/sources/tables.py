@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from ..functions.missing import clean_floats
 from ..operators.quality import assert_unique
 
 
-def read_parquet(spark: SparkSession, *paths: str, columns: list[str] | None = None) -> DataFrame:
-    """Column-pruned Parquet scan; NaN becomes NULL."""
+def read_parquet(spark: SparkSession, *paths: str, columns: list[str] | None = None, where: str | Column | None = None) -> DataFrame:
+    """Column-pruned Parquet scan; NaN becomes NULL.
+
+    ``where`` is applied to the stored columns, so that it reaches the scan and skips row
+    groups, and again after the clean-up, because a NaN passes a comparison that NULL does not.
+    """
     df = spark.read.parquet(*paths)
+    if where is not None:
+        df = clean_floats(df.where(where)).where(where)
+        return df.select(*columns) if columns else df
     return clean_floats(df.select(*columns) if columns else df)
 
 

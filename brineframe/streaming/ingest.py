@@ -1,15 +1,17 @@
-"""Incremental daily ingest: each new granule becomes one replaced day of the cube."""
+"""Incremental daily ingest: each new delivery of a day replaces that day of the cube."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..sources.cube import write_days
+from ..functions.text import version_token
+from ..sources.cube import clear_days, day_files, write_days
 
 LEDGER = T.StructType([
     T.StructField("date", T.DateType()),
+    T.StructField("delivery", T.StringType()),
     T.StructField("batch", T.LongType()),
     T.StructField("status", T.StringType()),
     T.StructField("message", T.StringType()),
@@ -20,12 +22,19 @@ def read_ledger(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(LEDGER).parquet(f"{root}/ledger")
 
 
+def delivery_of_name(path: str = "_file") -> Column:
+    """Delivery of a landed file: the version token of its name, "" if it has none.
+
+    All files of a day with the same version are parts of one delivery, however many
+    there are.
+    """
+    return F.coalesce(version_token(F.element_at(F.split(F.col(path), "/"), -1)), F.lit(""))
+
+
 def newest_delivery(batch: DataFrame) -> DataFrame:
-    """When a day arrives in several files of one batch, the newest file is the day."""
-    files = batch.groupBy("date", "_file").agg(F.max("_mtime").alias("_mtime"))
-    newest = files.groupBy("date").agg(F.max(F.struct("_mtime", "_file"))["_file"].alias("_file"))
-    # one row per delivered day
-    return batch.join(F.broadcast(newest), ["date", "_file"], "left_semi")
+    """(date, delivery) of the delivery that counts for each day: the one with the newest file."""
+    parts = batch.groupBy("date", "_delivery").agg(F.max("_mtime").alias("_mtime"))
+    return parts.groupBy("date").agg(F.max(F.struct("_mtime", "_delivery"))["_delivery"].alias("_delivery"))
 
 
 def ingest(
@@ -38,56 +47,81 @@ def ingest(
     n_lon: int,
     prepare: Callable[[DataFrame], DataFrame] | None = None,
     force: bool = False,
+    delivery: Column | None = None,
+    files_per_batch: int | None = None,
 ) -> None:
-    """Process every landed granule once and stop (``availableNow``).
+    """Process every landed file once and stop (``availableNow``).
 
     ``prepare`` maps raw landed rows to rows with a ``date`` column (row by row);
-    ``transform`` maps the rows of whole days to cube cells.
-
-    Per micro-batch: keep the newest delivery of a day, drop days that an earlier batch
-    finished (unless ``force``), transform all remaining days in one job, overwrite
-    just those partitions, then append to the ledger. A batch that is replayed after a
-    failure finds no ledger entry of its own and rewrites the same days, so every day is
-    applied exactly once. If the batch fails, its days are retried one at a time and a
-    failing day is recorded without stopping the others.
+    ``transform`` maps the rows of whole days to cube cells. ``delivery`` names the delivery a
+    row belongs to, by the landed columns or ``_file`` (default: the version in the file name).
+
+    Per micro-batch: the newest delivery of a day counts, with all its files. A day finished
+    by another delivery is skipped (unless ``force``). A delivery of which a part was
+    finished before is done again from all its landed files, so late parts are never lost. All
+    days go through one job, exactly their partitions are replaced, a day left without a
+    valid cell is cleared, and the ledger is appended. A replayed batch rewrites the
+    same days, so every day is applied exactly once. If a batch fails, its days are halved until
+    the failing ones stand alone; those are recorded without stopping the others.
     """
     spark.createDataFrame([], LEDGER).write.mode("append").parquet(f"{root}/ledger")
 
+    def landed(reader) -> DataFrame:
+        raw = reader.schema(schema).option("recursiveFileLookup", "true")
+        if files_per_batch and reader is not spark.read:
+            raw = raw.option("maxFilesPerTrigger", files_per_batch)
+        rows = raw.parquet(landing).withColumns({"_file": F.col("_metadata.file_path"), "_mtime": F.col("_metadata.file_modification_time")})
+        rows = rows.withColumn("_delivery", F.coalesce(delivery_of_name() if delivery is None else delivery, F.lit("")))
+        return prepare(rows) if prepare else rows
+
     def record(days: DataFrame, batch_id: int, status: str, message: str | None = None) -> None:
         rows = days.select(
-            "date", F.lit(batch_id).cast("long").alias("batch"), F.lit(status).alias("status"),
-            F.lit(message).cast("string").alias("message"),
+            "date", F.col("_delivery").alias("delivery"), F.lit(batch_id).cast("long").alias("batch"),
+            F.lit(status).alias("status"), F.lit(message).cast("string").alias("message"),
         )
         rows.write.mode("append").parquet(f"{root}/ledger")
 
+    def replace(rows: DataFrame, pending: list, batch_id: int) -> None:
+        """Apply the pending (date, delivery) pairs; on failure, each half by itself."""
+        days = spark.createDataFrame(pending, "date date, _delivery string")
+        mine = rows.join(F.broadcast(days), ["date", "_delivery"], "left_semi").drop("_file", "_mtime", "_delivery")
+        dates = [d for d, _ in pending]
+        try:
+            before = day_files(spark, root, dates)
+            write_days(transform(mine), root, n_lon)
+            after = day_files(spark, root, dates)
+            clear_days(spark, root, [d for d in dates if before[d] and before[d] == after[d]])
+            record(days, batch_id, "done")
+        except Exception as err:  # noqa: BLE001 - isolate the failing days
+            if len(pending) == 1:
+                record(days, batch_id, "failed", str(err).splitlines()[0][:500])
+                return
+            half = len(pending) // 2
+            replace(rows, pending[:half], batch_id)
+            replace(rows, pending[half:], batch_id)
+
     def apply(batch: DataFrame, batch_id: int) -> None:
-        rows = newest_delivery(batch)
-        if not force:
-            done = read_ledger(spark, root).where((F.col("status") == "done") & (F.col("batch") != batch_id))
-            rows = rows.join(F.broadcast(done.select("date").distinct()), "date", "left_anti")
-        rows = rows.drop("_file", "_mtime").persist()
+        batch = batch.persist()
         try:
-            days = rows.select("date").distinct()
-            try:
-                write_days(transform(rows), root, n_lon)
-                record(days, batch_id, "done")
-            except Exception:  # noqa: BLE001 - isolate the failing day below
-                # the list of pending days: one short row per granule of this batch
-                for day in [r["date"] for r in days.collect()]:
-                    one = rows.where(F.col("date") == F.lit(day))
-                    this = spark.createDataFrame([(day,)], "date date")
-                    try:
-                        write_days(transform(one), root, n_lon)
-                        record(this, batch_id, "done")
-                    except Exception as err:  # noqa: BLE001
-                        record(this, batch_id, "failed", str(err).splitlines()[0][:500])
+            wanted = newest_delivery(batch.where(F.col("date").isNotNull()))
+            done = read_ledger(spark, root).where((F.col("status") == "done") & (F.col("batch") != batch_id))
+            known = done.groupBy("date").agg(F.collect_set("delivery").alias("_done"))  # a few per day
+            state = wanted.join(known, "date", "left").select(
+                "date", "_delivery", F.coalesce(F.array_contains("_done", F.col("_delivery")), F.lit(False)).alias("again"),
+                F.col("_done").isNotNull().alias("finished"))
+            # the calendar days of this batch: one short row each
+            todo = [(r["date"], r["_delivery"], r["again"]) for r in state.collect() if force or r["again"] or not r["finished"]]
+            fresh = [(d, v) for d, v, again in todo if not again]
+            again = [(d, v) for d, v, again in todo if again]
+            if fresh:
+                replace(batch, sorted(fresh), batch_id)
+            if again:
+                replace(landed(spark.read), sorted(again), batch_id)
         finally:
-            rows.unpersist()
+            batch.unpersist()
 
-    landed = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(landing)
-    landed = landed.withColumns({"_file": F.col("_metadata.file_path"), "_mtime": F.col("_metadata.file_modification_time")})
-    stream = prepare(landed) if prepare else landed
     query = (
-        stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(apply).start()
+        landed(spark.readStream).writeStream.option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).foreachBatch(apply).start()
     )
     query.awaitTermination()

@@ -13,7 +13,7 @@ from tests.oracle import compare, connect
 
 args = sys.argv[1:]
 sf_dir = args.pop(0) if args and "/" in args[0] else "/root/testdata/sf0.01"
-spark = local_session()
+spark = local_session(os.environ.get("CPUS", "8"))
 con = connect(sf_dir)
 bad = 0
 for name, q in all_queries().items():

@@ -165,9 +165,31 @@ def test_models_learn_and_blank_incomplete_rows(spark):
     # the deeper bin is larger everywhere, and stays so in the predictions
     assert scored.where(F.get("chla", F.lit(1)) <= F.col("p")).count() < 20
     gappy = df.limit(2).withColumn("b_405", F.when(F.col("k") != df.first()["k"], F.col("b_405")))
-    assert sorted(r["chla"] is None for r in ML.score_depths(gappy, models, feats).collect()) == [False, True]
-    assert ML.score_depths(gappy, models, feats, keep_incomplete=False).count() == 1
-    assert ML.incomplete_training_rows(gappy, feats).first()["dropped"] == 1
+    assert sorted(r["chla"] is None for r in ML.score_depths(gappy, models, feats, incomplete="blank").collect()) == [False, True]
+    assert ML.score_depths(gappy, models, feats, incomplete="drop").count() == 1
+    assert ML.score_depths(gappy, models, feats).where("chla is null").count() == 0
+
+
+def test_missing_predictors_and_early_stopping(spark):
+    """Rows with missing bands teach more than complete cases alone; boosting goes on while the error falls."""
+    from brineframe.operators import models as ML
+
+    rows = spark.range(1500).select(
+        F.col("id"), F.when(F.col("id") % 5 != 0, (F.col("id") * 37 % 101) / 101.0).alias("a"), F.when(F.col("id") % 5 != 1, (F.col("id") * 53 % 97) / 97.0).alias("b"))
+    rows = rows.withColumn("CHLA_0_10", 1 + F.coalesce("a", F.lit(3.0)) * 2 + F.coalesce("b", F.lit(0.1)))
+    train, test = rows.where("id % 4 > 0"), rows.where("id % 4 = 0")
+
+    def error(frame):
+        model = ML.fit_bin(ML.assemble(frame, ["a", "b"], "id"), "CHLA_0_10", max_iter=12, max_depth=3)
+        scored = ML.score_one(test, model, ["a", "b"], out="p")
+        return scored.select(F.avg(F.pow(F.col("p") - F.log10("CHLA_0_10"), 2))).first()[0], model
+
+    (all_rows, model), (complete, _) = error(train), error(train.where("a is not null and b is not null"))
+    assert all_rows < complete
+    assert model.getNumTrees == 12  # the error still fell
+    assert ML.first_trees(model, 5).getNumTrees == 5
+    assert ML.best_prefix([5, 4, 3.5, 3.6, 3.4] + [3.5] * 20) == 5
+    assert ML.best_prefix([5, 4, 3.5, 3.6, 3.4] + [3.5] * 20, patience=1) == 3
 
 
 # --- incremental ingest ------------------------------------------------------------------
@@ -184,11 +206,11 @@ def landing(spark, tmp_path):
         cells(spark, *entries).select("date", "lat_idx", "lon_idx", "chla").coalesce(1).write.parquet(str(folder / name))
         time.sleep(1.1)  # distinct modification times
 
-    def run(force=False, transform=lambda df: columns.column_metrics(df, AXIS)):
+    def run(force=False, transform=lambda df: columns.column_metrics(df, AXIS), **kw):
         from pyspark.sql.types import _parse_datatype_string
 
         ingest(spark, str(folder), _parse_datatype_string(SCHEMA), transform, str(tmp_path / "cube"),
-               str(tmp_path / "progress"), 4, force=force)
+               str(tmp_path / "progress"), 4, force=force, delivery=F.element_at(F.split("_file", "/"), -2), **kw)
 
     return deliver, run, str(tmp_path / "cube")
 
@@ -221,6 +243,39 @@ def test_newest_delivery_of_a_batch_wins(spark, landing):
     assert stored(spark, root) == [(1, 3, 3, 7.0)]
 
 
+def test_other_delivery_of_a_finished_day_is_skipped(spark, landing):
+    deliver, run, root = landing
+    deliver("a", (1, 0, 0, 1))
+    deliver("b", (1, 3, 3, 7), (1, 3, 2, 8))
+    run(files_per_batch=1)
+    assert stored(spark, root) == [(1, 0, 0, 1.0)]  # b is another delivery of a finished day
+    assert {r["delivery"] for r in read_ledger(spark, root).collect()} == {"a"}
+
+
+def test_late_part_of_a_delivery_is_merged(spark, landing, tmp_path):
+    from pyspark.sql.types import _parse_datatype_string
+
+    deliver, _, root = landing
+
+    def run():
+        ingest(spark, str(tmp_path / "landing"), _parse_datatype_string(SCHEMA), lambda df: columns.column_metrics(df, AXIS), root, str(tmp_path / "progress"), 4)
+
+    deliver("part1", (1, 0, 0, 1), (2, 0, 0, 5))
+    run()
+    deliver("part2", (1, 3, 3, 7))
+    run()  # same version: the day is done again from all its files
+    assert stored(spark, root) == [(1, 0, 0, 1.0), (1, 3, 3, 7.0), (2, 0, 0, 5.0)]
+
+
+def test_replacement_without_cells_clears_the_day(spark, landing):
+    deliver, run, root = landing
+    deliver("a", (1, 0, 0, 1), (2, 0, 0, 3))
+    run()
+    deliver("b", (1, 0, 0, 9))
+    run(force=True, transform=lambda df: columns.column_metrics(df.where("lat_idx > 5"), AXIS))
+    assert stored(spark, root) == [(2, 0, 0, 3.0)]
+
+
 def test_failing_day_does_not_stop_the_others(spark, landing):
     deliver, run, root = landing
     deliver("a", (1, 0, 0, 1), (2, 0, 0, -1))
