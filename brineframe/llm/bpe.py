@@ -202,14 +202,18 @@ class Codec:
         self.number: dict[str, int] = {}
         self.flat, self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def ids_of(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        flat, start, size = self.merger.many([b"" if p in self.added else p.encode() for p in pieces])
+        for i in [i for i, p in enumerate(pieces) if p in self.added]:
+            start[i], size[i] = len(flat), 1
+            flat = np.append(flat, np.int32(self.added[pieces[i]]))
+        return flat, start, size
+
     def _learn(self, pieces: set[str]) -> None:
         fresh = list(pieces.difference(self.number))
         if not fresh:
             return
-        flat, start, size = self.merger.many([b"" if p in self.added else p.encode() for p in fresh])
-        for i in [i for i, p in enumerate(fresh) if p in self.added]:
-            start[i], size[i] = len(flat), 1
-            flat = np.append(flat, np.int32(self.added[fresh[i]]))
+        flat, start, size = self.ids_of(fresh)
         self.number.update(zip(fresh, range(len(self.number), len(self.number) + len(fresh))))
         self.start = np.concatenate([self.start, start + len(self.flat)])
         self.size = np.concatenate([self.size, size])

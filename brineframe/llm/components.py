@@ -7,23 +7,12 @@ grows with the square of the logarithm of the largest component; nothing is coll
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from ..session import shared_dir
 from ..sources.tables import staged
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder that the session names; tests set one for themselves."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        import tempfile
-        base = tempfile.mkdtemp(prefix="brineframe-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _stars(links: DataFrame, large: bool) -> DataFrame:
     """links (hi, lo), hi > lo -> links to the smallest neighbour."""
     if large:
@@ -44,7 +33,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable; nodes without a link are absent."""
     spark = links.sparkSession
     links = links.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where("hi > lo").distinct()
-    links = staged(links, shared_folder(spark, "links"))
+    links = staged(links, shared_dir(spark, "links"))
     mark = None
     while True:
         now = links.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
@@ -53,6 +42,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         mark = now
         if not now[0]:
             break
-        links = staged(_stars(_stars(links, True), False), shared_folder(spark, "links"))
+        links = staged(_stars(_stars(links, True), False), shared_dir(spark, "links"))
     ends = links.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
     return ends.union(links.select(F.col("lo").alias("node"), F.col("lo").alias("component"))).distinct()

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, lines, repetition, similar, windows
+from . import bpe, credentials, ctw, decontaminate, licenses, lines, repetition, similar, tokens, windows
+from ..session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -99,6 +100,17 @@ FROM facts
 """
 
 
+@query
+def op3_secret_ownership(spark, sf_dir):
+    """Secrets in every document; values that many sources hold are told from owner-specific ones."""
+    found = credentials.secrets(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
+    base = F.filter("spans", lambda s: s["kind"] < 3)
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{credentials.KINDS[k]}") for k in range(3)]
+    return found.select(
+        "doc_id", *counts, F.sha2(credentials.digest(base), 256).alias("base_sha256"), credentials.digest(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", lambda s: ~s["copied"])).cast("long").alias("n_owner_specific"))
+
+
 @query
 def op4_line_winnowing(spark, sf_dir):
     """Lines of every document, how many of them repeat an earlier run, and what is left."""
@@ -163,6 +175,12 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@query
+def op6_context_tree_weighting(spark, sf_dir):
+    """Log probability of every document under the byte model, beside a word-count baseline."""
+    return ctw.scored(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_bpe_codec(spark, sf_dir):
     """Token ids of every document, and the text they decode to."""
@@ -172,6 +190,14 @@ def op7_bpe_codec(spark, sf_dir):
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query
+def op8_license_scan(spark, sf_dir):
+    """License notices in every document."""
+    found = licenses.licensed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    names = F.array_join(F.array_sort(F.array_distinct("licenses.license")), ",")
+    return found.select("doc_id", "n_words", F.size("licenses").cast("long").alias("n_matches"), names.alias("licenses"))
+
+
 @query
 def op9_prefix_join(spark, sf_dir):
     """Shingles of every document and the smallest document that links reach."""
@@ -198,10 +224,22 @@ FROM docs LEFT JOIN sizes USING (doc_id) JOIN reach ON reach.a = docs.doc_id GRO
 """
 
 
+@query
+def op10_token_files(spark, sf_dir):
+    """Token files written in the order of doc_id and read back."""
+    path = shared_dir(spark, "tokens")
+    tokens.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_file())
+    return tokens.checksums(tokens.read_tokens(spark, path))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    """Every query of this subpackage, the pipeline included."""
-    return dict(QUERIES)
+    """Every query of this subpackage, and the pipeline at the top of the repository."""
+    import corpus_pipeline
+
+    return QUERIES | {"pipeline": corpus_pipeline.run}
 
 
 def all_sql() -> dict[str, str]:
-    return dict(SQL)
+    import corpus_pipeline
+
+    return SQL | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -33,8 +33,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..sources.tables import staged
 from . import text as tx
-from .chunks import Layout, asked, bucket_order, consult, ordered, replies, texts_of
-from .components import components, shared_folder
+from .chunks import CHUNK, Layout, asked, bucket_order, consult, ordered, replies, texts_of
+from ..session import shared_dir
+from .components import components
 
 N = 4
 PERCENT = 85
@@ -81,9 +82,8 @@ def prefix_length(n: int, percent: int) -> int:
     return n - (-(-percent * n // 100)) + 1
 
 
-def sets_of(docs: DataFrame, n: int, percent: int, chunk_bytes: int | None) -> DataFrame:
+def sets_of(docs: DataFrame, n: int, percent: int, layout: Layout) -> DataFrame:
     """One row per document; prefix, group and body only where the prefix has a shared shingle, once per chunk and set."""
-    layout = Layout(docs, **({"chunk_bytes": chunk_bytes} if chunk_bytes else {}))
     buckets = layout.buckets(layout.bytes / 6)
     dealt = layout.deal(docs, "doc_id", "text")
 
@@ -153,20 +153,20 @@ def _fits(a: str, b: str, percent: int):
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (rest >= need)
 
 
-def similar_groups(docs: DataFrame, n: int = N, percent: int = PERCENT, chunk_bytes: int | None = None) -> DataFrame:
+def similar_groups(docs: DataFrame, n: int = N, percent: int = PERCENT, layout: Layout | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, component, key, first): key numbers the rows in the order of
     doc_id, ``first`` marks the smallest row of each component."""
     spark = docs.sparkSession
-    rows = staged(sets_of(docs, n, percent, chunk_bytes), shared_folder(spark, "sets"))
+    rows = staged(sets_of(docs, n, percent, layout or Layout(docs)), shared_dir(spark, "sets"))
     # one node per distinct set, numbered by its smallest row
-    nodes = rows.where("n > 0").groupBy("set").agg(F.min("key").alias("id"))
+    nodes = rows.where("n > 0").groupBy("set").agg(F.min("key").alias("id"), F.min_by("doc_id", "key").alias("doc"))
     posted = rows.where(F.col("body").isNotNull())
     once = posted.groupBy("set").agg(F.max_by(F.struct("n", "prefix", "grp", "body"), "key").alias("s")).select("set", "s.*")
-    sets = staged(once.join(nodes, "set").select("id", "n", "prefix", "grp", "body"), shared_folder(spark, "distinct"))
+    sets = staged(once.join(nodes.select("set", "id"), "set").select("id", "n", "prefix", "grp", "body"), shared_dir(spark, "distinct"))
     groups = sets.groupBy("grp").agg(F.min("id").alias("lead"), F.max("n").alias("n"), F.max_by("prefix", "id").alias("prefix"))
     posts = groups.select("grp", "lead", "n", F.explode("prefix").alias("p")).select("grp", "lead", "n", F.col("p.token").alias("token"), F.col("p.pos").alias("pos"))
     shared = posts.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("pos", "n", "grp", "lead")).alias("top")).where("c > 1")
-    posts = staged(posts.join(shared.select("token", "top"), "token"), shared_folder(spark, "posts"))
+    posts = staged(posts.join(shared.select("token", "top"), "token"), shared_dir(spark, "posts"))
     member = sets.select("grp", "id")
 
     # star: each list's groups against its leader, each group's sets against their first
@@ -175,18 +175,18 @@ def similar_groups(docs: DataFrame, n: int = N, percent: int = PERCENT, chunk_by
     star = star.where(_fits("l", "r", percent)).select("grp", "a").distinct().join(member, "grp").select("a", F.col("id").alias("b"))
     inner = sets.join(groups.select("grp", "lead"), "grp").where("id != lead").select(F.col("lead").alias("a"), F.col("id").alias("b"))
     pairs = star.union(inner).where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = staged(verified(pairs, sets, percent), shared_folder(spark, "verified"))
-    label = staged(components(links), shared_folder(spark, "labels"))
+    links = staged(verified(pairs, sets, percent), shared_dir(spark, "verified"))
+    label = staged(components(links), shared_dir(spark, "labels"))
 
     # rest: pairs across components
-    member = staged(member.join(label.withColumnRenamed("node", "id"), "id", "left").select("grp", "id", F.coalesce("component", "id").alias("comp")), shared_folder(spark, "members"))
+    member = staged(member.join(label.withColumnRenamed("node", "id"), "id", "left").select("grp", "id", F.coalesce("component", "id").alias("comp")), shared_dir(spark, "members"))
     in_group = member.groupBy("grp", "comp").agg(F.count("*").alias("c"))
     main = in_group.groupBy("grp").agg(F.max_by("comp", F.struct("c", "comp")).alias("comp"), F.count("*").alias("comps"), F.min("comp").alias("low"))
     tagged = posts.join(main.select("grp", "comp", "comps"), "grp")
     by_list = tagged.groupBy("token", "comp").agg(F.count("*").alias("c"), F.max("comps").alias("comps"))
     open_lists = by_list.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("k"), F.max("comps").alias("comps"))
     open_lists = open_lists.where((F.col("k") > 1) | (F.col("comps") > 1))
-    left_open = staged(tagged.join(open_lists.select("token", "main"), "token"), shared_folder(spark, "open"))
+    left_open = staged(tagged.join(open_lists.select("token", "main"), "token"), shared_dir(spark, "open"))
     outside = left_open.where((F.col("comp") != F.col("main")) | (F.col("comps") > 1)).select("token", F.struct("n", "pos").alias("l"), F.col("grp").alias("g"), F.col("comp").alias("c"), F.col("comps").alias("k"))
     other = left_open.select("token", F.struct("n", "pos").alias("r"), F.col("grp").alias("h"), F.col("comp").alias("d"), F.col("comps").alias("m"))
     crossing = (F.col("c") != F.col("d")) | (F.col("k") > 1) | (F.col("m") > 1)
@@ -196,12 +196,27 @@ def similar_groups(docs: DataFrame, n: int = N, percent: int = PERCENT, chunk_by
     side = lambda g, i, c: member.select(F.col("grp").alias(g), F.col("id").alias(i), F.col("comp").alias(c))
     rest = met.union(within).join(side("g", "a", "ca"), "g").join(side("h", "b", "cb"), "h").where("ca != cb")
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = staged(verified(rest, sets, percent), shared_folder(spark, "verified"))
+    more = staged(verified(rest, sets, percent), shared_dir(spark, "verified"))
     label = components(links.union(more))
 
-    named = nodes.join(label.withColumnRenamed("node", "id"), "id", "left").select("set", F.coalesce("component", "id").alias("component"))
-    full = rows.select("key", "doc_id", "n", "set").join(named, "set", "left").withColumn("component", F.coalesce("component", "key"))
-    full = staged(full.select("key", "doc_id", "n", "component"), shared_folder(spark, "rows"))
-    least = full.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min("key").alias("first"))
-    return full.join(least, "component").select(
-        "doc_id", F.col("n").alias("n_shingles"), "component_id", "component", "key", (F.col("key") == F.col("first")).alias("first"))
+    # keys follow doc_ids, so the smallest row of a component names it
+    label = label.join(nodes.select(F.col("id").alias("component"), F.col("doc").alias("name")), "component")
+    named = nodes.join(label.withColumnRenamed("node", "id"), "id", "left").select(
+        "set", F.coalesce("component", "id").alias("component"), F.when(F.col("component").isNull(), F.col("doc")).otherwise(F.col("name")).alias("component_id"))
+    full = rows.select("key", "doc_id", "n", "set").join(named, "set", "left")
+    alone = F.col("component").isNull()  # no shingle
+    return full.select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.coalesce("component", "key").alias("component"), "key", (F.col("key") == F.coalesce("component", "key")).alias("first"))
+
+
+def one_of_each(docs: DataFrame, n: int = N, percent: int = PERCENT, chunk_bytes: int | None = None) -> DataFrame:
+    """The first document (in the order of doc_id) of every group, columns unchanged."""
+    layout = Layout(docs, **({"chunk_bytes": chunk_bytes} if chunk_bytes else {}))
+    found = similar_groups(docs, n, percent, layout=layout)
+    keep = found.where("first").select(F.shiftright("key", 32).alias(CHUNK), F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)).alias("row"))
+
+    def pick(key, rows, kept):
+        return ordered(rows).take(kept.column("row").combine_chunks().sort()).drop_columns([CHUNK])
+
+    return layout.deal(docs).groupBy(CHUNK).cogroup(keep.groupBy(CHUNK)).applyInArrow(pick, docs.schema)
