@@ -8,7 +8,7 @@ advance in step as NumPy arrays (``Merger.many``); a very long piece has a tree
 
 The vocabulary is a parameter: the JSON file is read once on the driver and broadcast (its
 size does not depend on the data). Texts are encoded whole, where they lie; nothing is shuffled.
-Encoded pieces are remembered per worker; the memory is emptied at ``REMEMBERED`` pieces.
+Encoded pieces are remembered per task; the memory is emptied at ``REMEMBERED`` pieces.
 
 Defined cases: a null text encodes like an empty one, to no ids; strings of added tokens in a
 text become their ids; decoding replaces invalid UTF-8 by U+FFFD. A column named like a
@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import json
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +26,13 @@ import pyarrow.compute  # noqa: F401
 import regex
 from pyspark.sql import DataFrame, types as T
 
+from .text import BLOCK_BYTES, release_memory, span_hashes
+
 # fixed value: how byte-level BPE splits text
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NONE = np.iinfo(np.int64).max
 EMPTY = np.iinfo(np.int32).max  # of a tree: no pair to merge
-REMEMBERED = 1_000_000  # pieces, some 200 MB
+REMEMBERED = 1_000_000  # pieces, some 40 MB
 LONG = 256
 STEP = 1 << 16
 
@@ -179,77 +180,154 @@ class Merger:
         return np.array([s for s in symbol if s >= 0], np.int32)
 
 
+OTHER, LETTER, NUMBER, SPACE, END = range(5)
+
+
+@lru_cache(maxsize=1)
+def char_kinds() -> np.ndarray:
+    """Kind of every code point, by the classes of PATTERN."""
+    every = "".join(chr(i) if not 0xD800 <= i < 0xE000 else " " for i in range(0x110000))
+    kinds = np.full(0x110000, OTHER, np.uint8)
+    for kind, wanted in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
+        for m in regex.finditer(wanted, every):
+            kinds[m.start():m.end()] = kind
+    kinds[0xD800:0xE000] = OTHER
+    return kinds
+
+
+def piece_starts(chars: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Mask of the places where PATTERN starts a piece; texts are closed by one END each.
+
+    A piece is a run of one kind, with the blank before it. Of white space before anything
+    else the last character stands alone or, a blank, belongs to the next piece. An apostrophe
+    that starts a piece takes a contraction's letters with it.
+    """
+    before, last = np.empty_like(kinds), np.zeros(len(kinds), bool)
+    before[0], before[1:] = END, kinds[:-1]
+    blank = np.zeros(len(kinds), bool)
+    blank[1:] = chars[:-1] == 32
+    change = kinds != before
+    starts = change & ((kinds == SPACE) | ~blank)
+    last[:-1] = (kinds[:-1] == SPACE) & change[1:] & (kinds[1:] != END)
+    starts |= last
+    starts |= kinds == END
+    at = np.flatnonzero((chars == 39) & change & ~blank)
+    if len(at):
+        n = len(chars)
+        one, two = chars[np.minimum(at + 1, n - 1)], chars[np.minimum(at + 2, n - 1)]
+        short = np.isin(one, [ord(c) for c in "stmd"])
+        long = np.zeros(len(at), bool)
+        for x, y in ("re", "ve", "ll"):
+            long |= (one == ord(x)) & (two == ord(y))
+        starts[at[short | long] + 1] = False
+        starts[at[short] + 2] = True
+        starts[at[long] + 3] = True
+    return starts
+
+
 class Codec:
-    """Encoder and decoder of one tokenizer file."""
+    """Encoder of one tokenizer file."""
 
     def __init__(self, content: str):
         spec = json.loads(content)
         vocabulary = spec["model"]["vocab"]
         self.merger = Merger(vocabulary, spec["model"]["merges"])
-        self.split = regex.compile(PATTERN).findall
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
         longest = sorted(self.added, key=len, reverse=True)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, longest)) + ")") if longest else None
-        letters = self.merger.letters
-        self.bytes = [b""] * (max([*vocabulary.values(), *self.added.values()]) + 1)
-        for token, i in vocabulary.items():
-            self.bytes[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
-        for token, i in self.added.items():
-            self.bytes[i] = token.encode()
         self._forget()
 
     def _forget(self) -> None:
-        self.number: dict[str, int] = {}
+        self.known = np.zeros(0, np.uint64)  # hashes of remembered pieces, ascending
         self.flat, self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def ids_of(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        flat, start, size = self.merger.many([b"" if p in self.added else p.encode() for p in pieces])
-        for i in [i for i, p in enumerate(pieces) if p in self.added]:
-            start[i], size[i] = len(flat), 1
-            flat = np.append(flat, np.int32(self.added[pieces[i]]))
-        return flat, start, size
-
-    def _learn(self, pieces: set[str]) -> None:
-        fresh = list(pieces.difference(self.number))
-        if not fresh:
-            return
-        flat, start, size = self.ids_of(fresh)
-        self.number.update(zip(fresh, range(len(self.number), len(self.number) + len(fresh))))
-        self.start = np.concatenate([self.start, start + len(self.flat)])
-        self.size = np.concatenate([self.size, size])
+        """Ids of pieces, and where each piece's begin and how many they are."""
+        return self.merger.many([p.encode() for p in pieces])
+
+    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
+        """Remember pieces by their ascending hashes."""
+        flat, start, size = self.ids_of(pieces)
+        at = np.searchsorted(self.known, hashes)
+        self.known = np.insert(self.known, at, hashes)
+        self.start = np.insert(self.start, at, start + len(self.flat))
+        self.size = np.insert(self.size, at, size)
         self.flat = np.concatenate([self.flat, flat])
 
-    def pieces(self, text: str) -> list[str]:
-        if self.marks is None or not any(t in text for t in self.added):
-            return self.split(text)
-        out: list[str] = []
-        for part in self.marks.split(text):
-            out.extend([part] if part in self.added else self.split(part))
-        return out
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids end to end, and where each text's begin (one more entry for the end)."""
-        if len(self.number) > REMEMBERED:
+    def _runs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts without added tokens, end to end, and where each text's begin."""
+        joined = "\0".join([*texts, ""])
+        chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kinds = char_kinds()[chars]
+        ends = np.cumsum([len(t) + 1 for t in texts]) - 1
+        kinds[ends] = END
+        first = np.flatnonzero(piece_starts(chars, kinds))
+        last = np.append(first[1:], len(chars))
+        real = kinds[first] != END
+        text = np.searchsorted(ends, first[real])
+        first, last = first[real], last[real]
+        distinct, example, number = np.unique(span_hashes(chars, first, last), return_index=True, return_inverse=True)
+        if len(self.known) > REMEMBERED:
             self._forget()
-        cut = [self.pieces(t) if t else [] for t in texts]
-        self._learn(set().union(*cut) if cut else set())
-        at = np.concatenate([[0], np.cumsum([len(c) for c in cut])])
-        number = np.fromiter(map(self.number.__getitem__, chain.from_iterable(cut)), np.int64, at[-1])
-        first, size = self.start[number], self.size[number]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        ids = self.flat[np.repeat(first - ends[:-1], size) + np.arange(ends[-1])]
-        return ids, ends[at]
+        at = np.minimum(np.searchsorted(self.known, distinct), max(0, len(self.known) - 1))
+        fresh = np.flatnonzero(self.known[at] != distinct) if len(self.known) else np.arange(len(distinct))
+        if len(fresh):
+            self._learn(distinct[fresh], [joined[a:b] for a, b in zip(first[example[fresh]].tolist(), last[example[fresh]].tolist())])
+            at = np.searchsorted(self.known, distinct)
+        at = at[number]
+        size = self.size[at]
+        place = np.concatenate([[0], np.cumsum(size)])
+        ids = self.flat[np.repeat(self.start[at] - place[:-1], size) + np.arange(place[-1])]
+        return ids, place[np.searchsorted(text, np.arange(len(texts) + 1))]
+
+    def _block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if self.marks is None or not any(m in t for t in texts for m in self.added):
+            return self._runs(texts)
+        parts, owner = [], []
+        for i, t in enumerate(texts):
+            cut = self.marks.split(t)
+            parts += cut
+            owner += [i] * len(cut)
+        ids, at = self._runs(["" if p in self.added else p for p in parts])
+        marked = [k for k, p in enumerate(parts) if p in self.added]
+        ids = np.insert(ids, at[marked], [self.added[parts[k]] for k in marked])
+        size = np.diff(at)
+        size[marked] = 1
+        return ids, np.concatenate([[0], np.cumsum(np.bincount(owner, size, len(texts)))]).astype(np.int64)
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids end to end, and where each text's begin (one more entry for the end)."""
+        texts = [t or "" for t in texts]
+        ids, at, done = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], 0
+        first, size = 0, 0
+        for i, t in enumerate([*texts, None]):
+            if i > first and (t is None or size + len(t) > 4 * BLOCK_BYTES):
+                part, place = self._block(texts[first:i])
+                ids.append(part)
+                at.append(done + place[1:])
+                done += len(part)
+                first, size = i, 0
+            size += 0 if t is None else len(t)
+        return np.concatenate(ids), np.concatenate(at)
+
+
+class Decoder:
+    """Texts of ids of one tokenizer file."""
+
+    def __init__(self, content: str):
+        spec = json.loads(content)
+        vocabulary, added, letters = spec["model"]["vocab"], spec.get("added_tokens") or [], byte_letters()
+        self.bytes = [b""] * (max([*vocabulary.values(), *(t["id"] for t in added)]) + 1)
+        for token, i in vocabulary.items():
+            self.bytes[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
+        for t in added:
+            self.bytes[t["id"]] = t["content"].encode()
 
     def decode(self, ids: list[int]) -> str:
         return b"".join([self.bytes[i] for i in ids]).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
-def codec(content: str) -> Codec:
-    return Codec(content)
-
-
-def text_slices(batch: pa.RecordBatch, text: str, limit: int = 1 << 21):
+def text_slices(batch: pa.RecordBatch, text: str, limit: int = 1 << 20):
     """Slices of a batch that hold some MB of text."""
     size = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
     part = np.cumsum(size) // limit
@@ -269,7 +347,8 @@ def encoded(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     schema = T.StructType(docs.schema.fields + [T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches):
-        own = codec(sent.value)
+        release_memory()
+        own = Codec(sent.value)  # of this task alone: a worker that lives on keeps none of it
         for whole in batches:
             for batch in text_slices(whole, text):
                 ids, at = own.encode(batch.column(text).to_pylist())
@@ -287,10 +366,11 @@ def decoded(tokens: DataFrame, tokenizer: str, ids: str = "ids") -> DataFrame:
     schema = T.StructType(tokens.schema.fields + [T.StructField("decoded", T.StringType())])
 
     def run(batches):
-        own = codec(sent.value)
+        release_memory()
+        own = Decoder(sent.value)
         for whole in batches:
-            for i in range(0, whole.num_rows, 512):
-                batch = whole.slice(i, 512)
+            for i in range(0, whole.num_rows, 256):
+                batch = whole.slice(i, 256)
                 text = [None if x is None else own.decode(x) for x in (v.values.to_pylist() if v.is_valid else None for v in batch.column(ids))]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string())], names=[*batch.schema.names, "decoded"])
 

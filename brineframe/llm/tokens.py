@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from . import bpe
+from .text import release_memory
 
 END_ID = 0
 ROW_GROUP_BYTES = 16 << 20
@@ -59,17 +60,6 @@ class Library(bpe.Codec):
         return np.concatenate(parts), np.cumsum(number) - number, number
 
 
-_LIBRARIES: dict[int, Library] = {}
-
-
-def library(content: str) -> Library:
-    key = hash(content)
-    if key not in _LIBRARIES:
-        _LIBRARIES.clear()
-        _LIBRARIES[key] = Library(content)
-    return _LIBRARIES[key]
-
-
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, part_bytes: int = PART_BYTES) -> None:
     """Write the ids of all documents below ``path``/tokens, and ``path``/index."""
     spark = docs.sparkSession
@@ -81,7 +71,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, key).sortWithinPartitions(key, F.col("text").asc_nulls_last())
 
     def run(batches):
-        own, first = library(sent.value), 0
+        release_memory()
+        own, first = Library(sent.value), 0
         for whole in batches:
             for batch in bpe.text_slices(whole, "text"):
                 ids, at = own.encode(batch.column("text").to_pylist())
