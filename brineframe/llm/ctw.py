@@ -34,11 +34,11 @@ from . import text as tx
 from .chunks import ANSWERED, ASKED, CHUNK, Layout, bucket_order, ordered, texts_of
 from ..session import shared_dir
 
-DEPTH = 4
+DEPTH = 5
 CHUNK_BYTES = 8 << 20
 END = 0xFF
 END_WORD = np.uint64(0x5EED0FE0D0F7E875)  # key of the end token among the words
-FLUSH = 1_500_000
+FLUSH = 600_000
 U = np.uint64
 HALF = np.log(0.5)
 
@@ -66,6 +66,16 @@ def counted(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.nda
     return distinct, np.bincount(inverse, weights, len(distinct)).astype(np.int64)
 
 
+def numbered(keys: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, and for every key its number among them and its text."""
+    distinct, number = np.unique(keys, return_inverse=True)
+    return distinct, number.astype(np.int32), owner.astype(np.int32)
+
+
+def together(parts: list[np.ndarray]) -> np.ndarray:
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *parts]))
+
+
 def lgamma(x: np.ndarray) -> np.ndarray:
     """Logarithm of the gamma function, by Stirling's series after a shift of 8."""
     y = x + 8.0
@@ -144,14 +154,15 @@ class Counter:
     """Adds up keys and counts, and now and then folds them."""
 
     def __init__(self):
-        self.parts, self.size = [], 0
+        self.parts, self.size, self.limit = [], 0, FLUSH
 
     def add(self, keys, counts):
         self.parts.append((keys, counts))
         self.size += len(keys)
-        if self.size > FLUSH and len(self.parts) > 1:
+        if self.size > self.limit:
             self.parts = [self.result()]
             self.size = len(self.parts[0][0])
+            self.limit = FLUSH + 2 * self.size  # so that folding stays in proportion
 
     def result(self):
         if not self.parts:
@@ -187,6 +198,7 @@ class Plan:
 def trained_counts(docs: DataFrame, plan: Plan, depth: int) -> DataFrame:
     """(bucket, keys, counts, v, n): counts of the training texts' words and n-grams, one row per bucket."""
     def count(batches):
+        tx.release_memory()
         words, bytes_ = Counter(), Counter()
         for whole in batches:
             for i in range(0, whole.num_rows, 256):
@@ -200,6 +212,7 @@ def trained_counts(docs: DataFrame, plan: Plan, depth: int) -> DataFrame:
         yield from plan.rows(0, w, g, (wc, gc)).to_batches()
 
     def add(table):
+        tx.release_memory()
         keys, counts = counted(np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]),
                                np.concatenate([np.frombuffer(x, np.int64) for x in table.column("extra").to_pylist()]))
         return pa.table({"bucket": table.column("bucket").slice(0, 1), "keys": pa.array([keys.tobytes()], pa.binary()), "counts": pa.array([counts.tobytes()], pa.binary()),
@@ -245,17 +258,14 @@ def scored(docs: DataFrame, depth: int = DEPTH, chunk_bytes: int = CHUNK_BYTES)
     above = spark.sparkContext.broadcast(upper_levels(totals, plan, depth))
     dealt = layout.deal(docs, "doc_id", "text")
 
-    def of_chunk(texts):
-        words, bytes_ = Counter(), Counter()
-        for a, b in tx.blocks(texts):
-            words.add(*counted(words_and_marks(texts[a:b])[0]))
-            bytes_.add(*counted(grams(texts[a:b], depth)[0]))
-        return words.result()[0], bytes_.result()[0]
-
     def ask(key, rows):
-        return plan.rows(key[0].as_py(), *of_chunk(texts_of(rows)))
+        tx.release_memory()
+        texts = texts_of(rows)
+        cut = [texts[a:b] for a, b in tx.blocks(texts)]
+        return plan.rows(key[0].as_py(), together([np.unique(words_and_marks(t)[0]) for t in cut]), together([np.unique(grams(t, depth)[0]) for t in cut]))
 
     def answer(key, questions, known):
+        tx.release_memory()
         keys = np.frombuffer(known.column("keys")[0].as_py(), np.uint64) if known.num_rows else np.zeros(0, np.uint64)
         counts = np.frombuffer(known.column("counts")[0].as_py(), np.int64) if known.num_rows else np.zeros(0, np.int64)
         asked = [np.frombuffer(x, np.uint64) for x in questions.column("keys").to_pylist()]
@@ -276,9 +286,12 @@ def scored(docs: DataFrame, depth: int = DEPTH, chunk_bytes: int = CHUNK_BYTES)
         return pa.table({"chunk": questions.column("chunk"), "bucket": questions.column("bucket"), "reply": pa.array([v.tobytes() for v in values], pa.binary())})
 
     def decide(key, rows, answers):
+        tx.release_memory()
         rows = ordered(rows)
         texts, ids = texts_of(rows), rows.column("doc_id").cast(pa.int64())
-        words, bytes_ = of_chunk(texts)
+        cut = [texts[a:b] for a, b in tx.blocks(texts)]
+        own_words, own_grams = [numbered(*words_and_marks(t)) for t in cut], [numbered(*grams(t, depth)) for t in cut]
+        words, bytes_ = together([x[0] for x in own_words]), together([x[0] for x in own_grams])
         got = answers.sort_by("bucket")
         which, reply = got.column("bucket").to_numpy(), got.column("reply").to_pylist()
         seen = np.empty(len(words), np.int64)
@@ -287,15 +300,13 @@ def scored(docs: DataFrame, depth: int = DEPTH, chunk_bytes: int = CHUNK_BYTES)
         logs[bucket_order(hash_context(bytes_, plan.grams), plan.grams)[0]] = np.frombuffer(b"".join(r for r, w in zip(reply, which) if w >= plan.words), np.float64)
         worth = np.log10((seen + 1) / (tokens + distinct + 1))
         n_tokens, n_known, base, score, size = ([] for _ in range(5))
-        for a, b in tx.blocks(texts):
-            w, owner = words_and_marks(texts[a:b])
-            at = np.searchsorted(words, w)
-            n_tokens.append(np.bincount(owner, minlength=b - a))
-            n_known.append(np.bincount(owner, seen[at] > 0, b - a).astype(np.int64))
-            base.append(np.bincount(owner, worth[at], b - a))
-            g, owner = grams(texts[a:b], depth)
-            score.append(np.bincount(owner, logs[np.searchsorted(bytes_, g)], b - a))
-            size.append(np.bincount(owner, minlength=b - a) - 1)
+        for part, (w, number, owner), (g, place, writer) in zip(cut, own_words, own_grams):
+            at = np.searchsorted(words, w)[number]
+            n_tokens.append(np.bincount(owner, minlength=len(part)))
+            n_known.append(np.bincount(owner, seen[at] > 0, len(part)).astype(np.int64))
+            base.append(np.bincount(owner, worth[at], len(part)))
+            score.append(np.bincount(writer, logs[np.searchsorted(bytes_, g)][place], len(part)))
+            size.append(np.bincount(writer, minlength=len(part)) - 1)
         n_tokens, n_known, base, score, size = (np.concatenate(x) for x in (n_tokens, n_known, base, score, size))
         return pa.table({"doc_id": ids, "held_out": pa.array(is_held_out(ids.to_pylist())), "n_tokens": n_tokens, "n_known": n_known,
                          "train_tokens": np.full(len(texts), tokens, np.int64), "base_score": base, "score": score, "n_bytes": size,
