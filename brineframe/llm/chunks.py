@@ -21,8 +21,10 @@ import pyarrow.compute as pc
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, functions as F
 
+from . import text as tx
+
 CHUNK_BYTES = 4 << 20
-KEYS_PER_BUCKET = 2_000_000
+KEYS_PER_BUCKET = 1_000_000
 CHUNK = "__chunk"
 ASKED = "bucket int, chunk long, keys binary, extra binary"
 ANSWERED = "chunk long, bucket int, reply binary"
@@ -53,7 +55,7 @@ class Layout:
         edges = [-float("inf"), *(self.bounds or [0.0]), float("inf")]
         cut = Bucketizer(splits=edges, inputCol="__key", outputCol="__at", handleInvalid="keep")
         df = cut.transform(df.withColumn("__key", F.col(self.key).cast("double")))
-        df = df.withColumn(CHUNK, F.col("__at").cast("long")).drop("__key", "__at")
+        df = df.withColumn(CHUNK, F.coalesce(F.col("__at").cast("long"), F.lit(len(edges) - 1))).drop("__key", "__at")
         parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         return df.repartition(parts, CHUNK)
 
@@ -99,8 +101,14 @@ def replies(table: pa.Table) -> list[bytes]:
 
 def consult(dealt: DataFrame, ask: Callable, answer: Callable, decide: Callable, schema) -> DataFrame:
     """ask(chunk, rows) -> questions; answer(bucket rows) -> answers; decide(chunk, rows, answers) -> result."""
-    questions = dealt.groupBy(CHUNK).applyInArrow(lambda k, t: ask(k[0].as_py(), t), ASKED)
-    answers = questions.groupBy("bucket").applyInArrow(answer, ANSWERED)
+    questions = dealt.groupBy(CHUNK).applyInArrow(lambda k, t: lean(ask, k[0].as_py(), t), ASKED)
+    answers = questions.groupBy("bucket").applyInArrow(lambda t: lean(answer, t), ANSWERED)
     answers = answers.withColumnRenamed("chunk", CHUNK)
     return dealt.groupBy(CHUNK).cogroup(answers.groupBy(CHUNK)).applyInArrow(
-        lambda k, left, right: decide(k[0].as_py(), left, right), schema)
+        lambda k, left, right: lean(decide, k[0].as_py(), left, right), schema)
+
+
+def lean(step: Callable, *args) -> pa.Table:
+    """The step's result, with the memory of the step before it given back."""
+    tx.release_memory()
+    return step(*args)

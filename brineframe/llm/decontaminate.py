@@ -25,6 +25,8 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .text import release_memory
+
 K = 10
 PART_BYTES = 8 << 20
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -138,14 +140,15 @@ def decontaminated(docs: DataFrame, items: DataFrame, k: int = K, text: str = "t
         sent = spark.sparkContext.broadcast(dict(owners))
 
         def scan(batches, sent=sent):
+            release_memory()
             known = sent.value
             by_length = defaultdict(list)
             for p in known:
                 by_length[len(p)].append(p)
             tables = [WuManber(ps, n) for n, ps in sorted(by_length.items())]
             for batch in batches:
-                for a in range(0, batch.num_rows, 1024):
-                    yield search(batch.slice(a, 1024), text, tables, known)
+                for a in range(0, batch.num_rows, 512):
+                    yield search(batch.slice(a, 512), text, tables, known)
 
         out = out.mapInArrow(scan, out.schema)
     return out

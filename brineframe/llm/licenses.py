@@ -139,6 +139,7 @@ def licensed(docs: DataFrame, templates: dict[str, str] = TEMPLATES, text: str =
     kind = pa.list_(pa.struct([("license", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("percent", pa.int32())]))
 
     def run(batches):
+        tx.release_memory()
         own = classes(templates)
         for whole in batches:
             for i in range(0, whole.num_rows, 256):

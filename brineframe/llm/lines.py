@@ -75,6 +75,7 @@ def without_repeated_runs(docs: DataFrame, run: int = RUN, chunk_bytes: int | No
     schema = T.StructType(docs.schema.fields + [T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", span)])
 
     def select(key, rows):
+        tx.release_memory()
         lines = Lines(texts_of(ordered(rows)), run)
         prints, inverse = np.unique(lines.fingerprints(run)[lines.first], return_inverse=True)
         order = np.argsort(inverse, kind="stable")
@@ -91,6 +92,7 @@ def without_repeated_runs(docs: DataFrame, run: int = RUN, chunk_bytes: int | No
     before = before.select(F.col("chunk").alias(CHUNK), "run")
 
     def delete(key, rows, repeated):
+        tx.release_memory()
         rows = ordered(rows)
         texts = texts_of(rows)
         lines = Lines(texts, run)

@@ -100,7 +100,7 @@ def spans_of(best: np.ndarray, least: int) -> np.ndarray:
 def measured(texts: list[bytes], min_run: int = MIN_RUN) -> dict[str, list]:
     """The columns of RESULT for a few MB of texts."""
     out: dict[str, list] = {name: [] for name in RESULT}
-    for first, last in tx.blocks(texts, 1 << 19):
+    for first, last in tx.blocks(texts):
         joined, at = tx.join(texts[first:last])
         buf = np.frombuffer(joined, np.uint8)
         start, end = tx.spans(buf, tx.NOT_WHITE)
@@ -152,10 +152,11 @@ def measures(docs: DataFrame, text: str = "text", min_run: int = MIN_RUN) -> Dat
     full = T.StructType(schema.fields + more.fields)
 
     def run(batches):
+        tx.release_memory()
         kinds = {"repeats": pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))}
         for whole in batches:
-            for i in range(0, whole.num_rows, 2048):
-                batch = whole.slice(i, 2048)
+            for i in range(0, whole.num_rows, 512):
+                batch = whole.slice(i, 512)
                 found = measured([b"" if t is None else t for t in batch.column(text).cast(pa.binary()).to_pylist()], min_run)
                 new = [pa.array(found[k], kinds.get(k, pa.int64())) for k in RESULT]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *RESULT])

@@ -30,7 +30,7 @@ ROWS = [
     (14, PASSAGE + "\n" + PASSAGE), (15, "a a a a a a a a a a " * 30), (16, "line one here\nline two here\n\n line one here\nline two here \nlast"),
     (17, None), (None, BASE), (None, None), (None, "alone " + prose(5, 30)), (20, "same line\nother line\nsame line"), (21, "ß ＡＢ ſecret=abcdefghij \x1c\x85 end"),
     (22, "token: \"abcdefgh12\" Passwd=short secret=token=\"abcdefgh\" AKIAABCDEFGHIJKL AKIAAKIA1 " + "0123456789abcdef" * 2 + "f"),
-    (23, "token: \"abcdefgh12\" and " + "Zx9" * 9), (24, "x<|endoftext|>y  \n\n z"), (25, "é" * 5000), (26, "aaab" * 3000),
+    (23, "token: \"abcdefgh12\" and aB3dE5gH7jK9mN1pQ2rS"), (24, "x<|endoftext|>y  \n\n z"), (25, "é" * 5000), (26, "aaab" * 3000),
 ]
 SCHEMA = "doc_id long, text string, source string, lang string, n_words string, hits string, removed double, ids string, licenses int, spans date"
 
@@ -94,7 +94,7 @@ def test_secrets(spark, table, empty):
     live = found.where("doc_id = 23").first().spans
     assert [(s.kind, s.owners) for s in live] == [(0, 2), (3, 1)]
     assert credentials.secrets(empty.select("doc_id", "text", "source", "lang")).count() == 0
-    many = spark.createDataFrame([(i, "key " + "Zx9" * 9, f"s{i}", "en") for i in range(4)], "doc_id long, text string, source string, lang string")
+    many = spark.createDataFrame([(i, "key aB3dE5gH7jK9mN1pQ2rS", f"s{i}", "en") for i in range(4)], "doc_id long, text string, source string, lang string")
     assert {len(r.spans) for r in credentials.secrets(many).collect()} == {0}  # four owners: a copied example
 
 
@@ -192,10 +192,10 @@ def test_codec(table, empty):
 def test_codec_equals_library(text):
     from tokenizers import Tokenizer
 
-    own = test_codec_equals_library.__dict__.setdefault("own", (bpe.codec(open(PATH, encoding="utf-8").read()), Tokenizer.from_file(PATH)))
+    own = test_codec_equals_library.__dict__.setdefault("own", (bpe.Codec(open(PATH, encoding="utf-8").read()), Tokenizer.from_file(PATH), bpe.Decoder(open(PATH, encoding="utf-8").read())))
     text = text.encode("utf-8", "ignore").decode()
     ids, at = own[0].encode([text])
-    assert ids.tolist() == own[1].encode(text, add_special_tokens=False).ids and own[0].decode(ids.tolist()) == text
+    assert ids.tolist() == own[1].encode(text, add_special_tokens=False).ids and own[2].decode(ids.tolist()) == text
     piece = text.encode()
     if piece:
         flat, start, size = own[0].merger.many([piece])
@@ -210,7 +210,7 @@ def test_licenses(spark, empty):
         if len(words) > 40:  # a few words changed
             words[len(words) // 2] = "changed"
         docs.append((i, f"{prose(i, r.randrange(200))} {' '.join(words)} {prose(i + 50, 70)}"))
-        want[i] = [name]
+        want[i] = [name, "Apache-2.0-line"] if name == "Apache-2.0" else [name]  # the notice holds the line
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     got = {x.doc_id: sorted({m.license for m in x.licenses}) for x in licenses.licensed(frame).collect()}
     assert got == want
