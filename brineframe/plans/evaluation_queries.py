@@ -83,10 +83,11 @@ def _peaks(spark, d):
 
 
 @query("peak_depths_per_profile", "M10", f"""
-WITH {_PEAK} SELECT profile_id, CASE WHEN bins >= 5 THEN oz END AS peak_obs_m, CASE WHEN bins >= 5 THEN ov END AS peak_obs_val FROM peaks
-""", doubles="peak_obs_m peak_obs_val")
+WITH {_PEAK} SELECT profile_id, CASE WHEN bins >= 5 THEN oz END AS peak_obs_m, CASE WHEN bins >= 5 THEN ov END AS peak_obs_val,
+ CASE WHEN bins >= 5 THEN pz END AS peak_pred_m, CASE WHEN bins >= 5 THEN pz - oz END AS peak_error_m FROM peaks
+""", doubles="peak_obs_m peak_obs_val peak_pred_m peak_error_m")
 def peak_depths_per_profile(spark, d):
-    return _peaks(spark, d).select("profile_id", "peak_obs_m", "peak_obs_val")
+    return _peaks(spark, d).select("profile_id", "peak_obs_m", "peak_obs_val", "peak_pred_m", "peak_error_m")
 
 
 @query("factor_bands", "E9", f"""
