@@ -14,6 +14,8 @@ from brineframe.llm import bpe, decontaminate, lines, repetition, similar
 from brineframe.session import shared_dir
 from brineframe.llm.queries import tokenizer_file
 
+SHINGLE, SIMILAR = 5, 80  # words, percent
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the repetition rules keep. An empty or null text is not kept."""
@@ -27,8 +29,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of every group that shingle similarity connects."""
-    return similar.one_of_each(docs)
+    """The first document of every group that a similarity of 0.8 over five-word shingles connects; op9 has its own terms."""
+    return similar.one_of_each(docs, n=SHINGLE, percent=SIMILAR)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

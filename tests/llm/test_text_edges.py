@@ -124,6 +124,20 @@ def test_similar(table, empty, chunk):
     assert similar.similar_groups(empty).count() == 0 and similar.one_of_each(empty).count() == 0
 
 
+def test_near_duplicates_of_the_pipeline(spark):
+    """Five words and 0.8: a fifth appended, a block of seven changed words; a third appended is another text."""
+    import corpus_pipeline
+
+    base = [f"u{i}" for i in range(105)]
+    other = [f"v{i}" for i in range(105)]
+    docs = [(1, " ".join(base)), (2, " ".join(base + [f"x{i}" for i in range(21)])), (3, " ".join(base + [f"y{i}" for i in range(35)])),
+            (4, " ".join(other)), (5, " ".join(other[:50] + [f"z{i}" for i in range(7)] + other[57:]))]
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(docs, "doc_id long, text string"), "")
+    want = sorted(d for d, _, c in brute.similar(docs, 5, 80) if d == c)
+    assert sorted(r.doc_id for r in kept.collect()) == want == [1, 3, 4]
+    assert [d for d, _, c in brute.similar(docs) if d == c] == [1, 2, 3, 4, 5]  # the terms of op9 link none of them
+
+
 def test_similar_links_across_lists(spark):
     """Chains of near copies: every link between different texts counts, although lists are linked to leaders first."""
     r = random.Random(5)
