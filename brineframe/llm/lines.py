@@ -8,11 +8,16 @@ further. Such a match extends by every neighbouring run that is repeated as well
 directions, and the lines of a run that also starts earlier (smaller doc_id, or further up in
 the same text) are deleted. Runs are judged on the input.
 
+With ``lone`` a single line counts as a run of its own where it has at least that many words
+(``LONE`` is 20: boilerplate of a few words repeats by chance, a sentence of 20 does not) or is
+the only line of its text. Such a line is deleted where an equal one that counts stands earlier,
+whatever stands around it. Without ``lone`` only runs of ``run`` lines are looked at.
+
 Each chunk of documents contributes a fingerprint and a run once, so a passage of a third of
 all documents has one row per chunk. The text is shuffled once.
 
 Defined cases: blank lines stay where they are; a null text stays null; a text of fewer than
-``run`` lines has no run; rows of equal id count in the order of their texts; null ids come
+``run`` lines has no run (but with ``lone`` its only line); rows of equal id count in the order of their texts; null ids come
 last; further columns pass through (``n_lines``, ``n_removed`` and ``removed`` are renamed
 ``*_in`` first).
 """
@@ -28,6 +33,7 @@ from . import text as tx
 from .chunks import CHUNK, Layout, ordered, texts_of
 
 RUN = 2
+LONE = 20
 NOT_FEED = np.arange(256) != 10
 RESULT = ("n_lines", "n_removed", "removed")
 
@@ -35,8 +41,9 @@ RESULT = ("n_lines", "n_removed", "removed")
 class Lines:
     """The non-blank lines of a chunk's texts, end to end."""
 
-    def __init__(self, texts: list[bytes], run: int):
+    def __init__(self, texts: list[bytes], run: int, lone: int | None = None):
         hashes, counts, numbers = [np.zeros(0, np.uint64)], np.zeros(len(texts), np.int64), [np.zeros(0, np.int64)]
+        many = [np.zeros(0, bool)]
         for first, last in tx.blocks(texts):
             joined, at = tx.join(texts[first:last])
             buf = np.frombuffer(joined, np.uint8)
@@ -49,22 +56,38 @@ class Lines:
             counts[first:last] = np.diff(np.searchsorted(a, at))
             owner = np.searchsorted(at, a, side="right") - 1
             numbers.append(feeds[a] - feeds[at[owner]])
+            if lone is not None:
+                words = solid[np.diff(solid, prepend=-2) > 1]
+                many.append(np.searchsorted(words, b) - np.searchsorted(words, a) >= lone)
         self.counts = counts
         self.hashes = np.concatenate(hashes)
         self.numbers = np.concatenate(numbers)  # line number in its text, blank lines counted
         self.at, self.owner = tx.inner_windows(counts, run)
         self.runs = tx.windows(self.hashes, run)[self.at]
+        self.size = np.full(len(self.at), run)
+        if lone is not None and run > 1:
+            own = np.flatnonzero(np.concatenate(many) | np.repeat(counts == 1, counts))
+            self.at = np.concatenate([self.at, own])
+            self.runs = np.concatenate([self.runs, tx.windows(self.hashes, 1)[own]])
+            self.size = np.concatenate([self.size, np.ones(len(own), np.int64)])
         self.distinct, self.first, self.number = np.unique(self.runs, return_index=True, return_inverse=True)
 
     def fingerprints(self, run: int) -> np.ndarray:
         """For every run, its rightmost smallest line hash."""
         best = self.hashes[self.at]
         for j in range(1, run):
-            best = np.minimum(best, self.hashes[self.at + j])
+            best = np.minimum(best, self.hashes[self.at + np.minimum(j, self.size - 1)])
         return best
 
+    def covered(self, some: np.ndarray) -> np.ndarray:
+        """Mask of the lines in some of the runs."""
+        gone = np.zeros(len(self.hashes), bool)
+        for size in np.unique(self.size).tolist():
+            gone |= tx.covered(self.at[some & (self.size == size)], size, len(gone))
+        return gone
+
 
-def without_repeated_runs(docs: DataFrame, run: int = RUN, chunk_bytes: int | None = None) -> DataFrame:
+def without_repeated_runs(docs: DataFrame, run: int = RUN, chunk_bytes: int | None = None, lone: int | None = None) -> DataFrame:
     """``docs`` with repeated runs deleted from the text, n_lines, n_removed and the removed line spans."""
     for name in RESULT:
         if name in docs.columns:
@@ -76,7 +99,7 @@ def without_repeated_runs(docs: DataFrame, run: int = RUN, chunk_bytes: int | No
 
     def select(key, rows):
         tx.release_memory()
-        lines = Lines(texts_of(ordered(rows)), run)
+        lines = Lines(texts_of(ordered(rows)), run, lone)
         prints, inverse = np.unique(lines.fingerprints(run)[lines.first], return_inverse=True)
         order = np.argsort(inverse, kind="stable")
         cut = np.searchsorted(inverse[order], np.arange(len(prints) + 1)).astype(np.int32)
@@ -95,10 +118,10 @@ def without_repeated_runs(docs: DataFrame, run: int = RUN, chunk_bytes: int | No
         tx.release_memory()
         rows = ordered(rows)
         texts = texts_of(rows)
-        lines = Lines(texts, run)
+        lines = Lines(texts, run, lone)
         earlier = np.isin(lines.distinct, np.asarray(repeated.column("run").to_numpy()).view(np.uint64))
         again = earlier[lines.number] | (np.arange(len(lines.at)) != lines.first[lines.number])
-        gone = tx.covered(lines.at[again], run, len(lines.hashes))
+        gone = lines.covered(again)
         place = np.concatenate([[0], np.cumsum(lines.counts)])
         removed, spans, kept = [], [], []
         for d, t in enumerate(texts):
@@ -122,7 +145,7 @@ def without_repeated_runs(docs: DataFrame, run: int = RUN, chunk_bytes: int | No
     return dealt.groupBy(CHUNK).cogroup(before.groupBy(CHUNK)).applyInArrow(delete, schema)
 
 
-def cleaned(docs: DataFrame, run: int = RUN) -> DataFrame:
+def cleaned(docs: DataFrame, run: int = RUN, lone: int | None = None) -> DataFrame:
     """The documents without repeated runs, columns unchanged. A text of which no line is left is no document any more."""
-    left = without_repeated_runs(docs, run).where("n_lines = 0 OR n_removed < n_lines")
+    left = without_repeated_runs(docs, run, lone=lone).where("n_lines = 0 OR n_removed < n_lines")
     return left.select(*[F.col(f"`{c}_in`").alias(c) if c in RESULT else F.col(f"`{c}`") for c in docs.columns])

@@ -141,6 +141,38 @@ FROM docs LEFT JOIN raw ON docs.r = raw.r LEFT JOIN marks ON raw.r = marks.r AND
 """
 
 
+@query
+def op4_lone_lines(spark, sf_dir):
+    """As op4_line_winnowing, with long lines and only lines as runs of their own."""
+    found = lines.without_repeated_runs(table(spark, sf_dir, "documents").select("doc_id", "text"), lone=lines.LONE)
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+SQL["op4_lone_lines"] = rf"""
+WITH docs AS (
+  SELECT row_number() OVER (ORDER BY doc_id, text) AS r, doc_id, coalesce(text, '') AS text FROM documents
+), raw AS (
+  SELECT r, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS no FROM docs
+), solid AS (
+  SELECT r, no, s, row_number() OVER (PARTITION BY r ORDER BY no) AS i, count(*) OVER (PARTITION BY r) AS n
+  FROM (SELECT r, no, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS s FROM raw) WHERE s <> ''
+), runs AS (
+  SELECT r, i, k, row_number() OVER (PARTITION BY k, h ORDER BY r, i) AS nth FROM (
+    SELECT a.r, a.i, {lines.RUN} AS k, {' || chr(10) || '.join(f's{j}.s' if j else 'a.s' for j in range(lines.RUN))} AS h
+    FROM solid a {' '.join(f'JOIN solid s{j} ON s{j}.r = a.r AND s{j}.i = a.i + {j}' for j in range(1, lines.RUN))}
+    UNION ALL
+    SELECT r, i, 1 AS k, s AS h FROM solid WHERE n = 1 OR len(regexp_extract_all(s, '[^\x20\x09-\x0D]+')) >= {lines.LONE})
+), gone AS (
+  SELECT DISTINCT r, unnest(range(i, i + k)) AS i FROM runs WHERE nth > 1
+), marks AS (
+  SELECT solid.r, solid.no, gone.i IS NOT NULL AS removed FROM solid LEFT JOIN gone ON solid.r = gone.r AND solid.i = gone.i
+)
+SELECT docs.doc_id, count(marks.no) AS n_lines, count(*) FILTER (marks.removed) AS n_removed,
+       sha256(coalesce(string_agg(raw.line, chr(10) ORDER BY raw.no) FILTER (NOT coalesce(marks.removed, false)), '')) AS kept_sha256
+FROM docs LEFT JOIN raw ON docs.r = raw.r LEFT JOIN marks ON raw.r = marks.r AND raw.no = marks.no GROUP BY docs.r, docs.doc_id
+"""
+
+
 @query
 def op5_window_dedup(spark, sf_dir):
     """Words of every document, how many are removed as repeats, and what is left."""

@@ -106,6 +106,43 @@ def test_lines(table, empty, chunk):
     assert lines.without_repeated_runs(empty).count() == 0
 
 
+def lone_line_dedup(docs, lone):
+    """line_dedup with lines of that many words, and only lines, as runs of their own."""
+    pairs, singles, out = set(), set(), []
+    for doc, text in brute.by_id(docs):
+        raw = (text or "").split("\n")
+        solid = [i for i, x in enumerate(raw) if brute.words(x)]
+        key = [raw[i].strip(" \t\n\v\f\r") for i in solid]
+        gone = set()
+        for i in range(len(key)):
+            if key[i:i + 2] in [list(p) for p in pairs if p[0] == key[i]]:
+                gone.update(solid[i:i + 2])
+            if i + 1 < len(key):
+                pairs.add((key[i], key[i + 1]))
+            if len(key) == 1 or len(brute.words(key[i])) >= lone:
+                if key[i] in singles:
+                    gone.add(solid[i])
+                singles.add(key[i])
+        out.append((doc, None if text is None else "\n".join(x for i, x in enumerate(raw) if i not in gone), len(solid), len(gone)))
+    return out
+
+
+@pytest.mark.parametrize("chunk", [None, 500])
+def test_lone_lines(spark, chunk):
+    passage, other = " ".join(f"p{i}" for i in range(60)), " ".join(f"q{i}" for i in range(19))
+    docs = [(1, f"head a\n{passage}\ntail a"), (2, f"head b\n  {passage} \n\ntail b"), (3, passage), (4, "short only"), (5, "short only"),
+            (6, f"{other}\nx\n{other}\ny\n{other} end\nz\n{other} end"), (7, "short only\nmore"), (8, None), (9, "\n \n")] + [(i + 20, t) for i, (_, t) in enumerate(ROWS)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    found = lines.without_repeated_runs(frame, chunk_bytes=chunk, lone=lines.LONE)
+    got = some(found, "doc_id", "text", "n_lines", "n_removed")
+    assert got == sorted(lone_line_dedup(docs, lines.LONE), key=repr)
+    removed = {r[0]: r[3] for r in got}
+    assert [removed[i] for i in range(1, 10)] == [0, 1, 1, 0, 1, 1, 0, 0, 0]
+    assert {r.n_removed for r in lines.without_repeated_runs(frame.where("doc_id < 10")).collect()} == {0}  # runs of two find none of them
+    left = {r.doc_id for r in lines.cleaned(frame.where("doc_id < 10"), lone=lines.LONE).collect()}
+    assert left == {1, 2, 4, 6, 7, 8, 9}
+
+
 @pytest.mark.parametrize("chunk", [None, 500])
 def test_windows(table, empty, chunk):
     found = windows.repeated_windows_removed(table, chunk_bytes=chunk)
