@@ -8,16 +8,23 @@ and the number of bands is set so that a match is missed with probability ``MISS
 What the bands retrieve is verified by the exact share of the template's shingles in the window.
 
 Shingles have five words (a shorter template is one shingle). Texts are scanned whole, where
-they lie; nothing is shuffled. Templates are a parameter of a few hundred texts, not data.
+they lie; nothing is shuffled. Templates are a parameter of a few hundred texts, not data:
+``known()`` reads the table beside the code, license-form -> text. A license's forms (its notice,
+``-line``, ``-use-line``, ``-spdx``, ``-text``) are no rivals of each other.
 
 Defined cases: null, empty and word-free texts match nothing; a text shorter than a window
-is one window; of overlapping windows that match a template the first of the best is reported; columns
+is one window; of overlapping windows that match a template the first of the best is reported; a
+window may hold a template several times; of overlapping matches of different licenses the one with
+more shingles found is reported (a notice of version 2 is most of one of version 3); columns
 named like the results are renamed ``*_in`` first.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+import json
+import re
+from collections import Counter, defaultdict
+from pathlib import Path
 from math import ceil, log
 
 import numpy as np
@@ -42,10 +49,21 @@ TEMPLATES = {
     "CC-BY-NC-4.0-line": "Licensed under CC BY-NC 4.0.",
     "all-rights-reserved": "All rights reserved.",
 }
+TABLE = Path(__file__).with_name("license_templates.json")
 RESULT = {"n_words": "long", "licenses": "array<struct<license:string,start:int,end:int,percent:int>>"}
 _SEEDS = np.random.default_rng(7).integers(1, 2**63, 4096, dtype=np.uint64) | np.uint64(1)
 
 
+def known() -> dict[str, str]:
+    """The usual notices, one-line forms, SPDX tags and texts of public licenses, by name."""
+    return json.loads(TABLE.read_text(encoding="utf-8"))
+
+
+def family(name: str) -> str:
+    """The license that a template is a form of."""
+    return re.sub(r"(-only|-or-later)?(-use-line|-line|-spdx|-text)?$", "", name)
+
+
 def template_words(text: str) -> tuple[np.ndarray, int]:
     hashes, counts = tx.word_hashes([text.encode()], lower=True, table=tx.LETTERS)
     return hashes, int(counts[0])
@@ -58,6 +76,7 @@ class TemplateClass:
         longest, least = max(n for _, n in templates.values()), min(n for _, n in templates.values())
         self.size, self.stride = size, longest
         self.sets = {name: np.unique(tx.windows(words, size)) for name, (words, _) in templates.items()}
+        self.times = {name: Counter(tx.windows(words, size).tolist()) for name, (words, _) in templates.items()}
         share = CONTAINED / 100
         smallest = min(map(len, self.sets.values()))
         others = 2 * longest - size + 1
@@ -74,8 +93,30 @@ class TemplateClass:
         """Smallest value of each row under every band's permutation (odd multiples modulo 2**64)."""
         return np.stack([(rows * s).min(axis=1) for s in self.seeds], axis=1)
 
-    def scan(self, hashes: np.ndarray, counts: np.ndarray) -> list[tuple[int, str, int, int, int]]:
-        """(text, license, first word, end, percent) of the windows that contain a template, over texts end to end."""
+    def occurrences(self, name: str, keys: list[int], hit: list[int]) -> list[tuple[int, int, int]]:
+        """(first, last, distinct) of disjoint runs of hits that hold enough of a template, no shingle more often than it does."""
+        times, need = self.times[name], CONTAINED * len(self.sets[name])
+        seen, left, found = Counter(), 0, []
+        for i, key in enumerate(keys):
+            if seen[key] == times[key]:
+                if 100 * len(seen) >= need:
+                    found.append((-len(seen), hit[left], hit[i - 1]))
+                while seen[key] == times[key]:
+                    seen[keys[left]] -= 1
+                    if not seen[keys[left]]:
+                        del seen[keys[left]]
+                    left += 1
+            seen[key] += 1
+        if 100 * len(seen) >= need:
+            found.append((-len(seen), hit[left], hit[-1]))
+        out: list[tuple[int, int, int]] = []
+        for both, first, last in sorted(found):
+            if all(last < a or first > b for a, b, _ in out):
+                out.append((first, last, -both))
+        return sorted(out)
+
+    def scan(self, hashes: np.ndarray, counts: np.ndarray) -> list[tuple[int, str, int, int, int, int]]:
+        """(text, license, first word, end, percent, shingles) of the templates that windows contain, over texts end to end."""
         at, owner = tx.inner_windows(counts, self.size)
         shingles = tx.windows(hashes, self.size)[at]
         if not len(shingles):
@@ -104,8 +145,9 @@ class TemplateClass:
             hit = np.flatnonzero(np.isin(inside, own))
             both = len(np.unique(inside[hit]))
             if 100 * both >= CONTAINED * len(own):
-                first = int(a[w] - place[text[w]])
-                out.append((int(text[w]), name, first + int(hit[0]), first + int(hit[-1]) + self.size, 100 * both // len(own)))
+                start = int(a[w] - place[text[w]])
+                for first, last, n in self.occurrences(name, inside[hit].tolist(), hit.tolist()):
+                    out.append((int(text[w]), name, start + first, start + last + self.size, 100 * n // len(own), n))
         return out
 
 
@@ -118,16 +160,21 @@ def classes(templates: dict[str, str], missed: float = MISSED) -> list[TemplateC
     return [TemplateClass(size, group, missed) for (size, _), group in sorted(groups.items())]
 
 
-def best(found: list[tuple[str, int, int, int]]) -> list[tuple[str, int, int, int]]:
-    """Of overlapping matches of one license the first of the most complete."""
-    out: list[tuple[str, int, int, int]] = []
+def best(found: list[tuple[str, int, int, int, int]]) -> list[tuple[str, int, int, int]]:
+    """Of overlapping matches of one template the first of the most complete; of other licenses' matches in the same
+    place (half of the shorter one or more) the one with the most shingles."""
+    out: list[tuple[str, int, int, int, int]] = []
     for match in sorted(found):
         if out and out[-1][0] == match[0] and match[1] < out[-1][2]:
             if match[3] > out[-1][3]:
                 out[-1] = match
         else:
             out.append(match)
-    return sorted(out, key=lambda m: (m[1], m[0]))
+    kept: list[tuple[str, int, int, int, int]] = []
+    for m in sorted(out, key=lambda m: (-m[4], m[1], m[0])):
+        if not any(family(k[0]) != family(m[0]) and 2 * (min(k[2], m[2]) - max(k[1], m[1])) >= min(k[2] - k[1], m[2] - m[1]) for k in kept if not k[0].endswith("-text")):
+            kept.append(m)
+    return sorted([m[:4] for m in kept], key=lambda m: (m[1], m[0]))
 
 
 def licensed(docs: DataFrame, templates: dict[str, str] = TEMPLATES, text: str = "text") -> DataFrame:

@@ -225,7 +225,7 @@ def op7_bpe_codec(spark, sf_dir):
 @query
 def op8_license_scan(spark, sf_dir):
     """License notices in every document."""
-    found = licenses.licensed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = licenses.licensed(table(spark, sf_dir, "documents").select("doc_id", "text"), licenses.known())
     names = F.array_join(F.array_sort(F.array_distinct("licenses.license")), ",")
     return found.select("doc_id", "n_words", F.size("licenses").cast("long").alias("n_matches"), names.alias("licenses"))
 

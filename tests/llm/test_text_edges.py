@@ -270,6 +270,30 @@ def test_licenses(spark, empty):
         assert (1 - c.least_similarity) ** c.bands <= licenses.MISSED
 
 
+def test_license_table(spark):
+    """Every template of the table is found as its license, notices also reworded; two in one window stay two."""
+    known, docs, want = licenses.known(), [], {}
+    for i, (name, text) in enumerate(known.items()):
+        docs.append((i, f"{prose(i, 40)} {text} {prose(i + 90, 40)}"))
+        want[i] = name
+    reworded = {
+        "GPL-2.0": "This package is free software; you may redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, you can obtain one at https://mozilla.org/MPL/2.0/.",
+        "ISC": "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "BSD-3-Clause": known["BSD-3-Clause"].replace("the copyright holder", "Example Inc."),
+    }
+    for name, text in reworded.items():
+        want[len(docs)] = name
+        docs.append((len(docs), f"{prose(7, 50)} {text} {prose(8, 60)}"))
+    docs += [(1000, known["MIT-line"] + " and also " + known["MIT-line"]), (1001, known["GPL-2.0"] + " " + known["GPL-3.0"])]
+    rows = licenses.licensed(spark.createDataFrame(docs, "doc_id long, text string"), known).collect()
+    got = {r.doc_id: [m.license for m in r.licenses] for r in rows}
+    assert {i: (n, got[i]) for i, n in want.items() if n not in got[i]} == {}
+    short = {i: n for i, n in want.items() if not n.endswith("-text")}  # a whole text quotes others
+    assert {i: (n, got[i]) for i, n in short.items() if {licenses.family(g) for g in got[i]} - {licenses.family(n), "all-rights-reserved"}} == {}
+    assert got[1000] == ["MIT-line"] * 2 and got[1001] == ["GPL-2.0", "GPL-3.0"]
+
+
 def test_token_files(spark, table, empty, tmp_path):
     for n, frame in enumerate((table, empty)):
         tokens.write_tokens(frame, str(tmp_path / str(n)), PATH)
