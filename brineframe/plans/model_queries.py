@@ -1,7 +1,7 @@
 """Fitting and scoring with trained models.
 
 Spectra come from the embeddings table; the response of each depth bin is derived from
-the label. Tree counts are small here, the operators default to the product's values.
+the label. Tree counts are small here but in ``product_settings_days``, the operators default to the product's values.
 Boosted trees have no SQL equivalent, so those queries are checked by rows only. The ``stump_*``
 queries run the same operators with one tree of depth 1 on a two-valued band and without a
 validation share: such a model predicts group means, which SQL computes.
@@ -165,6 +165,28 @@ def reloaded_model_bundle(spark, d):
     return scored.select("vec_id", *[F.get("chla", F.lit(i)).alias(f"chla_{i}") for i in range(3)])
 
 
+_FULL_SQL = f"""
+SELECT DATE '2024-01-01' + CAST(floor(vec_id / 100) * 10 AS INT) AS date, count(*) AS n_rows, count(DISTINCT vec_id) AS n_keys, sum(vec_id) AS key_sum,
+ {', '.join(f"count(*) FILTER (vec_id % 7 <> 0) AS n_{i}, coalesce(sum(vec_id) FILTER (vec_id % 7 <> 0), 0) AS keys_{i}" for i in range(len(LABELS)))}
+FROM embeddings GROUP BY 1
+"""
+
+
+@query("product_settings_days", "M2 M3 J9 F8", _FULL_SQL, texts="date")
+def product_settings_days(spark, d):
+    """All depth bins fitted with the product's settings (MAX_ITER, MAX_DEPTH), the whole table scored; keys and gaps by day."""
+    train = T.split_rows(profiles(spark, d), "train")
+    models = M.fit_depth_models(train, LABELS, FEATURES, "vec_id")
+    pixels = spectra(spark, d).withColumn("rrs", F.when(F.col("vec_id") % 7 != 0, F.col("rrs")))
+    scored = M.score_spectra(pixels, models, FEATURES, BANDS, linear=True)
+    key = F.floor(F.datediff("date", F.lit("2024-01-01")) / 10) * 100 + F.col("lat_idx") * 10 + F.col("lon_idx")
+    scored = scored.select("date", key.alias("vec_id"), "chla")
+    there = [F.get("chla", F.lit(i)).isNotNull() for i in range(len(LABELS))]
+    counts = [c for i, has in enumerate(there) for c in (
+        F.count(F.when(has, 1)).alias(f"n_{i}"), F.coalesce(F.sum(F.when(has, F.col("vec_id"))), F.lit(0)).alias(f"keys_{i}"))]
+    return scored.groupBy("date").agg(F.count("*").alias("n_rows"), F.countDistinct("vec_id").alias("n_keys"), F.sum("vec_id").alias("key_sum"), *counts)
+
+
 STUMP = {"max_iter": 1, "max_depth": 1}
 STUMP_BANDS = [400.0, 405.0]
 STUMP_FEATURES = FEATURES[:2]
