@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, credentials, ctw, decontaminate, licenses, lines, repetition, similar, tokens, windows
+from . import bpe, credentials, ctw, decontaminate, licenses, lines, negatives, phrases, repetition, similar, tensor, tokens, windows
 from ..session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -264,6 +264,93 @@ def op10_token_files(spark, sf_dir):
     return tokens.checksums(tokens.read_tokens(spark, path))
 
 
+@query
+def op11_angular_negatives(spark, sf_dir):
+    """Hard negatives of every anchor and positive."""
+    vectors = negatives.relabelled(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    return negatives.hard_negatives(vectors).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+SQL["op11_angular_negatives"] = f"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS q
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), scores AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), positives AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= {negatives.POSITIVES}
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scores USING (anchor_id) WHERE NOT same AND {negatives.LOW} * positive_score <= 100 * score AND 100 * score <= {negatives.HIGH} * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) QUALIFY row_number() OVER w <= {negatives.NEGATIVES}
+"""
+
+
+@query
+def op12_tensored_minhash(spark, sf_dir):
+    """Two-word shingles of every document, the smallest document that links reach, and whether it stays."""
+    found = tensor.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+SQL["op12_tensored_minhash"] = rf"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(coalesce({lower('text')}, ''), '[^ 	-
+]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, hash(array_to_string(w[i:i + {tensor.N} - 1], ' ')) AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {tensor.N} + 1, 1) + 1)) AS i FROM docs WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), links AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL)
+  JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * c >= {tensor.PERCENT} * (p.n + q.n - c)
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM docs UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+)
+SELECT docs.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(b) AS component_id, docs.doc_id = min(b) AS kept
+FROM docs LEFT JOIN sizes USING (doc_id) JOIN reach ON reach.a = docs.doc_id GROUP BY docs.doc_id
+"""
+
+
+@query
+def op13_setm_collocations(spark, sf_dir):
+    """The phrases of every language that occur together most."""
+    return phrases.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+SQL["op13_setm_collocations"] = rf"""
+WITH pieces AS (
+  SELECT row_number() OVER () AS p, lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM (
+    SELECT coalesce(lang, '{phrases.UNKNOWN}') AS lang, unnest(string_split_regex(coalesce({lower('text')}, ''), '[.,;:!?
+-
+]')) AS piece FROM documents)
+), totals AS (
+  SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang
+), f AS (
+  SELECT lang, k, w[i:i + k - 1] AS phrase, count(*) AS f
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, (SELECT unnest(range(1, {phrases.LONGEST + 1})) AS k) WHERE len(w) >= k)
+  GROUP BY ALL HAVING count(*) >= {phrases.LEAST}
+), candidates AS (
+  SELECT lang, k, phrase, f AS a FROM f WHERE k > 1
+), parts AS (
+  SELECT lang, phrase[i:i + m - 1] AS phrase, max(a) AS longer
+  FROM (SELECT lang, k, m, phrase, a, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM candidates)) GROUP BY ALL
+), cuts AS (
+  SELECT c.lang, c.phrase, a, j, l.f AS l, r.f AS r, n, CAST((1000::HUGEINT * a * n) // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM candidates) c JOIN totals ON totals.lang = c.lang
+  JOIN f l ON l.lang = c.lang AND l.phrase = c.phrase[1:j] JOIN f r ON r.lang = c.lang AND r.phrase = c.phrase[j + 1:]
+), best AS (
+  SELECT c.* FROM cuts c LEFT JOIN parts p ON p.lang = c.lang AND p.phrase = c.phrase WHERE 100 * coalesce(p.longer, 0) < 100 * c.a
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, j) = 1
+)
+SELECT lang, row_number() OVER w AS rank, array_to_string(phrase, ' ') AS phrase, a, l, r, n, score FROM best
+WINDOW w AS (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(phrase, ' ')) QUALIFY row_number() OVER w <= {phrases.TOP}
+"""
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this subpackage, and the pipeline at the top of the repository."""
     import corpus_pipeline

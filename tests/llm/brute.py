@@ -210,3 +210,53 @@ class ContextTree:
 
     def score(self, text):
         return sum(log10(self.chance(*x)) for x in self.decisions(text))
+
+
+def hard_negatives(rows, every=100, positives=5, negatives=10):
+    """(anchor, positive, rank, negative, positive score, negative score) of (vec_id, label, vector) rows"""
+    from math import floor, isfinite
+
+    own = [(i, label, [floor(256 * x) for x in v]) for i, label, v in rows
+           if i is not None and label is not None and v is not None and all(x is not None and isfinite(x) for x in v)]
+
+    def score(a, b):
+        return sum(x * y for x, y in zip(a, b))
+
+    out = []
+    for a, label, v in own:
+        if a % every:
+            continue
+        same = sorted((-score(v, w), i) for i, other, w in own if other == label and i != a)[:positives]
+        rest = sorted((-score(v, w), i) for i, other, w in own if other != label and i != a)
+        for p, positive in same:
+            found = [(i, -s) for s, i in rest if 30 * -p <= 100 * -s <= 90 * -p][:negatives]
+            out += [(a, positive, n, i, -p, s) for n, (i, s) in enumerate(found, 1)]
+    return out
+
+
+def collocations(docs, least=100, longest=5, top=2000):
+    """(lang, rank, phrase, a, l, r, n, score) of (text, lang) rows"""
+    f, n = Counter(), Counter()
+    for text, lang in docs:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lower(text)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(w)
+            for k in range(1, longest + 1):
+                f.update((lang, tuple(w[i:i + k])) for i in range(len(w) - k + 1))
+    wanted = {x: c for x, c in f.items() if len(x[1]) > 1 and c >= least}
+    inside = defaultdict(int)
+    for (lang, phrase), c in wanted.items():
+        for k in range(2, len(phrase)):
+            for i in range(len(phrase) - k + 1):
+                inside[lang, phrase[i:i + k]] = max(inside[lang, phrase[i:i + k]], c)
+    found = defaultdict(list)
+    for (lang, phrase), a in wanted.items():
+        if inside[lang, phrase] < a:
+            cuts = []
+            for k in range(1, len(phrase)):
+                left, right = f[lang, phrase[:k]], f[lang, phrase[k:]]
+                cuts.append((1000 * a * n[lang] // (left * right), k, left, right))
+            score, _, left, right = min(cuts)
+            found[lang].append((-score, -a, " ".join(phrase).encode(), left, right))
+    return [(lang, rank, p.decode(), -a, x, y, n[lang], -s) for lang, rows in found.items() for rank, (s, a, p, x, y) in enumerate(sorted(rows)[:top], 1)]
