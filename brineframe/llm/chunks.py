@@ -81,13 +81,13 @@ def bucket_order(marks: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarra
     return order, own[first], first
 
 
-def asked(chunk: int, keys: np.ndarray, marks: np.ndarray, buckets: int, extra: np.ndarray | None = None) -> pa.Table:
-    """Question rows of a chunk: its keys dealt over the buckets by the independent hash ``marks``."""
+def asked(chunk: int, keys: np.ndarray, marks: np.ndarray, buckets: int, extra: np.ndarray | None = None, pack: Callable = np.ndarray.tobytes) -> pa.Table:
+    """Question rows of a chunk: its keys dealt over the buckets by the independent hash ``marks``, with ``extra`` numbers."""
     order, which, first = bucket_order(marks, buckets)
     keys = keys[order]
     last = [*first[1:].tolist(), len(keys)]
     cut = list(zip(first.tolist(), last))
-    more = [None] * len(cut) if extra is None else [extra[order[a:b]].tobytes() for a, b in cut]
+    more = [None] * len(cut) if extra is None else [pack(extra[order[a:b]]) for a, b in cut]
     return pa.table({
         "bucket": pa.array(which, pa.int32()), "chunk": pa.array([chunk] * len(cut), pa.int64()),
         "keys": pa.array([keys[a:b].tobytes() for a, b in cut], pa.binary()), "extra": pa.array(more, pa.binary()),

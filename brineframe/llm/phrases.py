@@ -53,22 +53,31 @@ IN_WORD = ~BREAKS
 IN_WORD[[0x20, 0x09]] = False
 
 CHUNK_BYTES = 4 << 20
-TEXTS = f"{CHUNK} long, langs array<string>, counts array<long>, words binary, of_lang binary, at binary, grp binary, keys binary, marks binary"
-RELATION = f"{CHUNK} long, level int, at binary, grp binary, keys binary, marks binary, counts binary, mine binary"
+TEXTS = f"{CHUNK} long, langs array<string>, counts array<long>, words binary, of_lang binary, at binary, grp binary, size long"
+RELATION = f"{CHUNK} long, level int, n long, at binary, grp binary, keys binary, marks binary, counts binary, mine binary"
 EMITTED = "lang string, phrase string, a long, cuts array<struct<l:long,r:long>>"
 
 
-def numbers(raw: bytes, kind) -> np.ndarray:
-    return np.frombuffer(raw, kind)
+def squeezed(values: np.ndarray) -> bytes:
+    """Numbers from 0 on in the fewest bytes each, compressed; the first byte has the width, the next eight the size."""
+    most = int(values.max(initial=0))
+    kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if most <= np.iinfo(k).max)
+    raw = values.astype(kind).tobytes()
+    return bytes([np.dtype(kind).itemsize]) + len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def numbers(raw: bytes) -> np.ndarray:
+    size = int.from_bytes(raw[1:9], "little")
+    return np.frombuffer(pa.decompress(raw[9:], size, codec="zstd", asbytes=True) if size else b"", f"<u{raw[0]}")
 
 
 def packed_places(at: np.ndarray) -> bytes:
     """Ascending positions as steps, which compress well."""
-    return np.diff(at, prepend=0).astype(np.int32).tobytes()
+    return squeezed(np.diff(at, prepend=0))
 
 
 def places(raw: bytes) -> np.ndarray:
-    return np.cumsum(numbers(raw, np.int32), dtype=np.int64)
+    return np.cumsum(numbers(raw), dtype=np.int64)
 
 
 def language_hash(name: str) -> np.uint64:
@@ -89,7 +98,7 @@ def occurrences(texts: list[bytes], langs: list[str]) -> dict:
         at.append(last + 1 + np.arange(len(start)) + piece)  # a gap wherever a piece ends
         last = last + 1 + len(start) + int(BREAKS[buf].sum())
         of = of_text[np.repeat(np.arange(a, b), np.diff(np.searchsorted(start, starts)))]
-        hashes.append(tx.mix(tx.span_hashes(buf, start, end) ^ salt[of], 1))
+        hashes.append(tx.mix(tx.span_hashes(buf, start, end) ^ salt[of], 1))  # as word_keys
         owner.append(of)
         cut.append((joined, start, end))
     none = [np.zeros(0, np.int64)]
@@ -102,11 +111,17 @@ def occurrences(texts: list[bytes], langs: list[str]) -> dict:
         joined, start, end = cut[k]
         words.append(joined[start[i - size[k]]:end[i - size[k]]])
     return {
-        "langs": names.tolist(), "counts": np.bincount(of, minlength=len(names)).tolist(), "words": b" ".join(words), "of_lang": of[first].astype(np.int32).tobytes(),
-        "at": packed_places(np.concatenate(at or none)), "grp": grp.astype(np.int32).tobytes(), "keys": keys.tobytes(), "marks": tx.mix(tx.mix(keys) * tx.U(tx.BASES[2]), 1).tobytes(),
+        "langs": names.tolist(), "counts": np.bincount(of, minlength=len(names)).tolist(), "words": squeezed(np.frombuffer(b" ".join(words), np.uint8)),
+        "of_lang": squeezed(of[first]), "at": packed_places(np.concatenate(at or none)), "grp": squeezed(grp), "size": len(keys),
     }
 
 
+def word_keys(words: np.ndarray, of_lang: np.ndarray, langs: list[str]) -> np.ndarray:
+    """Hash of every distinct word of a chunk in its language."""
+    salt = np.array([language_hash(x) for x in langs], np.uint64)
+    return tx.mix(tx.span_hashes(words, *tx.spans(words, IN_WORD)) ^ salt[of_lang], 1)
+
+
 def text_chunks(docs: DataFrame, text: str, lang: str, chunk_bytes: int) -> DataFrame:
     """One row per chunk of texts: its words, and the relation of single words."""
     names = TEXTS.replace(" long", "").split(", ")
@@ -120,7 +135,7 @@ def text_chunks(docs: DataFrame, text: str, lang: str, chunk_bytes: int) -> Data
             return pa.RecordBatch.from_arrays(
                 [pa.array([found[c.split(" ")[0]]], kind) for c, kind in zip(names, kinds)], names=[c.split(" ")[0] for c in names])
 
-        kinds = [pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), *[pa.binary()] * 6]
+        kinds = [pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), *[pa.binary()] * 4, pa.int64()]
         for batch in batches:
             for t, name in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("lang").to_pylist()):
                 texts.append(t or b"")
@@ -148,7 +163,7 @@ def summed(table: pa.Table, least: int) -> pa.Table:
     """Group count: for the keys of each chunk which are frequent, their counts, and which of these the chunk writes out."""
     table = table.sort_by("chunk")
     parts = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
-    counts = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("extra").to_pylist()])
+    counts = np.concatenate([numbers(x) for x in table.column("extra").to_pylist()])
     keys = np.concatenate(parts)
     order = np.argsort(keys, kind="stable")  # equal keys in the order of their chunks
     new = np.concatenate([[True], keys[order][1:] != keys[order][:-1]])
@@ -180,17 +195,20 @@ def frequent_only(level: int, chunk: int, found: tuple, buckets: int, got: list[
     kept = np.flatnonzero(count)
     number = np.cumsum(count > 0) - 1
     stays = count[grp] > 0
-    return {CHUNK: [chunk], "level": [level], "at": [packed_places(at[stays])], "grp": [number[grp[stays]].astype(np.int32).tobytes()],
-            "keys": [keys[kept].tobytes()], "marks": [marks[kept].tobytes()], "counts": [count[kept].tobytes()], "mine": [mine[kept].tobytes()]}
+    return {CHUNK: [chunk], "level": [level], "n": [int(stays.sum())], "at": [packed_places(at[stays])], "grp": [squeezed(number[grp[stays]])],
+            "keys": [keys[kept].tobytes()], "marks": [marks[kept].tobytes()], "counts": [squeezed(count[kept])], "mine": [squeezed(mine[kept])]}
 
 
 def relation_schema() -> pa.Schema:
-    return pa.schema([(CHUNK, pa.int64()), ("level", pa.int32()), *((c, pa.binary()) for c in ("at", "grp", "keys", "marks", "counts", "mine"))])
+    return pa.schema([(CHUNK, pa.int64()), ("level", pa.int32()), ("n", pa.int64()), *((c, pa.binary()) for c in ("at", "grp", "keys", "marks", "counts", "mine"))])
 
 
 def unpacked(rows: pa.Table):
-    first = {c: rows.column(c)[0].as_py() for c in ("at", "grp", "keys", "marks")}
-    return places(first["at"]), numbers(first["grp"], np.int32), numbers(first["keys"], np.uint64), numbers(first["marks"], np.uint64)
+    first = {c: rows.column(c)[0].as_py() for c in rows.column_names}
+    if "words" in first:
+        keys = word_keys(numbers(first["words"]), numbers(first["of_lang"]), first["langs"])
+        return places(first["at"]), numbers(first["grp"]), keys, tx.mix(tx.mix(keys) * tx.U(tx.BASES[2]), 1)
+    return places(first["at"]), numbers(first["grp"]), np.frombuffer(first["keys"], np.uint64), np.frombuffer(first["marks"], np.uint64)
 
 
 def grown(relation: DataFrame, level: int, keys: int, least: int) -> DataFrame:
@@ -203,7 +221,7 @@ def grown(relation: DataFrame, level: int, keys: int, least: int) -> DataFrame:
 
     def ask(chunk, rows):
         _, grp, distinct, marks = candidates(rows)
-        return asked(chunk, distinct, marks, buckets, np.bincount(grp, minlength=len(distinct)).astype(np.uint32))
+        return asked(chunk, distinct, marks, buckets, np.bincount(grp, minlength=len(distinct)), squeezed)
 
     def decide(chunk, rows, answers):
         if not rows.num_rows:
@@ -211,7 +229,7 @@ def grown(relation: DataFrame, level: int, keys: int, least: int) -> DataFrame:
         return pa.table(frequent_only(level, chunk, candidates(rows), buckets, replies(answers)), schema=relation_schema())
 
     parts = int(relation.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = relation.select(CHUNK, "at", "grp", "keys", "marks").repartition(parts, CHUNK)
+    dealt = relation.select(CHUNK, "at", "grp", *(("langs", "words", "of_lang") if level == 1 else ("keys", "marks"))).repartition(parts, CHUNK)
     return consult(dealt, ask, lambda table: summed(table, least), decide, RELATION)
 
 
@@ -219,11 +237,11 @@ def written_out(words: pa.Table, relations: pa.Table, longest: int) -> pa.Table:
     """The phrases that a chunk writes out, with their counts and cuts, without those inside an equally frequent longer one."""
     levels = {}
     for r in relations.to_pylist():
-        levels[r["level"]] = places(r["at"]), numbers(r["grp"], np.int32), numbers(r["counts"], np.int64), numbers(r["mine"], bool)
+        levels[r["level"]] = places(r["at"]), numbers(r["grp"]), numbers(r["counts"]).astype(np.int64), numbers(r["mine"]).astype(bool)
     out = {"lang": [], "phrase": [], "a": [], "cuts": []}
     if 1 in levels and words.num_rows:
         w = {c: words.column(c)[0].as_py() for c in ("langs", "words", "of_lang", "at", "grp")}
-        spelled, of_lang, at, grp = w["words"].split(b" "), numbers(w["of_lang"], np.int32), places(w["at"]), numbers(w["grp"], np.int32)
+        spelled, of_lang, at, grp = numbers(w["words"]).tobytes().split(b" "), numbers(w["of_lang"]), places(w["at"]), numbers(w["grp"])
 
         def count(level, place):
             """Count of the phrase of that many words at each place, 0 if it is not frequent."""
@@ -265,12 +283,10 @@ def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, text: s
     """(lang, phrase, a, l, r, n, score) of all frequent phrases of 2 to ``longest`` words that no equally frequent longer one contains."""
     spark = docs.sparkSession
     chunks = staged(text_chunks(docs, text, lang, chunk_bytes), shared_dir(spark, "words"))
-    distinct = F.octet_length("keys") / 8
     relation, all_levels = chunks, None
     for level in range(1, longest + 1):
         # a chunk has no more phrases than occurrences
-        bound = distinct if level == 1 else F.octet_length("at") / 4
-        keys = int(relation.select(bound.alias("n")).agg(F.sum("n")).first()[0] or 0)
+        keys = relation.agg(F.sum("size" if level == 1 else "n")).first()[0] or 0
         relation = staged(grown(relation, level, keys, least), shared_dir(spark, f"relation-{level}"))
         all_levels = relation if all_levels is None else all_levels.union(relation)
     everything = all_levels.select(CHUNK, "level", "at", "grp", "counts", "mine")
