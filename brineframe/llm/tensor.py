@@ -11,9 +11,9 @@ never linked.
    its subkeys. Equal sets become one node.
 2. Chunks of nodes ask key buckets which of their table keys occur elsewhere (4 bytes a key,
    one bit back). Only those become rows (key, node).
-3. *Leaders.* In every table cell nodes are compared with one leader, chosen by hash and anew in
-   each of ``ROUNDS`` rounds, among the cells whose nodes are not in one component yet. A cell
-   of any size costs a row per node.
+3. *Leaders.* Every table cell whose nodes are not in one component yet has a leader, chosen by hash and
+   anew in each of ``ROUNDS`` rounds. A node is compared with one of its cells' leaders, the
+   one it meets most often. So a round compares no more pairs than there are nodes, however large a cell is.
 4. *Rest.* In cells that stay open, every pair of different components is compared; one side
    is outside the cell's largest component. So no candidate pair between components is
    left out, and a group of near copies is never expanded into its pairs.
@@ -176,7 +176,9 @@ def linked(posts: DataFrame, sets: DataFrame, percent: int, rounds: int = ROUNDS
         if r < rounds:
             by = F.xxhash64("id", F.lit(r))
             lead = cells.groupBy("key").agg(F.min_by("id", by).alias("a"), F.min_by("n", by).alias("m"), F.min_by("comp", by).alias("c"))
-            met = cells.join(lead, "key").where((F.col("comp") != F.col("c")) & near(F.col("n"), F.col("m"))).select("a", F.col("id").alias("b"))
+            met = cells.join(lead, "key").where((F.col("comp") != F.col("c")) & near(F.col("n"), F.col("m")))
+            often = met.groupBy("id", "a").agg(F.count("*").alias("c"))
+            met = often.groupBy("id").agg(F.max_by("a", F.struct("c", F.xxhash64("a", F.lit(r)))).alias("a")).select("a", F.col("id").alias("b"))
         else:
             main = cells.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
             outside = cells.join(main, "key").where("comp != main").select("key", F.col("id").alias("a"), F.col("n").alias("m"), F.col("comp").alias("c"))
