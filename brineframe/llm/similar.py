@@ -102,26 +102,29 @@ def sets_of(docs: DataFrame, n: int, percent: int, layout: Layout) -> DataFrame:
         if got:
             step[order] = np.frombuffer(b"".join(got), np.uint8)
         place = np.searchsorted(doc, np.arange(len(texts) + 1))
-        ids = rows.column("doc_id").cast(pa.int64()).to_pylist()
-        out, seen = [], set()
+        sizes, names, groups, sets, seen = np.diff(place), [], [], [], set()
+        tokens, places, length = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], np.zeros(len(texts), np.int64)
         for d in range(len(texts)):
             own = number[place[d]:place[d + 1]]
-            size = len(own)
-            keys = distinct[own]
-            name = hashlib.blake2b(keys.tobytes(), digest_size=16).digest()
-            row = {"key": (chunk << 32) | d, "doc_id": ids[d], "n": size, "set": name, "prefix": None, "grp": None, "body": None}
-            if size and name not in seen:
-                seen.add(name)
+            size, keys = len(own), distinct[own]
+            names.append(hashlib.blake2b(keys.tobytes(), digest_size=16).digest())
+            groups.append(None)
+            sets.append(None)
+            if size and names[-1] not in seen:
+                seen.add(names[-1])
                 rank = np.lexsort((keys, step[own]))[:prefix_length(size, percent)]
                 head, common = keys[rank], np.flatnonzero(step[own][rank])
                 if len(common):
-                    row["prefix"] = [{"token": t, "pos": p} for t, p in zip(head[common].view(np.int64).tolist(), common.tolist())]
-                    row["grp"] = hashlib.blake2b(size.to_bytes(8, "little") + head.tobytes(), digest_size=16).digest()
-                    row["body"] = keys.tobytes()
-            out.append(row)
-        return pa.Table.from_pylist(out, schema=pa.schema([
-            ("key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("set", pa.binary()),
-            ("prefix", pa.list_(pa.struct([("token", pa.int64()), ("pos", pa.int32())]))), ("grp", pa.binary()), ("body", pa.binary())]))
+                    tokens.append(head[common])
+                    places.append(common)
+                    length[d] = len(common)
+                    groups[-1] = hashlib.blake2b(size.to_bytes(8, "little") + head.tobytes(), digest_size=16).digest()
+                    sets[-1] = keys.tobytes()
+        pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(places).astype(np.int32))], ["token", "pos"])
+        prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pairs, mask=pa.array(length == 0))
+        return pa.table({
+            "key": pa.array((chunk << 32) | np.arange(len(texts))), "doc_id": rows.column("doc_id").cast(pa.int64()), "n": pa.array(sizes.astype(np.int64)),
+            "set": pa.array(names, pa.binary()), "prefix": prefix, "grp": pa.array(groups, pa.binary()), "body": pa.array(sets, pa.binary())})
 
     return consult(dealt, ask, count_class, decide, DOCS)
 
