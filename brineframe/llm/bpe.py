@@ -7,17 +7,21 @@ logarithmic cost, until the root holds no mergeable pair. The trees of many dist
 advance in step as NumPy arrays (``Merger.many``); a very long piece has a tree of its own.
 
 The vocabulary is a parameter: the JSON file is read once on the driver and broadcast (its
-size does not depend on the data). Texts are encoded whole, where they lie; nothing is shuffled.
-Encoded pieces are remembered per task; the memory is emptied at ``REMEMBERED`` pieces.
+size does not depend on the data). A file that splits or normalizes text in another way than byte-level BPE
+does is an error. Texts are encoded whole, where they lie; nothing is shuffled. A worker keeps its tables and the
+pieces it has encoded from task to task; the pieces are forgotten at ``REMEMBERED`` of them. Letters and
+numbers are those of the tokenizers library (``char_kinds``; the tests compare all code points).
 
 Defined cases: a null text encodes like an empty one, to no ids; strings of added tokens in a
 text become their ids; decoding replaces invalid UTF-8 by U+FFFD. A column named like a
-result (``ids``, ``decoded``) is renamed ``*_in`` first.
+result (``ids``, ``decoded``) is renamed first (``x`` -> ``x_in``, or further ``_in`` if that is taken).
 """
 
 from __future__ import annotations
 
 import json
+import unicodedata
+import zlib
 from functools import lru_cache
 
 import numpy as np
@@ -26,13 +30,13 @@ import pyarrow.compute  # noqa: F401
 import regex
 from pyspark.sql import DataFrame, types as T
 
-from .text import BLOCK_BYTES, release_memory, span_hashes
+from .text import BLOCK_BYTES, release_memory, renamed, span_hashes
 
 # fixed value: how byte-level BPE splits text
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NONE = np.iinfo(np.int64).max
 EMPTY = np.iinfo(np.int32).max  # of a tree: no pair to merge
-REMEMBERED = 1_000_000  # pieces, some 40 MB
+REMEMBERED = 300_000  # pieces, some 12 MB
 LONG = 256
 STEP = 1 << 16
 
@@ -183,18 +187,65 @@ class Merger:
 OTHER, LETTER, NUMBER, SPACE, END = range(5)
 
 
+# fixed value: characters of the property White_Space
+WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+
+
 @lru_cache(maxsize=1)
 def char_kinds() -> np.ndarray:
-    """Kind of every code point, by the classes of PATTERN."""
+    """Kind of every code point, by the classes of PATTERN as the tokenizers library has them.
+
+    Two tables of different Unicode versions are compared; where they differ, the library's own splitter decides.
+    """
+    major = np.frombuffer("".join(unicodedata.category(chr(i))[0] for i in range(0x110000)).encode(), np.uint8)
     every = "".join(chr(i) if not 0xD800 <= i < 0xE000 else " " for i in range(0x110000))
-    kinds = np.full(0x110000, OTHER, np.uint8)
-    for kind, wanted in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
+    kinds, open_ = np.full(0x110000, OTHER, np.uint8), np.zeros(0x110000, bool)
+    for kind, letter, wanted in ((LETTER, "L", r"\p{L}+"), (NUMBER, "N", r"\p{N}+")):
+        own, other = major == ord(letter), np.zeros(0x110000, bool)
         for m in regex.finditer(wanted, every):
-            kinds[m.start():m.end()] = kind
-    kinds[0xD800:0xE000] = OTHER
+            other[m.start():m.end()] = True
+        kinds[own] = kind
+        open_ |= own != other
+    kinds[WHITE_SPACE] = SPACE
+    if open_.any():
+        from tokenizers import pre_tokenizers
+
+        split = pre_tokenizers.ByteLevel(add_prefix_space=False).pre_tokenize_str
+        for i in np.flatnonzero(open_).tolist():
+            joined = [k for k, first in ((LETTER, "a"), (NUMBER, "1")) if split(first + chr(i))[0][1][1] == 2]
+            kinds[i] = joined[0] if joined else OTHER
     return kinds
 
 
+def checked(spec: dict) -> dict:
+    """The content of a tokenizer file, if it splits text as PATTERN does and treats added tokens as plain marks."""
+    split, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    plain = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and not spec.get("normalizer")
+    plain &= not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    plain &= not any(t.get(k) for t in spec.get("added_tokens") or [] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    if not plain:
+        raise ValueError("the tokenizer file is not plain byte-level BPE")
+    return spec
+
+
+_OWN: dict = {}
+
+
+def sent_tables(spark, tokenizer: str):
+    """Broadcast of a tokenizer file and of the character classes."""
+    with open(tokenizer, encoding="utf-8") as f:
+        return spark.sparkContext.broadcast((f.read(), zlib.compress(char_kinds().tobytes())))
+
+
+def of_worker(kind: type, tables: tuple[str, bytes]):
+    """The codec of a tokenizer file in this process, made once."""
+    key = kind, hash(tables[0])
+    if key not in _OWN:
+        _OWN.clear()
+        _OWN[key] = kind(tables[0], np.frombuffer(zlib.decompress(tables[1]), np.uint8))
+    return _OWN[key]
+
+
 def piece_starts(chars: np.ndarray, kinds: np.ndarray) -> np.ndarray:
     """Mask of the places where PATTERN starts a piece; texts are closed by one END each.
 
@@ -228,15 +279,18 @@ def piece_starts(chars: np.ndarray, kinds: np.ndarray) -> np.ndarray:
 class Codec:
     """Encoder of one tokenizer file."""
 
-    def __init__(self, content: str):
-        spec = json.loads(content)
-        vocabulary = spec["model"]["vocab"]
-        self.merger = Merger(vocabulary, spec["model"]["merges"])
+    def __init__(self, content: str, kinds: np.ndarray | None = None):
+        spec = checked(json.loads(content))
+        self.kinds = char_kinds() if kinds is None else kinds
+        self._prepare(spec, content)
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
         longest = sorted(self.added, key=len, reverse=True)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, longest)) + ")") if longest else None
         self._forget()
 
+    def _prepare(self, spec: dict, content: str) -> None:
+        self.merger = Merger(spec["model"]["vocab"], spec["model"]["merges"])
+
     def _forget(self) -> None:
         self.known = np.zeros(0, np.uint64)  # hashes of remembered pieces, ascending
         self.flat, self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -258,7 +312,7 @@ class Codec:
         """Ids of texts without added tokens, end to end, and where each text's begin."""
         joined = "\0".join([*texts, ""])
         chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-        kinds = char_kinds()[chars]
+        kinds = self.kinds[chars]
         ends = np.cumsum([len(t) + 1 for t in texts]) - 1
         kinds[ends] = END
         first = np.flatnonzero(piece_starts(chars, kinds))
@@ -314,8 +368,8 @@ class Codec:
 class Decoder:
     """Texts of ids of one tokenizer file."""
 
-    def __init__(self, content: str):
-        spec = json.loads(content)
+    def __init__(self, content: str, kinds: np.ndarray | None = None):
+        spec = checked(json.loads(content))
         vocabulary, added, letters = spec["model"]["vocab"], spec.get("added_tokens") or [], byte_letters()
         self.bytes = [b""] * (max([*vocabulary.values(), *(t["id"] for t in added)]) + 1)
         for token, i in vocabulary.items():
@@ -335,20 +389,15 @@ def text_slices(batch: pa.RecordBatch, text: str, limit: int = 1 << 20):
     return [batch.slice(a, b - a) for a, b in zip(cut, cut[1:]) if b > a]
 
 
-def _renamed(df: DataFrame, name: str) -> DataFrame:
-    return df.withColumnRenamed(name, f"{name}_in") if name in df.columns else df
-
-
 def encoded(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     """``docs`` with ids: the token ids of the whole text."""
-    docs = _renamed(docs, "ids")
-    with open(tokenizer, encoding="utf-8") as f:
-        sent = docs.sparkSession.sparkContext.broadcast(f.read())
+    docs = renamed(docs, ("ids",))
+    sent = sent_tables(docs.sparkSession, tokenizer)
     schema = T.StructType(docs.schema.fields + [T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches):
         release_memory()
-        own = Codec(sent.value)  # of this task alone: a worker that lives on keeps none of it
+        own = of_worker(Codec, sent.value)
         for whole in batches:
             for batch in text_slices(whole, text):
                 ids, at = own.encode(batch.column(text).to_pylist())
@@ -358,16 +407,43 @@ def encoded(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+class Both:
+    """Encoder and decoder of one tokenizer file."""
+
+    def __init__(self, content: str, kinds: np.ndarray | None = None):
+        self.codec, self.decoder = Codec(content, kinds), Decoder(content)
+
+
+def recoded(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
+    """``docs`` with ids, and with the text that they decode to in place of the text: both in one pass."""
+    docs = renamed(docs, ("ids",))
+    sent = sent_tables(docs.sparkSession, tokenizer)
+    schema = T.StructType(docs.schema.fields + [T.StructField("ids", T.ArrayType(T.IntegerType()))])
+
+    def run(batches):
+        release_memory()
+        own = of_worker(Both, sent.value)
+        for whole in batches:
+            for batch in text_slices(whole, text):
+                ids, at = own.codec.encode(batch.column(text).to_pylist())
+                flat, cut = ids.tolist(), at.tolist()
+                back = pa.array([own.decoder.decode(flat[a:b]) for a, b in zip(cut, cut[1:])], pa.string())
+                columns = [back if n == text else c for n, c in zip(batch.schema.names, batch.columns)]
+                column = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*columns, column], names=[*batch.schema.names, "ids"])
+
+    return docs.mapInArrow(run, schema)
+
+
 def decoded(tokens: DataFrame, tokenizer: str, ids: str = "ids") -> DataFrame:
     """``tokens`` with decoded: the text of the ids."""
-    tokens = _renamed(tokens, "decoded")
-    with open(tokenizer, encoding="utf-8") as f:
-        sent = tokens.sparkSession.sparkContext.broadcast(f.read())
+    tokens = renamed(tokens, ("decoded",))
+    sent = sent_tables(tokens.sparkSession, tokenizer)
     schema = T.StructType(tokens.schema.fields + [T.StructField("decoded", T.StringType())])
 
     def run(batches):
         release_memory()
-        own = Decoder(sent.value)
+        own = of_worker(Decoder, sent.value)
         for whole in batches:
             for i in range(0, whole.num_rows, 256):
                 batch = whole.slice(i, 256)

@@ -217,9 +217,9 @@ def op6_context_tree_weighting(spark, sf_dir):
 def op7_bpe_codec(spark, sf_dir):
     """Token ids of every document, and the text they decode to."""
     path = tokenizer_file()
-    found = bpe.decoded(bpe.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+    found = bpe.recoded(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
 @query

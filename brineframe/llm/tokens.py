@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from . import bpe
+from .chunks import CHUNK, Layout
 from .text import release_memory
 
 END_ID = 0
@@ -41,8 +42,7 @@ STORED = "doc_id long, part int, first long, n_tokens long, ids array<int>"
 class Library(bpe.Codec):
     """The tokenizers library behind the memory of distinct pieces."""
 
-    def __init__(self, content: str):
-        super().__init__(content)
+    def _prepare(self, spec: dict, content: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task per core already
         from tokenizers import Tokenizer
 
@@ -51,28 +51,30 @@ class Library(bpe.Codec):
         self.library.no_padding()
 
     def ids_of(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        parts, size = [np.zeros(0, np.int32)], []
+        flat, size = [], []
         for i in range(0, len(pieces), 20_000):
             for e in self.library.encode_batch_fast(pieces[i:i + 20_000], add_special_tokens=False):
-                parts.append(np.array(e.ids, np.int32))
-                size.append(len(parts[-1]))
+                own = e.ids
+                flat += own
+                size.append(len(own))
         number = np.array(size, np.int64)
-        return np.concatenate(parts), np.cumsum(number) - number, number
+        return np.array(flat, np.int32), np.cumsum(number) - number, number
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, part_bytes: int = PART_BYTES) -> None:
     """Write the ids of all documents below ``path``/tokens, and ``path``/index."""
     spark = docs.sparkSession
-    with open(tokenizer, encoding="utf-8") as f:
-        sent = spark.sparkContext.broadcast(f.read())
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // part_bytes))
-    key = F.col("doc_id").asc_nulls_last()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, key).sortWithinPartitions(key, F.col("text").asc_nulls_last())
+    sent = bpe.sent_tables(spark, tokenizer)
+    # boundaries come from ids and sizes, so that finding them reads no text twice
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    size, least = Layout(docs, chunk_bytes=part_bytes), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    layout = size if size.bytes >= least * part_bytes else Layout(docs, chunk_bytes=max(1, size.bytes // least))
+    parts, key = len(layout.bounds) + 2, F.col("doc_id").asc_nulls_last()
+    rows = layout.numbered(docs).repartitionById(parts, F.col(CHUNK).cast("int")).sortWithinPartitions(key, F.col("text").asc_nulls_last()).drop(CHUNK)
 
     def run(batches):
         release_memory()
-        own, first = Library(sent.value), 0
+        own, first = bpe.of_worker(Library, sent.value), 0
         for whole in batches:
             for batch in bpe.text_slices(whole, "text"):
                 ids, at = own.encode(batch.column("text").to_pylist())
@@ -99,7 +101,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids): start counts the ids of all documents before."""
     index = spark.read.parquet(f"{path}/index").select("part", "base")
-    rows = spark.read.parquet(f"{path}/tokens").join(F.broadcast(index), "part")  # the index has one row per file
+    rows = spark.read.parquet(f"{path}/tokens").join(index, "part")  # one row per file, small enough to broadcast or not
     return rows.select("doc_id", (F.col("base") + F.col("first")).alias("start"), "n_tokens", "ids")
 
 
