@@ -49,15 +49,17 @@ class Layout:
                 at = np.searchsorted(total, total[-1] * np.arange(1, chunks) / chunks)
                 self.bounds = sorted({got[i][0] for i in at.tolist()})
 
-    def deal(self, docs: DataFrame, *columns: str) -> DataFrame:
-        """The given columns (all if none) with the chunk number, shuffled once by chunk."""
-        df = docs.select(*columns) if columns else docs
+    def numbered(self, df: DataFrame) -> DataFrame:
+        """The rows with their chunk number: 0 to the number of boundaries, one more for null ids."""
         edges = [-float("inf"), *(self.bounds or [0.0]), float("inf")]
         cut = Bucketizer(splits=edges, inputCol="__key", outputCol="__at", handleInvalid="keep")
         df = cut.transform(df.withColumn("__key", F.col(self.key).cast("double")))
-        df = df.withColumn(CHUNK, F.coalesce(F.col("__at").cast("long"), F.lit(len(edges) - 1))).drop("__key", "__at")
-        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        return df.repartition(parts, CHUNK)
+        return df.withColumn(CHUNK, F.coalesce(F.col("__at").cast("long"), F.lit(len(edges) - 1))).drop("__key", "__at")
+
+    def deal(self, docs: DataFrame, *columns: str) -> DataFrame:
+        """The given columns (all if none) with the chunk number, shuffled once by chunk."""
+        parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return self.numbered(docs.select(*columns) if columns else docs).repartition(parts, CHUNK)
 
     def buckets(self, keys: float) -> int:
         return max(1, int(-(-keys // KEYS_PER_BUCKET)))

@@ -13,7 +13,7 @@ benchmark costs passes, not memory.
 Defined cases: a null or word-free text has no words and no hits; a null or word-free item
 has no windows; equal items under several ids all count; an item without id counts as
 the id "". Further columns of the documents pass through. Their names may not be those of
-the result columns ``n_words``, ``hits``, ``items`` (renamed away first: ``x`` -> ``x_in``).
+the result columns ``n_words``, ``hits``, ``items`` (renamed away first: ``x`` -> ``x_in``, or further ``_in`` if that is taken).
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from . import text as tx
 from .text import release_memory
 
 K = 10
@@ -122,9 +123,7 @@ def search(batch: pa.RecordBatch, text: str, tables: list[WuManber], owners: dic
 
 def decontaminated(docs: DataFrame, items: DataFrame, k: int = K, text: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
     """``docs`` with n_words, hits (word spans inside benchmark windows), items (ids as strings, sorted)."""
-    for name in RESULT:
-        if name in docs.columns:
-            docs = docs.withColumnRenamed(name, f"{name}_in")
+    docs = tx.renamed(docs, RESULT)
     spark = docs.sparkSession
     patterns = benchmark_windows(items, k)
     size = patterns.agg(F.sum(F.octet_length("pattern") + F.octet_length("item") + 64)).first()[0] or 0
@@ -157,4 +156,4 @@ def decontaminated(docs: DataFrame, items: DataFrame, k: int = K, text: str = "t
 def clean_only(docs: DataFrame, items: DataFrame, k: int = K) -> DataFrame:
     """The documents without any benchmark window, columns unchanged."""
     found = decontaminated(docs, items, k).where(F.size("hits") == 0)
-    return found.select(*[F.col(f"`{c}_in`").alias(c) if c in RESULT else F.col(f"`{c}`") for c in docs.columns])
+    return tx.original(found, docs, RESULT)

@@ -179,9 +179,7 @@ def best(found: list[tuple[str, int, int, int, int]]) -> list[tuple[str, int, in
 
 def licensed(docs: DataFrame, templates: dict[str, str] = TEMPLATES, text: str = "text") -> DataFrame:
     """``docs`` with n_words and licenses: the templates found, where (in words) and how complete."""
-    for name in RESULT:
-        if name in docs.columns:
-            docs = docs.withColumnRenamed(name, f"{name}_in")
+    docs = tx.renamed(docs, RESULT)
     more = T._parse_datatype_string(", ".join(f"{k} {v}" for k, v in RESULT.items()))
     kind = pa.list_(pa.struct([("license", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("percent", pa.int32())]))
 

@@ -89,9 +89,7 @@ class Lines:
 
 def without_repeated_runs(docs: DataFrame, run: int = RUN, chunk_bytes: int | None = None, lone: int | None = None) -> DataFrame:
     """``docs`` with repeated runs deleted from the text, n_lines, n_removed and the removed line spans."""
-    for name in RESULT:
-        if name in docs.columns:
-            docs = docs.withColumnRenamed(name, f"{name}_in")
+    docs = tx.renamed(docs, RESULT)
     layout = Layout(docs, **({"chunk_bytes": chunk_bytes} if chunk_bytes else {}))
     dealt, names = layout.deal(docs), docs.columns
     span = T._parse_datatype_string("array<struct<start:int,end:int>>")
@@ -148,4 +146,4 @@ def without_repeated_runs(docs: DataFrame, run: int = RUN, chunk_bytes: int | No
 def cleaned(docs: DataFrame, run: int = RUN, lone: int | None = None) -> DataFrame:
     """The documents without repeated runs, columns unchanged. A text of which no line is left is no document any more."""
     left = without_repeated_runs(docs, run, lone=lone).where("n_lines = 0 OR n_removed < n_lines")
-    return left.select(*[F.col(f"`{c}_in`").alias(c) if c in RESULT else F.col(f"`{c}`") for c in docs.columns])
+    return tx.original(left, docs, RESULT)

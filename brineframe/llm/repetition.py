@@ -12,7 +12,7 @@ longest repeat. Nothing is shuffled.
 
 Defined cases: a null, empty or word-free text has zero in every count, fails the base rule
 (too few words) and is not kept. Column names that the result also has are renamed first
-(``x`` -> ``x_in``).
+(``x`` -> ``x_in``, or further ``_in`` if that is taken).
 """
 
 from __future__ import annotations
@@ -142,11 +142,12 @@ def measured(texts: list[bytes], min_run: int = MIN_RUN) -> dict[str, list]:
     return out
 
 
+TAKEN = (*RESULT, "base_failed", "kept")
+
+
 def measures(docs: DataFrame, text: str = "text", min_run: int = MIN_RUN) -> DataFrame:
     """``docs`` with the repetition measures of every text."""
-    for name in RESULT:
-        if name in docs.columns:
-            docs = docs.withColumnRenamed(name, f"{name}_in")
+    docs = tx.renamed(docs, RESULT)
     schema = docs.schema
     more = T._parse_datatype_string(", ".join(f"{k} {v}" for k, v in RESULT.items()))
     full = T.StructType(schema.fields + more.fields)
@@ -166,9 +167,7 @@ def measures(docs: DataFrame, text: str = "text", min_run: int = MIN_RUN) -> Dat
 
 def judged(docs: DataFrame, text: str = "text", covered_limit: float = COVERED_LIMIT, longest_limit: int = LONGEST_LIMIT, min_run: int = MIN_RUN) -> DataFrame:
     """``docs`` with the measures, base_failed and kept."""
-    for name in ("base_failed", "kept"):
-        if name in docs.columns:
-            docs = docs.withColumnRenamed(name, f"{name}_in")
+    docs = tx.renamed(docs, TAKEN)
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > WINDOW_LIMIT * F.col("n_words"))
     quiet = (F.col("covered_chars") <= F.lit(covered_limit) * F.col("word_chars")) & (F.col("longest_repeat") <= longest_limit)
     return measures(docs, text, min_run).withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & quiet)
@@ -176,6 +175,4 @@ def judged(docs: DataFrame, text: str = "text", covered_limit: float = COVERED_L
 
 def kept_only(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents that pass, columns unchanged."""
-    taken = {*RESULT, "base_failed", "kept"}
-    return judged(docs, text).where(F.col("kept")).select(
-        *[F.col(f"`{c}_in`").alias(c) if c in taken else F.col(f"`{c}`") for c in docs.columns])
+    return tx.original(judged(docs, text).where(F.col("kept")), docs, TAKEN)

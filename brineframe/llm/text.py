@@ -13,6 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
 U = np.uint64
 BLOCK_BYTES = 1 << 18  # its arrays stay in the processor's cache
@@ -159,3 +160,26 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of every run of True."""
     step = np.diff(np.concatenate([[0], mask.astype(np.int8), [0]]))
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+
+
+def new_names(columns: list[str], taken) -> dict[str, str]:
+    """For every column named like a result, a free name: ``_in`` behind, as often as it takes."""
+    out: dict[str, str] = {}
+    for name in columns:
+        if name in taken:
+            new = f"{name}_in"
+            while new in columns or new in taken or new in out.values():
+                new += "_in"
+            out[name] = new
+    return out
+
+
+def renamed(df: DataFrame, taken) -> DataFrame:
+    """Columns named like a result, renamed away."""
+    return df.withColumnsRenamed(new_names(df.columns, taken))
+
+
+def original(found: DataFrame, docs: DataFrame, taken) -> DataFrame:
+    """The columns of ``docs`` from a result in which some were renamed away."""
+    new = new_names(docs.columns, taken)
+    return found.select(*[F.col(f"`{new.get(c, c)}`").alias(c) for c in docs.columns])

@@ -70,6 +70,19 @@ def repeats(text):
             len(covered(8)), sum(len(w[i]) for i in covered(6)), longest)
 
 
+def passes(text, covered_limit=0.40, longest_limit=100):
+    """The repetition verdict by sets of windows: covered by windows of 6, none of longest_limit + 1 twice."""
+    w = words(text)
+
+    def again(k):
+        seen = Counter(tuple(w[i:i + k]) for i in range(len(w) - k + 1))
+        return {j for i in range(len(w) - k + 1) if seen[tuple(w[i:i + k])] > 1 for j in range(i, i + k)}
+
+    chars = sum(map(len, w))
+    return (len(w) >= 20 and 100 * len(again(8)) <= 30 * len(w) and sum(len(w[j]) for j in again(6)) <= covered_limit * chars
+            and not again(longest_limit + 1))
+
+
 def line_dedup(docs, run=2):
     """(doc_id, text left, lines, removed) in the order of by_id"""
     seen, out = set(), []
@@ -87,6 +100,27 @@ def line_dedup(docs, run=2):
     return out
 
 
+def lone_line_dedup(docs, lone):
+    """line_dedup with lines of that many words, and only lines, as runs of their own."""
+    pairs, singles, out = set(), set(), []
+    for doc, text in by_id(docs):
+        raw = (text or "").split("\n")
+        solid = [i for i, x in enumerate(raw) if words(x)]
+        key = [raw[i].strip(" \t\n\v\f\r") for i in solid]
+        gone = set()
+        for i in range(len(key)):
+            if key[i:i + 2] in [list(p) for p in pairs if p[0] == key[i]]:
+                gone.update(solid[i:i + 2])
+            if i + 1 < len(key):
+                pairs.add((key[i], key[i + 1]))
+            if len(key) == 1 or len(words(key[i])) >= lone:
+                if key[i] in singles:
+                    gone.add(solid[i])
+                singles.add(key[i])
+        out.append((doc, None if text is None else "\n".join(x for i, x in enumerate(raw) if i not in gone), len(solid), len(gone)))
+    return out
+
+
 def window_dedup(docs, k=20):
     seen, out = set(), []
     for doc, text in by_id(docs):

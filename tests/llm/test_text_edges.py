@@ -106,27 +106,6 @@ def test_lines(table, empty, chunk):
     assert lines.without_repeated_runs(empty).count() == 0
 
 
-def lone_line_dedup(docs, lone):
-    """line_dedup with lines of that many words, and only lines, as runs of their own."""
-    pairs, singles, out = set(), set(), []
-    for doc, text in brute.by_id(docs):
-        raw = (text or "").split("\n")
-        solid = [i for i, x in enumerate(raw) if brute.words(x)]
-        key = [raw[i].strip(" \t\n\v\f\r") for i in solid]
-        gone = set()
-        for i in range(len(key)):
-            if key[i:i + 2] in [list(p) for p in pairs if p[0] == key[i]]:
-                gone.update(solid[i:i + 2])
-            if i + 1 < len(key):
-                pairs.add((key[i], key[i + 1]))
-            if len(key) == 1 or len(brute.words(key[i])) >= lone:
-                if key[i] in singles:
-                    gone.add(solid[i])
-                singles.add(key[i])
-        out.append((doc, None if text is None else "\n".join(x for i, x in enumerate(raw) if i not in gone), len(solid), len(gone)))
-    return out
-
-
 @pytest.mark.parametrize("chunk", [None, 500])
 def test_lone_lines(spark, chunk):
     passage, other = " ".join(f"p{i}" for i in range(60)), " ".join(f"q{i}" for i in range(19))
@@ -135,7 +114,7 @@ def test_lone_lines(spark, chunk):
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     found = lines.without_repeated_runs(frame, chunk_bytes=chunk, lone=lines.LONE)
     got = some(found, "doc_id", "text", "n_lines", "n_removed")
-    assert got == sorted(lone_line_dedup(docs, lines.LONE), key=repr)
+    assert got == sorted(brute.lone_line_dedup(docs, lines.LONE), key=repr)
     removed = {r[0]: r[3] for r in got}
     assert [removed[i] for i in range(1, 10)] == [0, 1, 1, 0, 1, 1, 0, 0, 0]
     assert {r.n_removed for r in lines.without_repeated_runs(frame.where("doc_id < 10")).collect()} == {0}  # runs of two find none of them
@@ -312,3 +291,38 @@ def test_word_hashes():
     for w, h in zip(words, hashes.tolist()):
         assert known.setdefault(w, h) == h
     assert len(set(known.values())) == len(known)
+
+
+def test_clashing_names(spark):
+    """Columns named like results, and like their new names."""
+    names = ["n_words", "n_words_in", "hits", "hits_in", "n_lines", "n_lines_in", "kept", "kept_in", "kept_in_in", "ids", "ids_in", "licenses", "licenses_in"]
+    frame = spark.createDataFrame([(1, BASE, *names), (2, None, *names)], ["doc_id", "text", *names])
+    items = spark.createDataFrame([(1, PASSAGE)], "item_id long, text string")
+    for left in (repetition.kept_only(frame), decontaminate.clean_only(frame, items), lines.cleaned(frame)):
+        assert left.columns == frame.columns and left.where("doc_id = 1").select(*names).collect() == [tuple(names)]
+    for found in (licenses.licensed(frame), bpe.recoded(frame, PATH), bpe.encoded(frame, PATH)):
+        assert len(set(found.columns)) == len(found.columns) > len(frame.columns) and found.where("doc_id = 1").count() == 1
+
+
+def test_character_classes():
+    """Every code point splits as in the tokenizers library."""
+    from tokenizers import pre_tokenizers
+
+    codec = bpe.Codec(open(PATH, encoding="utf-8").read())
+    split = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    for first in ("a", "1"):
+        text = "".join(f"{first}{chr(i)}\n" for i in range(0x110000) if not 0xD800 <= i < 0xE000)
+        chars = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        starts = np.flatnonzero(bpe.piece_starts(np.append(chars, 0), np.append(bpe.char_kinds()[chars], np.uint8(bpe.END))))[:-1]
+        want = [a for _, (a, _) in split.pre_tokenize_str(text)]
+        assert np.array_equal(starts, want)
+    with pytest.raises(ValueError):
+        bpe.checked({"pre_tokenizer": {"type": "Whitespace"}, "model": {}})
+    assert codec.added
+
+
+def test_recoded(table, empty):
+    both = {(r.doc_id, r.text or ""): (r.ids, r.decoded) for r in bpe.decoded(bpe.encoded(table, PATH), PATH).collect()}
+    for r in bpe.recoded(table, PATH).collect():
+        assert both[r.doc_id, r.text] == (r.ids, r.text)
+    assert bpe.recoded(empty, PATH).count() == 0

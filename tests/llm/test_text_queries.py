@@ -103,15 +103,11 @@ def test_token_files(spark):
 
 
 def test_pipeline(spark):
-    from brineframe.llm import repetition
+    import corpus_pipeline
 
-    left = []
-    for doc, text in docs():
-        n, chars, _, _, repeated, covered, longest = brute.repeats(text) if len(brute.words(text)) < 400 else list(repetition.measured([text.encode()])[k][0] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_chars", "longest_repeat"))
-        if n >= 20 and 100 * repeated <= 30 * n and covered <= repetition.COVERED_LIMIT * chars and longest <= repetition.LONGEST_LIMIT:
-            left.append((doc, text))
-    left = [(d, t) for d, t, n, gone in brute.line_dedup(left) if not n or gone < n]
-    group = {d: c for d, _, c in brute.similar(left)}
+    left = [(doc, text) for doc, text in docs() if brute.passes(text)]
+    left = [(d, t) for d, t, n, gone in brute.lone_line_dedup(left, 20) if not n or gone < n]
+    group = {d: c for d, _, c in brute.similar(left, corpus_pipeline.SHINGLE, corpus_pipeline.SIMILAR)}
     left = [(d, t) for d, t in left if group[d] == d]
     items = [tuple(r) for r in zip(*pq.read_table(f"{SF_DIR}/benchmark.parquet", columns=["item_id", "text"]).to_pydict().values())]
     bad = {r[0] for r in brute.decontamination(left, items) if r[5]}
