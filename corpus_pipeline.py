@@ -23,8 +23,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without runs of lines that also stand earlier; those left without a line go, n_chars follows the text."""
-    left = lines.cleaned(docs)
+    """Documents without runs of lines that also stand earlier, long lines and only lines counting as runs of their own;
+    those left without a line go, n_chars follows the text."""
+    left = lines.cleaned(docs, lone=lines.LONE)
     return left.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in left.columns else left
 
 
@@ -40,10 +41,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokenization(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with n_tokens and ids; their text is what the ids decode to."""
-    path = tokenizer_file()
-    found = bpe.decoded(bpe.encoded(docs, path), path)
-    kept = [F.col("decoded").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in ("n_tokens", "ids", "decoded")]
-    return found.select(*kept, F.size("ids").cast("long").alias("n_tokens"), "ids")
+    found = bpe.recoded(docs.drop("n_tokens", "ids"), tokenizer_file())
+    return found.select(*[F.col(f"`{c}`") for c in found.columns if c != "ids"], F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
