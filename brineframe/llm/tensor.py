@@ -11,12 +11,13 @@ never linked.
    its subkeys. Equal sets become one node.
 2. Chunks of nodes ask key buckets which of their table keys occur elsewhere (4 bytes a key,
    one bit back). Only those become rows (key, node).
-3. *Leaders.* Every table cell whose nodes are not in one component yet has a leader, chosen by hash and
-   anew in each of ``ROUNDS`` rounds. A node is compared with one of its cells' leaders, the
-   one it meets most often. So a round compares no more pairs than there are nodes, however large a cell is.
-4. *Rest.* In cells that stay open, every pair of different components is compared; one side
-   is outside the cell's largest component. So no candidate pair between components is
-   left out, and a group of near copies is never expanded into its pairs.
+3. *Leaders.* Every table cell whose nodes are not in one component yet has leaders: the nodes that share most
+   cells. A node outside its cell's largest component is compared with ``PICKS`` of the leaders it meets, the ones it
+   meets most often. So a round compares at most ``PICKS`` pairs a node, however large a cell is.
+4. *Rest.* Nodes of cells that stay open are compared with all nodes of other components that they share a
+   cell with, in tiles of ``TILE_BYTES`` (``across``). Only links leave a tile. No candidate pair between
+   components is left out; a crowd whose members are too far apart to link costs its pairs as comparisons
+   inside tiles, not as rows.
 
 Compared pairs must be near enough in size, their sets are made from the texts of the nodes that share
 a cell, and 100 * intersection >= percent * union is decided on full sets.
@@ -35,6 +36,7 @@ from math import ceil, log
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from ..session import shared_dir
 from ..sources.tables import staged
@@ -49,8 +51,10 @@ PERCENT = 80
 K = 3  # minhashes of a subkey: 2 K per table keep a million unrelated sets apart
 MISSED = 1e-4
 ROUNDS = 3
+PICKS = 2  # leaders that a node is compared with in a round
 SEED = 77
 NODES = 12  # bits: nodes of a chunk
+TILE_BYTES = 16 << 20
 PAIR = "a long, b long"
 
 
@@ -113,7 +117,7 @@ def seen_elsewhere(table: pa.Table) -> pa.Table:
 
 
 def posted(nodes: DataFrame, t: int) -> DataFrame:
-    """(key, id, n): the table cells of every node that another node has, too."""
+    """(key, id, n, cells): the table cells of every node that another node has, too, and how many they are."""
     spark = nodes.sparkSession
     buckets = max(1, -(-nodes.count() * t * t // 1_000_000))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -137,9 +141,11 @@ def posted(nodes: DataFrame, t: int) -> DataFrame:
         bits = [np.unpackbits(np.frombuffer(r, np.uint8), count=m) for r, m in zip(replies(answers), sizes.tolist())]
         more[order] = np.concatenate(bits).astype(bool)
         node, cell = np.nonzero(more[number])
-        return pa.table({"key": pa.array(keys[node, cell].view(np.int64)), "id": rows.column("id").combine_chunks().take(pa.array(node)), "n": rows.column("n").combine_chunks().take(pa.array(node))})
+        own = pa.array(node)
+        return pa.table({"key": pa.array(keys[node, cell].view(np.int64)), "id": rows.column("id").combine_chunks().take(own), "n": rows.column("n").combine_chunks().take(own),
+                         "cells": pa.array(more[number].sum(axis=1)[node])})
 
-    return consult(dealt, ask, seen_elsewhere, decide, "key long, id long, n long")
+    return consult(dealt, ask, seen_elsewhere, decide, "key long, id long, n long, cells long")
 
 
 def bodies(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -161,36 +167,95 @@ def bodies(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, n: int) -> Data
     return some.mapInArrow(run, "id long, body binary")
 
 
-def linked(posts: DataFrame, sets: DataFrame, percent: int, rounds: int = ROUNDS) -> DataFrame:
-    """(node, component) of the nodes that links connect; ``posts`` are (key, id, n)."""
+def leaders_met(cells: DataFrame, outside: DataFrame, r: int, near) -> DataFrame:
+    """(id, a, c): the leaders a that an outside node meets in c cells. Leaders are the nodes that share most cells:
+    the centre of a crowd is near most of it. Their number in a cell grows fourfold from round to round."""
+    place = F.col("cells") * (1 << 32) + F.pmod(F.xxhash64("id", F.lit(r)), F.lit(1 << 32))
+    slot = F.pmod(F.xxhash64("id", F.lit(-r)), F.lit(4 ** r)).alias("slot")
+    lead = cells.groupBy("key", slot).agg(F.max_by("id", place).alias("a"), F.max_by("n", place).alias("m"), F.max_by("comp", place).alias("c"))
+    met = outside.select("key", "id", "n", "comp").join(lead, "key").where((F.col("comp") != F.col("c")) & near(F.col("n"), F.col("m")))
+    return met.groupBy("id", "a").agg(F.count("*").alias("c"))
+
+
+def linked(posts: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, rounds: int = ROUNDS, tile_bytes: int = TILE_BYTES) -> DataFrame:
+    """(node, component) of the nodes that links connect; ``posts`` are (key, id, n, cells)."""
     spark = posts.sparkSession
     near = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    links = label = None
-    cells = posts.withColumn("comp", F.col("id"))
-    for r in range(rounds + 1):
-        if label is not None:  # cells whose nodes are not in one component yet
-            known = posts.join(label.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("comp"))
-            known = staged(known, shared_dir(spark, "cells"))
-            still = known.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
-            cells = staged(known.join(still, "key"), shared_dir(spark, "open"))
-        if r < rounds:
-            by = F.xxhash64("id", F.lit(r))
-            lead = cells.groupBy("key").agg(F.min_by("id", by).alias("a"), F.min_by("n", by).alias("m"), F.min_by("comp", by).alias("c"))
-            met = cells.join(lead, "key").where((F.col("comp") != F.col("c")) & near(F.col("n"), F.col("m")))
-            often = met.groupBy("id", "a").agg(F.count("*").alias("c"))
-            met = often.groupBy("id").agg(F.max_by("a", F.struct("c", F.xxhash64("a", F.lit(r)))).alias("a")).select("a", F.col("id").alias("b"))
-        else:
-            main = cells.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
-            outside = cells.join(main, "key").where("comp != main").select("key", F.col("id").alias("a"), F.col("n").alias("m"), F.col("comp").alias("c"))
-            met = cells.join(outside, "key").where((F.col("comp") != F.col("c")) & near(F.col("n"), F.col("m"))).select("a", F.col("id").alias("b"))
-        pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    cells = outside = posts.withColumn("comp", F.col("id"))
+    links = tried = None
+    for r in range(rounds):
+        often = leaders_met(cells, outside, r, near)
+        often = often if tried is None else often.join(tried, ["id", "a"], "left_anti")
+        first = Window.partitionBy("id").orderBy(F.desc("c"), F.xxhash64("a", F.lit(r)))
+        chosen = staged(often.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= PICKS).select("id", "a"), shared_dir(spark, "tried"))
+        tried = chosen if tried is None else tried.union(chosen)
+        pairs = chosen.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
         more = staged(verified(pairs, sets, percent), shared_dir(spark, "verified"))
         links = more if links is None else links.union(more)
         label = staged(components(links), shared_dir(spark, "labels"))
-    return label
-
-
-def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT, k: int = K, missed: float = MISSED, rounds: int = ROUNDS) -> DataFrame:
+        # cells whose nodes are not in one component yet, and their nodes outside the largest one
+        known = posts.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+        known = staged(known, shared_dir(spark, "cells"))
+        sizes = known.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("k")).where("k > 1")
+        cells = staged(known.join(sizes.select("key", "main"), "key"), shared_dir(spark, "open"))
+        outside = cells.where("comp != main")
+    rest = staged(across(cells.select("id", "n", "comp").distinct(), nodes, sets, percent, tile_bytes), shared_dir(spark, "verified"))
+    return components(links.union(rest))
+
+
+def across(some: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, tile_bytes: int) -> DataFrame:
+    """Links between nodes of different components that share a table cell.
+
+    Nodes that share a subkey of the first collection form a group; a group that takes more than
+    ``tile_bytes`` is cut into slots, and every pair of slots is a tile. A tile finds the pairs that share a subkey of the
+    second collection, too, and share no earlier one of the first (another group has those), and
+    compares their sets.
+    """
+    spark = some.sparkSession
+    full = staged(some.join(nodes.select("id", "sub"), "id").join(sets, "id"), shared_dir(spark, "rest"))
+    half = F.octet_length("sub") / 16
+    keyed = full.select("id", "comp", (F.octet_length("body") + F.octet_length("sub")).alias("size"), F.explode(F.sequence(F.lit(0), (half - 1).cast("int"))).alias("i"), "sub")
+    keyed = keyed.select("id", "comp", "size", "i", F.expr("substring(sub, i * 8 + 1, 8)").alias("one"))
+    groups = keyed.groupBy("i", "one", "comp").agg(F.count("*").alias("c"), F.sum("size").alias("size")).groupBy("i", "one").agg(
+        F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("k"), F.sum("size").alias("size")).where("k > 1")
+    slots = F.ceil(F.col("size") / tile_bytes).cast("int")
+    placed = keyed.drop("size", "comp").join(groups.select("i", "one", "main", slots.alias("slots")), ["i", "one"])
+    own = F.pmod(F.xxhash64("id"), F.col("slots")).cast("int")
+    placed = placed.select("id", "i", "one", "main", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("other"))
+    tiles = placed.select("id", "i", "one", "main", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")).join(full, "id")
+
+    def run(rows):
+        tx.release_memory()
+        i, main = rows.column("i")[0].as_py(), rows.column("main")[0].as_py()
+        crossing = rows.column("x")[0].as_py() != rows.column("y")[0].as_py()
+        ids, comp, size, slot = (rows.column(c).to_numpy() for c in ("id", "comp", "n", "own"))
+        sub = np.frombuffer(b"".join(rows.column("sub").to_pylist()), np.uint64).reshape(len(ids), -1)
+        one, two = np.split(sub, 2, axis=1)
+        flat = np.frombuffer(b"".join(rows.column("body").to_pylist()), np.uint64)
+        at = np.concatenate([[0], np.cumsum(size)])
+        a, b = [], []
+        for r in np.flatnonzero(comp != main).tolist():
+            other = (comp != comp[r]) & (100 * np.minimum(size, size[r]) >= percent * np.maximum(size, size[r]))
+            other &= (comp == main) | (ids > ids[r])  # two outside nodes meet once
+            if crossing:
+                other &= slot != slot[r]
+            met = np.flatnonzero(other)
+            met = met[(two[met] == two[r]).any(axis=1) & ~(one[met, :i] == one[r, :i]).any(axis=1)]
+            if not len(met):
+                continue
+            own = flat[at[r]:at[r + 1]]
+            part = np.concatenate([flat[at[m]:at[m + 1]] for m in met.tolist()])
+            place = np.minimum(np.searchsorted(own, part), len(own) - 1)
+            both = np.add.reduceat((own[place] == part).astype(np.int64), np.concatenate([[0], np.cumsum(size[met])[:-1]]))
+            hit = met[100 * both >= percent * (size[r] + size[met] - both)]
+            a += [ids[r]] * len(hit)
+            b += ids[hit].tolist()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return tiles.select("i", "one", "x", "y", "main", "own", "id", "n", "comp", "sub", "body").groupBy("i", "one", "x", "y").applyInArrow(run, PAIR)
+
+
+def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT, k: int = K, missed: float = MISSED, rounds: int = ROUNDS, tile_bytes: int = TILE_BYTES) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept)"""
     spark, t = docs.sparkSession, collections(percent, k, missed)
     docs = docs.select("doc_id", "text")
@@ -200,7 +265,7 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT, k: int
     nodes = staged(distinct.select(F.monotonically_increasing_id().alias("id"), "set", "one.doc_id", "one.mark", "n", "sub"), shared_dir(spark, "nodes"))
     posts = staged(posted(nodes, t), shared_dir(spark, "posts"))
     sets = staged(bodies(docs, nodes, posts.select("id").distinct(), n), shared_dir(spark, "bodies"))
-    label = linked(posts, sets, percent, rounds)
+    label = linked(posts, nodes, sets, percent, rounds, tile_bytes)
     own = nodes.join(label.withColumnRenamed("node", "id"), "id", "left").select("id", "set", "doc_id", F.coalesce("component", "id").alias("component"))
     own = staged(own, shared_dir(spark, "components"))
     names = own.groupBy("component").agg(F.min("doc_id").alias("component_id"))

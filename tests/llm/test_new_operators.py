@@ -91,8 +91,9 @@ def test_near_duplicates_in_chains_and_crowds(spark):
         for _ in range(r.randrange(1, 14)):
             own[r.randrange(len(own))] = r.choice(words)
         docs.append((len(docs), " ".join(own)))
-    got = tensor.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()
-    assert sorted(tuple(r) for r in got) == sorted((d, n, c, d == c) for d, n, c in brute.similar(docs, 2, 80))
+    frame, want = spark.createDataFrame(docs, "doc_id long, text string").repartition(4), sorted((d, n, c, d == c) for d, n, c in brute.similar(docs, 2, 80))
+    for rounds, tile in ((3, 16 << 20), (1, 40_000)):
+        assert sorted(tuple(r) for r in tensor.near_duplicates(frame, rounds=rounds, tile_bytes=tile).collect()) == want
 
 
 def test_tables_find_pairs_at_the_threshold():
