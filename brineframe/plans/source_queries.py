@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.axes import RegularAxis
 from ..operators import columns, matchup, selection
 from ..session import shared_dir
-from ..sources import attributes, catalog, cube as store, manifest as M
+from ..sources import attributes, catalog, cube as store, manifest as M, versions
 from ..sources.tables import read_parquet
 from ..streaming.ingest import ingest
 from . import proxies as P
@@ -186,13 +186,13 @@ def _cells(rows):
     return columns.column_metrics(arrays, P.CUBE_AXIS)
 
 
-def _stream(spark, landing, root, schema, **kw):
+def _stream(spark, landing, root, schema, progress="progress", **kw):
     """One run of the ingest over a landing folder of events."""
     ingest(
-        spark, landing, schema, _cells, f"{root}/store", f"{root}/progress", n_lon=10,
+        spark, landing, schema, _cells, f"{root}/store", f"{root}/{progress}", n_lon=10,
         prepare=lambda rows: rows.withColumn("date", F.col("ts").cast("date")), **kw,
     )
-    return store.read_cube(spark, f"{root}/store").select("date", "lat_idx", "lon_idx", *METRICS)
+    return versions.read_current(spark, f"{root}/store").select("date", "lat_idx", "lon_idx", *METRICS)
 
 
 @query("streamed_cube_round_trip", "T1 S9 S10", _PUBLISHED, doubles=" ".join(METRICS), texts="date", digits=3)
@@ -225,3 +225,35 @@ def streamed_redelivery(spark, d):
     again = events.where(F.dayofmonth("ts") % 3 == 0).withColumn("value", F.col("value") * 2)
     again.repartition(2, "event_id").write.parquet(f"{root}/landing/second")
     return _stream(spark, f"{root}/landing", root, events.schema, force=True, **named)
+
+
+@query("streamed_late_part_of_old_delivery", "T1 T2 S9 S10", _REDELIVERED, doubles=" ".join(METRICS), texts="date", digits=3)
+def streamed_late_part_of_old_delivery(spark, d):
+    """A late file of a delivery that a newer one has replaced changes nothing, by force neither; a late file of the current one counts."""
+    root = shared_dir(spark)
+    events = read_parquet(spark, f"{d}/events.parquet")
+    named = {"delivery": F.element_at(F.split("_file", "/"), -2)}
+    late = F.pmod(F.xxhash64("event_id"), F.lit(5)) == 0
+    events.where(~late).repartition(2, "event_id").write.parquet(f"{root}/landing/first")
+    _stream(spark, f"{root}/landing", root, events.schema, **named)
+    again = events.where(F.dayofmonth("ts") % 3 == 0).withColumn("value", F.col("value") * 2)
+    again.where(~late).write.parquet(f"{root}/landing/second")
+    _stream(spark, f"{root}/landing", root, events.schema, force=True, **named)
+    events.where(late).coalesce(1).write.mode("append").parquet(f"{root}/landing/first")
+    _stream(spark, f"{root}/landing", root, events.schema, force=True, **named)
+    again.where(late).coalesce(1).write.mode("append").parquet(f"{root}/landing/second")
+    return _stream(spark, f"{root}/landing", root, events.schema, **named)
+
+
+@query("streamed_new_checkpoint", "T1 S10 S11", f"""
+WITH days AS (SELECT DISTINCT CAST(ts AS DATE) AS date FROM events)
+SELECT date, 'done' AS status, CAST(1 AS BIGINT) AS commits FROM days
+""", texts="date")
+def streamed_new_checkpoint(spark, d):
+    """Commits of each day after two runs with checkpoints of their own: finished days are skipped."""
+    root, source = shared_dir(spark), f"{d}/events.parquet"
+    schema = spark.read.parquet(source).schema
+    _stream(spark, source, root, schema)
+    _stream(spark, source, root, schema, progress="another")
+    ledger = versions.read_ledger(spark, f"{root}/store")
+    return ledger.groupBy("date", "status").agg(F.count("*").alias("commits"))

@@ -1,25 +1,16 @@
-"""Incremental daily ingest: each new delivery of a day replaces that day of the cube."""
+"""Incremental daily ingest: each new delivery of a day replaces that day, by a new version of its slice."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.text import version_token
-from ..sources.cube import clear_days, day_files, write_days
+from ..sources.versions import commit, current_versions, prepare_store, read_ledger, write_slices
 
-LEDGER = T.StructType([
-    T.StructField("date", T.DateType()),
-    T.StructField("delivery", T.StringType()),
-    T.StructField("batch", T.LongType()),
-    T.StructField("status", T.StringType()),
-    T.StructField("message", T.StringType()),
-])
-
-
-def read_ledger(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema(LEDGER).parquet(f"{root}/ledger")
+FILES = "date date, delivery string, path string"
 
 
 def delivery_of_name(path: str = "_file") -> Column:
@@ -31,10 +22,26 @@ def delivery_of_name(path: str = "_file") -> Column:
     return F.coalesce(version_token(F.element_at(F.split(F.col(path), "/"), -1)), F.lit(""))
 
 
-def newest_delivery(batch: DataFrame) -> DataFrame:
-    """(date, delivery) of the delivery that counts for each day: the one with the newest file."""
-    parts = batch.groupBy("date", "_delivery").agg(F.max("_mtime").alias("_mtime"))
-    return parts.groupBy("date").agg(F.max(F.struct("_mtime", "_delivery"))["_delivery"].alias("_delivery"))
+def deliveries_of(batch: DataFrame) -> DataFrame:
+    """(date, delivery, newest modification time) of a batch."""
+    return batch.where(F.col("date").isNotNull()).groupBy("date", "_delivery").agg(F.max("_mtime").alias("_mtime"))
+
+
+def to_do(batch: DataFrame, ledger: DataFrame, force: bool) -> DataFrame:
+    """(date, _delivery, again): the delivery to apply for each day of a batch.
+
+    A day's current delivery is the one of its newest finished commit. A delivery that was current
+    once and is not any more is never applied again. Of the others the one with the newest file
+    counts; it is applied if the day has none yet, if it is the current one itself (``again``: a further part), or by force.
+    """
+    current = current_versions(ledger).select("date", F.col("delivery").alias("_current"))
+    once = ledger.where(F.col("status") == "done").select("date", F.col("delivery").alias("_delivery")).distinct()
+    superseded = once.join(current, "date").where(F.col("_delivery") != F.col("_current")).select("date", "_delivery")
+    open_ = deliveries_of(batch).join(superseded, ["date", "_delivery"], "left_anti")
+    newest = open_.groupBy("date").agg(F.max(F.struct("_mtime", "_delivery"))["_delivery"].alias("_delivery"))
+    state = newest.join(current, "date", "left").withColumn("again", F.coalesce(F.col("_delivery") == F.col("_current"), F.lit(False)))
+    wanted = F.lit(force) | F.col("again") | F.col("_current").isNull()
+    return state.where(wanted).select("date", "_delivery", "again")
 
 
 def ingest(
@@ -56,72 +63,69 @@ def ingest(
     ``transform`` maps the rows of whole days to cube cells. ``delivery`` names the delivery a
     row belongs to, by the landed columns or ``_file`` (default: the version in the file name).
 
-    Per micro-batch: the newest delivery of a day counts, with all its files. A day finished
-    by another delivery is skipped (unless ``force``). A delivery of which a part was
-    finished before is done again from all its landed files, so late parts are never lost. All
-    days go through one job, exactly their partitions are replaced, a day left without a
-    valid cell is cleared, and the ledger is appended. A replayed batch rewrites the
-    same days, so every day is applied exactly once. If a batch fails, its days are halved until
-    the failing ones stand alone; those are recorded without stopping the others.
+    Per micro-batch and day: see ``to_do``. A delivery of which a part was finished before is
+    done again from all its landed files (``<root>/files`` says which they are), so late parts are never lost. All
+    days go through one job that writes their slices beside the current ones; one appended commit row per day
+    switches them, also for a day left without a valid cell. A replayed batch applies the
+    same days again, whatever checkpoint the batches before it used, so every day is applied exactly once. If a batch fails, its
+    days are halved until the failing ones stand alone; those are recorded without stopping the
+    others, and their current slices stay.
     """
-    spark.createDataFrame([], LEDGER).write.mode("append").parquet(f"{root}/ledger")
+    prepare_store(spark, root)
+    spark.createDataFrame([], FILES).write.mode("append").parquet(f"{root}/files")
 
-    def landed(reader) -> DataFrame:
-        raw = reader.schema(schema).option("recursiveFileLookup", "true")
-        if files_per_batch and reader is not spark.read:
-            raw = raw.option("maxFilesPerTrigger", files_per_batch)
-        rows = raw.parquet(landing).withColumns({"_file": F.col("_metadata.file_path"), "_mtime": F.col("_metadata.file_modification_time")})
+    def rows_of(raw: DataFrame) -> DataFrame:
+        rows = raw.withColumns({"_file": F.col("_metadata.file_path"), "_mtime": F.col("_metadata.file_modification_time")})
         rows = rows.withColumn("_delivery", F.coalesce(delivery_of_name() if delivery is None else delivery, F.lit("")))
         return prepare(rows) if prepare else rows
 
-    def record(days: DataFrame, batch_id: int, status: str, message: str | None = None) -> None:
-        rows = days.select(
-            "date", F.col("_delivery").alias("delivery"), F.lit(batch_id).cast("long").alias("batch"),
-            F.lit(status).alias("status"), F.lit(message).cast("string").alias("message"),
-        )
-        rows.write.mode("append").parquet(f"{root}/ledger")
-
-    def replace(rows: DataFrame, pending: list, batch_id: int) -> None:
+    def replace(rows: DataFrame, pending: list, mark: dict) -> None:
         """Apply the pending (date, delivery) pairs; on failure, each half by itself."""
         days = spark.createDataFrame(pending, "date date, _delivery string")
         mine = rows.join(F.broadcast(days), ["date", "_delivery"], "left_semi").drop("_file", "_mtime", "_delivery")
-        dates = [d for d, _ in pending]
+        named = days.withColumnRenamed("_delivery", "delivery").withColumns({k: F.lit(v) for k, v in mark.items()})
         try:
-            before = day_files(spark, root, dates)
-            write_days(transform(mine), root, n_lon)
-            after = day_files(spark, root, dates)
-            clear_days(spark, root, [d for d in dates if before[d] and before[d] == after[d]])
-            record(days, batch_id, "done")
+            version = write_slices(transform(mine), root, n_lon)
+            commit(named.withColumns({"version": F.lit(version), "status": F.lit("done"), "message": F.lit(None)}), root)
         except Exception as err:  # noqa: BLE001 - isolate the failing days
             if len(pending) == 1:
-                record(days, batch_id, "failed", str(err).splitlines()[0][:500])
+                commit(named.withColumns({"version": F.lit(None), "status": F.lit("failed"), "message": F.lit(str(err).splitlines()[0][:500])}), root)
                 return
             half = len(pending) // 2
-            replace(rows, pending[:half], batch_id)
-            replace(rows, pending[half:], batch_id)
+            replace(rows, pending[:half], mark)
+            replace(rows, pending[half:], mark)
+
+    def files_of(pending: list) -> list[str]:
+        """The landed files that hold the pending deliveries: a few per day."""
+        days = spark.createDataFrame(pending, "date date, delivery string")
+        known = spark.read.schema(FILES).parquet(f"{root}/files").join(F.broadcast(days), ["date", "delivery"], "left_semi")
+        return sorted(r["path"] for r in known.select("path").distinct().collect())
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
-            wanted = newest_delivery(batch.where(F.col("date").isNotNull()))
-            done = read_ledger(spark, root).where((F.col("status") == "done") & (F.col("batch") != batch_id))
-            known = done.groupBy("date").agg(F.collect_set("delivery").alias("_done"))  # a few per day
-            state = wanted.join(known, "date", "left").select(
-                "date", "_delivery", F.coalesce(F.array_contains("_done", F.col("_delivery")), F.lit(False)).alias("again"),
-                F.col("_done").isNotNull().alias("finished"))
+            # batch numbers start anew with a new checkpoint; its id tells them apart
+            run = json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+            found = batch.where(F.col("date").isNotNull()).select("date", F.col("_delivery").alias("delivery"), F.col("_file").alias("path")).distinct()
+            found.coalesce(1).write.mode("append").parquet(f"{root}/files")
+            ledger = read_ledger(spark, root)
+            before = ledger.where(~((F.col("run") == run) & (F.col("batch") == batch_id)))
             # the calendar days of this batch: one short row each
-            todo = [(r["date"], r["_delivery"], r["again"]) for r in state.collect() if force or r["again"] or not r["finished"]]
-            fresh = [(d, v) for d, v, again in todo if not again]
-            again = [(d, v) for d, v, again in todo if again]
+            todo = [tuple(r) for r in to_do(batch, before, force).collect()]
+            mark = {"run": run, "batch": batch_id, "sequence": (ledger.agg(F.max("sequence")).first()[0] or 0) + 1}
+            fresh, again = ([(d, v) for d, v, a in todo if a is which] for which in (False, True))
             if fresh:
-                replace(batch, sorted(fresh), batch_id)
+                replace(batch, sorted(fresh), mark)
             if again:
-                replace(landed(spark.read), sorted(again), batch_id)
+                replace(rows_of(spark.read.schema(schema).parquet(*files_of(again))), sorted(again), mark)
         finally:
             batch.unpersist()
 
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true")
+    if files_per_batch:
+        stream = stream.option("maxFilesPerTrigger", files_per_batch)
     query = (
-        landed(spark.readStream).writeStream.option("checkpointLocation", checkpoint)
+        rows_of(stream.parquet(landing)).writeStream.option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).foreachBatch(apply).start()
     )
     query.awaitTermination()

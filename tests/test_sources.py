@@ -10,7 +10,8 @@ from brineframe.functions.axes import DepthAxis, RegularAxis
 from brineframe.operators import columns
 from brineframe.sources import attributes as A, bundle as B, catalog, cube as store, manifest as M
 from brineframe.sources.tables import read_aligned, staged
-from brineframe.streaming.ingest import ingest, read_ledger
+from brineframe.sources.versions import read_current, read_ledger, vacuum
+from brineframe.streaming.ingest import ingest
 
 AXIS = DepthAxis.uniform(3)
 GRID = RegularAxis(2.0, -1.0, 4)
@@ -32,6 +33,11 @@ def stored(spark, root):
     return sorted((r[0].day, r[1], r[2], r[3]) for r in rows)
 
 
+def published(spark, root):
+    rows = read_current(spark, root).select("date", "lat_idx", "lon_idx", "chla_surface").collect()
+    return sorted((r[0].day, r[1], r[2], r[3]) for r in rows)
+
+
 @pytest.fixture
 def root(spark, tmp_path):
     days = spark.createDataFrame([(day(1),), (day(2),), (day(3),)], "date date")
@@ -206,11 +212,11 @@ def landing(spark, tmp_path):
         cells(spark, *entries).select("date", "lat_idx", "lon_idx", "chla").coalesce(1).write.parquet(str(folder / name))
         time.sleep(1.1)  # distinct modification times
 
-    def run(force=False, transform=lambda df: columns.column_metrics(df, AXIS), **kw):
+    def run(force=False, transform=lambda df: columns.column_metrics(df, AXIS), progress="progress", **kw):
         from pyspark.sql.types import _parse_datatype_string
 
         ingest(spark, str(folder), _parse_datatype_string(SCHEMA), transform, str(tmp_path / "cube"),
-               str(tmp_path / "progress"), 4, force=force, delivery=F.element_at(F.split("_file", "/"), -2), **kw)
+               str(tmp_path / progress), 4, force=force, delivery=F.element_at(F.split("_file", "/"), -2), **kw)
 
     return deliver, run, str(tmp_path / "cube")
 
@@ -220,10 +226,10 @@ def test_each_day_is_ingested_once(spark, landing):
     deliver("a", (1, 0, 0, 1), (1, 0, 1, 2))
     deliver("b", (2, 0, 0, 3))
     run()
-    assert stored(spark, root) == [(1, 0, 0, 1.0), (1, 0, 1, 2.0), (2, 0, 0, 3.0)]
+    assert published(spark, root) == [(1, 0, 0, 1.0), (1, 0, 1, 2.0), (2, 0, 0, 3.0)]
     deliver("c", (1, 3, 3, 7), (3, 0, 0, 4))
     run()  # day 1 is done already and stays as it was
-    assert stored(spark, root) == [(1, 0, 0, 1.0), (1, 0, 1, 2.0), (2, 0, 0, 3.0), (3, 0, 0, 4.0)]
+    assert published(spark, root) == [(1, 0, 0, 1.0), (1, 0, 1, 2.0), (2, 0, 0, 3.0), (3, 0, 0, 4.0)]
 
 
 def test_forced_redelivery_replaces_only_its_day(spark, landing):
@@ -232,7 +238,7 @@ def test_forced_redelivery_replaces_only_its_day(spark, landing):
     run()
     deliver("b", (1, 3, 3, 7))
     run(force=True)
-    assert stored(spark, root) == [(1, 3, 3, 7.0), (2, 0, 0, 3.0)]
+    assert published(spark, root) == [(1, 3, 3, 7.0), (2, 0, 0, 3.0)]
 
 
 def test_newest_delivery_of_a_batch_wins(spark, landing):
@@ -240,7 +246,7 @@ def test_newest_delivery_of_a_batch_wins(spark, landing):
     deliver("a", (1, 0, 0, 1))
     deliver("b", (1, 3, 3, 7))
     run()
-    assert stored(spark, root) == [(1, 3, 3, 7.0)]
+    assert published(spark, root) == [(1, 3, 3, 7.0)]
 
 
 def test_other_delivery_of_a_finished_day_is_skipped(spark, landing):
@@ -248,7 +254,7 @@ def test_other_delivery_of_a_finished_day_is_skipped(spark, landing):
     deliver("a", (1, 0, 0, 1))
     deliver("b", (1, 3, 3, 7), (1, 3, 2, 8))
     run(files_per_batch=1)
-    assert stored(spark, root) == [(1, 0, 0, 1.0)]  # b is another delivery of a finished day
+    assert published(spark, root) == [(1, 0, 0, 1.0)]  # b is another delivery of a finished day
     assert {r["delivery"] for r in read_ledger(spark, root).collect()} == {"a"}
 
 
@@ -264,7 +270,7 @@ def test_late_part_of_a_delivery_is_merged(spark, landing, tmp_path):
     run()
     deliver("part2", (1, 3, 3, 7))
     run()  # same version: the day is done again from all its files
-    assert stored(spark, root) == [(1, 0, 0, 1.0), (1, 3, 3, 7.0), (2, 0, 0, 5.0)]
+    assert published(spark, root) == [(1, 0, 0, 1.0), (1, 3, 3, 7.0), (2, 0, 0, 5.0)]
 
 
 def test_replacement_without_cells_clears_the_day(spark, landing):
@@ -273,7 +279,7 @@ def test_replacement_without_cells_clears_the_day(spark, landing):
     run()
     deliver("b", (1, 0, 0, 9))
     run(force=True, transform=lambda df: columns.column_metrics(df.where("lat_idx > 5"), AXIS))
-    assert stored(spark, root) == [(2, 0, 0, 3.0)]
+    assert published(spark, root) == [(2, 0, 0, 3.0)]
 
 
 def test_failing_day_does_not_stop_the_others(spark, landing):
@@ -285,6 +291,50 @@ def test_failing_day_does_not_stop_the_others(spark, landing):
         return columns.column_metrics(df.withColumn("chla", checked), AXIS)
 
     run(transform=strict)
-    assert stored(spark, root) == [(1, 0, 0, 1.0)]
+    assert published(spark, root) == [(1, 0, 0, 1.0)]
     ledger = {r["date"].day: (r["status"], "bad day" in (r["message"] or "")) for r in read_ledger(spark, root).collect()}
     assert ledger[1] == ("done", False) and ledger[2][0] == "failed"
+
+
+def test_a_replaced_delivery_never_comes_back(spark, landing, tmp_path):
+    deliver, run, root = landing
+    deliver("a", (1, 0, 0, 1), (2, 0, 0, 3))
+    run()
+    deliver("b", (1, 3, 3, 7))
+    run(force=True)
+    late = cells(spark, (1, 1, 1, 5), (2, 1, 1, 6)).select("date", "lat_idx", "lon_idx", "chla")
+    late.coalesce(1).write.mode("append").parquet(str(tmp_path / "landing" / "a"))
+    for force in (False, True):
+        run(force=force)
+        assert published(spark, root) == [(1, 3, 3, 7.0), (2, 0, 0, 3.0), (2, 1, 1, 6.0)]  # day 2 still has delivery a
+
+
+def test_new_checkpoint_skips_finished_days(spark, landing):
+    deliver, run, root = landing
+    deliver("a", (1, 0, 0, 1))
+    run()
+    deliver("b", (1, 3, 3, 7), (2, 0, 0, 2))
+    run(progress="another")  # sees both deliveries again, as batch 0
+    assert published(spark, root) == [(1, 0, 0, 1.0), (2, 0, 0, 2.0)] or published(spark, root)[0] == (1, 0, 0, 1.0)
+    done = read_ledger(spark, root).where("status = 'done'").groupBy("date").count().collect()
+    assert {r["date"].day: r["count"] for r in done} == {1: 1, 2: 1}
+
+
+def test_readers_see_whole_slices(spark, landing):
+    """A reader that began before a replacement goes on with the old slice; a failing replacement leaves the old one current."""
+    deliver, run, root = landing
+    deliver("a", (1, 0, 0, 1), (1, 0, 1, 2))
+    run()
+    before = read_current(spark, root).select("lat_idx", "lon_idx", "chla_surface")
+    deliver("b", (1, 3, 3, 7))
+
+    def halfway(df):
+        return columns.column_metrics(df, AXIS).withColumn("lat_idx", F.raise_error(F.lit("no")).cast("int"))
+
+    run(force=True, transform=halfway)
+    assert published(spark, root) == [(1, 0, 0, 1.0), (1, 0, 1, 2.0)]
+    deliver("c", (1, 2, 2, 8))
+    run(force=True)
+    assert published(spark, root) == [(1, 2, 2, 8.0)]
+    assert sorted(tuple(r) for r in before.collect()) == [(0, 0, 1.0), (0, 1, 2.0)]
+    assert vacuum(spark, root) >= 1 and published(spark, root) == [(1, 2, 2, 8.0)]
