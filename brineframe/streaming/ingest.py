@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from ..functions.text import version_token
 from ..sources.versions import commit, current_versions, prepare_store, read_ledger, write_slices
 
-FILES = "date date, delivery string, path string"
+FILES = "date date, delivery string, path string, run string, batch long"
 
 
 def delivery_of_name(path: str = "_file") -> Column:
@@ -27,12 +27,13 @@ def deliveries_of(batch: DataFrame) -> DataFrame:
     return batch.where(F.col("date").isNotNull()).groupBy("date", "_delivery").agg(F.max("_mtime").alias("_mtime"))
 
 
-def to_do(batch: DataFrame, ledger: DataFrame, force: bool) -> DataFrame:
+def to_do(batch: DataFrame, ledger: DataFrame, new_parts: DataFrame, force: bool) -> DataFrame:
     """(date, _delivery, again): the delivery to apply for each day of a batch.
 
     A day's current delivery is the one of its newest finished commit. A delivery that was current
     once and is not any more is never applied again. Of the others the one with the newest file
-    counts; it is applied if the day has none yet, if it is the current one itself (``again``: a further part), or by force.
+    counts; it is applied if the day has none yet, if it is the current one itself (``again``) and has files that no
+    batch had before (``new_parts``), or by force.
     """
     current = current_versions(ledger).select("date", F.col("delivery").alias("_current"))
     once = ledger.where(F.col("status") == "done").select("date", F.col("delivery").alias("_delivery")).distinct()
@@ -40,7 +41,8 @@ def to_do(batch: DataFrame, ledger: DataFrame, force: bool) -> DataFrame:
     open_ = deliveries_of(batch).join(superseded, ["date", "_delivery"], "left_anti")
     newest = open_.groupBy("date").agg(F.max(F.struct("_mtime", "_delivery"))["_delivery"].alias("_delivery"))
     state = newest.join(current, "date", "left").withColumn("again", F.coalesce(F.col("_delivery") == F.col("_current"), F.lit(False)))
-    wanted = F.lit(force) | F.col("again") | F.col("_current").isNull()
+    state = state.join(new_parts.withColumn("_new", F.lit(True)), ["date", "_delivery"], "left")
+    wanted = F.lit(force) | (F.col("again") & F.col("_new").isNotNull()) | F.col("_current").isNull()
     return state.where(wanted).select("date", "_delivery", "again")
 
 
@@ -107,11 +109,12 @@ def ingest(
             # batch numbers start anew with a new checkpoint; its id tells them apart
             run = json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
             found = batch.where(F.col("date").isNotNull()).select("date", F.col("_delivery").alias("delivery"), F.col("_file").alias("path")).distinct()
-            found.coalesce(1).write.mode("append").parquet(f"{root}/files")
-            ledger = read_ledger(spark, root)
-            before = ledger.where(~((F.col("run") == run) & (F.col("batch") == batch_id)))
+            ledger, other = read_ledger(spark, root), ~((F.col("run") == run) & (F.col("batch") == batch_id))
+            seen = spark.read.schema(FILES).parquet(f"{root}/files").where(other)
+            new_parts = found.join(seen, ["date", "delivery", "path"], "left_anti").select("date", F.col("delivery").alias("_delivery")).distinct()
             # the calendar days of this batch: one short row each
-            todo = [tuple(r) for r in to_do(batch, before, force).collect()]
+            todo = [tuple(r) for r in to_do(batch, ledger.where(other), new_parts, force).collect()]
+            found.withColumns({"run": F.lit(run), "batch": F.lit(batch_id).cast("long")}).coalesce(1).write.mode("append").parquet(f"{root}/files")
             mark = {"run": run, "batch": batch_id, "sequence": (ledger.agg(F.max("sequence")).first()[0] or 0) + 1}
             fresh, again = ([(d, v) for d, v, a in todo if a is which] for which in (False, True))
             if fresh:
