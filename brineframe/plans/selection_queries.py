@@ -16,8 +16,9 @@ from .registry import query
 
 L = P.PROFILE_LABELS
 L_SQL = ", ".join(L)
-ALL_NULL = " AND ".join(f"{c} IS NULL" for c in L[:3])
-ANY_NULL = " OR ".join(f"{c} IS NULL" for c in L[:3])
+ALL_NULL = " AND ".join(f"{c} IS NULL" for c in L)
+ANY_NULL = " OR ".join(f"{c} IS NULL" for c in L)
+GAP = 3  # smaller values count as missing where a rule would else meet no gap
 N_PRESENT = " + ".join(f"CASE WHEN {c} IS NOT NULL THEN 1 ELSE 0 END" for c in L)
 
 
@@ -43,26 +44,29 @@ def stacked_sources(spark, d):
 
 @query("numbered_columns", "P2 L1 W5", f"""
 WITH {P.PROFILES_WIDE}
-SELECT profile_id, {', '.join(L[:2])} FROM wide WHERE {L[0]} IS NOT NULL AND {L[1]} IS NOT NULL
-""", doubles=" ".join(L[:2]))
+SELECT profile_id, {L_SQL} FROM wide WHERE NOT ({ANY_NULL})
+""", doubles=" ".join(L))
 def numbered_columns(spark, d):
     wide = P.profiles_wide(spark, d)
-    cols = N.sort_by_depth(N.numbered_columns(wide.columns, "CHLA_"))[:2]
+    cols = N.sort_by_depth(N.numbered_columns(wide.columns, "CHLA_"))
     return S.complete_cases(wide.select("profile_id", *cols), cols)
 
 
 @query("drop_all_missing", "P5", f"""
-WITH {P.PROFILES_WIDE} SELECT profile_id, {L_SQL} FROM wide WHERE NOT ({ALL_NULL})
+WITH {P.PROFILES_WIDE}, gaps AS (SELECT profile_id, {', '.join(f'CASE WHEN {c} >= {GAP} THEN {c} END AS {c}' for c in L)} FROM wide)
+SELECT profile_id, {L_SQL} FROM gaps WHERE NOT ({ALL_NULL})
 """, doubles=" ".join(L))
 def drop_all_missing(spark, d):
-    return S.drop_all_missing(P.profiles_wide(spark, d), L[:3])
+    wide = P.profiles_wide(spark, d)
+    gaps = wide.select("profile_id", *[F.when(F.col(c) >= GAP, F.col(c)).alias(c) for c in L])
+    return S.drop_all_missing(gaps, L)
 
 
 @query("complete_cases", "P6", f"""
 WITH {P.PROFILES_WIDE} SELECT profile_id, {L_SQL} FROM wide WHERE NOT ({ANY_NULL})
 """, doubles=" ".join(L))
 def complete_cases(spark, d):
-    return S.complete_cases(P.profiles_wide(spark, d), L[:3])
+    return S.complete_cases(P.profiles_wide(spark, d), L)
 
 
 @query("positive_log_response", "P7 F6", f"""
