@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 MODULES = (
     "grid_queries", "selection_queries", "feature_queries", "match_queries",
     "quality_queries", "training_queries", "evaluation_queries", "indicator_queries",
-    "source_queries", "model_queries",
+    "source_queries", "model_queries", "boosting_queries",
 )
 
 
