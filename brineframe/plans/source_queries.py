@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.axes import RegularAxis
 from ..operators import columns, matchup, selection
 from ..session import shared_dir
-from ..sources import attributes, catalog, cube as store, manifest as M, versions
+from ..sources import aggregates, attributes, catalog, cube as store, manifest as M, versions
 from ..sources.tables import read_parquet
 from ..streaming.ingest import ingest
 from . import proxies as P
@@ -257,3 +257,51 @@ def streamed_new_checkpoint(spark, d):
     _stream(spark, source, root, schema, progress="another")
     ledger = versions.read_ledger(spark, f"{root}/store")
     return ledger.groupBy("date", "status").agg(F.count("*").alias("commits"))
+
+
+BLOCK = 4  # longitudes
+_DAYS = "WITH cells AS (" + _REDELIVERED.strip() + "), "
+_DAILY = ", ".join(f"avg(CAST({m} AS DOUBLE)) AS {m}" for m in METRICS)
+
+
+def _kept(spark, d):
+    """Ingest, sums, a second delivery of some days, sums again: where the store lies."""
+    root = shared_dir(spark)
+    events = read_parquet(spark, f"{d}/events.parquet")
+    named = {"delivery": F.element_at(F.split("_file", "/"), -2)}
+    events.repartition(3, "event_id").write.parquet(f"{root}/landing/first")
+    _stream(spark, f"{root}/landing", root, events.schema, **named)
+    aggregates.refresh(spark, f"{root}/store", METRICS, BLOCK)
+    again = events.where(F.dayofmonth("ts") % 3 == 0).withColumn("value", F.col("value") * 2)
+    again.repartition(2, "event_id").write.parquet(f"{root}/landing/second")
+    _stream(spark, f"{root}/landing", root, events.schema, force=True, **named)
+    aggregates.refresh(spark, f"{root}/store", METRICS, BLOCK)
+    return f"{root}/store"
+
+
+@query("kept_daily_means", "A7 A26 T2 S9", _DAYS + f"d AS (SELECT date, {_DAILY} FROM cells GROUP BY 1) SELECT * FROM d", doubles=" ".join(METRICS), texts="date", digits=3)
+def kept_daily_means(spark, d):
+    """Daily means from sums that followed a redelivery; the cube is not read."""
+    return aggregates.daily_means(aggregates.read_day_rows(spark, _kept(spark, d), METRICS, BLOCK), METRICS)
+
+
+@query("kept_mean_of_daily_means", "A9 A26 T2 S9", _DAYS + f"""d AS (SELECT date, {_DAILY} FROM cells GROUP BY 1),
+m AS (SELECT CAST(date_trunc('month', date) AS DATE) AS month, {', '.join(f'avg({m}) AS {m}' for m in METRICS)} FROM d GROUP BY 1) SELECT * FROM m
+""", doubles=" ".join(METRICS), texts="month", digits=3)
+def kept_mean_of_daily_means(spark, d):
+    return aggregates.mean_of_daily_means(aggregates.read_day_rows(spark, _kept(spark, d), METRICS, BLOCK), METRICS)
+
+
+@query("kept_monthly_map", "A8 T2 S9", _DAYS + f"""m AS (SELECT CAST(date_trunc('month', date) AS DATE) AS month, lat_idx, lon_idx, {_DAILY} FROM cells GROUP BY 1, 2, 3) SELECT * FROM m
+""", doubles=" ".join(METRICS), texts="month", digits=3)
+def kept_monthly_map(spark, d):
+    return aggregates.monthly_map(aggregates.read_month_cells(spark, _kept(spark, d), METRICS), METRICS)
+
+
+@query("kept_zonal_profile", "A10 T2 S9", _DAYS + """m AS (SELECT CAST(date_trunc('month', date) AS DATE) AS month, lat_idx, lon_idx, avg(CAST(chla_int_0_200 AS DOUBLE)) AS v
+ FROM cells WHERE lon_idx BETWEEN 2 AND 6 GROUP BY 1, 2, 3)
+SELECT month, lat_idx, avg(v) AS chla_int_0_200 FROM m GROUP BY 1, 2
+""", doubles="chla_int_0_200", texts="month", digits=3)
+def kept_zonal_profile(spark, d):
+    cells = aggregates.read_month_cells(spark, _kept(spark, d), METRICS)
+    return aggregates.zonal_profile(cells, "chla_int_0_200", P.CUBE_LON, (-108, 36))

@@ -22,7 +22,8 @@ def table(spark, n=400, seed=3):
         gap = i % 4 == 0
         z = 10 ** (0.8 * gap + 0.3 * (b > 0) + 0.1 * rng.normal())
         rows.append((i, a, None if gap else b, 1.0, float(y), float(z) if i % 5 else None))
-    return spark.createDataFrame(rows, f"id long, {', '.join(c + ' double' for c in FEATURES + LABELS)}")
+    # few partitions: a pass is one small job
+    return spark.createDataFrame(rows, f"id long, {', '.join(c + ' double' for c in FEATURES + LABELS)}").coalesce(2)
 
 
 def walk(tree, row, edges):
@@ -84,7 +85,7 @@ def test_first_tree_equals_brute_force(spark):
 
 def test_scores_equal_a_walk_through_every_tree(spark):
     df = table(spark)
-    forest = B.fit_forest(df, LABELS, FEATURES, "id", max_iter=20, max_depth=3, learning_rate=0.3, bins=16)
+    forest = B.fit_forest(df, LABELS, FEATURES, "id", max_iter=6, max_depth=3, learning_rate=0.3, bins=16)
     got = B.score_forest(df, forest, linear=True, kind="double").collect()
     for r in got:
         x = [r[c] for c in FEATURES]
@@ -95,7 +96,7 @@ def test_scores_equal_a_walk_through_every_tree(spark):
 
 def test_partitioning_and_refresh_never_change_the_forest(spark, monkeypatch):
     df = table(spark)
-    settings = {"max_iter": 6, "max_depth": 3, "bins": 16}
+    settings = {"max_iter": 4, "max_depth": 2, "bins": 16}
     one = B.fit_forest(df.coalesce(1), LABELS, FEATURES, "id", **settings)
     same(one, B.fit_forest(df.repartition(7, "id"), LABELS, FEATURES, "id", **settings))
     monkeypatch.setattr(B, "REFRESH", 2)
@@ -105,9 +106,9 @@ def test_partitioning_and_refresh_never_change_the_forest(spark, monkeypatch):
 
 def test_fitting_stops_patience_rounds_after_the_best(spark):
     df = table(spark)
-    forest = B.fit_forest(df, LABELS, FEATURES, "id", validation=0.3, max_iter=60, max_depth=3, learning_rate=0.5, bins=16, patience=3)
+    forest = B.fit_forest(df, LABELS, FEATURES, "id", validation=0.3, max_iter=60, max_depth=2, learning_rate=0.9, bins=16, patience=2)
     for trees, rounds, errors in zip(forest.trees, forest.rounds, forest.errors):
-        assert len(errors) == rounds < 60 and rounds == len(trees) + 3
+        assert len(errors) == rounds < 60 and rounds == len(trees) + 2
         assert min(errors) == pytest.approx(errors[len(trees) - 1], abs=1e-7)
 
 
