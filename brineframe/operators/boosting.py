@@ -25,7 +25,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.features import log10_positive, pow10
 from ..functions.hashing import uniform01
@@ -299,7 +299,9 @@ def fit_forest(df: DataFrame, labels: list[str], features: list[str], key: str,
 
 
 def score_forest(df: DataFrame, forest: Forest, consts: dict | None = None, linear: bool = False, out: str = "chla", incomplete: str = "predict", kind: str = "float") -> DataFrame:
-    """Predictions of all responses as one array per row, by one vectorised expression; no shuffle.
+    """Predictions of all responses as one array per row, in one vectorised pass; no shuffle.
+
+    All columns of ``df`` travel through the pass: select what is needed before.
 
     Rows with a missing predictor are predicted like all others ("predict"), get a NULL
     array ("blank"), or are left out ("drop").
@@ -309,24 +311,29 @@ def score_forest(df: DataFrame, forest: Forest, consts: dict | None = None, line
     columns, width = df.columns, len(forest.features)
     shared = df.sparkSession.sparkContext.broadcast(forest)  # fixed size: nodes of the model
 
-    @F.arrow_udf("array<double>")
-    def profile(x: pa.Array) -> pa.Array:
-        model, values = shared.value, matrix(x, width)
-        found = np.empty((len(values), len(model.labels)))
-        for at in range(0, len(values), BLOCK_ROWS // 4):
-            codes = coded(values[at:at + BLOCK_ROWS // 4], model.edges)
-            for i, trees in enumerate(model.trees):
-                found[at:at + len(codes), i] = model.base[i] + summed(trees, codes, model.depth)
-        flat = pa.array(found.ravel(), from_pandas=True)
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * len(model.labels), pa.int32()), flat)
+    def run(batches):
+        model = shared.value
+        for batch in batches:
+            values = matrix(batch.column("_x"), width)
+            found = np.empty((len(values), len(model.labels)))
+            for at in range(0, len(values), BLOCK_ROWS // 4):
+                codes = coded(values[at:at + BLOCK_ROWS // 4], model.edges)
+                for i, trees in enumerate(model.trees):
+                    found[at:at + len(codes), i] = model.base[i] + summed(trees, codes, model.depth)
+            ends = pa.array(np.arange(len(values) + 1) * len(model.labels), pa.int32())
+            profile = pa.ListArray.from_arrays(ends, pa.array(found.ravel(), from_pandas=True))
+            kept = [*columns, "_whole"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], profile], names=[*kept, "_y"])
 
     whole = F.lit(incomplete == "predict") | ~F.exists("_x", lambda v: v.isNull())
     x = F.transform(_features_with_consts(df, forest.features, consts or {}), lambda v: F.nanvl(v, F.lit(None)))
     ready = df.withColumn("_x", x).withColumn("_whole", whole)
     if incomplete == "drop":
         ready = ready.where("_whole")
-    scored = F.transform(profile("_x"), lambda v: (pow10(v) if linear else v).cast(kind))
-    return ready.select(*columns, F.when(F.col("_whole"), scored).alias(out))
+    ready = ready.select(*columns, "_whole", "_x")
+    form = T.StructType([*[f for f in ready.schema.fields if f.name != "_x"], T.StructField("_y", T.ArrayType(T.DoubleType()))])
+    scored = F.transform("_y", lambda v: (pow10(v) if linear else v).cast(kind))
+    return ready.mapInArrow(run, form).select(*columns, F.when(F.col("_whole"), scored).alias(out))
 
 
 def save_forest(spark: SparkSession, forest: Forest, path: str) -> None:

@@ -165,8 +165,8 @@ def test_forest_survives_storage(spark, tmp_path):
     assert loaded.errors == forest.errors and loaded.features == FEATURES
 
 
-def test_scoring_is_one_expression_without_a_shuffle(spark):
+def test_scoring_is_one_pass_without_a_shuffle(spark):
     df = table(spark, 60)
     forest = B.fit_forest(df, LABELS, FEATURES, "id", max_iter=2, max_depth=2, bins=8)
     plan = B.score_forest(df, forest)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("ArrowEvalPython") == 1 and "Exchange" not in plan
+    assert plan.count("MapInArrow") == 1 and "EvalPython" not in plan and "Exchange" not in plan
