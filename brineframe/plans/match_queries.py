@@ -6,6 +6,7 @@ from pyspark.sql import Window as W, functions as F
 
 from ..functions.axes import RegularAxis
 from ..operators import matchup as M
+from ..operators.asof import nearest_on_axis
 from ..sources.tables import read_parquet
 from . import proxies as P
 from .grid_queries import metrics
@@ -131,6 +132,31 @@ def nearest_axis_index(spark, d):
     return M.nearest_index(M.nearest_index(q, "q", NEAREST_LABELS, "up"), "q", NEAREST_LABELS[::-1], "down")
 
 
+_AXIS_ROWS = """axis AS (SELECT p_partkey - 1 AS up_pos, (SELECT max(p_partkey) FROM part) - p_partkey AS down_pos, p_partkey * (p_partkey + 3) / 8.0 AS label FROM part)"""
+
+
+@query("nearest_axis_table", "J6", f"""
+WITH {_AXIS_ROWS}, asked AS (SELECT floor(l_extendedprice * 4) / 8.0 AS q, count(*) AS n FROM lineitem GROUP BY 1),
+lo AS (SELECT a.q, a.n, x.label AS below, x.up_pos AS lo_up, x.down_pos AS lo_down FROM asked AS a ASOF LEFT JOIN axis AS x ON a.q >= x.label),
+both_ AS (SELECT l.*, x.label AS above, x.up_pos AS hi_up, x.down_pos AS hi_down FROM lo AS l ASOF LEFT JOIN axis AS x ON l.q <= x.label),
+side AS (SELECT *, CASE WHEN below IS NULL THEN 1 WHEN above IS NULL THEN -1 WHEN q - below < above - q THEN -1 WHEN q - below > above - q THEN 1 ELSE 0 END AS s FROM both_)
+SELECT q, n, CASE WHEN s <= 0 THEN lo_up ELSE hi_up END AS up_left, CASE WHEN s < 0 THEN lo_up ELSE hi_up END AS up_larger,
+ CASE WHEN s < 0 THEN lo_down ELSE hi_down END AS down_left FROM side
+""", doubles="q")
+def nearest_axis_table(spark, d):
+    """Prices on an irregular axis of all parts, in both directions and with both tie rules."""
+    part = read_parquet(spark, f"{d}/part.parquet", columns=["p_partkey"])
+    key = F.col("p_partkey")
+    axis = part.select(
+        (key - 1).alias("up"), (part.agg(F.max("p_partkey")).scalar() - key).alias("down"), (key * (key + 3) / 8.0).alias("label"),
+    )
+    li = read_parquet(spark, f"{d}/lineitem.parquet", columns=["l_extendedprice"])
+    asked = li.groupBy((F.floor(F.col("l_extendedprice") * 4) / 8.0).alias("q")).agg(F.count("*").alias("n"))
+    out = nearest_on_axis(asked, "q", axis, "up_left", position="up")
+    out = nearest_on_axis(out, "q", axis, "up_larger", tie="larger", position="up")
+    return nearest_on_axis(out, "q", axis, "down_left", position="down")
+
+
 @query("exact_day_position", "J7", f"""
 WITH {P.DAYS}, axis AS (SELECT date, CAST(row_number() OVER (ORDER BY date) - 1 AS INT) AS time_idx FROM days) SELECT date, time_idx FROM axis
 """, texts="date")
