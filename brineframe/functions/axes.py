@@ -124,6 +124,17 @@ def tile_id(lat_idx: Column | str, lon_idx: Column | str, edge: int = TILE_EDGE,
     return (row * F.lit(per_row) + col).cast("int")
 
 
+def morton_key(lat_idx: Column | str, lon_idx: Column | str) -> Column:
+    """Interleaved bits of two cell indices (up to 65,535 each): neighbours in the grid lie close in this order."""
+    def spread(x: Column) -> Column:
+        x = as_col(x).cast("long")
+        for shift, keep in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+            x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(keep).cast("long"))
+        return x
+
+    return F.shiftleft(spread(lat_idx), 1).bitwiseOR(spread(lon_idx))
+
+
 def fold_lon(lon: Column | str) -> Column:
     """Fold degrees east to [-180, 180)."""
     return F.pmod(as_col(lon) + F.lit(180.0), F.lit(360.0)) - F.lit(180.0)

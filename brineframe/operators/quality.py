@@ -122,3 +122,34 @@ def assert_unique(df: DataFrame, keys: list[str]) -> DataFrame:
     if twice:
         raise ValueError(f"duplicate key {twice[0].asDict()}")
     return df
+
+
+def _block() -> list[Column]:
+    return [F.floor(F.col("lat_idx") / 128).alias("_row"), F.floor(F.col("lon_idx") / 256).alias("_column")]
+
+
+def cell_bitmaps(df: DataFrame, date: str = "date") -> DataFrame:
+    """Rows and a bitmap of the cells per (day, block of 128 x 256 cells).
+
+    A bitmap takes 4 KB and is built before the shuffle, so one bit per cell moves instead of its key.
+    """
+    place = F.pmod(F.col("lat_idx"), F.lit(128)) * 256 + F.pmod(F.col("lon_idx"), F.lit(256))
+    known = F.col(date).isNotNull() & F.col("lat_idx").isNotNull() & F.col("lon_idx").isNotNull()
+    rows = df.select(date, *_block(), F.when(known, place).cast("long").alias("_place"))
+    return rows.groupBy(date, "_row", "_column").agg(F.count("*").alias("_n"), F.bitmap_construct_agg("_place").alias("_map"))
+
+
+def assert_cells_unique(df: DataFrame, date: str = "date") -> DataFrame:
+    """Raise if a (date, cell) occurs twice; a row without a date or a cell is an error too.
+
+    A block with more rows than bits set holds a duplicate. Only the rows of one such block are
+    compared cell by cell, to name it.
+    """
+    crowded = cell_bitmaps(df, date).where(F.col("_n") != F.bitmap_count("_map")).limit(1).collect()
+    if not crowded:
+        return df
+    at, block = crowded[0], _block()
+    if at[date] is None or at["_row"] is None or at["_column"] is None:
+        raise ValueError("a row has no date or no cell")
+    inside = (F.col(date) == F.lit(at[date])) & (block[0] == at["_row"]) & (block[1] == at["_column"])
+    return assert_unique(df.where(inside), [date, "lat_idx", "lon_idx"])

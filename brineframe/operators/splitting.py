@@ -9,6 +9,7 @@ from ..functions.hashing import hash32, uniform01
 from ..functions.missing import all_present
 from ..session import shared_dir
 from ..sources.tables import staged
+from .masks import CELL, ocean_cells, ocean_grid, ocean_pixels as pixels_of
 from .quality import missing_counts, usable_days
 from .quantiles import exact_percentiles, sample_exact
 from .selection import require_rows
@@ -50,15 +51,18 @@ def train_stats(df: DataFrame, values: list[str], train: Column | None = None) -
     return df.agg(*aggs)
 
 
-def pixel_medians(df: DataFrame, values: list[str], usable: Column) -> DataFrame:
+def pixel_medians(df: DataFrame, values: list[str], usable: Column, cells: DataFrame | None = None) -> DataFrame:
     """Median per cell over the usable days, else the global median, else 0.
 
     A cell holds at most one value per day, so its buffer is bounded by the calendar;
-    the global median is located by counting (no group is gathered).
+    the global median is located by counting (no group is gathered). ``cells`` adds cells
+    that no row has; they get the global median.
     """
     per_cell = df.groupBy("lat_idx", "lon_idx").agg(
         *[F.median(F.when(usable, F.col(v))).alias(f"median_{v}") for v in values]
     )
+    if cells is not None:
+        per_cell = per_cell.join(cells.select(*CELL).distinct(), CELL, "full")
     pairs = F.array(*[F.struct(F.lit(v).alias("var"), F.col(v).cast("double").alias("x")) for v in values])
     long = df.where(usable).select(F.inline(pairs))
     overall = exact_percentiles(long, "x", [0.5], ["var"], max_groups=len(values))
@@ -75,7 +79,7 @@ def training_table(
     categorical: list[str],
     response: str,
     ocean: str,
-    ocean_pixels: Column | int | DataFrame,
+    ocean_pixels: Column | int | DataFrame | None = None,
     ratio: tuple[float, float, float] = (0.7, 0.2, 0.1),
     seed: int = 42,
     years: list[int] | None = None,
@@ -85,9 +89,15 @@ def training_table(
     missing_flags: bool = False,
     mean_std: dict[str, tuple[float, float]] | None = None,
     stage: str | None = None,
+    runs: DataFrame | None = None,
 ) -> tuple[DataFrame, list[str]]:
     """Filter days, split them, impute and normalise; one row per (day, stored cell).
 
+    With ``runs`` (``masks.encode_runs``) the table also has a row for every ocean cell of a kept
+    day that was not stored: its inputs are imputed, its flags say so, its response is
+    missing. Ocean pixels then follow from the runs. The mask decides what is ocean on these rows only;
+    a stored row keeps its own flag.
+
     A day is kept if every input, numeric or categorical, and the response pass their
     share of missing ocean cells; ``ocean_pixels`` may be a table by day. An empty selection of
     years and a filter that leaves no day are errors.
@@ -105,12 +115,17 @@ def training_table(
         df = require_rows(df.where(F.year("date").isin(list(years))), f"no data in the years {sorted(years)}")
     is_ocean = F.col(ocean).cast("boolean")
     inputs = [*numeric, *categorical]
+    if ocean_pixels is None:
+        if runs is None:
+            raise ValueError("name the ocean pixels or the runs of the mask")
+        ocean_pixels = pixels_of(runs)
     counts = missing_counts(df, [*inputs, response], is_ocean, ocean_pixels)
     stage = stage or shared_dir(df.sparkSession, "training")
     kept = staged(usable_days(counts, response, inputs, max_frac_response, max_frac_inputs), f"{stage}-days")
     kept = require_rows(kept, "no day is left after the day filter")
     # one row per calendar day, so the split table is small whatever the size of the cube
-    rows = df.join(F.broadcast(time_split(kept, ratio, seed, contiguous)), "date")
+    days = time_split(kept, ratio, seed, contiguous)
+    rows = df.join(F.broadcast(days), "date")
     rows = staged(rows, stage)
     train = F.col("split") == "train"
     if mean_std is None:
@@ -119,8 +134,15 @@ def training_table(
         centre = {v: (packed[f"mean_{v}"], packed[f"std_{v}"]) for v in numeric}
     else:
         centre = {v: (F.lit(float(m)), F.lit(float(s))) for v, (m, s) in mean_std.items()}
-    medians = pixel_medians(rows, numeric, train & is_ocean)
-    rows = rows.join(medians, ["lat_idx", "lon_idx"])
+    medians = pixel_medians(rows, numeric, train & is_ocean, None if runs is None else ocean_cells(runs))
+    if runs is not None:
+        # statistics skip missing values, so only the table itself needs the cells without a row
+        grid = ocean_grid(runs, days).withColumnRenamed("split", "_split")
+        rows = grid.join(rows, ["date", *CELL], "full").withColumns({
+            "split": F.coalesce("split", "_split"),
+            ocean: F.when(F.col("split").isNull(), F.lit(True).cast(rows.schema[ocean].dataType)).otherwise(F.col(ocean)),
+        }).drop("_split")
+    rows = rows.join(medians, CELL)
     features, names = [], []
     for v in numeric:
         x = standardise(F.coalesce(F.col(v), F.col(f"median_{v}")), *centre[v])

@@ -8,7 +8,7 @@ from ..functions.axes import RegularAxis
 from ..operators import columns, matchup, selection
 from ..session import shared_dir
 from ..sources import aggregates, attributes, catalog, cube as store, manifest as M, versions
-from ..sources.tables import read_parquet
+from ..sources.tables import read_aligned, read_parquet, staged
 from ..streaming.ingest import ingest
 from . import proxies as P
 from .grid_queries import METRICS, metrics
@@ -46,6 +46,23 @@ def aligned_daily_sets(spark, d):
     )
 
 
+@query("aligned_product_files", "S3 U1 U2", f"""
+WITH {P.CUBE_METRICS}
+SELECT date, count(*) AS cells, count(CASE WHEN day(date) % 2 = 1 THEN chla_int END) AS with_integral, avg(chla_peak) AS chla_peak FROM cube_metrics GROUP BY 1
+""", doubles="chla_peak", texts="date", digits=5)
+def aligned_product_files(spark, d):
+    """Files of two products with different variables, written by day and read as one checked dataset."""
+    root = shared_dir(spark)
+    cells = staged(metrics(spark, d).select("date", "lat_idx", "lon_idx", "chla_peak", "chla_int_0_200"), f"{root}/cells")
+    odd = F.dayofmonth("date") % 2 == 1
+    for name, part in (("full", cells.where(odd)), ("peak", cells.where(~odd).drop("chla_int_0_200"))):
+        part.repartition("date").write.partitionBy("date").parquet(f"{root}/{name}")
+    both = read_aligned(spark, [f"{root}/full"], [f"{root}/peak"])
+    return both.groupBy("date").agg(
+        F.count("*").alias("cells"), F.count("chla_int_0_200").alias("with_integral"), F.avg("chla_peak").alias("chla_peak")
+    )
+
+
 def _files(spark, d):
     """Product file names, one or two versions per day of the table."""
     day = F.date_format("date", "yyyyMMdd")
@@ -181,6 +198,67 @@ def published_cube_round_trip(spark, d):
     return store.read_cube(spark, root).select("date", "lat_idx", "lon_idx", *METRICS)
 
 
+_COVERAGE = """
+WITH c AS (SELECT CAST(min(ts) AS DATE) AS a, CAST(max(ts) AS DATE) AS b, floor(max(user_id) / 10) AS bottom, floor(min(user_id) / 10) AS top,
+ min(user_id % 10) AS west, max(user_id % 10) AS east FROM events)
+SELECT '' AS var, 'title' AS key, 'Depth profiles' AS value
+UNION ALL SELECT '', 'time_coverage_start', CAST(a AS VARCHAR) FROM c
+UNION ALL SELECT '', 'time_coverage_end', CAST(b AS VARCHAR) FROM c
+UNION ALL SELECT '', 'geospatial_lat_min', CAST(CAST(70.0 - bottom AS DOUBLE) AS VARCHAR) FROM c
+UNION ALL SELECT '', 'geospatial_lat_max', CAST(CAST(70.0 - top AS DOUBLE) AS VARCHAR) FROM c
+UNION ALL SELECT '', 'geospatial_lon_min', CAST(CAST(-180.0 + 36.0 * west AS DOUBLE) AS VARCHAR) FROM c
+UNION ALL SELECT '', 'geospatial_lon_max', CAST(CAST(-180.0 + 36.0 * east AS DOUBLE) AS VARCHAR) FROM c
+UNION ALL SELECT var, key, value FROM (VALUES
+ {fixed}) AS t(var, key, value)
+"""
+
+
+def _fixed_rows():
+    kept = {v: e for v, e in attributes.VARIABLE_ATTRIBUTES.items() if v != "z_thickness"}
+    rows = [(v, k, "mg/m3" if (v, k) == ("chla_peak", "units") else x) for v, e in kept.items() for k, x in e.items()]
+    return ", ".join("('" + "', '".join(r) + "')" for r in rows)
+
+
+@query("published_attributes", "S12 S8", _COVERAGE.format(fixed=_fixed_rows()))
+def published_attributes(spark, d):
+    """Given, default and derived attributes stored with the cube, put on its columns, written and read back with a table."""
+    root = shared_dir(spark)
+    given = attributes.attribute_table(spark, {
+        "": {"title": "Depth profiles", "history": "draft", "time_coverage_end": " "},
+        "chla_peak": {"units": "mg/m3", "long_name": " "},
+    })
+    known = {v: e for v, e in attributes.VARIABLE_ATTRIBUTES.items() if v in store.CELL_SCHEMA.names}
+    full = attributes.fill_defaults(given, attributes.attribute_table(spark, known))
+    cells = P.cube_samples(spark, d).select("date", "lat_idx", "lon_idx")
+    full = attributes.override(full, attributes.coverage(cells, P.cube_lat(spark, d), P.CUBE_LON))
+    store.write_attributes(attributes.drop_keys(full, ["history"]), root)
+    back = store.read_attributes(spark, root)
+    named = attributes.attach(metrics(spark, d), attributes.as_dict(back))
+    named.select("date", *known).write.parquet(f"{root}/named")
+    return back.where("var = ''").unionByName(attributes.attached(spark.read.parquet(f"{root}/named")))
+
+
+_BOX = (0, 6), (2, 6)
+
+
+@query("morton_box_and_point", "S4 S7 P9 P10", f"""
+WITH {P.CUBE_METRICS}
+SELECT date, count(*) AS cells, avg(CAST(CAST(chla_peak AS REAL) AS DOUBLE)) AS chla_peak,
+ max(CASE WHEN lat_idx = 1 AND lon_idx = 3 THEN CAST(chla_peak AS REAL) END) AS at_point
+FROM cube_metrics WHERE lat_idx BETWEEN 0 AND 6 AND lon_idx BETWEEN 2 AND 6 GROUP BY 1
+""", doubles="chla_peak at_point", texts="date", digits=4)
+def morton_box_and_point(spark, d):
+    """A box of all days with a point series in it, from a cube in Morton order."""
+    root = shared_dir(spark)
+    store.write_days(metrics(spark, d), root, n_lon=10, order="morton")
+    (a, b), (w, e) = _BOX
+    box = store.read_cube(spark, root).where(F.col("lat_idx").between(a, b) & F.col("lon_idx").between(w, e))
+    point = (F.col("lat_idx") == 1) & (F.col("lon_idx") == 3)
+    return box.groupBy("date").agg(
+        F.count("*").alias("cells"), F.avg(F.col("chla_peak").cast("double")).alias("chla_peak"), F.max(F.when(point, F.col("chla_peak"))).alias("at_point")
+    )
+
+
 def _cells(rows):
     arrays = columns.depth_arrays(P.locate(rows), ["date", "lat_idx", "lon_idx"], P.CUBE_BINS)
     return columns.column_metrics(arrays, P.CUBE_AXIS)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import splitting as T
+from ..operators import masks, splitting as T
 from ..operators.quantiles import sample_exact
 from ..session import shared_dir
 from ..sources.tables import read_parquet
@@ -151,6 +151,49 @@ def valid_training_rows(spark, d):
     return rows.groupBy("split").agg(F.count("*").alias("n"), F.avg(F.col("y").cast("double")).alias("y"))
 
 
+# the same table with a static mask and a row for every ocean cell of the kept days
+_STATIC = "(lat_idx * 10 + lon_idx) % 7 <> 0"
+_GRID = P.SHIP_CUBE + f""", grid AS (SELECT CAST(i AS INT) AS lat_idx, CAST(j AS INT) AS lon_idx FROM range(20) AS a(i), range(36) AS b(j)),
+wet AS (SELECT * FROM grid WHERE {_STATIC}),
+facts AS (SELECT date, lat_idx, lon_idx, chla AS y, {GAPPY} AS aux, {_STATIC} AS ocean_mask FROM ship_cube),
+seen AS (SELECT date, (SELECT count(*) FROM wet) AS o, count(CASE WHEN ocean_mask THEN y END) AS y, count(CASE WHEN ocean_mask THEN aux END) AS a FROM facts GROUP BY 1),
+kept AS (SELECT date FROM seen WHERE o - least(y, a) < CAST(0.999 AS DOUBLE) * o), {SHUFFLED},
+stored AS (SELECT f.*, s.split FROM facts AS f JOIN splits AS s USING (date)),
+st AS (SELECT avg(aux) AS m, CASE WHEN stddev_pop(aux) = 0 THEN 1 ELSE stddev_pop(aux) END AS s FROM stored WHERE split = 'train'),
+g AS (SELECT quantile_cont(aux, 0.5) AS ga FROM stored WHERE split = 'train' AND ocean_mask),
+med AS (SELECT lat_idx, lon_idx, quantile_cont(CASE WHEN split = 'train' AND ocean_mask THEN aux END, 0.5) AS m1 FROM stored GROUP BY 1, 2),
+wanted AS (SELECT s.date, s.split, w.lat_idx, w.lon_idx FROM splits AS s, wet AS w),
+rows_ AS (SELECT coalesce(r.date, w.date) AS date, coalesce(r.lat_idx, w.lat_idx) AS lat_idx, coalesce(r.lon_idx, w.lon_idx) AS lon_idx,
+ coalesce(r.split, w.split) AS split, coalesce(r.ocean_mask, true) AS ocean_mask, r.aux, r.y
+ FROM wanted AS w FULL JOIN stored AS r ON r.date = w.date AND r.lat_idx = w.lat_idx AND r.lon_idx = w.lon_idx),
+table_ AS (SELECT r.split, r.lat_idx, r.y, CAST(ocean_mask AS INT) AS f2, CAST(aux IS NULL AND ocean_mask AS INT) AS f1,
+ CASE WHEN ocean_mask THEN (coalesce(aux, m1, (SELECT ga FROM g), 0) - st.m) / st.s ELSE 0 END AS f0
+ FROM rows_ AS r LEFT JOIN med ON med.lat_idx = r.lat_idx AND med.lon_idx = r.lon_idx, st)"""
+
+
+@query("ocean_training_table", "L7 P27 A18 F10", f"""
+WITH {_GRID}
+SELECT split, lat_idx, count(*) AS n, count(y) AS with_y, avg(f0) AS f0, avg(f1) AS f1, avg(f2) AS f2, avg(CAST(CAST(y AS REAL) AS DOUBLE)) AS y FROM table_ GROUP BY 1, 2
+""", doubles="f0 f1 f2 y", digits=4)
+def ocean_training_table(spark, d):
+    ocean = P.is_ocean()
+    facts = P.ship_cube(spark, d).select(
+        "date", "lat_idx", "lon_idx", F.col("chla").alias("y"), F.when(F.col("aux") >= 0.01, F.col("aux")).alias("aux"),
+        ocean.cast("double").alias("ocean_mask"),
+    )
+    grid = spark.range(P.SHIP_LAT.size * P.SHIP_LON.size).select(
+        F.floor(F.col("id") / P.SHIP_LON.size).cast("int").alias("lat_idx"), (F.col("id") % P.SHIP_LON.size).cast("int").alias("lon_idx"),
+    )
+    table, names = T.training_table(
+        facts, ["aux"], ["ocean_mask"], "y", "ocean_mask", missing_flags=True, max_frac_response=0.999, max_frac_inputs=0.999,
+        stage=shared_dir(spark), runs=masks.encode_runs(grid.withColumn("ocean", ocean)),
+    )
+    means = [F.avg(F.get("features", F.lit(i)).cast("double")).alias(f"f{i}") for i in range(len(names))]
+    return table.groupBy("split", "lat_idx").agg(
+        F.count("*").alias("n"), F.count("y").alias("with_y"), *means, F.avg(F.col("y").cast("double")).alias("y")
+    )
+
+
 @query("capped_training_rows", "L6 L3", f"""
 WITH {P.SHIP_CUBE}, keyed AS (SELECT *, CAST(date AS VARCHAR) || '/' || lat_idx || '/' || lon_idx AS k FROM ship_cube),
 top AS (SELECT * FROM keyed ORDER BY {P.hash_sql('k')}, k LIMIT 5000)

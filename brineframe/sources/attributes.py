@@ -6,6 +6,8 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.axes import RegularAxis
+
 GLOBAL = ""
 
 # Fixed attribute values of the published product.
@@ -38,6 +40,21 @@ def attribute_table(spark: SparkSession, attributes: dict[str, dict]) -> DataFra
     return spark.createDataFrame(rows, "var string, key string, value string")
 
 
+def coverage(cells: DataFrame, lat: RegularAxis, lon: RegularAxis, date: str = "date") -> DataFrame:
+    """Global attributes that state what a table of cells covers: first and last day, outermost labels.
+
+    A table without cells states no coverage.
+    """
+    rows, columns = lat.label("lat_idx"), lon.label("lon_idx")
+    facts = cells.agg(
+        F.min(date).cast("string").alias("time_coverage_start"), F.max(date).cast("string").alias("time_coverage_end"),
+        F.min(rows).cast("string").alias("geospatial_lat_min"), F.max(rows).cast("string").alias("geospatial_lat_max"),
+        F.min(columns).cast("string").alias("geospatial_lon_min"), F.max(columns).cast("string").alias("geospatial_lon_max"),
+    )
+    entries = F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).alias("value")) for k in facts.columns])
+    return facts.select(F.lit(GLOBAL).alias("var"), F.inline(entries)).where("value IS NOT NULL")
+
+
 def fill_defaults(attrs: DataFrame, defaults: DataFrame) -> DataFrame:
     """Existing non-empty values win; empty or absent ones take the default."""
     own = attrs.withColumn("value", F.when(F.trim("value") != "", F.col("value")))
@@ -62,3 +79,17 @@ def attach(df: DataFrame, attributes: dict[str, dict]) -> DataFrame:
         if name in df.columns:
             df = df.withMetadata(name, df.schema[name].metadata | entries)
     return df
+
+
+def as_dict(attrs: DataFrame) -> dict[str, dict[str, str]]:
+    """The attributes by variable. The table has a few rows per variable, whatever the size of the cube."""
+    out: dict[str, dict[str, str]] = {}
+    for var, key, value in attrs.select("var", "key", "value").collect():
+        out.setdefault(var, {})[key] = value
+    return out
+
+
+def attached(df: DataFrame) -> DataFrame:
+    """(var, key, value) of the metadata that the columns of a table carry."""
+    rows = [(f.name, key, str(value)) for f in df.schema.fields for key, value in f.metadata.items()]
+    return df.sparkSession.createDataFrame(rows, "var string, key string, value string")

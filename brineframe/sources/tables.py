@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from ..functions.missing import clean_floats
-from ..operators.quality import assert_unique
+from ..operators.quality import assert_cells_unique, assert_unique
 
 
 def read_parquet(spark: SparkSession, *paths: str, columns: list[str] | None = None, where: str | Column | None = None) -> DataFrame:
@@ -24,13 +24,16 @@ def read_parquet(spark: SparkSession, *paths: str, columns: list[str] | None = N
 def read_aligned(spark: SparkSession, *groups: list[str], keys: tuple[str, ...] = ("date", "lat_idx", "lon_idx"), check: bool = True) -> DataFrame:
     """Many daily files as one dataset, aligned by name; absent variables are missing.
 
-    With ``check`` a (date, cell) stored twice is an error.
+    With ``check`` a (date, cell) stored twice is an error. For the usual keys that takes one bit
+    per cell in the shuffle, for others the keys themselves.
     """
     out = None
     for paths in groups:
         part = read_parquet(spark, *paths)
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return assert_unique(out, list(keys)) if check else out
+    if not check:
+        return out
+    return assert_cells_unique(out) if keys == ("date", "lat_idx", "lon_idx") else assert_unique(out, list(keys))
 
 
 def staged(df: DataFrame, path: str) -> DataFrame:
