@@ -35,6 +35,7 @@ ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 64 << 10
 PAGE_ROWS = 1000
 PART_BYTES = 64 << 20
+BATCH, LINE = 20_000, 256  # strings given to the library at once, pieces in one of them
 NUMBERS = ("doc_id", "part", "first", "n_tokens")
 STORED = "doc_id long, part int, first long, n_tokens long, ids array<int>"
 
@@ -49,16 +50,37 @@ class Library(bpe.Codec):
         self.library = Tokenizer.from_str(content)
         self.library.no_truncation()
         self.library.no_padding()
+        vocabulary, blank = spec["model"]["vocab"], next(c for c, byte in bpe.byte_letters().items() if byte == 32)
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that begin with a blank
+        self.opens[[i for token, i in vocabulary.items() if token[0] == blank]] = True
+        self.join = not any(" " in t["content"] for t in spec.get("added_tokens") or [])
+
+    def _batches(self, lines: list[str]) -> list[np.ndarray]:
+        return [
+            np.array(e.ids, np.int32) for i in range(0, len(lines), BATCH)
+            for e in self.library.encode_batch_fast(lines[i:i + BATCH], add_special_tokens=False)
+        ]
 
     def ids_of(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        flat, size = [], []
-        for i in range(0, len(pieces), 20_000):
-            for e in self.library.encode_batch_fast(pieces[i:i + 20_000], add_special_tokens=False):
-                own = e.ids
-                flat += own
-                size.append(len(own))
-        number = np.array(size, np.int64)
-        return np.array(flat, np.int32), np.cumsum(number) - number, number
+        """Pieces of a blank and a word are encoded as lines of many: the library cuts such a line into the same
+        pieces, and a token begins with a blank only where a piece does."""
+        worded = np.array([self.join and p[0] == " " and not p[-1].isspace() for p in pieces], bool)
+        own = np.flatnonzero(worded)
+        words = [pieces[i] for i in own.tolist()]
+        single = self._batches([pieces[i] for i in np.flatnonzero(~worded).tolist()])
+        lines = self._batches(["".join(words[i:i + LINE]) for i in range(0, len(words), LINE)])
+        joined = np.concatenate([np.zeros(0, np.int32), *lines])
+        begins = np.flatnonzero(self.opens[joined])
+        if len(begins) != len(words):
+            raise ValueError("the tokenizer cuts joined pieces in other places")
+        number = np.zeros(len(pieces), np.int64)
+        number[own] = np.diff(np.append(begins, len(joined)))
+        number[~worded] = [len(x) for x in single]
+        first = np.zeros(len(pieces), np.int64)
+        first[own] = begins
+        size = number[~worded]
+        first[~worded] = len(joined) + np.cumsum(size) - size
+        return np.concatenate([joined, *single]), first, number
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, part_bytes: int = PART_BYTES) -> None:
