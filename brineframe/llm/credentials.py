@@ -94,6 +94,10 @@ def secrets(docs: DataFrame, owner: Column | None = None, repo: Column | None =
     return found.select("rid", "doc_id").join(spans, "rid", "left").select("doc_id", F.coalesce("spans", F.array()).alias("spans"))
 
 
+def is_kind(kind: int, span: Column) -> Column:
+    return span["kind"] == kind
+
+
 def digest(spans: Column) -> Column:
     """kind:start:end, joined by commas."""
     names = F.array(*[F.lit(k) for k in KINDS])

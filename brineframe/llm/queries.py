@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -105,7 +106,8 @@ def op3_secret_ownership(spark, sf_dir):
     """Secrets in every document; values that many sources hold are told from owner-specific ones."""
     found = credentials.secrets(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
     base = F.filter("spans", lambda s: s["kind"] < 3)
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{credentials.KINDS[k]}") for k in range(3)]
+    # one parameter only: a second one of the lambda, default or not, is the position in the array
+    counts = [F.size(F.filter("spans", partial(credentials.is_kind, k))).cast("long").alias(f"n_{credentials.KINDS[k]}") for k in range(3)]
     return found.select(
         "doc_id", *counts, F.sha2(credentials.digest(base), 256).alias("base_sha256"), credentials.digest(F.col("spans")).alias("spans"),
         F.size(F.filter("spans", lambda s: ~s["copied"])).cast("long").alias("n_owner_specific"))

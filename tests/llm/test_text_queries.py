@@ -53,6 +53,14 @@ def test_secrets(spark):
     assert rows(spark, "op3_secret_ownership", "doc_id", "n_assign", "n_access", "n_hex", "base_sha256") == sorted(want)
 
 
+def test_secret_counts_of_many_spans(spark, tmp_path):
+    """Several spans of one kind in a text, in any order of kinds: counted by kind, not by place."""
+    texts = ["password=abcdefgh " * 3, "a" * 32 + " token: abcdefgh1 " + "AKIA" + "A" * 12 + " " + "b" * 40, "AKIA" + "A" * 12, "x", "", None]
+    spark.createDataFrame([(i, t, "s", "en") for i, t in enumerate(texts)], "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES["op3_secret_ownership"](spark, str(tmp_path)).select("doc_id", "n_assign", "n_access", "n_hex").collect()
+    assert sorted(map(tuple, got)) == [(0, 3, 0, 0), (1, 1, 1, 2), (2, 0, 1, 0), (3, 0, 0, 0), (4, 0, 0, 0), (5, 0, 0, 0)]
+
+
 def test_scores(spark):
     got = rows(spark, "op6_context_tree_weighting", "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
     want = sorted(brute.baseline(docs()))
