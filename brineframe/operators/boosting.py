@@ -21,6 +21,8 @@ cut; without validation rows all rounds are fitted.
 from __future__ import annotations
 
 import json
+import math
+import sys
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -33,9 +35,10 @@ from ..functions.names import sort_by_depth
 from ..session import shared_dir
 from ..sources.tables import staged
 from .models import LEARNING_RATE, MAX_DEPTH, MAX_ITER, PATIENCE, SEED, TOLERANCE, VALIDATION_SHARE, _features_with_consts, best_prefix
+from .quantiles import exact_percentiles
 
 BINS = 64
-ACCURACY = 10_000  # of the approximate quantiles that bound the bins
+LARGEST = sys.float_info.max
 BLOCK_ROWS = 4096
 SLICE = 16  # predictors whose histograms travel together
 REFRESH = 16
@@ -74,11 +77,19 @@ class Forest:
     errors: list[list[float]] = field(default_factory=list)
 
 
-def bin_edges(df: DataFrame, values: str, n: int, bins: int = BINS, accuracy: int = ACCURACY) -> list[list[float]]:
-    """Distinct inner quantiles of each of the n predictors in an array column."""
-    shares = [i / bins for i in range(1, bins)]
-    row = df.agg(*[F.percentile_approx(F.get(values, F.lit(i)), shares, accuracy).alias(f"e{i}") for i in range(n)]).first()
-    return [sorted(set(e or ())) for e in row]
+def bin_edges(df: DataFrame, values: str, n: int, bins: int = BINS) -> list[list[float]]:
+    """Distinct inner quantiles (ranks ceil(rows * k / bins)) of each of the n predictors in an array column.
+
+    Exact, whatever the number of rows: ranks are located by histograms. The driver gets n * (bins - 1) values.
+    """
+    if not n:
+        return []
+    # infinite predictors rank as the largest doubles
+    each = df.select(F.posexplode(values).alias("feature", "v")).where("v IS NOT NULL").withColumn("v", F.greatest(F.lit(-LARGEST), F.least(F.col("v"), F.lit(LARGEST))))
+    found: list[set[float]] = [set() for _ in range(n)]
+    for r in exact_percentiles(each, "v", [i / bins for i in range(1, bins)], ["feature"], max_groups=n, interpolate=False).collect():
+        found[r["feature"]].add(r["v"] if abs(r["v"]) < LARGEST else math.copysign(math.inf, r["v"]))
+    return [sorted(e) for e in found]
 
 
 def coded(x: np.ndarray, edges: list[list[float]]) -> np.ndarray:

@@ -8,6 +8,8 @@ aggregated count with a bounded number of buckets per group.
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.hashing import hash32
@@ -35,9 +37,10 @@ def _at_most(df: DataFrame, rows: int, message: str) -> DataFrame:
     return df.withColumn("_rows", F.when(n > rows, F.raise_error(F.lit(message))).otherwise(n)).where("_rows > 0").drop("_rows")
 
 
-def exact_percentiles(df: DataFrame, value: str, ps: list[float], keys: list[str] | None = None, max_groups: int | None = None) -> DataFrame:
+def exact_percentiles(df: DataFrame, value: str, ps: list[float], keys: list[str] | None = None, max_groups: int | None = None, interpolate: bool = True) -> DataFrame:
     """Rows (keys, p, value): percentiles with linear interpolation; NULL values and
-    rows with a NULL key are left out.
+    rows with a NULL key are left out. Without ``interpolate`` the value of rank ceil(p * n), a
+    value of the data; p is then read as a fraction of integers.
 
     A logarithmic histogram finds the bucket of each rank (2**-12 wide), a linear one
     narrows it by 2**16, and what is left of it is put in order: one value where the data
@@ -76,9 +79,15 @@ def exact_percentiles(df: DataFrame, value: str, ps: list[float], keys: list[str
     h1 = x.groupBy(*keys, "_b").agg(F.expr("sum(_n) AS _n"), F.expr("min(_v) AS _lo"), F.expr("max(_v) AS _hi"))
     group = ", ".join(f"`{c}`" for c in keys) or "0"
     h1 = h1.select("*", F.expr(f"sum(_n) OVER (PARTITION BY {group}) AS _all"), F.expr(_before("_n", keys, "_b")).alias("_base"))
+
+    def ranked(p: float, fn: str) -> str:
+        if interpolate:
+            return f"'rank', {fn}({p!r}D * (_all - 1)), 'frac', {p!r}D * (_all - 1) - floor({p!r}D * (_all - 1))"
+        share = Fraction(p).limit_denominator(1_000_000)
+        return f"'rank', greatest(ceil(_all * {share.numerator}D / {share.denominator}D) - 1, 0L), 'frac', 0D"
+
     wanted = ", ".join(
-        f"named_struct('p', {float(p)!r}D, 'side', '{side}', 'rank', {fn}({float(p)!r}D * (_all - 1)),"
-        f" 'frac', {float(p)!r}D * (_all - 1) - floor({float(p)!r}D * (_all - 1)))"
+        f"named_struct('p', {float(p)!r}D, 'side', '{side}', {ranked(float(p), fn)})"
         for p in ps for side, fn in (("lo", "floor"), ("hi", "ceil"))
     )
     coarse = holding(h1.withColumn("_ranks", F.expr(f"array({wanted})")))

@@ -170,3 +170,14 @@ def test_scoring_is_one_pass_without_a_shuffle(spark):
     forest = B.fit_forest(df, LABELS, FEATURES, "id", max_iter=2, max_depth=2, bins=8)
     plan = B.score_forest(df, forest)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "EvalPython" not in plan and "Exchange" not in plan
+
+
+def test_edges_are_exact_quantiles_of_many_rows(spark):
+    """Every edge is the value of its rank; missing values count for nothing, infinite ones rank last."""
+    n, bins = 60_000, 64
+    value = F.when(F.col("id") % 5 != 0, (F.col("id") * 7919 % n).cast("double") / 7 - 2000)
+    rows = spark.range(n).select(F.array(value, F.lit(None).cast("double"), F.when(F.col("id") < 8, F.lit(math.inf)).when(F.col("id") < 10, F.lit(1.5))).alias("x"))
+    got = B.bin_edges(rows, "x", 3, bins)
+    there = sorted(r[0] for r in rows.select(F.get("x", F.lit(0))).collect() if r[0] is not None)
+    assert got[0] == [there[-(-len(there) * k // bins) - 1] for k in range(1, bins)]
+    assert got[1:] == [[], [1.5, math.inf]]
