@@ -237,3 +237,26 @@ def test_attributes_survive_a_round_trip(spark, tmp_path):
     A.attach(cells, back).write.parquet(f"{root}/named")
     kept = A.attached(spark.read.parquet(f"{root}/named"))
     assert sorted(tuple(r) for r in kept.collect()) == [("lat_idx", "range", "[0, 3]"), ("lat_idx", "units", "1")]
+
+
+def test_groupings_by_profile_follow_the_rows(spark):
+    """Rows dealt by key into enough tasks; the groupings after it, a wide table too, take no further shuffle."""
+    from brineframe.operators import columns, selection
+    from brineframe.sources.tables import dealt
+
+    rows = spark.range(4000).selectExpr("id % 900 AS p", "int(id % 5) AS z_idx", "IF(id % 11 = 0, NULL, double(id)) AS chla")
+    assert dealt(rows, ["p"], rows_per_task=1 << 20).rdd.getNumPartitions() == rows.rdd.getNumPartitions()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions")) + 12
+    many = dealt(rows, ["p"], rows_per_task=-(-4000 // parts))
+    assert many.rdd.getNumPartitions() >= parts - 1
+    labels = [f"CHLA_{10 * i}_{10 * i + 10}" for i in range(5)]
+
+    def wide(df):
+        arrays = columns.depth_arrays(df, ["p"], 5)
+        flat = arrays.selectExpr("p", *[f"chla[{i}] AS {c}" for i, c in enumerate(labels)])
+        return selection.long_to_wide(selection.wide_to_long(flat, ["p"]), ["p"], labels)
+
+    assert sorted(map(tuple, wide(many).collect()), key=str) == sorted(map(tuple, wide(rows).collect()), key=str)
+    assert wide(many).columns == ["p", *labels]
+    plan = wide(many)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "pivotfirst" not in plan
