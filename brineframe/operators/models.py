@@ -27,6 +27,7 @@ VALIDATION_SHARE = 0.1
 MISSING = -1e30
 PATIENCE = 10
 TOLERANCE = 1e-7
+ROWS_PER_TASK = 1 << 15  # of a pass over the training rows: boosting makes thousands, each short
 
 
 def regressor(max_iter: int = MAX_ITER, max_depth: int = MAX_DEPTH, seed: int = SEED) -> GBTRegressor:
@@ -36,16 +37,18 @@ def regressor(max_iter: int = MAX_ITER, max_depth: int = MAX_DEPTH, seed: int =
     )
 
 
-def pack(values: Column) -> Column:
-    """Feature vector of an array: every predictor, MISSING where it has none, then its 0/1 missing flag."""
+def pack(values: Column, flagged: bool = True) -> Column:
+    """Feature vector of an array: every predictor, MISSING where it has none, then (if ``flagged``) its 0/1 missing flag."""
     filled = F.transform(values, lambda v: F.coalesce(v, F.lit(MISSING)))
+    if not flagged:
+        return array_to_vector(filled)
     flags = F.transform(values, lambda v: v.isNull().cast("double"))
     return array_to_vector(F.concat(filled, flags))
 
 
-def assemble(df: DataFrame, features: list[str], key: str, seed: int = SEED, validation: float = VALIDATION_SHARE) -> DataFrame:
+def assemble(df: DataFrame, features: list[str], key: str, seed: int = SEED, validation: float = VALIDATION_SHARE, flagged: bool = True) -> DataFrame:
     """Features packed once, missing predictors kept, early-stopping rows marked by hash."""
-    packed = pack(F.array(*[F.col(c).cast("double") for c in features]))
+    packed = pack(F.array(*[F.col(c).cast("double") for c in features]), flagged)
     return df.withColumns({"_features": packed, "_validation": uniform01(key, f"{seed}v") < validation})
 
 
@@ -60,6 +63,14 @@ def best_prefix(errors: list[float], patience: int = PATIENCE, tolerance: float
     return max(at, 1)
 
 
+def stages(max_iter: int, patience: int = PATIENCE) -> list[int]:
+    """Numbers of trees to fit in turn, each four times the last, up to ``max_iter``."""
+    sizes = [max_iter]
+    while sizes[0] > 8 * patience:
+        sizes.insert(0, -(-sizes[0] // 4))
+    return sizes
+
+
 def first_trees(model: GBTRegressionModel, n: int) -> GBTRegressionModel:
     """The model of the first ``n`` trees."""
     if n >= model.getNumTrees:
@@ -73,11 +84,13 @@ def first_trees(model: GBTRegressionModel, n: int) -> GBTRegressionModel:
     return model._copyValues(GBTRegressionModel(ml.GBTRegressionModel(model.uid, trees, weights)))
 
 
-def fit_bin(assembled: DataFrame, response: str, already_log: bool = False, cache: bool = True, patience: int = PATIENCE, tolerance: float = TOLERANCE, **params) -> GBTRegressionModel:
+def fit_bin(assembled: DataFrame, response: str, already_log: bool = False, cache: bool = True, patience: int = PATIENCE, tolerance: float = TOLERANCE, max_iter: int = MAX_ITER, **params) -> GBTRegressionModel:
     """Fit log10 of a positive response on its own non-missing rows.
 
     The validation share is not fitted on; it tells after which tree the error stops
-    falling, and the trees up to there are kept. Boosting passes over its rows once per tree, so
+    falling, and the trees up to there are kept. A tree does not depend on the number of trees after it, so
+    few are fitted first (``stages``), and more only while the error has not stopped falling: the model is the one
+    of all ``max_iter`` trees cut at the same place. Boosting passes over its rows once per tree, so
     they are cached (memory, then disk) for the duration of the fit unless the caller did
     that already.
     """
@@ -86,21 +99,30 @@ def fit_bin(assembled: DataFrame, response: str, already_log: bool = False, cach
     if cache:
         rows.persist()
     try:
-        model = regressor(**params).fit(rows.where(~F.col("_validation")))
-        held = rows.where(F.col("_validation"))
+        fitted_on, held = rows.where(~F.col("_validation")), rows.where(F.col("_validation"))
         if held.isEmpty():
-            return model
-        return first_trees(model, best_prefix(model.evaluateEachIteration(held, "squared"), patience, tolerance))
+            return regressor(max_iter, **params).fit(fitted_on)
+        for n in stages(max_iter, patience):
+            model = regressor(n, **params).fit(fitted_on)
+            kept = best_prefix(model.evaluateEachIteration(held, "squared"), patience, tolerance)
+            if n - kept >= patience:
+                break
+        return first_trees(model, kept)
     finally:
         if cache:
             rows.unpersist()
 
 
-def fit_depth_models(df: DataFrame, labels: list[str], features: list[str], key: str, parallel: int = 4, validation: float = VALIDATION_SHARE, **params) -> dict[str, GBTRegressionModel]:
-    """One model per depth label. The assembled frame is shared; fits are independent
-    Spark jobs submitted from a few driver threads."""
+def fit_depth_models(df: DataFrame, labels: list[str], features: list[str], key: str, parallel: int = 4, validation: float = VALIDATION_SHARE, rows_per_task: int = ROWS_PER_TASK, **params) -> dict[str, GBTRegressionModel]:
+    """One model per depth label. The assembled frame is shared and dealt by key into as many tasks as its rows
+    ask for, however few or empty the partitions of the source; fits are independent
+    Spark jobs submitted from a few driver threads. Where no predictor is ever missing the flags, which are all 0 and come last,
+    are left out of the passes: no tree can split on them."""
     labels = sort_by_depth(labels)
-    shared = assemble(df, features, key, validation=validation).select("_features", "_validation", *labels).persist()
+    gap = F.exists(F.array(*[F.col(c).cast("double") for c in features]), lambda v: v.isNull())
+    n, gaps = df.agg(F.count("*"), F.max(gap)).first()
+    dealt = df.select(*dict.fromkeys([key, *features, *labels])).repartition(max(1, -(-n // rows_per_task)), key)
+    shared = assemble(dealt, features, key, validation=validation, flagged=bool(gaps)).select("_features", "_validation", *labels).persist()
     try:
         with ThreadPoolExecutor(parallel) as pool:
             fitted = list(pool.map(lambda label: fit_bin(shared, label, cache=False, **params), labels))

@@ -176,6 +176,41 @@ def test_models_learn_and_blank_incomplete_rows(spark):
     assert ML.score_depths(gappy, models, feats).where("chla is null").count() == 0
 
 
+def test_no_more_trees_are_fitted_than_the_stopping_rule_asks_for(spark, monkeypatch):
+    """The model of few trees, fitted in stages, is that of all trees cut at the same place."""
+    from brineframe.operators import models as ML
+
+    noise = F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000.0
+    rows = spark.range(600).select("id", (F.col("id") * 37 % 101 / 101.0).alias("a"), (noise + 0.5).alias("CHLA_0_10")).coalesce(1)
+    ready = ML.assemble(rows, ["a"], "id")
+    fitted, regressor = [], ML.regressor
+    monkeypatch.setattr(ML, "regressor", lambda max_iter, **kw: fitted.append(max_iter) or regressor(max_iter, **kw))
+    model = ML.fit_bin(ready, "CHLA_0_10", patience=1, max_iter=40, max_depth=3)
+    assert sum(fitted) < 40
+    monkeypatch.setattr(ML, "stages", lambda n, patience: [n])
+    whole = ML.fit_bin(ready, "CHLA_0_10", patience=1, max_iter=40, max_depth=3)
+    assert fitted[-1] == 40
+    without_uid = lambda m: [t.toDebugString.split("\n", 1)[1] for t in m.trees]
+    assert without_uid(model) == without_uid(whole)
+
+
+def test_training_rows_are_dealt_by_their_number_and_flags_only_where_needed(spark, monkeypatch):
+    from brineframe.operators import models as ML
+
+    seen, fit_bin = [], ML.fit_bin
+    monkeypatch.setattr(ML, "fit_bin", lambda rows, *a, **kw: seen.append((rows.rdd.getNumPartitions(), len(rows.first()["_features"]))) or fit_bin(rows, *a, **kw))
+    rows = spark.range(200).select("id", (F.col("id") % 7 + 0.0).alias("a"), (F.col("id") % 5 + 0.0).alias("b")).withColumn("CHLA_0_10", F.col("a") + F.col("b") * 2 + 1)
+    models = ML.fit_depth_models(rows.repartition(8), ["CHLA_0_10"], ["a", "b"], "id", max_iter=3, max_depth=2)
+    assert seen.pop() == (1, 2)
+    ML.fit_depth_models(rows.coalesce(1), ["CHLA_0_10"], ["a", "b"], "id", max_iter=3, max_depth=2, rows_per_task=50)
+    assert seen.pop() == (4, 2)
+    gappy = rows.withColumn("b", F.when(F.col("id") % 3 > 0, F.col("b")))
+    other = ML.fit_depth_models(gappy, ["CHLA_0_10"], ["a", "b"], "id", max_iter=3, max_depth=2)
+    assert seen.pop() == (1, 4)
+    for each in (models, other):
+        assert ML.score_depths(gappy, each, ["a", "b"]).where("chla[0] is null").count() == 0
+
+
 def test_missing_predictors_and_early_stopping(spark):
     """Rows with missing bands teach more than complete cases alone; boosting goes on while the error falls."""
     from brineframe.operators import models as ML
