@@ -6,13 +6,14 @@ sorted by piece and position. Each pass
 1. *merge-joins* the relation with itself on the piece and the adjacent position: two phrases
    of k words that overlap in k - 1 make one of k + 1;
 2. *group-counts* the longer phrases over the corpus (counts per chunk of texts first, then sums in
-   key buckets, see ``chunks.consult``);
-3. *semi-joins* the occurrences with the groups that are frequent, and writes the result to
-   the shared folder as the next relation.
+   key buckets);
+3. *semi-joins* the occurrences with the groups that are frequent: the next relation.
 
 Every part of a frequent phrase is frequent as well, so no phrase is lost. Relations never
-leave their chunk of texts: what is shuffled are distinct groups with their counts, once per chunk, and
-the packed relation itself. A position is the word's number in the chunk plus one for every
+leave their chunk of texts and are not stored: what is kept of a pass is the answer of the key buckets, one bit per
+distinct group of a chunk (and the counts of frequent ones, which only the end reads). A pass grows the relations of its chunk
+again from the words and these bits. The words are shuffled once and stay on the executors' disks for all passes; else only
+distinct groups with their counts are shuffled, once per chunk. A position is the word's number in the chunk plus one for every
 piece before it, so that the last word of a piece and the first of the next are not adjacent.
 
 At the end each frequent phrase is written out by the first chunk that has it. There, at one
@@ -33,14 +34,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..session import shared_dir
 from ..sources.tables import staged
 from . import text as tx
-from .chunks import CHUNK, asked, bucket_order, consult, replies
+from .chunks import ASKED, CHUNK, asked, bucket_order, lean
 
 # fixed values of the query
 LEAST = 100
@@ -54,7 +55,7 @@ IN_WORD[[0x20, 0x09]] = False
 
 CHUNK_BYTES = 4 << 20
 TEXTS = f"{CHUNK} long, langs array<string>, counts array<long>, words binary, of_lang binary, at binary, grp binary, size long"
-RELATION = f"{CHUNK} long, level int, n long, at binary, grp binary, keys binary, marks binary, counts binary, mine binary"
+ANSWERED = f"{CHUNK} long, level int, bucket int, n long, flags binary, counts binary, mine binary"
 EMITTED = "lang string, phrase string, a long, cuts array<struct<l:long,r:long>>"
 
 
@@ -159,8 +160,10 @@ def longer(at: np.ndarray, grp: np.ndarray, keys: np.ndarray, marks: np.ndarray)
     return at[here], number, tx.mix(keys[left] * one + tx.mix(keys[right] * two)), tx.mix(marks[left] * two + tx.mix(marks[right] * one, 1), 1)
 
 
-def summed(table: pa.Table, least: int) -> pa.Table:
-    """Group count: for the keys of each chunk which are frequent, their counts, and which of these the chunk writes out."""
+def summed(table: pa.Table, level: int, least: int) -> pa.Table:
+    """Group count: for the keys of each chunk which are frequent, their counts, and which of these the chunk writes out.
+
+    ``n`` adds up to all occurrences of frequent phrases."""
     table = table.sort_by("chunk")
     parts = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
     counts = np.concatenate([numbers(x) for x in table.column("extra").to_pylist()])
@@ -172,74 +175,86 @@ def summed(table: pa.Table, least: int) -> pa.Table:
     total[order] = np.add.reduceat(counts[order].astype(np.int64), np.flatnonzero(new))[run]
     first = np.empty(len(keys), bool)
     first[order] = new
-    out, at = [], 0
+    out, at = {"n": [], "flags": [], "counts": [], "mine": []}, 0
     for p in parts:
         own, mine = total[at:at + len(p)], first[at:at + len(p)]
         frequent = own >= least
-        out.append(np.packbits(frequent).tobytes() + own[frequent].tobytes() + np.packbits(mine[frequent]).tobytes())
+        out["n"].append(int(own[frequent & mine].sum()))
+        out["flags"].append(squeezed(np.packbits(frequent)))
+        out["counts"].append(squeezed(own[frequent]))
+        out["mine"].append(squeezed(np.packbits(mine[frequent])))
         at += len(p)
-    return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "reply": pa.array(out, pa.binary())})
+    kinds = {"n": pa.int64(), "flags": pa.binary(), "counts": pa.binary(), "mine": pa.binary()}
+    return pa.table({CHUNK: table.column("chunk"), "level": pa.array([level] * len(parts), pa.int32()), "bucket": table.column("bucket")} | {
+        c: pa.array(out[c], kind) for c, kind in kinds.items()})
 
 
-def frequent_only(level: int, chunk: int, found: tuple, buckets: int, got: list[bytes]) -> dict:
-    """Semi-join of a chunk's occurrences with the frequent groups."""
+def frequent_only(found: tuple, buckets: int, got: list[dict]) -> tuple:
+    """Semi-join of a chunk's occurrences with the frequent groups; the counts of these and whether to write them out, where asked for."""
     at, grp, keys, marks = found
     order, _, cut = bucket_order(marks, buckets)
     ends = [*cut[1:].tolist(), len(keys)] if len(keys) else []
-    count, mine = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    for a, b, raw in zip(cut.tolist(), ends, got):
-        flags = -(-(b - a) // 8)
-        own = order[a:b][np.unpackbits(np.frombuffer(raw[:flags], np.uint8), count=b - a).astype(bool)]
-        count[own] = np.frombuffer(raw[flags:flags + 8 * len(own)], np.int64)
-        mine[own] = np.unpackbits(np.frombuffer(raw[flags + 8 * len(own):], np.uint8), count=len(own)).astype(bool)
-    kept = np.flatnonzero(count)
-    number = np.cumsum(count > 0) - 1
-    stays = count[grp] > 0
-    return {CHUNK: [chunk], "level": [level], "n": [int(stays.sum())], "at": [packed_places(at[stays])], "grp": [squeezed(number[grp[stays]])],
-            "keys": [keys[kept].tobytes()], "marks": [marks[kept].tobytes()], "counts": [squeezed(count[kept])], "mine": [squeezed(mine[kept])]}
-
-
-def relation_schema() -> pa.Schema:
-    return pa.schema([(CHUNK, pa.int64()), ("level", pa.int32()), ("n", pa.int64()), *((c, pa.binary()) for c in ("at", "grp", "keys", "marks", "counts", "mine"))])
-
-
-def unpacked(rows: pa.Table):
-    first = {c: rows.column(c)[0].as_py() for c in rows.column_names}
-    if "words" in first:
-        keys = word_keys(numbers(first["words"]), numbers(first["of_lang"]), first["langs"])
-        return places(first["at"]), numbers(first["grp"]), keys, tx.mix(tx.mix(keys) * tx.U(tx.BASES[2]), 1)
-    return places(first["at"]), numbers(first["grp"]), np.frombuffer(first["keys"], np.uint64), np.frombuffer(first["marks"], np.uint64)
-
-
-def grown(relation: DataFrame, level: int, keys: int, least: int) -> DataFrame:
-    """The relation of frequent phrases of ``level`` words, from the one of a word less (level 1: from all words)."""
-    buckets = max(1, -(-keys // 500_000))
-
-    def candidates(rows):
-        found = unpacked(rows)
-        return longer(*found) if level > 1 else found
-
-    def ask(chunk, rows):
-        _, grp, distinct, marks = candidates(rows)
-        return asked(chunk, distinct, marks, buckets, np.bincount(grp, minlength=len(distinct)), squeezed)
-
-    def decide(chunk, rows, answers):
-        if not rows.num_rows:
-            return relation_schema().empty_table()
-        return pa.table(frequent_only(level, chunk, candidates(rows), buckets, replies(answers)), schema=relation_schema())
-
-    parts = int(relation.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = relation.select(CHUNK, "at", "grp", *(("langs", "words", "of_lang") if level == 1 else ("keys", "marks"))).repartition(parts, CHUNK)
-    return consult(dealt, ask, lambda table: summed(table, least), decide, RELATION)
-
-
-def written_out(words: pa.Table, relations: pa.Table, longest: int) -> pa.Table:
+    frequent, count, mine = np.zeros(len(keys), bool), np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    for a, b, reply in zip(cut.tolist(), ends, got, strict=True):
+        own = order[a:b][np.unpackbits(numbers(reply["flags"]), count=b - a).astype(bool)]
+        frequent[own] = True
+        if "counts" in reply:
+            count[own] = numbers(reply["counts"])
+            mine[own] = np.unpackbits(numbers(reply["mine"]), count=len(own)).astype(bool)
+    number = np.cumsum(frequent) - 1
+    stays = frequent[grp]
+    return (at[stays], number[grp[stays]], keys[frequent], marks[frequent]), count[frequent], mine[frequent]
+
+
+def single_words(words: pa.Table) -> tuple:
+    """The relation of all words of a chunk."""
+    first = {c: words.column(c)[0].as_py() for c in words.column_names}
+    keys = word_keys(numbers(first["words"]), numbers(first["of_lang"]), first["langs"])
+    return places(first["at"]), numbers(first["grp"]), keys, tx.mix(tx.mix(keys) * tx.U(tx.BASES[2]), 1)
+
+
+def candidates(words: pa.Table, level: int, smaller: tuple | None) -> tuple:
+    """All occurrences of ``level`` words whose parts are frequent."""
+    return single_words(words) if level == 1 else longer(*smaller)
+
+
+def relations(words: pa.Table, answers: pa.Table, buckets: list[int]):
+    """The relations of frequent phrases of 1, 2, ... words of a chunk with their counts, grown from its words by the answers so far."""
+    got = {}
+    for reply in answers.sort_by([("level", "ascending"), ("bucket", "ascending")]).to_pylist() if buckets else []:
+        got.setdefault(reply["level"], []).append(reply)
+    found = None
+    for level, n in enumerate(buckets, 1):
+        found, count, mine = frequent_only(candidates(words, level, found), n, got.get(level, []))
+        yield found, count, mine
+
+
+def counted(dealt: DataFrame, answers: DataFrame | None, buckets: list[int], keys: int, least: int) -> tuple[DataFrame, int]:
+    """The answers for the phrases longer by one word than those of ``answers`` (none: for single words), and the number of key buckets."""
+    level, parts = len(buckets) + 1, max(1, -(-keys // 500_000))
+
+    def ask(chunk, words, answers):
+        smaller = None
+        for smaller, _, _ in relations(words, answers, buckets):
+            pass
+        _, grp, distinct, marks = candidates(words, level, smaller)
+        return asked(chunk, distinct, marks, parts, np.bincount(grp, minlength=len(distinct)), squeezed)
+
+    rows = dealt.select(CHUNK, "langs", "words", "of_lang", "at", "grp").groupBy(CHUNK)
+    if answers is None:
+        questions = rows.applyInArrow(lambda k, words: lean(ask, k[0].as_py(), words, None), ASKED)
+    else:
+        flags = answers.select(CHUNK, "level", "bucket", "flags").groupBy(CHUNK)
+        questions = rows.cogroup(flags).applyInArrow(lambda k, words, flags: lean(ask, k[0].as_py(), words, flags), ASKED)
+    return questions.groupBy("bucket").applyInArrow(lambda table: lean(summed, table, level, least), ANSWERED), parts
+
+
+def written_out(words: pa.Table, answers: pa.Table, buckets: list[int]) -> pa.Table:
     """The phrases that a chunk writes out, with their counts and cuts, without those inside an equally frequent longer one."""
-    levels = {}
-    for r in relations.to_pylist():
-        levels[r["level"]] = places(r["at"]), numbers(r["grp"]), numbers(r["counts"]).astype(np.int64), numbers(r["mine"]).astype(bool)
+    longest = len(buckets)
+    levels = {k: (*found[:2], count, mine) for k, (found, count, mine) in enumerate(relations(words, answers, buckets), 1)}
     out = {"lang": [], "phrase": [], "a": [], "cuts": []}
-    if 1 in levels and words.num_rows:
+    if levels:
         w = {c: words.column(c)[0].as_py() for c in ("langs", "words", "of_lang", "at", "grp")}
         spelled, of_lang, at, grp = numbers(w["words"]).tobytes().split(b" "), numbers(w["of_lang"]), places(w["at"]), numbers(w["grp"])
 
@@ -252,8 +267,6 @@ def written_out(words: pa.Table, relations: pa.Table, longest: int) -> pa.Table:
             return np.where(have[i] == place, counts[group[i]], 0)
 
         for k in range(2, longest + 1):
-            if k not in levels:
-                continue
             have, group, counts, mine = levels[k]
             distinct, example = np.unique(group, return_index=True)
             distinct, example = distinct[mine[distinct]], example[mine[distinct]]
@@ -282,17 +295,23 @@ def best_cut():
 def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, text: str = "text", lang: str = "lang", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(lang, phrase, a, l, r, n, score) of all frequent phrases of 2 to ``longest`` words that no equally frequent longer one contains."""
     spark = docs.sparkSession
-    chunks = staged(text_chunks(docs, text, lang, chunk_bytes), shared_dir(spark, "words"))
-    relation, all_levels = chunks, None
-    for level in range(1, longest + 1):
-        # a chunk has no more phrases than occurrences
-        keys = relation.agg(F.sum("size" if level == 1 else "n")).first()[0] or 0
-        relation = staged(grown(relation, level, keys, least), shared_dir(spark, f"relation-{level}"))
-        all_levels = relation if all_levels is None else all_levels.union(relation)
-    everything = all_levels.select(CHUNK, "level", "at", "grp", "counts", "mine")
-    found = chunks.select(CHUNK, "langs", "words", "of_lang", "at", "grp").groupBy(CHUNK).cogroup(everything.groupBy(CHUNK)).applyInArrow(
-        lambda words, levels: written_out(words, levels, longest), EMITTED)
-    totals = chunks.select(F.explode(F.arrays_zip("langs", "counts")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.counts").alias("n"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = text_chunks(docs, text, lang, chunk_bytes).repartition(parts, CHUNK).persist(StorageLevel.DISK_ONLY)
+    try:
+        keys = dealt.agg(F.sum("size")).first()[0] or 0
+        answers, buckets = None, []
+        for level in range(1, longest + 1):
+            replies, used = counted(dealt, answers, buckets, keys, least)
+            replies = staged(replies, shared_dir(spark, f"answers-{level}"))
+            answers, buckets = replies if answers is None else answers.union(replies), [*buckets, used]
+            keys = replies.agg(F.sum("n")).first()[0] or 0  # a chunk has no more phrases than occurrences
+        words = dealt.select(CHUNK, "langs", "words", "of_lang", "at", "grp").groupBy(CHUNK)
+        found = staged(words.cogroup(answers.drop("n").groupBy(CHUNK)).applyInArrow(
+            lambda words, answers: lean(written_out, words, answers, buckets), EMITTED), shared_dir(spark, "phrases"))
+        totals = dealt.select(F.explode(F.arrays_zip("langs", "counts")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.counts").alias("n"))
+        totals = staged(totals, shared_dir(spark, "totals"))
+    finally:
+        dealt.unpersist()
     best = found.join(totals, "lang").withColumn("cut", best_cut())
     return best.select("lang", "phrase", "a", "cut.l", "cut.r", "n", F.col("cut.score").cast("long").alias("score"))
 

@@ -127,6 +127,27 @@ def test_collocations(spark, chunk):
     assert phrases.collocations(frame.limit(0)).count() == 0
 
 
+def test_collocation_passes_keep_answers_not_relations(spark, monkeypatch):
+    """What the passes store beside the words is a small part of the text, and nothing stays cached."""
+    r, kept, staged = random.Random(5), [], phrases.staged
+    sentence = [" ".join(f"w{r.randrange(400)}" for _ in range(6)) for _ in range(300)]
+    docs = [(" ".join(r.choice(sentence) for _ in range(400)), "en") for _ in range(40)]
+
+    def spy(df, path):
+        out = staged(df, path)
+        if "words" not in path:
+            sizes = [F.coalesce(F.sum(F.length(c)), F.lit(0)) for c, kind in out.dtypes if kind == "binary"]
+            kept.append(sum(out.agg(*sizes).first()) if sizes else 0)
+        return out
+
+    monkeypatch.setattr(phrases, "staged", spy)
+    cached = spark.sparkContext._jsc.getPersistentRDDs().size()
+    got = phrases.collocations(spark.createDataFrame(docs, "text string, lang string"), least=20, chunk_bytes=100_000)
+    assert sorted(tuple(x) for x in got.collect()) == sorted(brute.collocations(docs, 20, 5, 2000)) != []
+    assert sum(kept) < 0.1 * sum(len(t) for t, _ in docs)
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == cached
+
+
 def test_scores_beyond_64_bits(spark):
     rows = [("x", "a b", 9 * 10**16, [(9 * 10**16 + 1, 10**17)], 10**18)]
     found = spark.createDataFrame(rows, "lang string, phrase string, a long, cuts array<struct<l:long,r:long>>, n long")
