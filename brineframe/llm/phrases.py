@@ -12,7 +12,7 @@ sorted by piece and position. Each pass
 Every part of a frequent phrase is frequent as well, so no phrase is lost. Relations never
 leave their chunk of texts and are not stored: what is kept of a pass is the answer of the key buckets, one bit per
 distinct group of a chunk (and the counts of frequent ones, which only the end reads). A pass grows the relations of its chunk
-again from the words and these bits. The words are shuffled once and stay on the executors' disks for all passes; else only
+again from the words and these bits. The words are written and shuffled once and stay on the executors' disks for all passes; else only
 distinct groups with their counts are shuffled, once per chunk. A position is the word's number in the chunk plus one for every
 piece before it, so that the last word of a piece and the first of the next are not adjacent.
 
@@ -60,16 +60,18 @@ EMITTED = "lang string, phrase string, a long, cuts array<struct<l:long,r:long>>
 
 
 def squeezed(values: np.ndarray) -> bytes:
-    """Numbers from 0 on in the fewest bytes each, compressed; the first byte has the width, the next eight the size."""
+    """Numbers from 0 on in the fewest bytes each, all first bytes, then all second ones, compressed; the first byte has the width, the next eight the size."""
     most = int(values.max(initial=0))
     kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if most <= np.iinfo(k).max)
-    raw = values.astype(kind).tobytes()
-    return bytes([np.dtype(kind).itemsize]) + len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    width = np.dtype(kind).itemsize
+    raw = values.astype(kind).view(np.uint8).reshape(-1, width).T.tobytes()
+    return bytes([width]) + len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def numbers(raw: bytes) -> np.ndarray:
     size = int.from_bytes(raw[1:9], "little")
-    return np.frombuffer(pa.decompress(raw[9:], size, codec="zstd", asbytes=True) if size else b"", f"<u{raw[0]}")
+    planes = np.frombuffer(pa.decompress(raw[9:], size, codec="zstd", asbytes=True) if size else b"", np.uint8)
+    return np.ascontiguousarray(planes.reshape(raw[0], -1).T).reshape(-1).view(f"<u{raw[0]}")
 
 
 def packed_places(at: np.ndarray) -> bytes:
@@ -104,7 +106,9 @@ def occurrences(texts: list[bytes], langs: list[str]) -> dict:
         cut.append((joined, start, end))
     none = [np.zeros(0, np.int64)]
     flat, of = np.concatenate(hashes or [np.zeros(0, np.uint64)]), np.concatenate(owner or none)
-    keys, first, grp = np.unique(flat, return_index=True, return_inverse=True)
+    keys, first, grp, often = np.unique(flat, return_index=True, return_inverse=True, return_counts=True)
+    rank = np.argsort(-often, kind="stable")  # small numbers for frequent words
+    first, grp = first[rank], np.argsort(rank)[grp]
     size = np.cumsum([0, *(len(x[1]) for x in cut)])
     block = np.searchsorted(size, first, side="right") - 1
     words = []
@@ -296,7 +300,8 @@ def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, text: s
     """(lang, phrase, a, l, r, n, score) of all frequent phrases of 2 to ``longest`` words that no equally frequent longer one contains."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = text_chunks(docs, text, lang, chunk_bytes).repartition(parts, CHUNK).persist(StorageLevel.DISK_ONLY)
+    # written first: chunks of a source whose rows change their order would not fit their answers if they were computed again
+    dealt = staged(text_chunks(docs, text, lang, chunk_bytes), shared_dir(spark, "words")).repartition(parts, CHUNK).persist(StorageLevel.DISK_ONLY)
     try:
         keys = dealt.agg(F.sum("size")).first()[0] or 0
         answers, buckets = None, []
