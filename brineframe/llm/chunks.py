@@ -111,6 +111,10 @@ def consult(dealt: DataFrame, ask: Callable, answer: Callable, decide: Callable,
 
 
 def lean(step: Callable, *args) -> pa.Table:
-    """The step's result, with the memory of the step before it given back."""
+    """The step's result, with memory given back before it and after it: a worker that waits through
+    Spark's joins and sorts must not hold the arrays of its last group beside them.
+    """
     tx.release_memory()
-    return step(*args)
+    out = step(*args)
+    tx.release_memory()
+    return out

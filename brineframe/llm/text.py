@@ -43,6 +43,9 @@ class Powers:
 
     def __init__(self, base: int):
         self.base, self.inverse = base, pow(base, -1, 1 << 64)
+        self.forget()
+
+    def forget(self) -> None:
         self.up = self.down = np.ones(1, np.uint64)
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +73,10 @@ def _libc():
 def release_memory() -> None:
     """Give freed arrays back to the system, once per task or group: a Python worker lives on
     beside its executor's heap. More often costs more in page faults than it saves.
+    The powers go too: a chunk needs some 50 MB of them, and they are grown again in some 40 ms.
     """
+    for p in _POWERS:
+        p.forget()
     libc = _libc()
     if libc is not None:
         libc.malloc_trim(0)

@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from brineframe.llm import bpe, components, credentials, ctw, decontaminate, licenses, lines, repetition, similar, text as tx, tokens, windows
+from brineframe.llm import bpe, chunks, components, credentials, ctw, decontaminate, licenses, lines, repetition, similar, text as tx, tokens, windows
 
 from . import brute
 
@@ -326,3 +326,12 @@ def test_recoded(table, empty):
     for r in bpe.recoded(table, PATH).collect():
         assert both[r.doc_id, r.text] == (r.ids, r.text)
     assert bpe.recoded(empty, PATH).count() == 0
+
+
+def test_a_group_leaves_no_powers_behind():
+    """A worker waiting for its next group must not hold the last one's tables; hashes stay the same."""
+    words = np.arange(1 << 18, dtype=np.uint64)
+    want = tx.windows(words, 5)
+    assert (chunks.lean(lambda: tx.windows(words, 5)) == want).all()
+    assert sum(p.up.nbytes + p.down.nbytes for p in tx._POWERS) < 1 << 10
+    assert (tx.windows(words, 5) == want).all()
