@@ -39,6 +39,8 @@ CHUNK_BYTES = 8 << 20
 END = 0xFF
 END_WORD = np.uint64(0x5EED0FE0D0F7E875)  # key of the end token among the words
 FLUSH = 600_000
+RAW = 1 << 21  # keys that are counted at once
+SLICE = 1 << 18  # of sorted n-grams; its arrays stay in the processor's cache
 U = np.uint64
 HALF = np.log(0.5)
 
@@ -49,31 +51,73 @@ def is_held_out(ids: list) -> np.ndarray:
 
 def grams(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
     """Per byte of the lower-cased texts and per end: context and byte in one number (byte lowest, nearest context next), and the text."""
-    pad = bytes([END]) * depth
-    joined = b"".join(x for t in texts for x in (pad, t, b"\xff")).lower()
     size = np.array([len(t) + 1 for t in texts], np.int64)
-    a = np.frombuffer(joined, np.uint8).astype(np.uint64)
-    owner = np.repeat(np.arange(len(texts)), size)
-    at = np.arange(size.sum()) + (owner + 1) * depth
-    key = a.copy()
-    for j in range(1, depth + 1):
-        key[j:] |= a[:-j] << U(8 * j)
-    return key[at], owner
+    joined = b"".join([b"\xff" * 8, *(x for t in texts for x in (t, b"\xff"))]).lower()
+    key = np.ndarray(int(size.sum()), ">u8", joined, 1, (1,)).astype(np.uint64)  # the eight bytes up to each place
+    key &= U((1 << 8 * (depth + 1)) - 1)
+    start = np.cumsum(size) - size
+    for p in range(depth):  # the context does not reach into the text before
+        key[(start + p)[size > p]] |= U(((1 << 8 * (depth - p)) - 1) << 8 * (p + 1))
+    return key, np.repeat(np.arange(len(texts)), size)
+
+
+def runs(keys: np.ndarray) -> np.ndarray:
+    """Where each distinct key begins in an ascending array."""
+    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
 
 
 def counted(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    distinct, inverse = np.unique(keys, return_inverse=True)
-    return distinct, np.bincount(inverse, weights, len(distinct)).astype(np.int64)
+    """Distinct keys, ascending, and how often each occurs, or the sum of its weights."""
+    if weights is None:
+        keys = np.sort(keys)
+        first = runs(keys)
+        return keys[first], np.diff(first, append=len(keys))
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = runs(keys)
+    return keys[first], (np.add.reduceat(weights[order], first) if len(first) else weights).astype(np.int64)
 
 
-def numbered(keys: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, and for every key its number among them and its text."""
-    distinct, number = np.unique(keys, return_inverse=True)
-    return distinct, number.astype(np.int32), owner.astype(np.int32)
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """The distinct keys of an ascending array."""
+    return keys[runs(keys)]
 
 
 def together(parts: list[np.ndarray]) -> np.ndarray:
-    return np.unique(np.concatenate([np.zeros(0, np.uint64), *parts]))
+    return distinct(np.sort(np.concatenate([np.zeros(0, np.uint64), *parts])))
+
+
+def distinct_grams(texts: list[bytes], depth: int) -> np.ndarray:
+    return together([together([grams(texts[a:b], depth)[0]]) for a, b in tx.blocks(texts)])
+
+
+def owner_bits(depth: int) -> int:
+    """Bits of a number that an n-gram leaves free."""
+    return 56 - 8 * depth
+
+
+def owned_grams(texts: list[bytes], depth: int) -> np.ndarray:
+    """Per byte and end: the n-gram and, in the lowest ``owner_bits``, the text's number; ascending."""
+    out, at = np.empty(sum(len(t) + 1 for t in texts), np.uint64), 0
+    for a, b in tx.blocks(texts):
+        key, owner = grams(texts[a:b], depth)
+        owner += a
+        key <<= U(owner_bits(depth))
+        np.bitwise_or(key, owner.view(np.uint64), out=out[at:at + len(key)])
+        at += len(key)
+    out.sort()
+    return out
+
+
+def owned_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words and ends, ascending, and the text of each."""
+    hashes, owner = words_and_marks(texts)
+    order = np.argsort(hashes)
+    return hashes[order], owner[order].astype(np.int32)
+
+
+def slices(size: int) -> list[slice]:
+    return [slice(i, i + SLICE) for i in range(0, size, SLICE)]
 
 
 def lgamma(x: np.ndarray) -> np.ndarray:
@@ -92,8 +136,12 @@ class Level:
     """Nodes of one depth over some decisions: counts, estimates and weighted probabilities."""
 
     def __init__(self, node: np.ndarray, zero: np.ndarray, one: np.ndarray, inner: np.ndarray | None):
-        self.ids, first, self.at = np.unique(node, return_index=True, return_inverse=True)
-        self.first = first
+        order = np.argsort(node)
+        first = runs(node[order])
+        self.first = order[first]  # one entry of every node
+        self.ids = node[self.first]
+        self.at = np.empty(len(node), np.int64)
+        self.at[order] = np.repeat(np.arange(len(first)), np.diff(first, append=len(node)))
         self.a = np.bincount(self.at, zero, len(self.ids))
         self.b = np.bincount(self.at, one, len(self.ids))
         self.n = self.a + self.b
@@ -151,23 +199,34 @@ def hash_context(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 
 class Counter:
-    """Adds up keys and counts, and now and then folds them."""
+    """Counts keys, many at once, and now and then folds the counts."""
 
     def __init__(self):
+        self.raw, self.waiting = [], 0
         self.parts, self.size, self.limit = [], 0, FLUSH
 
-    def add(self, keys, counts):
-        self.parts.append((keys, counts))
-        self.size += len(keys)
+    def add(self, keys):
+        self.raw.append(keys)
+        self.waiting += len(keys)
+        if self.waiting > RAW:
+            self.count()
+
+    def count(self):
+        self.parts.append(counted(np.concatenate([np.zeros(0, np.uint64), *self.raw])))
+        self.raw, self.waiting = [], 0
+        self.size += len(self.parts[-1][0])
         if self.size > self.limit:
-            self.parts = [self.result()]
-            self.size = len(self.parts[0][0])
+            self.fold()
             self.limit = FLUSH + 2 * self.size  # so that folding stays in proportion
 
+    def fold(self):
+        self.parts = [counted(np.concatenate([k for k, _ in self.parts]), np.concatenate([c for _, c in self.parts]))]
+        self.size = len(self.parts[0][0])
+
     def result(self):
-        if not self.parts:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        return counted(np.concatenate([k for k, _ in self.parts]), np.concatenate([c for _, c in self.parts]))
+        self.count()
+        self.fold()
+        return self.parts[0]
 
 
 def words_and_marks(texts: list[bytes]):
@@ -206,8 +265,8 @@ def trained_counts(docs: DataFrame, plan: Plan, depth: int) -> DataFrame:
                 train = ~is_held_out(batch.column("doc_id").to_pylist())
                 texts = [t for t, k in zip(texts_of(batch), train) if k]
                 for a, b in tx.blocks(texts):
-                    words.add(*counted(words_and_marks(texts[a:b])[0]))
-                    bytes_.add(*counted(grams(texts[a:b], depth)[0]))
+                    words.add(words_and_marks(texts[a:b])[0])
+                    bytes_.add(grams(texts[a:b], depth)[0])
         (w, wc), (g, gc) = words.result(), bytes_.result()
         yield from plan.rows(0, w, g, (wc, gc)).to_batches()
 
@@ -254,15 +313,14 @@ def scored(docs: DataFrame, depth: int = DEPTH, chunk_bytes: int = CHUNK_BYTES)
     plan = Plan(layout)
     totals = staged(trained_counts(docs, plan, depth), shared_dir(spark, "counts"))
     row = totals.where(F.col("bucket") < plan.words).agg(F.sum("v"), F.sum("n")).first()
-    distinct, tokens = row[0] or 0, row[1] or 0
+    vocabulary, tokens = row[0] or 0, row[1] or 0
     above = spark.sparkContext.broadcast(upper_levels(totals, plan, depth))
     dealt = layout.deal(docs, "doc_id", "text")
 
     def ask(key, rows):
         tx.release_memory()
         texts = texts_of(rows)
-        cut = [texts[a:b] for a, b in tx.blocks(texts)]
-        return plan.rows(key[0].as_py(), together([np.unique(words_and_marks(t)[0]) for t in cut]), together([np.unique(grams(t, depth)[0]) for t in cut]))
+        return plan.rows(key[0].as_py(), together([words_and_marks(texts)[0]]), distinct_grams(texts, depth))
 
     def answer(key, questions, known):
         tx.release_memory()
@@ -289,24 +347,32 @@ def scored(docs: DataFrame, depth: int = DEPTH, chunk_bytes: int = CHUNK_BYTES)
         tx.release_memory()
         rows = ordered(rows)
         texts, ids = texts_of(rows), rows.column("doc_id").cast(pa.int64())
-        cut = [texts[a:b] for a, b in tx.blocks(texts)]
-        own_words, own_grams = [numbered(*words_and_marks(t)) for t in cut], [numbered(*grams(t, depth)) for t in cut]
-        words, bytes_ = together([x[0] for x in own_words]), together([x[0] for x in own_grams])
+        bits, most = U(owner_bits(depth)), 1 << owner_bits(depth)
+        cut = [texts[i:i + most] for i in range(0, len(texts), most)]
+        own_words, own_grams = [owned_words(t) for t in cut], [owned_grams(t, depth) for t in cut]
+        words, bytes_ = together([distinct(h) for h, _ in own_words]), together([distinct(g[s] >> bits) for g in own_grams for s in slices(len(g))])
         got = answers.sort_by("bucket")
         which, reply = got.column("bucket").to_numpy(), got.column("reply").to_pylist()
         seen = np.empty(len(words), np.int64)
         seen[bucket_order(tx.mix(words, 1), plan.words)[0]] = np.frombuffer(b"".join(r for r, w in zip(reply, which) if w < plan.words), np.int64)
         logs = np.empty(len(bytes_))
         logs[bucket_order(hash_context(bytes_, plan.grams), plan.grams)[0]] = np.frombuffer(b"".join(r for r, w in zip(reply, which) if w >= plan.words), np.float64)
-        worth = np.log10((seen + 1) / (tokens + distinct + 1))
+        worth = np.log10((seen + 1) / (tokens + vocabulary + 1))
         n_tokens, n_known, base, score, size = ([] for _ in range(5))
-        for part, (w, number, owner), (g, place, writer) in zip(cut, own_words, own_grams):
-            at = np.searchsorted(words, w)[number]
+        for part, (hashes, owner), owned in zip(cut, own_words, own_grams):
+            first = runs(hashes)
+            at, often = np.searchsorted(words, hashes[first]), np.diff(first, append=len(hashes))
             n_tokens.append(np.bincount(owner, minlength=len(part)))
-            n_known.append(np.bincount(owner, seen[at] > 0, len(part)).astype(np.int64))
-            base.append(np.bincount(owner, worth[at], len(part)))
-            score.append(np.bincount(writer, logs[np.searchsorted(bytes_, g)][place], len(part)))
-            size.append(np.bincount(writer, minlength=len(part)) - 1)
+            n_known.append(np.bincount(owner, np.repeat(seen[at] > 0, often), len(part)).astype(np.int64))
+            base.append(np.bincount(owner, np.repeat(worth[at], often), len(part)))
+            total = np.zeros(len(part))
+            for s in slices(len(owned)):
+                g = owned[s] >> bits
+                first = runs(g)
+                log = np.repeat(logs[np.searchsorted(bytes_, g[first])], np.diff(first, append=len(g)))
+                total += np.bincount((owned[s] & U(most - 1)).view(np.int64), log, len(part))
+            score.append(total)
+            size.append(np.array([len(t) for t in part], np.int64))
         n_tokens, n_known, base, score, size = (np.concatenate(x) for x in (n_tokens, n_known, base, score, size))
         return pa.table({"doc_id": ids, "held_out": pa.array(is_held_out(ids.to_pylist())), "n_tokens": n_tokens, "n_known": n_known,
                          "train_tokens": np.full(len(texts), tokens, np.int64), "base_score": base, "score": score, "n_bytes": size,

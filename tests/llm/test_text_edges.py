@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns, against brute force."""
 
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -206,6 +207,65 @@ def test_probabilities_sum_to_one(spark):
         assert abs(np.exp(logs[full >> np.uint64(8) == context]).sum() - 1) < 1e-9
 
 
+def plain_grams(texts, depth):
+    for number, t in enumerate(texts):
+        past = b"\xff" * depth
+        for byte in t.lower() + b"\xff":
+            yield int.from_bytes(past + bytes([byte])), number
+            past = (past + bytes([byte]))[1:]
+
+
+def test_grams_with_their_texts():
+    """Texts shorter than the context, empty ones and a long one, in several blocks."""
+    texts = [b"", b"Ab", b"", b"abcabcabd", LONG.encode(), b"\x00\xc3\xa9", *[b"x y"] * 300, LONG.encode(), b""]
+    for depth in (2, 3, 5):
+        want = list(plain_grams(texts, depth))
+        assert list(zip(*(x.tolist() for x in ctw.grams(texts, depth)))) == want
+        owned, bits = ctw.owned_grams(texts, depth), ctw.owner_bits(depth)
+        assert [(x >> bits, x & ((1 << bits) - 1)) for x in owned.tolist()] == sorted(want)
+        assert ctw.distinct_grams(texts, depth).tolist() == sorted({g for g, _ in want})
+
+
+def test_counts_folded_often(monkeypatch):
+    keys = [np.random.default_rng(i).integers(0, 500, n).astype(np.uint64) for i, n in enumerate((0, 1, 700, 90, 3000, 5))]
+    distinct, counts = np.unique(np.concatenate(keys), return_counts=True)
+    for raw, flush in ((0, 0), (50, 100), (1000, 10**6)):
+        monkeypatch.setattr(ctw, "RAW", raw)
+        monkeypatch.setattr(ctw, "FLUSH", flush)
+        counter = ctw.Counter()
+        for k in keys:
+            counter.add(k)
+        got = counter.result()
+        assert got[0].tolist() == distinct.tolist() and got[1].tolist() == counts.tolist()
+    assert [len(x) for x in ctw.Counter().result()] == [0, 0]
+
+
+def test_distinct_grams_cost_a_sort():
+    """CPU time of counting and of collecting n-grams, which is most of the operator's, against that of a sort alone."""
+    keys = ctw.grams([prose(i, 30_000).encode() for i in range(10)])[0]
+
+    def cost(step):
+        took = []
+        for _ in range(5):
+            start = time.process_time()
+            step()
+            took.append(time.process_time() - start)
+        return min(took)
+
+    sort = cost(lambda: np.sort(keys))
+    assert cost(lambda: ctw.counted(keys)) < 3 * sort
+    assert cost(lambda: ctw.together([keys])) < 3 * sort
+
+
+@pytest.mark.parametrize("depth", [3, 6, 7])
+def test_scores_of_other_depths(spark, depth):
+    """Deeper n-grams leave fewer bits for the texts' numbers, so a chunk is scored in parts."""
+    some = [(i, f"{prose(i, 3)[:12]} Ä") for i in range(300)]
+    tree = brute.ContextTree(some, depth)
+    got = dict(ctw.scored(spark.createDataFrame(some, "doc_id long, text string"), depth).select("doc_id", "score").collect())
+    assert np.allclose([got[i] for i, _ in some], [tree.score(t) for _, t in some], rtol=1e-8)
+
+
 def test_codec(table, empty):
     from tokenizers import Tokenizer
 
