@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..sources.tables import staged
 from . import text as tx
-from .chunks import ANSWERED, ASKED, CHUNK, Layout, bucket_order, ordered, texts_of
+from .chunks import ANSWERED, ASKED, CHUNK, Layout, bucket_order, lean, ordered, texts_of
 from ..session import shared_dir
 
 DEPTH = 5
@@ -39,7 +39,7 @@ CHUNK_BYTES = 8 << 20
 END = 0xFF
 END_WORD = np.uint64(0x5EED0FE0D0F7E875)  # key of the end token among the words
 FLUSH = 600_000
-RAW = 1 << 21  # keys that are counted at once
+RAW = 1 << 20  # keys that are counted at once
 SLICE = 1 << 18  # of sorted n-grams; its arrays stay in the processor's cache
 U = np.uint64
 HALF = np.log(0.5)
@@ -84,7 +84,9 @@ def distinct(keys: np.ndarray) -> np.ndarray:
 
 
 def together(parts: list[np.ndarray]) -> np.ndarray:
-    return distinct(np.sort(np.concatenate([np.zeros(0, np.uint64), *parts])))
+    keys = np.concatenate([np.zeros(0, np.uint64), *parts])
+    keys.sort()
+    return distinct(keys)
 
 
 def distinct_grams(texts: list[bytes], depth: int) -> np.ndarray:
@@ -212,8 +214,9 @@ class Counter:
             self.count()
 
     def count(self):
-        self.parts.append(counted(np.concatenate([np.zeros(0, np.uint64), *self.raw])))
+        keys = np.concatenate([np.zeros(0, np.uint64), *self.raw])
         self.raw, self.waiting = [], 0
+        self.parts.append(counted(keys))
         self.size += len(self.parts[-1][0])
         if self.size > self.limit:
             self.fold()
@@ -257,7 +260,6 @@ class Plan:
 def trained_counts(docs: DataFrame, plan: Plan, depth: int) -> DataFrame:
     """(bucket, keys, counts, v, n): counts of the training texts' words and n-grams, one row per bucket."""
     def count(batches):
-        tx.release_memory()
         words, bytes_ = Counter(), Counter()
         for whole in batches:
             for i in range(0, whole.num_rows, 256):
@@ -268,16 +270,16 @@ def trained_counts(docs: DataFrame, plan: Plan, depth: int) -> DataFrame:
                     words.add(words_and_marks(texts[a:b])[0])
                     bytes_.add(grams(texts[a:b], depth)[0])
         (w, wc), (g, gc) = words.result(), bytes_.result()
-        yield from plan.rows(0, w, g, (wc, gc)).to_batches()
+        return plan.rows(0, w, g, (wc, gc))
 
     def add(table):
-        tx.release_memory()
         keys, counts = counted(np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]),
                                np.concatenate([np.frombuffer(x, np.int64) for x in table.column("extra").to_pylist()]))
         return pa.table({"bucket": table.column("bucket").slice(0, 1), "keys": pa.array([keys.tobytes()], pa.binary()), "counts": pa.array([counts.tobytes()], pa.binary()),
                          "v": pa.array([len(keys)], pa.int64()), "n": pa.array([int(counts.sum())], pa.int64())})
 
-    return docs.select("doc_id", "text").mapInArrow(count, ASKED).groupBy("bucket").applyInArrow(add, "bucket int, keys binary, counts binary, v long, n long")
+    counts = docs.select("doc_id", "text").mapInArrow(lambda batches: iter(lean(count, batches).to_batches()), ASKED)
+    return counts.groupBy("bucket").applyInArrow(lambda t: lean(add, t), "bucket int, keys binary, counts binary, v long, n long")
 
 
 def upper_levels(totals: DataFrame, plan: Plan, depth: int) -> tuple:
@@ -318,12 +320,12 @@ def scored(docs: DataFrame, depth: int = DEPTH, chunk_bytes: int = CHUNK_BYTES)
     dealt = layout.deal(docs, "doc_id", "text")
 
     def ask(key, rows):
-        tx.release_memory()
         texts = texts_of(rows)
-        return plan.rows(key[0].as_py(), together([words_and_marks(texts)[0]]), distinct_grams(texts, depth))
+        words = together([words_and_marks(texts)[0]])
+        tx.release_memory()
+        return plan.rows(key[0].as_py(), words, distinct_grams(texts, depth))
 
     def answer(key, questions, known):
-        tx.release_memory()
         keys = np.frombuffer(known.column("keys")[0].as_py(), np.uint64) if known.num_rows else np.zeros(0, np.uint64)
         counts = np.frombuffer(known.column("counts")[0].as_py(), np.int64) if known.num_rows else np.zeros(0, np.int64)
         asked = [np.frombuffer(x, np.uint64) for x in questions.column("keys").to_pylist()]
@@ -344,13 +346,15 @@ def scored(docs: DataFrame, depth: int = DEPTH, chunk_bytes: int = CHUNK_BYTES)
         return pa.table({"chunk": questions.column("chunk"), "bucket": questions.column("bucket"), "reply": pa.array([v.tobytes() for v in values], pa.binary())})
 
     def decide(key, rows, answers):
-        tx.release_memory()
         rows = ordered(rows)
         texts, ids = texts_of(rows), rows.column("doc_id").cast(pa.int64())
         bits, most = U(owner_bits(depth)), 1 << owner_bits(depth)
         cut = [texts[i:i + most] for i in range(0, len(texts), most)]
-        own_words, own_grams = [owned_words(t) for t in cut], [owned_grams(t, depth) for t in cut]
-        words, bytes_ = together([distinct(h) for h, _ in own_words]), together([distinct(g[s] >> bits) for g in own_grams for s in slices(len(g))])
+        own_words = [owned_words(t) for t in cut]
+        words = together([distinct(h) for h, _ in own_words])
+        tx.release_memory()  # hashing takes as much as the n-grams will
+        own_grams = [owned_grams(t, depth) for t in cut]
+        bytes_ = together([distinct(g[s] >> bits) for g in own_grams for s in slices(len(g))])
         got = answers.sort_by("bucket")
         which, reply = got.column("bucket").to_numpy(), got.column("reply").to_pylist()
         seen = np.empty(len(words), np.int64)
@@ -378,10 +382,10 @@ def scored(docs: DataFrame, depth: int = DEPTH, chunk_bytes: int = CHUNK_BYTES)
                          "train_tokens": np.full(len(texts), tokens, np.int64), "base_score": base, "score": score, "n_bytes": size,
                          "bits_per_byte": -score / np.log10(2) / np.maximum(size, 1)})
 
-    questions = dealt.groupBy(CHUNK).applyInArrow(ask, ASKED)
-    answers = questions.groupBy("bucket").cogroup(totals.groupBy("bucket")).applyInArrow(answer, ANSWERED).withColumnRenamed("chunk", CHUNK)
+    questions = dealt.groupBy(CHUNK).applyInArrow(lambda k, t: lean(ask, k, t), ASKED)
+    answers = questions.groupBy("bucket").cogroup(totals.groupBy("bucket")).applyInArrow(lambda k, left, right: lean(answer, k, left, right), ANSWERED).withColumnRenamed("chunk", CHUNK)
     return dealt.groupBy(CHUNK).cogroup(answers.groupBy(CHUNK)).applyInArrow(
-        decide, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double")
+        lambda k, left, right: lean(decide, k, left, right), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double")
 
 
 def lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
