@@ -40,7 +40,7 @@ END = 0xFF
 END_WORD = np.uint64(0x5EED0FE0D0F7E875)  # key of the end token among the words
 FLUSH = 600_000
 RAW = 1 << 20  # keys that are counted at once
-SLICE = 1 << 18  # of sorted n-grams; its arrays stay in the processor's cache
+PART_BYTES = 2 << 20  # of a chunk's texts, whose n-grams are sorted at once
 U = np.uint64
 HALF = np.log(0.5)
 
@@ -93,33 +93,35 @@ def distinct_grams(texts: list[bytes], depth: int) -> np.ndarray:
     return together([together([grams(texts[a:b], depth)[0]]) for a, b in tx.blocks(texts)])
 
 
-def owner_bits(depth: int) -> int:
-    """Bits of a number that an n-gram leaves free."""
-    return 56 - 8 * depth
+def parts_of(texts: list[bytes], depth: int) -> list[list[bytes]]:
+    """Runs of texts that can be numbered in the bits that an n-gram leaves free, at most 16."""
+    most = 1 << min(16, 56 - 8 * depth)
+    return [texts[i:min(i + most, b)] for a, b in tx.blocks(texts, PART_BYTES) for i in range(a, b, most)]
 
 
-def owned_grams(texts: list[bytes], depth: int) -> np.ndarray:
-    """Per byte and end: the n-gram and, in the lowest ``owner_bits``, the text's number; ascending."""
-    out, at = np.empty(sum(len(t) + 1 for t in texts), np.uint64), 0
+def owned_grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct n-grams of a part, ascending, how often each occurs, and the texts of all occurrences in that order."""
+    out, at, bits = np.empty(sum(len(t) + 1 for t in texts), np.uint64), 0, min(16, 56 - 8 * depth)
     for a, b in tx.blocks(texts):
         key, owner = grams(texts[a:b], depth)
         owner += a
-        key <<= U(owner_bits(depth))
+        key <<= U(bits)
         np.bitwise_or(key, owner.view(np.uint64), out=out[at:at + len(key)])
         at += len(key)
     out.sort()
-    return out
+    owner = (out & U((1 << bits) - 1)).astype(np.uint16)
+    out >>= U(bits)
+    first = runs(out)
+    return out[first], np.diff(first, append=len(out)), owner
 
 
-def owned_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words and ends, ascending, and the text of each."""
+def owned_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same of words and ends."""
     hashes, owner = words_and_marks(texts)
     order = np.argsort(hashes)
-    return hashes[order], owner[order].astype(np.int32)
-
-
-def slices(size: int) -> list[slice]:
-    return [slice(i, i + SLICE) for i in range(0, size, SLICE)]
+    hashes = hashes[order]
+    first = runs(hashes)
+    return hashes[first], np.diff(first, append=len(hashes)), owner[order].astype(np.uint16)
 
 
 def lgamma(x: np.ndarray) -> np.ndarray:
@@ -321,8 +323,7 @@ def scored(docs: DataFrame, depth: int = DEPTH, chunk_bytes: int = CHUNK_BYTES)
 
     def ask(key, rows):
         texts = texts_of(rows)
-        words = together([words_and_marks(texts)[0]])
-        tx.release_memory()
+        words = together([together([words_and_marks(t)[0]]) for t in parts_of(texts, depth)])
         return plan.rows(key[0].as_py(), words, distinct_grams(texts, depth))
 
     def answer(key, questions, known):
@@ -348,13 +349,9 @@ def scored(docs: DataFrame, depth: int = DEPTH, chunk_bytes: int = CHUNK_BYTES)
     def decide(key, rows, answers):
         rows = ordered(rows)
         texts, ids = texts_of(rows), rows.column("doc_id").cast(pa.int64())
-        bits, most = U(owner_bits(depth)), 1 << owner_bits(depth)
-        cut = [texts[i:i + most] for i in range(0, len(texts), most)]
-        own_words = [owned_words(t) for t in cut]
-        words = together([distinct(h) for h, _ in own_words])
-        tx.release_memory()  # hashing takes as much as the n-grams will
-        own_grams = [owned_grams(t, depth) for t in cut]
-        bytes_ = together([distinct(g[s] >> bits) for g in own_grams for s in slices(len(g))])
+        cut = parts_of(texts, depth)
+        own_words, own_grams = [owned_words(t) for t in cut], [owned_grams(t, depth) for t in cut]
+        words, bytes_ = together([x[0] for x in own_words]), together([x[0] for x in own_grams])
         got = answers.sort_by("bucket")
         which, reply = got.column("bucket").to_numpy(), got.column("reply").to_pylist()
         seen = np.empty(len(words), np.int64)
@@ -363,20 +360,13 @@ def scored(docs: DataFrame, depth: int = DEPTH, chunk_bytes: int = CHUNK_BYTES)
         logs[bucket_order(hash_context(bytes_, plan.grams), plan.grams)[0]] = np.frombuffer(b"".join(r for r, w in zip(reply, which) if w >= plan.words), np.float64)
         worth = np.log10((seen + 1) / (tokens + vocabulary + 1))
         n_tokens, n_known, base, score, size = ([] for _ in range(5))
-        for part, (hashes, owner), owned in zip(cut, own_words, own_grams):
-            first = runs(hashes)
-            at, often = np.searchsorted(words, hashes[first]), np.diff(first, append=len(hashes))
+        for part, (w, many, owner), (g, often, writer) in zip(cut, own_words, own_grams):
+            at = np.searchsorted(words, w)
             n_tokens.append(np.bincount(owner, minlength=len(part)))
-            n_known.append(np.bincount(owner, np.repeat(seen[at] > 0, often), len(part)).astype(np.int64))
-            base.append(np.bincount(owner, np.repeat(worth[at], often), len(part)))
-            total = np.zeros(len(part))
-            for s in slices(len(owned)):
-                g = owned[s] >> bits
-                first = runs(g)
-                log = np.repeat(logs[np.searchsorted(bytes_, g[first])], np.diff(first, append=len(g)))
-                total += np.bincount((owned[s] & U(most - 1)).view(np.int64), log, len(part))
-            score.append(total)
-            size.append(np.array([len(t) for t in part], np.int64))
+            n_known.append(np.bincount(owner, np.repeat(seen[at] > 0, many), len(part)).astype(np.int64))
+            base.append(np.bincount(owner, np.repeat(worth[at], many), len(part)))
+            score.append(np.bincount(writer, np.repeat(logs[np.searchsorted(bytes_, g)], often), len(part)))
+            size.append(np.bincount(writer, minlength=len(part)) - 1)
         n_tokens, n_known, base, score, size = (np.concatenate(x) for x in (n_tokens, n_known, base, score, size))
         return pa.table({"doc_id": ids, "held_out": pa.array(is_held_out(ids.to_pylist())), "n_tokens": n_tokens, "n_known": n_known,
                          "train_tokens": np.full(len(texts), tokens, np.int64), "base_score": base, "score": score, "n_bytes": size,

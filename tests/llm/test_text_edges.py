@@ -221,8 +221,9 @@ def test_grams_with_their_texts():
     for depth in (2, 3, 5):
         want = list(plain_grams(texts, depth))
         assert list(zip(*(x.tolist() for x in ctw.grams(texts, depth)))) == want
-        owned, bits = ctw.owned_grams(texts, depth), ctw.owner_bits(depth)
-        assert [(x >> bits, x & ((1 << bits) - 1)) for x in owned.tolist()] == sorted(want)
+        found, often, owner = ctw.owned_grams(texts, depth)
+        assert list(zip(np.repeat(found, often).tolist(), owner.tolist())) == sorted(want)
+        assert (np.diff(found.astype(np.int64)) > 0).all()
         assert ctw.distinct_grams(texts, depth).tolist() == sorted({g for g, _ in want})
 
 
